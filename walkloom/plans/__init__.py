@@ -1 +1,4 @@
-"""Part of walkloom."""
+"""Registered queries over the test tables, and their SQL."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
