@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walkloom.llm import byte_bpe, chat_format, jaccard_join, mixing, quality_classifier, quality_rules, sharding, warc
-from walkloom.llm.common import crc_mod, materialize, table, words
+from walkloom.llm import ann_forest, byte_bpe, chat_format, jaccard_join, mixing, quality_classifier, quality_rules, sharding, toxicity, warc
+from walkloom.llm.common import materialize, table, words
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +43,11 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
+def op7_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann_forest.search(rows, rows.filter(F.col("vec_id") % 20 == 0), top=20)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, p=90).select("doc_id", "n_shingles", "component_id")
 
@@ -56,8 +65,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_chat_format": op2_chat_format, "op3_quality_rules": op3_quality_rules, "op4_sharding": op4_sharding,
-    "op5_byte_bpe": op5_byte_bpe, "op6_quality_classifier": op6_quality_classifier, "op8_jaccard_join": op8_jaccard_join,
+    "op1_toxicity": op1_toxicity, "op2_chat_format": op2_chat_format, "op3_quality_rules": op3_quality_rules, "op4_sharding": op4_sharding,
+    "op5_byte_bpe": op5_byte_bpe, "op6_quality_classifier": op6_quality_classifier, "op7_ann_forest": op7_ann_forest, "op8_jaccard_join": op8_jaccard_join,
     "op9_warc": op9_warc, "op10_mixing": op10_mixing,
 }
 ORACLE_SQL: dict[str, str] = {}
