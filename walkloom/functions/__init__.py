@@ -1 +1,31 @@
-"""Part of walkloom."""
+"""SQL surface: functions to call from spark.sql()."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from walkloom.operators.bpe import encode_list
+from walkloom.operators.walks import walk
+
+
+def register(spark: SparkSession, rules: DataFrame | None = None) -> None:
+    """bpe_encode(tokens) if a codebook is given, and the table function graph_walk(types, src, dst, edge_types, method)."""
+    if rules is not None:
+        rank = {(r["left"], r["right"]): (r["rank"], r["new_id"]) for r in rules.collect()}
+
+        @F.pandas_udf("array<int>")
+        def bpe_encode(tokens: pd.Series) -> pd.Series:
+            return tokens.map(lambda t: None if t is None else encode_list([int(x) for x in t], rank)[0])
+
+        spark.udf.register("bpe_encode", bpe_encode)
+
+    @F.udtf(returnType="pos int, token int, element string")
+    class GraphWalk:
+        def eval(self, types, src, dst, edge_types, method):
+            edges = [(s, d, t, 0) for s, d, t in zip(src, dst, edge_types)]
+            for k, row in enumerate(zip(*walk(types, edges, method))):
+                yield (k, *row)
+
+    spark.udtf.register("graph_walk", GraphWalk)

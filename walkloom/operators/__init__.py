@@ -1 +1 @@
-"""Part of walkloom."""
+"""Operators over graphs and sequences: DataFrame in, DataFrame out."""

@@ -1 +1,39 @@
-"""Part of walkloom."""
+"""Streams: the stateless and counting operators over unbounded tables, and windows over events."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+
+
+def read(spark: SparkSession, path: str, schema: str, pattern: str = "*.parquet", files: int = 16) -> DataFrame:
+    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def tumbling(events: DataFrame, size: str = "1 hour", late: str = "2 hours", slide: str | None = None) -> DataFrame:
+    """start, event_type, n, total by window; rows later than the watermark are dropped."""
+    w = F.window("ts", size, slide) if slide else F.window("ts", size)
+    g = events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return g.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
+    """user_id, start, end, n by session."""
+    g = events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
+    return g.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def counts(tokens: DataFrame, *columns: str) -> DataFrame:
+    """Running counts, as of triplets or of a vocabulary."""
+    return tokens.groupBy(*columns).agg(F.count("*").alias("cnt"))
+
+
+def finished(stream: DataFrame, path: str, mode: str = "complete") -> DataFrame:
+    """What a stream gives over all that is there now. Its state is kept under path."""
+    spark = stream.sparkSession
+    name = "s" + str(abs(hash(path)))
+    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", path).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
