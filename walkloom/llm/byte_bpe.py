@@ -16,12 +16,13 @@ from __future__ import annotations
 import base64
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from walkloom.llm.common import materialize
+from walkloom.llm.common import materialize, pieces as slices
 
 CHUNK = 32_768
 OVERLAP = 512
@@ -75,8 +76,8 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap
 
     def whole(batches):
         enc = encoder(path, pattern)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([enc.encode_ordinary(t.as_py()) for t in b.column(1)], pa.list_(pa.int32()))], ["doc_id", "ids"])
+        for b in slices(batches, 64):
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array((np.array(enc.encode_ordinary(t.as_py()), np.int32) for t in b.column(1)), pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     short = docs.filter(F.length("text") <= chunk).mapInArrow(whole, "doc_id long, ids array<int>")
     long = docs.filter(F.length("text") > chunk)
@@ -86,14 +87,14 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap
     def cut(batches):
         import uuid
 
-        for b in batches:
+        for b in slices(batches, 16):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 text, key = text.as_py(), uuid.uuid5(uuid.NAMESPACE_OID, f"{part()}").hex
                 for k, at in enumerate(range(0, len(text), chunk)):
                     yield pa.RecordBatch.from_pylist([{"key": key, "doc_id": doc, "k": k, "at": at, "text": text[at : at + chunk + overlap]}], schema)
 
     def streams(batches):
-        for b in batches:
+        for b in slices(batches, 1):
             for row in b.to_pylist():
                 text, at = row["text"], row["at"]
                 found = boundaries(text, pattern, 0, len(text) - MARGIN)
@@ -111,19 +112,19 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap
     # A chunk without a meeting place goes with the one before it.
     cuts = cuts.withColumn("piece", F.sum(F.when(F.col("cut").isNotNull(), 1).otherwise(0)).over(order)).withColumn("next", F.lead("cut").over(order))
     cuts = cuts.withColumn("last", F.lead("k").over(order).isNull())
-    pieces = cuts.groupBy("key", "piece").agg(F.first("doc_id").alias("doc_id"), F.min("cut").alias("cut"), F.max_by("next", "k").alias("next"), F.sort_array(F.collect_list(F.struct("k", "at", "text"))).alias("x"))
+    parts = cuts.groupBy("key", "piece").agg(F.first("doc_id").alias("doc_id"), F.min("cut").alias("cut"), F.max_by("next", "k").alias("next"), F.sort_array(F.collect_list(F.struct("k", "at", "text"))).alias("x"))
 
     def encode_pieces(batches):
         enc = encoder(path, pattern)
-        for b in batches:
+        for b in slices(batches, 1):
             for r in b.to_pylist():
                 x, start = r["x"], r["x"][0]["at"]
                 text = "".join(c["text"][:chunk] for c in x[:-1]) + x[-1]["text"]
                 end = len(text) if r["next"] is None else r["next"] - start
                 ids = enc.encode_ordinary(text[r["cut"] - start : end])
-                yield pa.RecordBatch.from_arrays([pa.array([r["key"]]), pa.array([r["doc_id"]], pa.int64()), pa.array([r["piece"]], pa.int64()), pa.array([ids], pa.list_(pa.int32()))], ["key", "doc_id", "piece", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["key"]]), pa.array([r["doc_id"]], pa.int64()), pa.array([r["piece"]], pa.int64()), pa.array([np.array(ids, np.int32)], pa.list_(pa.int32()))], ["key", "doc_id", "piece", "ids"])
 
-    ids = pieces.mapInArrow(encode_pieces, "key string, doc_id long, piece long, ids array<int>")
+    ids = parts.mapInArrow(encode_pieces, "key string, doc_id long, piece long, ids array<int>")
     joined = ids.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("piece", "ids"))), lambda s: s["ids"])).alias("ids"))
     return short.unionByName(joined.select("doc_id", "ids"))
 
@@ -146,7 +147,7 @@ def decode(ids: DataFrame, path: str | None = None, pattern: str | None = None)
 
     def run(batches):
         enc = encoder(path, pattern)
-        for b in batches:
+        for b in slices(batches, 64):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.decode_bytes(i.as_py()) for i in b.column(1)], pa.binary())], ["doc_id", "bytes"])
 
     return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
@@ -158,11 +159,12 @@ def digests(ids: DataFrame, path: str | None = None, pattern: str | None = None)
 
     def run(batches):
         enc = encoder(path, pattern)
-        for b in batches:
-            rows = [i.as_py() for i in b.column(1)]
-            yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array([len(i) for i in rows], pa.int64()),
-                pa.array([hashlib.sha256(" ".join(map(str, i)).encode()).hexdigest() for i in rows], pa.string()),
-                pa.array([hashlib.sha256(enc.decode_bytes(i)).hexdigest() for i in rows], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for b in slices(batches, 256):
+            out = []
+            for i in b.column(1):  # one text's ids at a time
+                ids = i.as_py()
+                out.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(enc.decode_bytes(ids)).hexdigest()))
+            n, a, d = zip(*out)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return ids.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -40,3 +40,10 @@ def words(text: Column) -> Column:
 def crc_mod(key: Column, n: int) -> Column:
     """crc32 of the key as text, mod n; a null key counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def pieces(batches, rows: int = 1000):
+    """Arrow batches in slices, so that what is made of one at a time stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
