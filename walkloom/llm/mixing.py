@@ -44,8 +44,8 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """docs with size, source_size, target, copies and taken (size * copies). docs has doc_id, source and text or size."""
-    if "size" not in docs.columns:
+    """docs with size, source_size, target, copies and taken (size * copies). docs has doc_id, source, and text or else a size."""
+    if "text" in docs.columns:
         docs = docs.withColumn("size", F.size(words(F.col("text"))).cast("long"))
     docs = docs.drop("source_size", "target", "copies", "taken", "weight")
     # Written first: Spark then knows the table's size, and broadcasts it only below spark.sql.autoBroadcastJoinThreshold.
@@ -60,6 +60,6 @@ def mixed(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) ->
 
 def emit(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document as often as it is taken, with its own columns."""
-    names = docs.columns
-    out = mixed(docs.withColumn("_size", F.lit(0)).drop("_size"), **how)
-    return out.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
+    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_doc"))  # so that no column of docs clashes with what is made
+    out = mixed(rows, **how).filter("copies > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_doc.*")

@@ -68,7 +68,8 @@ def ledger(docs: DataFrame) -> DataFrame:
     cover = F.aggregate("_p", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
     df = df.withColumn("n_repeat_words", F.coalesce(cover, F.lit(0).cast("long")))
     bits = sum((F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(RULES.values())), F.lit(0))
-    return df.withColumn("failed_bits", bits.cast("long")).select(*kept, *_MADE)
+    # The id only keeps filters on the bits from being moved below, where they would repeat all of the above within one expression.
+    return df.withColumn("failed_bits", F.when(F.monotonically_increasing_id() >= 0, bits.cast("long"))).select(*kept, *_MADE)
 
 
 _MADE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "failed_bits"]
@@ -101,4 +102,5 @@ def ablations(led: DataFrame) -> DataFrame:
 
 def keep_passing(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The documents that pass the base rules and the policy, with their own columns."""
-    return apply_policy(ledger(docs), policy).filter("kept").select(*docs.columns)
+    rows = docs.select("text", F.struct(*docs.columns).alias("_doc"))  # so that no column of docs clashes with what is made
+    return apply_policy(ledger(rows), policy).filter("kept").select("_doc.*")
