@@ -30,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from walkloom.llm.common import materialize, words
+from walkloom.llm.common import materialize, pieces, words
 
 #: A difference member that makes more pairs than this in one centre's group starts a round of its own.
 HOT_PAIRS = 4096
 ROUNDS = 8
+#: Ids of documents that are broadcast, at most: 16 MB.
+BROADCAST_IDS = 2_000_000
 #: Nodes that are compared with one copy of their centre.
 PER_CENTRE = 64
 
@@ -52,7 +54,7 @@ class _Words(dict):
     def __missing__(self, w: bytes) -> int:
         import xxhash
 
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         self[w] = v = xxhash.xxh3_64_intdigest(w)
         return v
@@ -144,13 +146,17 @@ def _sets(docs: DataFrame, n: int, p: int, plans: dict) -> DataFrame:
     """doc_id, n_shingles, node (a digest of the set), keys."""
 
     def run(batches):
-        for b in batches:
+        seen: set = set()  # a task emits the keys of copies once
+        for b in pieces(batches):
             ids, sizes, nodes, found = b.column(0), [], [], []
             for t in b.column(1):
                 h = shingles(t.as_py(), n)
                 sizes.append(len(h))
                 nodes.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
-                if len(h):
+                if len(h) and nodes[-1] not in seen:
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen.add(nodes[-1])
                     k = band_of(len(h), p)[0]
                     own = [keys(h, j, plans.get(j) or allocate(j, p, 1)) for j in (k, k - 1) if j >= 0]
                     found.append(np.concatenate(own).view(np.int64))
@@ -165,7 +171,7 @@ def _hashes(docs: DataFrame, n: int) -> DataFrame:
     """node, size, h of documents."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             hs = [shingles(t.as_py(), n) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([
                 pa.array([hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in hs], pa.binary()), pa.array([len(h) for h in hs], pa.int64()),
@@ -182,7 +188,7 @@ def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches):
         centre = h0 = size0 = None
-        for b in batches:
+        for b in pieces(batches):
             rows: dict = {"centre": [], "node": [], "centre_size": [], "size": [], "diff": []}
             hs = b.column(5)
             for i, (c, is_node, node, size) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist())):
@@ -296,8 +302,8 @@ def linked(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
             plans[k] = max(plans.get(k, 1), r["count"])
     plans = {k: allocate(k, p, c) for k, c in plans.items()}
     base = materialize(_sets(docs, n, p, plans), "sets")
-    nodes = base.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    rows = nodes.select("node", F.explode("keys").alias("key")).repartition("key")
+    # Copies in other tasks meet here, under each of their keys.
+    rows = base.select("node", F.explode("keys").alias("key")).repartition("key").dropDuplicates(["key", "node"])
     from pyspark.sql import Window as W
 
     shared = materialize(rows.withColumn("n", F.count("*").over(W.partitionBy("key"))).filter("n > 1").drop("n"), "shared")
@@ -305,7 +311,9 @@ def linked(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
     need = wanted.join(shared.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
     need = materialize(need, "wanted")
     # A doc_id may have several texts; sets that aren't asked for drop out where pairs are joined.
-    sets = materialize(_hashes(docs.join(need, "doc_id", "left_semi"), n).dropDuplicates(["node"]), "hashes")
+    # Their ids are broadcast if they are few; else texts are shuffled.
+    ids = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
+    sets = materialize(_hashes(docs.join(ids, "doc_id", "left_semi"), n).dropDuplicates(["node"]), "hashes")
     links, k = None, 0
     while k == 0 or not shared.isEmpty():
         k += 1
