@@ -122,11 +122,11 @@ def allocate(k: int, p: int, docs: int) -> tuple[int, int, int]:
     return best[1:]
 
 
-def keys(h: np.ndarray, k: int, plan: tuple[int, int, int]) -> np.ndarray:
-    """The keys of a set in band k."""
+def keys(h: np.ndarray, k: int, plan: tuple[int, int, int]) -> tuple[np.ndarray, int]:
+    """The keys of a set in band k, and how many of them it shares with any similar set, at least."""
     m, r, spare = plan
     if m == 0:
-        return np.zeros(0, _U)
+        return np.zeros(0, _U), 1
     token = mix(h ^ _U(0x5851F42D4C957F2D))
     segment = ((token >> _U(33)) % _U(m)).astype(np.int64)
     sums, count = np.zeros(m, _U), np.bincount(segment, minlength=m)
@@ -136,19 +136,21 @@ def keys(h: np.ndarray, k: int, plan: tuple[int, int, int]) -> np.ndarray:
     empty = count == 0
     if empty.sum() <= spare:
         out = out[~empty | (np.arange(m) < r)]
+    # A similar pair agrees in spare + 1 segments at least if none has deletions, and in fewer looked-up ones by those that are empty.
+    need = 1 if r else max(1, spare + 1 - int(empty.sum()))
     if r:
         at = np.flatnonzero(segment < r)
         out = np.concatenate([out, mix(sums[segment[at]] - token[at] + name[segment[at]])])
-    return np.unique(out)
+    return np.unique(out), need
 
 
 def _sets(docs: DataFrame, n: int, p: int, plans: dict) -> DataFrame:
-    """doc_id, n_shingles, node (a digest of the set), keys."""
+    """doc_id, n_shingles, node (a digest of the set), keys (of its band, then of the one below), need (keys of its band, and shared keys needed in each)."""
 
     def run(batches):
         seen: set = set()  # a task emits the keys of copies once
         for b in pieces(batches):
-            ids, sizes, nodes, found = b.column(0), [], [], []
+            ids, sizes, nodes, found, need = b.column(0), [], [], [], []
             for t in b.column(1):
                 h = shingles(t.as_py(), n)
                 sizes.append(len(h))
@@ -159,12 +161,14 @@ def _sets(docs: DataFrame, n: int, p: int, plans: dict) -> DataFrame:
                     seen.add(nodes[-1])
                     k = band_of(len(h), p)[0]
                     own = [keys(h, j, plans.get(j) or allocate(j, p, 1)) for j in (k, k - 1) if j >= 0]
-                    found.append(np.concatenate(own).view(np.int64))
+                    found.append(np.concatenate([x for x, _ in own]).view(np.int64))
+                    need.append([len(own[0][0]), own[0][1], own[-1][1]])
                 else:
                     found.append(np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "keys"])
+                    need.append([0, 1, 1])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(need, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "node", "keys", "need"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, keys array<long>, need array<int>")
 
 
 def _hashes(docs: DataFrame, n: int) -> DataFrame:
@@ -303,10 +307,15 @@ def linked(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
     plans = {k: allocate(k, p, c) for k, c in plans.items()}
     base = materialize(_sets(docs, n, p, plans), "sets")
     # Copies in other tasks meet here, under each of their keys.
-    rows = base.select("node", F.explode("keys").alias("key")).repartition("key").dropDuplicates(["key", "node"])
+    rows = base.select("node", F.posexplode("keys").alias("i", "key"), "need")
+    low = F.col("i") >= F.col("need")[0]
+    rows = rows.select("node", "key", F.when(low, -F.col("need")[2]).otherwise(F.col("need")[1]).alias("need")).repartition("key").dropDuplicates(["key", "node"])
     from pyspark.sql import Window as W
 
-    shared = materialize(rows.withColumn("n", F.count("*").over(W.partitionBy("key"))).filter("n > 1").drop("n"), "shared")
+    shared = materialize(rows.withColumn("n", F.count("*").over(W.partitionBy("key"))).filter("n > 1").drop("n"), "found")
+    # Too few shared keys in a band: no similar set there.
+    shared = shared.withColumn("n", F.count("*").over(W.partitionBy("node", F.col("need") < 0))).filter(F.col("n") >= F.abs("need"))
+    shared = materialize(shared.select("key", "node"), "shared")
     wanted = base.groupBy("node").agg(F.min("doc_id").alias("rep"))
     need = wanted.join(shared.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
     need = materialize(need, "wanted")
@@ -322,7 +331,7 @@ def linked(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
     reps = _labelled(wanted.filter("node is not null"), labels, "node", "label")
     least = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
     found = materialize(reps.join(least, "label").select("node", "component_id"), "components")
-    return base.drop("keys").join(found, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return base.drop("keys", "need").join(found, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
