@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from walkloom.llm import ann_forest, byte_bpe, chat_format, jaccard_join, mixing, quality_classifier, quality_rules, sharding, toxicity, warc
 from walkloom.llm.common import materialize, table, words
+from walkloom.llm.oracles import SQL
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +70,4 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe, "op6_quality_classifier": op6_quality_classifier, "op7_ann_forest": op7_ann_forest, "op8_jaccard_join": op8_jaccard_join,
     "op9_warc": op9_warc, "op10_mixing": op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(SQL)
