@@ -8,9 +8,14 @@ the others catch none; with m + r >= H + 1 + spare, any pair within H agrees in
 up to spare empty segments are left out (empty ones would be the commonest keys; only documents with
 more than spare of them emit them). m, r and spare are chosen by cost from the band's document count.
 
-Copies are one node. A key's nodes aren't paired with each other: each is compared with the one that
-shares most (the centre), which gives exact difference sets. Pairs of the key's nodes that this leaves
-in different components must share members of those differences, rarest first, so they are found by
+Copies are one node. A key's nodes aren't paired with each other. A sketch of a set is the parities of its
+members' counts in buckets; the bits in which two sketches differ are at most the members in which their
+sets do, and obey the triangle inequality. Among a key's nodes, leaders are chosen so that each node is
+within R of one, its home; a similar node is then within R + H of that home, so each node joins all
+leaders within that distance, and any similar pair meets at a leader (the centre). Nodes that share but a
+passage are mostly far from each other and stay single. A key with very many nodes has one centre instead,
+the node that shares most. Nodes are compared with their centres by exact difference sets. Pairs of the key's nodes that this leaves
+in different components, and near by their sketches, must share members of those differences, rarest first, so they are found by
 a prefix join over the differences, and verified on them. A member that very many differences share
 is a key of the next round. No candidate is dropped.
 
@@ -28,6 +33,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from walkloom.llm.common import materialize, pieces, words
@@ -39,6 +45,8 @@ ROUNDS = 8
 BROADCAST_IDS = 2_000_000
 #: Nodes that are compared with one copy of their centre.
 PER_CENTRE = 64
+#: A key with more nodes than this has one centre, so that a task holds few sketches.
+LED_NODES = 2048
 
 _U = np.uint64
 
@@ -144,31 +152,135 @@ def keys(h: np.ndarray, k: int, plan: tuple[int, int, int]) -> tuple[np.ndarray,
     return np.unique(out), need
 
 
-def _sets(docs: DataFrame, n: int, p: int, plans: dict) -> DataFrame:
-    """doc_id, n_shingles, node (a digest of the set), keys (of its band, then of the one below), need (keys of its band, and shared keys needed in each)."""
+def sketch(h: np.ndarray) -> bytes:
+    """The parities of the members' counts in buckets, a power of two of them, at least one a member."""
+    buckets = max(64, 1 << (len(h) - 1).bit_length())
+    at = (mix(h ^ _U(0x9FB21C651E98DF25)) & _U(buckets - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=buckets) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of words, with the buckets of the smallest."""
+    width = min(map(len, sketches))
+    out = np.empty((len(sketches), width // 8), _U)
+    for i, x in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(x, _U).reshape(-1, width // 8), axis=0)
+    return out
+
+
+@lru_cache(100_000)
+def reach(size: int, p: int) -> int:
+    """The most members in which a set of this size differs from any similar one."""
+    return most_apart(size + size * 100 // p, p) + 1
+
+
+def led(sizes: list[int], sketches: list[bytes], p: int) -> list[tuple[int, int]]:
+    """(leader, node) among a key's nodes: any similar pair is at one leader, that leader itself counted."""
+    x = folded(sketches)
+    if len(sizes) == 2:
+        apart = int(np.bitwise_count(x[0] ^ x[1]).sum())
+        return [(0, 1)] if apart <= most_apart(sum(sizes), p) else []
+    far = np.array([reach(n, p) for n in sizes])
+    left, out = np.ones(len(sizes), bool), []
+    while left.any():
+        c = int(left.argmax())
+        apart = np.bitwise_count(x ^ x[c]).sum(axis=1, dtype=np.int64)
+        home = far[c] // 2
+        left &= apart > home
+        left[c] = False
+        out += [(c, int(y)) for y in np.flatnonzero(apart <= home + far) if y != c]
+    return out
+
+
+def _sets(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles, node (a digest of the set), sketch."""
 
     def run(batches):
-        seen: set = set()  # a task emits the keys of copies once
         for b in pieces(batches):
-            ids, sizes, nodes, found, need = b.column(0), [], [], [], []
-            for t in b.column(1):
+            hs = [shingles(t.as_py(), n) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([
+                b.column(0), pa.array([len(h) for h in hs], pa.int64()), pa.array([_node(h) if len(h) else None for h in hs], pa.binary()),
+                pa.array([sketch(h) if len(h) else None for h in hs], pa.binary())], ["doc_id", "n_shingles", "node", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, sketch binary")
+
+
+def _node(h: np.ndarray) -> bytes:
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+
+
+def _keys(docs: DataFrame, n: int, p: int, plans: dict) -> DataFrame:
+    """node, key, need of every key of a set in its band and in the one below (there need, the shared keys needed, is negative)."""
+
+    def run(batches):
+        seen: set = set()  # a task emits the keys of copies once
+        for b in pieces(batches, 100):
+            nodes, found, needs = [], [], []
+            for t in b.column(0):
                 h = shingles(t.as_py(), n)
-                sizes.append(len(h))
-                nodes.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
-                if len(h) and nodes[-1] not in seen:
-                    if len(seen) > 200_000:
-                        seen.clear()
-                    seen.add(nodes[-1])
-                    k = band_of(len(h), p)[0]
-                    own = [keys(h, j, plans.get(j) or allocate(j, p, 1)) for j in (k, k - 1) if j >= 0]
-                    found.append(np.concatenate([x for x, _ in own]).view(np.int64))
-                    need.append([len(own[0][0]), own[0][1], own[-1][1]])
-                else:
-                    found.append(np.zeros(0, np.int64))
-                    need.append([0, 1, 1])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(need, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "node", "keys", "need"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, keys array<long>, need array<int>")
+                if not len(h) or (node := _node(h)) in seen:
+                    continue
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.add(node)
+                k = band_of(len(h), p)[0]
+                for j in (k, k - 1):
+                    if j >= 0:
+                        own, need = keys(h, j, plans.get(j) or allocate(j, p, 1))
+                        nodes += [node] * len(own)
+                        found.append(own.view(np.int64))
+                        needs.append(np.full(len(own), need if j == k else -need, np.int32))
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(np.concatenate(found)), pa.array(np.concatenate(needs))], ["node", "key", "need"])
+
+    return docs.select("text").mapInArrow(run, "node binary, key long, need int")
+
+
+def _groups(batches):
+    """Lists of the rows with one value in the first column, of sorted rows."""
+    rows: list = []
+    for b in pieces(batches):
+        for r in zip(*(c.to_pylist() for c in b.columns)):
+            if rows and r[0] != rows[0][0]:
+                yield rows
+                rows = []
+            rows.append(r)
+    if rows:
+        yield rows
+
+
+def _once(pairs):
+    """Batches of (centre, node); a task sends a pair once, as far as it remembers."""
+    sent, out = set(), []
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["centre", "node"])
+    for pair in pairs:
+        if pair in sent:
+            continue
+        if len(sent) > 200_000:
+            sent.clear()
+        sent.add(pair)
+        out.append(pair)
+        if len(out) == 5000:
+            yield batch()
+            out = []
+    yield batch()
+
+
+def _pairs(shared: DataFrame, sketches: DataFrame, p: int) -> DataFrame:
+    """(centre, node) of (key, node)."""
+
+    def run(batches):
+        groups = (g for g in _groups(batches) if len(g) > 1)
+        yield from _once((g[c][1], g[y][1]) for g in groups for c, y in led([r[2] for r in g], [r[3] for r in g], p))
+
+    counts = materialize(shared.groupBy("key").agg(F.count("*").alias("n")), "counts")
+    few = shared.join(counts.filter(F.col("n").between(2, LED_NODES)), "key", "left_semi").join(sketches, "node")
+    few = few.select("key", "node", "size", "sketch").repartition("key").sortWithinPartitions("key", "node")
+    many = materialize(shared.join(counts.filter(F.col("n") > LED_NODES), "key"), "many")
+    pop = many.groupBy("node").agg(F.sum("n").alias("pop"))
+    centre = many.join(pop, "node").groupBy("key").agg(F.max(F.struct("pop", "node")).alias("x")).select("key", F.col("x.node").alias("centre"))
+    one = many.join(centre, "key").filter("node <> centre").select("centre", "node")
+    return few.mapInArrow(run, "centre binary, node binary").union(one).distinct()
 
 
 def _hashes(docs: DataFrame, n: int) -> DataFrame:
@@ -184,6 +296,28 @@ def _hashes(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node binary, size long, h array<long>")
 
 
+def _near_others(members: DataFrame, sketches: DataFrame, p: int) -> DataFrame:
+    """members (centre, node, own) that are near, by sketches, to one of their centre with another label; all of them where a centre has very many."""
+
+    def run(batches):
+        def near():
+            for g in _groups(batches):
+                x, size, own = folded([r[4] for r in g]), np.array([r[3] for r in g]), np.unique([r[2] for r in g], return_inverse=True)[1]
+                for i, r in enumerate(g):
+                    total = size + size[i]
+                    if ((np.bitwise_count(x ^ x[i]).sum(axis=1, dtype=np.int64) <= total - 2 * -(-p * total // (100 + p))) & (own != own[i])).any():
+                        yield r[0], r[1]
+
+        yield from _once(near())
+
+    counts = members.groupBy("centre").agg(F.count("*").alias("n"))
+    few = members.join(counts.filter(F.col("n") <= LED_NODES), "centre", "left_semi").select("centre", "node", "own").join(sketches, "node")
+    few = few.select("centre", "node", "own", "size", "sketch").repartition("centre").sortWithinPartitions("centre", "node")
+    many = members.join(counts.filter(F.col("n") > LED_NODES), "centre", "left_semi").select("centre", "node")
+    kept = materialize(few.mapInArrow(run, "centre binary, node binary").union(many), "near")
+    return members.join(kept, ["centre", "node"], "left_semi")
+
+
 def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """centre, node, centre_size, size, diff, n_diff of pairs (centre, node). diff: what only the node has, then what only the centre has."""
     counts = pairs.groupBy("centre").agg(F.ceil(F.count("*") / PER_CENTRE).cast("int").alias("salts"))
@@ -246,18 +380,15 @@ def _labelled(df: DataFrame, labels: DataFrame, col: str, to: str) -> DataFrame:
     return df.join(x, col, "left").withColumn(to, F.coalesce("_label", col)).drop("_label")
 
 
-def _round(shared: DataFrame, sets: DataFrame, links: DataFrame | None, p: int, last: bool) -> tuple[DataFrame, DataFrame]:
-    """One round over shared (key, node): all links so far, and the (key, node) of the next round."""
-    pop = shared.join(shared.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("node").agg(F.sum("n").alias("pop"))
-    centre = shared.join(pop, "node").groupBy("key").agg(F.max(F.struct("pop", "node")).alias("x")).select("key", F.col("x.node").alias("centre"))
-    pairs = materialize(shared.join(centre, "key").filter("node <> centre").select("centre", "node").distinct(), "pairs")
+def _round(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, links: DataFrame | None, p: int, last: bool) -> tuple[DataFrame, DataFrame]:
+    """One round over pairs (centre, node): all links so far, and the (key, node) of the next round."""
     diffs = materialize(_differences(pairs, sets), "differences")
     found = diffs.filter(_links(F.col("size") + F.col("centre_size"), F.col("n_diff"), p)).select(F.col("centre").alias("a"), F.col("node").alias("b"))
     links = found if links is None else links.union(found)
     labels = components(links)
     members = _labelled(_labelled(diffs, labels, "node", "own"), labels, "centre", "main")
     apart = members.groupBy("centre").agg(F.max(F.col("own") != F.col("main")).alias("some")).filter("some")
-    members = materialize(members.join(apart, "centre", "left_semi"), "members")
+    members = materialize(_near_others(members.join(apart, "centre", "left_semi"), sketches, p), "members")
 
     # x and y: a pair's nearer and farther node from their centre; at least one isn't linked to it, so y is at least "far" from it.
     # The first member that both differences hold, in their order, lies within these prefixes; a null token stands for pairs that need share none.
@@ -305,19 +436,21 @@ def linked(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
         for k in range(band_of(max(1, int(math.exp(r["k"] / 8)) - 1), p)[0], band_of(int(math.exp((r["k"] + 1) / 8)) + 1, p)[0] + 1):
             plans[k] = max(plans.get(k, 1), r["count"])
     plans = {k: allocate(k, p, c) for k, c in plans.items()}
-    base = materialize(_sets(docs, n, p, plans), "sets")
-    # Copies in other tasks meet here, under each of their keys.
-    rows = base.select("node", F.posexplode("keys").alias("i", "key"), "need")
-    low = F.col("i") >= F.col("need")[0]
-    rows = rows.select("node", "key", F.when(low, -F.col("need")[2]).otherwise(F.col("need")[1]).alias("need")).repartition("key").dropDuplicates(["key", "node"])
-    from pyspark.sql import Window as W
-
-    shared = materialize(rows.withColumn("n", F.count("*").over(W.partitionBy("key"))).filter("n > 1").drop("n"), "found")
+    base = materialize(_sets(docs, n), "sets")
+    # Copies in other tasks meet here, under each of their keys. Keys with the same nodes become one, named by a sum over those;
+    # should two such names clash, their nodes are compared together.
+    rows = _keys(docs, n, p, plans).repartition("key").dropDuplicates(["key", "node"])
+    by_key = W.partitionBy("key")
+    named = rows.withColumn("n", F.count("*").over(by_key)).withColumn("name", F.sum(F.shiftright(F.xxhash64("node", F.col("need") < 0), 20)).over(by_key)).filter("n > 1")
+    shared = materialize(named.groupBy(F.xxhash64("name", "n").alias("key"), "node", "need").agg(F.count("*").alias("n")), "found")
     # Too few shared keys in a band: no similar set there.
-    shared = shared.withColumn("n", F.count("*").over(W.partitionBy("node", F.col("need") < 0))).filter(F.col("n") >= F.abs("need"))
-    shared = materialize(shared.select("key", "node"), "shared")
+    shared = shared.withColumn("n", F.sum("n").over(W.partitionBy("node", F.col("need") < 0))).filter(F.col("n") >= F.abs("need"))
+    shared = materialize(shared.select("key", "node").distinct(), "shared")
+    some = base.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    sketches = materialize(some.select("node", F.col("n_shingles").alias("size"), "sketch"), "sketches")
+    pairs = materialize(_pairs(shared, sketches, p), "pairs")
     wanted = base.groupBy("node").agg(F.min("doc_id").alias("rep"))
-    need = wanted.join(shared.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+    need = wanted.join(pairs.select("node").union(pairs.select("centre")).distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
     need = materialize(need, "wanted")
     # A doc_id may have several texts; sets that aren't asked for drop out where pairs are joined.
     # Their ids are broadcast if they are few; else texts are shuffled.
@@ -326,12 +459,14 @@ def linked(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
     links, k = None, 0
     while k == 0 or not shared.isEmpty():
         k += 1
-        links, shared = _round(shared, sets, links, p, k == ROUNDS)
+        links, shared = _round(pairs, sets, sketches, links, p, k == ROUNDS)
+        if not shared.isEmpty():
+            pairs = materialize(_pairs(shared, sketches, p), "pairs")
     labels = components(links)
     reps = _labelled(wanted.filter("node is not null"), labels, "node", "label")
     least = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
     found = materialize(reps.join(least, "label").select("node", "component_id"), "components")
-    return base.drop("keys", "need").join(found, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return base.drop("sketch").join(found, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
