@@ -10,10 +10,9 @@ more than spare of them emit them). m, r and spare are chosen by cost from the b
 
 Copies are one node. A key's nodes aren't paired with each other. A sketch of a set is the parities of its
 members' counts in buckets; the bits in which two sketches differ are at most the members in which their
-sets do, and obey the triangle inequality. Among a key's nodes, leaders are chosen so that each node is
-within R of one, its home; a similar node is then within R + H of that home, so each node joins all
-leaders within that distance, and any similar pair meets at a leader (the centre). Nodes that share but a
-passage are mostly far from each other and stay single. A key with very many nodes has one centre instead,
+sets do. Among a key's nodes, those that share most lead: a leader takes the nodes near it and, of all others,
+those that may be similar to one of these by their sketches, so any similar pair meets at a leader (the
+centre). Nodes that share but a passage are mostly far from each other and stay single. A key with very many nodes has one centre instead,
 the node that shares most. Nodes are compared with their centres by exact difference sets. Pairs of the key's nodes that this leaves
 in different components, and near by their sketches, must share members of those differences, rarest first, so they are found by
 a prefix join over the differences, and verified on them. A member that very many differences share
@@ -174,21 +173,30 @@ def reach(size: int, p: int) -> int:
     return most_apart(size + size * 100 // p, p) + 1
 
 
+def near(sizes: np.ndarray, x: np.ndarray, p: int) -> np.ndarray:
+    """Which pairs of nodes may be similar by their sketches."""
+    out = np.empty((len(sizes), len(sizes)), bool)
+    for i in range(len(sizes)):
+        total = sizes + sizes[i]
+        out[i] = np.bitwise_count(x ^ x[i]).sum(axis=1, dtype=np.int64) <= total - 2 * -(-p * total // (100 + p))
+    np.fill_diagonal(out, False)
+    return out
+
+
 def led(sizes: list[int], sketches: list[bytes], p: int) -> list[tuple[int, int]]:
-    """(leader, node) among a key's nodes: any similar pair is at one leader, that leader itself counted."""
+    """(leader, node) among a key's nodes, the likeliest leaders first: any pair that may be similar is at one leader, itself counted."""
     x = folded(sketches)
     if len(sizes) == 2:
         apart = int(np.bitwise_count(x[0] ^ x[1]).sum())
         return [(0, 1)] if apart <= most_apart(sum(sizes), p) else []
-    far = np.array([reach(n, p) for n in sizes])
-    left, out = np.ones(len(sizes), bool), []
+    may = near(np.array(sizes), x, p)
+    left, out = may.any(axis=1), []
     while left.any():
         c = int(left.argmax())
-        apart = np.bitwise_count(x ^ x[c]).sum(axis=1, dtype=np.int64)
-        home = far[c] // 2
-        left &= apart > home
-        left[c] = False
-        out += [(c, int(y)) for y in np.flatnonzero(apart <= home + far) if y != c]
+        own = left & (np.bitwise_count(x ^ x[c]).sum(axis=1, dtype=np.int64) <= reach(sizes[c], p))
+        own[c] = True
+        left &= ~own
+        out += [(c, int(y)) for y in np.flatnonzero(own | may[own].any(axis=0)) if y != c]
     return out
 
 
@@ -270,12 +278,12 @@ def _pairs(shared: DataFrame, sketches: DataFrame, p: int) -> DataFrame:
     """(centre, node) of (key, node)."""
 
     def run(batches):
-        groups = (g for g in _groups(batches) if len(g) > 1)
+        groups = (sorted(g, key=lambda r: (-r[4], r[1])) for g in _groups(batches) if len(g) > 1)
         yield from _once((g[c][1], g[y][1]) for g in groups for c, y in led([r[2] for r in g], [r[3] for r in g], p))
 
     counts = materialize(shared.groupBy("key").agg(F.count("*").alias("n")), "counts")
-    few = shared.join(counts.filter(F.col("n").between(2, LED_NODES)), "key", "left_semi").join(sketches, "node")
-    few = few.select("key", "node", "size", "sketch").repartition("key").sortWithinPartitions("key", "node")
+    few = shared.join(counts.filter(F.col("n").between(2, LED_NODES)), "key").withColumn("pop", F.sum("n").over(W.partitionBy("node")))
+    few = few.join(sketches, "node").select("key", "node", "size", "sketch", "pop").repartition("key").sortWithinPartitions("key", "node")
     many = materialize(shared.join(counts.filter(F.col("n") > LED_NODES), "key"), "many")
     pop = many.groupBy("node").agg(F.sum("n").alias("pop"))
     centre = many.join(pop, "node").groupBy("key").agg(F.max(F.struct("pop", "node")).alias("x")).select("key", F.col("x.node").alias("centre"))
@@ -300,15 +308,10 @@ def _near_others(members: DataFrame, sketches: DataFrame, p: int) -> DataFrame:
     """members (centre, node, own) that are near, by sketches, to one of their centre with another label; all of them where a centre has very many."""
 
     def run(batches):
-        def near():
-            for g in _groups(batches):
-                x, size, own = folded([r[4] for r in g]), np.array([r[3] for r in g]), np.unique([r[2] for r in g], return_inverse=True)[1]
-                for i, r in enumerate(g):
-                    total = size + size[i]
-                    if ((np.bitwise_count(x ^ x[i]).sum(axis=1, dtype=np.int64) <= total - 2 * -(-p * total // (100 + p))) & (own != own[i])).any():
-                        yield r[0], r[1]
-
-        yield from _once(near())
+        for g in _groups(batches):
+            own = np.unique([r[2] for r in g], return_inverse=True)[1]
+            may = near(np.array([r[3] for r in g]), folded([r[4] for r in g]), p) & (own[:, None] != own)
+            yield from _once((g[i][0], g[i][1]) for i in np.flatnonzero(may.any(axis=1)))
 
     counts = members.groupBy("centre").agg(F.count("*").alias("n"))
     few = members.join(counts.filter(F.col("n") <= LED_NODES), "centre", "left_semi").select("centre", "node", "own").join(sketches, "node")
