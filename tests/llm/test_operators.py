@@ -252,3 +252,37 @@ def test_restoring():
     for seen, word in (("$tup1d", "stupid"), ("m0r0n", "moron"), ("l.o.s.e.r", "loser"), ("stuuuupid", "stupid"), ("1d10t", "idiot")):
         assert toxicity.terms(seen, lm)[0] == word
     assert "stupid" in toxicity.spaced("s t u p i d", lm) and toxicity.terms("...", lm) == []
+
+
+@pytest.mark.parametrize("p,moves", [(80, 30), (90, 6), (80, 120)])
+def test_jaccard_leaders(p, moves):
+    """Every similar pair of a key's nodes meets at a leader, and families make few pairs."""
+    rng = np.random.default_rng(5)
+    base = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (150, 160, 400)]
+    sets = []
+    for b in base:
+        for _ in range(40):
+            h = b.copy()
+            at = rng.choice(len(h), rng.integers(0, min(moves, len(h))), replace=False)
+            h[at] = rng.integers(0, 2**63, len(at)).astype(np.uint64)
+            sets.append(np.unique(h))
+    got = jaccard_join.led([len(h) for h in sets], [jaccard_join.sketch(h) for h in sets], p)
+    at = {}
+    for c, y in got:
+        at.setdefault(c, {c}).add(y)
+    for i in range(len(sets)):
+        for j in range(i):
+            same = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * same >= p * (len(sets[i]) + len(sets[j]) - same):
+                assert any(i in g and j in g for g in at.values())
+    assert len(got) < len(sets) ** 2 / 4
+
+
+def test_jaccard_sketch():
+    """Sketches differ in no more bits than their sets do in members, whatever their sizes."""
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 63, 64, 65, 300):
+        for m in (1, 40, 500):
+            a, b = (np.unique(rng.integers(0, 700, k).astype(np.uint64)) for k in (n, m))
+            x = jaccard_join.folded([jaccard_join.sketch(a), jaccard_join.sketch(b)])
+            assert np.bitwise_count(x[0] ^ x[1]).sum() <= len(np.setxor1d(a, b))
