@@ -173,9 +173,11 @@ def test_jaccard(spark, docs, n, p):
     assert Counter(plain(found.select("doc_id", "n_shingles", "component_id"))) == want
 
 
-def test_jaccard_families(spark, monkeypatch):
-    """Copies of copies, more than a centre reaches, with the hot path on."""
+@pytest.mark.parametrize("led_nodes", [2048, 5])
+def test_jaccard_families(spark, monkeypatch, led_nodes):
+    """Copies of copies, more than a centre reaches, with the hot path on, and with keys of very many nodes."""
     monkeypatch.setattr(jaccard_join, "HOT_PAIRS", 4)
+    monkeypatch.setattr(jaccard_join, "LED_NODES", led_nodes)
     rng = random.Random(5)
     base, rows = [f"w{k}" for k in range(150)], []
     for f in range(4):
