@@ -114,14 +114,15 @@ def allocate(k: int, p: int, docs: int) -> tuple[int, int, int]:
     if far == 0:
         return 0, 0, 0  # only copies are linked
     best = None
-    for spare in range(13):
+    # Large bands have many empty segments by chance: what may be spared grows with H.
+    for spare in sorted({*range(13), *(math.ceil(far * f / 50) for f in range(1, 13))}):
         for r in {0, 1, (far + 1 + spare) // 4, (far + 1 + spare) // 2}:
             m = far + 1 + spare - r
             if m < max(1, r):
                 continue
             fill = lo / m
             none = math.exp(-fill)
-            over = 1 - sum(math.exp(-m * none) * (m * none) ** e / math.factorial(e) for e in range(spare + 1))
+            over = 1 - sum(math.exp(e * math.log(m * none) - m * none - math.lgamma(e + 1)) for e in range(spare + 1))
             chance = (m - r) * (max(over, 0) * none**2 + 1e-7**fill) + r * none**2 * (1 + 2 * fill)
             cost = m + r * fill + docs * chance
             if best is None or cost < best[0]:
