@@ -21,11 +21,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows in an Arrow batch at most: a batch of whole texts is held by the JVM and by Python.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, survives lost executors, and gives later plans its true size."""
-    path = f"{shared_dir(df.sparkSession)}/walkloom/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = f"{shared_dir(spark)}/walkloom/{tag}-{uuid.uuid4().hex}", spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
