@@ -288,3 +288,36 @@ def test_jaccard_sketch():
             a, b = (np.unique(rng.integers(0, 700, k).astype(np.uint64)) for k in (n, m))
             x = jaccard_join.folded([jaccard_join.sketch(a), jaccard_join.sketch(b)])
             assert np.bitwise_count(x[0] ^ x[1]).sum() <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize("p", [80, 90])
+@pytest.mark.parametrize("count", [1, 20_000, 10_000_000])
+def test_jaccard_keys(p, count):
+    """Any pair at the bound shares as many keys as either needs, however many documents the plan is for; far sets share few."""
+    rng = np.random.default_rng(7)
+    for size in (3, 30, 90, 300, 900, 3000):
+        for longer in (0, 1):
+            a = rng.integers(0, 2**63, size).astype(np.uint64)
+            for _ in range(10):
+                # b holds what a does but for some, and others; the pair is as far apart as it may be.
+                lost = int(rng.integers(0, (size * (100 - p) // 100 // (1 + longer)) + 1))
+                more = max(0, (size - lost) * 100 // p - size)
+                b = np.concatenate([a[lost:], rng.integers(0, 2**63, more).astype(np.uint64)])
+                shared = size - lost
+                assert 100 * shared >= p * (len(a) + len(b) - shared)
+                k, j = jaccard_join.band_of(len(a), p)[0], jaccard_join.band_of(len(b), p)[0]
+                band = min(k, j)
+                assert max(k, j) - band <= 1
+                plan = jaccard_join.allocate(band, p, count)
+                (x, need_x), (y, need_y) = jaccard_join.keys(np.unique(a), band, plan), jaccard_join.keys(np.unique(b), band, plan)
+                if plan[0] == 0:
+                    assert np.array_equal(np.unique(a), np.unique(b))  # only copies link
+                else:
+                    assert len(np.intersect1d(x, y)) >= max(need_x, need_y)
+
+
+def test_jaccard_allocation():
+    """In bands of many words, keys a document don't leap as documents grow in number."""
+    for k in range(20, 38):
+        few, many = ((m + r * jaccard_join.limits(k, 80)[0] / m) for m, r, _ in (jaccard_join.allocate(k, 80, c) for c in (2_000, 200_000)))
+        assert many <= 2 * few
