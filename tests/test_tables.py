@@ -56,3 +56,31 @@ def test_sql_functions(spark):
     register(spark, bpe.train(spark.createDataFrame([([1, 2, 1, 2],)], "tokens array<int>"), 1))
     assert spark.sql("select bpe_encode(array(1, 2, 1)) x").first()[0] == [4, 1]
     assert [r["token"] for r in spark.sql("select * from graph_walk(array(6, 6), array(0, 1), array(1, 0), array(1, 1), 'feuler')").collect()] == [13, 13, 13]
+
+
+def test_whole_texts(spark, tmp_path):
+    """Characters and types that occur only far into a text."""
+    from collections import Counter
+
+    from walkloom.plans import QUERIES
+
+    texts = ["ab" * 40 + "z" * 60, "", "b" * 100 + "é\U0001f600" * 30, "short"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    get = lambda q: QUERIES[q](spark, str(tmp_path))
+    chars = {(d, k, ord(c)) for d, t in enumerate(texts) for k, c in enumerate(t)}
+    count = Counter(c for t in texts for c in map(ord, t))
+    assert {tuple(r) for r in get("O-TK10").collect()} == chars
+    assert {r["graph_id"]: r["tokens"] for r in get("O-SE8").collect()} == {d: " ".join(str(ord(c)) for c in t) for d, t in enumerate(texts)}
+    assert {r["tok"]: r["cnt"] for r in get("O-VO1").collect()} == count
+    first = {c: min((d, k) for d, k, x in chars if x == c) for c in count}
+    ids = {c: k + 8 for k, c in enumerate(sorted(count, key=lambda c: (-count[c], first[c])))}
+    assert {tuple(r) for r in get("O-VO2").collect()} == {(c, ids[c], n) for c, n in count.items()}
+    common = {c: i for c, i in ids.items() if count[c] >= 50}
+    assert {tuple(r) for r in get("O-VO4").collect()} == {(d, k, common.get(c, 1)) for d, k, c in chars}
+    body = {d: [3, *[ids[ord(c)] for c in t][:46], 4] for d, t in enumerate(texts) if t}
+    assert {r["graph_id"]: (r["input_ids"], r["used"]) for r in get("O-VO5").collect()} == {d: (",".join(map(str, b + [0] * (48 - len(b)))), len(b)) for d, b in body.items()}
+    r = get("O-VO6").first()
+    assert (r["types"], r["unknown"]) == (len(count), len(count) - len(common))
+    assert {(r["graph_id"], r["pos"]) for r in get("O-VO8").collect()} == {x[:2] for x in chars}
+    zz = [r for r in get("O-BP16").collect() if (r["left"], r["right"]) == (ord("z"), ord("z"))]
+    assert zz and zz[0]["cnt"] == 59

@@ -76,7 +76,7 @@ query("O-TK5", "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)
 query("O-TK9", "SELECT doc_id, n_chars % 256 AS a, doc_id % 28 + 256 AS b, doc_id % 27 + 512 AS c FROM documents")(
     lambda s, d: table(s, d, "documents").select("doc_id", (F.col("n_chars") % 256).alias("p"), (F.col("doc_id") % 28).alias("x"), (F.col("doc_id") % 27).alias("y")).withColumn("t", T.image_tokens("p", "x", "y")).select("doc_id", *[F.col("t")[k].alias(c) for k, c in enumerate("abc")]))
 query("O-TK10", CHARS + "SELECT * FROM dc")(lambda s, d: views.doc_chars(s, d))
-query("O-SE8", CHARS + "SELECT graph_id, string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY pos) AS tokens FROM dc GROUP BY 1")(lambda s, d: table(s, d, "documents").select(F.col("doc_id").alias("graph_id"), F.array_join(T.code_points(F.substring("text", 1, 64)), " ").alias("tokens")))
+query("O-SE8", CHARS + "SELECT graph_id, string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY pos) AS tokens FROM dc GROUP BY 1")(lambda s, d: table(s, d, "documents").select(F.col("doc_id").alias("graph_id"), F.array_join(T.code_points("text"), " ").alias("tokens")))
 query("O-TK13", "WITH x AS (SELECT generate_subscripts(embedding, 1) - 1 AS col, unnest(embedding) AS v FROM embeddings) SELECT CAST(col AS INT) AS col, CAST(min(v) AS FLOAT) AS lo, CAST(max(v) AS FLOAT) AS hi, bool_and(v = floor(v)) AS whole, bool_and(v IN (0, 1)) AS binary FROM x GROUP BY 1")(lambda s, d: T.discrete_columns(table(s, d, "embeddings"), "embedding"))
 query("O-TK14", "WITH g AS (SELECT CAST(range // 16 AS INT) AS r, CAST(range % 16 AS INT) AS c, CAST((range // 16) // 4 * 4 + (range % 16) // 4 AS INT) AS label FROM range(256)) SELECT DISTINCT 0 AS image_id, least(a.label, b.label) AS a, greatest(a.label, b.label) AS b FROM g a JOIN g b ON (b.r = a.r AND b.c = a.c + 1 OR b.c = a.c AND b.r = a.r + 1) WHERE a.label <> b.label")(
     lambda s, d: T.region_adjacency(s.range(256).select(F.lit(0).alias("image_id"), F.floor(F.col("id") / 16).cast("int").alias("r"), (F.col("id") % 16).cast("int").alias("c")).withColumn("label", (F.floor(F.col("r") / 4) * 4 + F.floor(F.col("c") / 4)).cast("int"))))
@@ -107,7 +107,7 @@ query("O-BP13")(lambda s, d: six(bpe.compression(_encoded(s, d)), "ratio", "exac
 query("O-BP14", EVENTS + "SELECT CAST(sum(cnt) AS BIGINT) AS total, COUNT(*) AS distinct_pairs, round(sum(cnt) / (SELECT COUNT(DISTINCT graph_id) FROM ev), 6) AS per_sequence FROM pc")(
     lambda s, d: bpe.pair_counts(_seqs(s, d)).agg(F.sum("cnt").alias("total"), F.count("*").alias("distinct_pairs")).crossJoin(_seqs(s, d).agg(F.count("*").alias("n"))).select("total", "distinct_pairs", F.round(F.col("total") / F.col("n"), 6).alias("per_sequence")))
 query("O-BP15")(lambda s, d: bpe.codebook_sizes(bpe.train(_seqs(s, d), merges=50)))
-query("O-BP16")(lambda s, d: bpe.train(views.sequences(views.doc_chars(s, d, 32)), merges=40, min_frequency=20))
+query("O-BP16")(lambda s, d: bpe.train(views.sequences(views.doc_chars(s, d)), merges=40, min_frequency=20))
 query("O-BP17", "SELECT true AS same")(lambda s, d: (lambda a, b: a.exceptAll(b).union(b.exceptAll(a)).agg((F.count("*") == 0).alias("same")))(bpe.train(_seqs(s, d), 4, strategy="local"), bpe.train(_seqs(s, d), 4, strategy="distributed", save=lambda x: x)))
 
 # Vocabulary

@@ -65,11 +65,11 @@ def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("graph_id"), pos.alias("pos"), F.element_at(code, F.col("event_type")).alias("tok"))
 
 
-def doc_chars(spark: SparkSession, sf_dir: str, n: int = 64) -> DataFrame:
-    """graph_id (the document), pos, tok: code points of its first n characters."""
+def doc_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """graph_id (the document), pos, tok: code points of its whole text."""
     from walkloom.operators.tokenize import code_points
 
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("graph_id"), F.posexplode(code_points(F.substring("text", 1, n))).alias("pos", "tok"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("graph_id"), F.posexplode(code_points("text")).alias("pos", "tok"))
     return docs
 
 
