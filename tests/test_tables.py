@@ -84,3 +84,10 @@ def test_whole_texts(spark, tmp_path):
     assert {(r["graph_id"], r["pos"]) for r in get("O-VO8").collect()} == {x[:2] for x in chars}
     zz = [r for r in get("O-BP16").collect() if (r["left"], r["right"]) == (ord("z"), ord("z"))]
     assert zz and zz[0]["cnt"] == 59
+
+
+def test_variant_sets_keep_all(spark):
+    df = spark.createDataFrame([(g, v, float(10 * g + v)) for g, n in ((1, 7), (2, 3)) for v in range(n)], "graph_id long, variant_id int, y_pred double")
+    got = {r["graph_id"]: (r["preds"], r["mask"]) for r in metrics.variant_sets(df).collect()}
+    assert got == {1: ([10.0 + v for v in range(7)], [1] * 7), 2: ([20.0, 21.0, 22.0] + [0.0] * 4, [1] * 3 + [0] * 4)}
+    assert metrics.variant_sets(df.limit(0)).count() == 0

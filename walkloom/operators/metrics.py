@@ -47,10 +47,11 @@ def weighted_mean(pred: DataFrame, score: str = "score") -> DataFrame:
     return x.groupBy("graph_id").agg(F.first("y_true").alias("y_true"), (F.sum(F.col("_e") * F.col("y_pred")) / F.sum("_e")).alias("y_pred"))
 
 
-def variant_sets(pred: DataFrame, k: int) -> DataFrame:
-    """graph_id, preds (length k, padded with 0), mask."""
-    g = pred.groupBy("graph_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("variant_id", "y_pred"))), lambda s: s["y_pred"]), 1, k).alias("p"))
-    n = F.size("p")
+def variant_sets(pred: DataFrame) -> DataFrame:
+    """graph_id, preds (padded with 0 to the most variants of a graph), mask."""
+    g = pred.groupBy("graph_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("variant_id", "y_pred"))), lambda s: s["y_pred"]).alias("p"))
+    most = pred.groupBy("graph_id").agg(F.count("*").cast("int").alias("n")).agg(F.max("n").alias("k"))
+    g, n, k = g.crossJoin(F.broadcast(most)), F.size("p"), F.col("k")
     return g.select("graph_id", F.concat("p", F.array_repeat(F.lit(0.0), k - n)).alias("preds"), F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), k - n)).alias("mask"))
 
 

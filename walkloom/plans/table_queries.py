@@ -168,7 +168,7 @@ query("O-EV2", _PROBS + ", av AS (SELECT graph_id, y_true, k, avg(p) AS p FROM p
 query("O-EV2_best", _PROBS + ", c AS (SELECT graph_id, variant_id, y_true, k AS c FROM pv QUALIFY row_number() OVER (PARTITION BY graph_id, variant_id ORDER BY p DESC, k) = 1), v AS (SELECT graph_id, y_true, c, COUNT(*) AS n FROM c GROUP BY ALL) SELECT graph_id, y_true, coalesce(max(CASE WHEN c = y_true THEN c END), arg_max(c, n * 10 - c)) AS y_pred FROM v GROUP BY 1, 2")(lambda s, d: metrics.classes_by_graph(_probs(s, d), "best"))
 query("O-EV3", _PROBS + "SELECT graph_id, k, round(avg(p), 6) AS p FROM pv GROUP BY 1, 2")(lambda s, d: metrics.mean_probs(_probs(s, d)).select("graph_id", F.posexplode("probs").alias("k", "p")).withColumn("p", F.round("p", 6)))
 query("O-EV4", PRED + ", e AS (SELECT *, exp(variant_id - max(variant_id) OVER (PARTITION BY graph_id)) AS w FROM pr) SELECT graph_id, any_value(y_true) AS y_true, round(sum(w * y_pred) / sum(w), 6) AS y_pred FROM e GROUP BY 1")(lambda s, d: six(metrics.weighted_mean(_pred(s, d), "variant_id"), "y_pred"))
-query("O-EV5", PRED + ", n AS (SELECT graph_id, least(COUNT(*), 4) AS used FROM pr GROUP BY 1) SELECT graph_id, used, CAST(4 AS INT) AS k FROM n")(lambda s, d: metrics.variant_sets(_pred(s, d), 4).select("graph_id", F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("used"), F.size("preds").alias("k")))
+query("O-EV5", PRED + ", n AS (SELECT graph_id, least(COUNT(*), 4) AS used FROM pr GROUP BY 1) SELECT graph_id, used, CAST(4 AS INT) AS k FROM n")(lambda s, d: metrics.variant_sets(_pred(s, d)).select("graph_id", F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("used"), F.size("preds").alias("k")))
 query("O-EV6", PRED + "SELECT COUNT(*) AS n, round(avg((y_true - y_pred) ** 2), 6) AS mse, round(avg(abs(y_true - y_pred)), 6) AS mae, round(corr(y_true, y_pred), 6) AS corr, round(sqrt(avg((y_true - y_pred) ** 2)), 6) AS rmse, round(1 - avg((y_true - y_pred) ** 2) / var_pop(y_true), 6) AS r2 FROM pr")(lambda s, d: six(metrics.regression(_pred(s, d)), "mse", "mae", "corr", "rmse", "r2"))
 query("O-EV7", CLS + ", k AS (SELECT CAST(range AS INT) AS c FROM range(3)), m AS (SELECT c, COUNT(*) FILTER (y_true = c) AS t, COUNT(*) FILTER (y_pred = c) AS p, COUNT(*) FILTER (y_true = c AND y_pred = c) AS tp FROM k CROSS JOIN pc GROUP BY 1) SELECT CAST(sum(t) AS BIGINT) AS n, round(sum(tp) / sum(t), 6) AS accuracy, round(avg(tp / p), 6) AS precision, round(avg(tp / t), 6) AS recall, round(avg(2 * (tp / p) * (tp / t) / (tp / p + tp / t)), 6) AS f1 FROM m")(
     lambda s, d: six(metrics.classification(_cls(s, d)), "accuracy", "precision", "recall", "f1"))
