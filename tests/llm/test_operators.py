@@ -256,6 +256,19 @@ def test_restoring():
     assert "stupid" in toxicity.spaced("s t u p i d", lm) and toxicity.terms("...", lm) == []
 
 
+def test_restoring_long_runs_and_words():
+    counts = np.zeros(toxicity.SIDE**3)
+    for w in ["stupid", "moron", "idiot", "loser", "the", "and"] * 20:
+        a = b = 0
+        for c in (*(toxicity._INDEX[x] for x in w), 0):
+            counts[(a * toxicity.SIDE + b) * toxicity.SIDE + c] += 1
+            a, b = b, c
+    lm = toxicity.LanguageModel(counts)
+    assert "stupid" in toxicity.spaced(" ".join("theand" * 80 + "stupid"), lm)
+    assert toxicity.terms("i" * 40 + "d" * 40 + "iot", lm)[0] == "idiot"
+    assert toxicity.terms(".".join("stupid" * 12), lm)[0].startswith("stupid") and len(toxicity.decode("a1" * 20_000, lm)) > 0
+
+
 @pytest.mark.parametrize("p,moves", [(80, 30), (90, 6), (80, 120)])
 def test_jaccard_leaders(p, moves):
     """Every similar pair of a key's nodes meets at a leader, and families make few pairs."""

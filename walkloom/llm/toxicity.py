@@ -107,7 +107,8 @@ def arcs(c: str, before: str) -> list[tuple[str, float]]:
 
 def decode(word: str, lm: LanguageModel) -> str:
     """The likeliest word behind one as written."""
-    best = {(0, 0): (0.0, "")}
+    # Texts are chains of (character, chain before it), so that a long word takes no copies.
+    best: dict = {(0, 0): (0.0, None)}
     before = ""
     for c in word:
         step: dict = {}
@@ -119,15 +120,25 @@ def decode(word: str, lm: LanguageModel) -> str:
                 else:
                     at, s = (a, b), score + channel
                 if at not in step or s > step[at][0]:
-                    step[at] = (s, text + x)
+                    step[at] = (s, (x, text) if x else text)
         best, before = step, c
-    return max((s + lm.log[a][b][0], t) for (a, b), (s, t) in best.items())[1]
+    ends = [(s + lm.log[a][b][0], t) for (a, b), (s, t) in best.items()]
+    top = max(s for s, _ in ends)
+    return max(_unchained(t) for s, t in ends if s == top)
+
+
+def _unchained(chain) -> str:
+    out = []
+    while chain:
+        x, chain = chain
+        out.append(x)
+    return "".join(reversed(out))
 
 
 def terms(word: str, lm: LanguageModel) -> list[str]:
     """Of a lower-cased word as written: the restored word, it without doubled letters, and its beginnings."""
     w = _OUTER.sub("", word)
-    if not w or len(w) > 64:
+    if not w:
         return []
     if _DOUBT.search(w):
         w = decode(w, lm)
@@ -139,7 +150,7 @@ def terms(word: str, lm: LanguageModel) -> list[str]:
 
 def spaced(run: str, lm: LanguageModel) -> list[str]:
     """Of a run of single characters: the parts of what it restores to, as terms."""
-    w = decode(run.replace(" ", "_")[:400], lm)
+    w = decode(run.replace(" ", "_"), lm)
     return [w[a:b] for a in range(len(w)) for b in range(a + 4, min(a + 16, len(w)) + 1)]
 
 
