@@ -334,3 +334,22 @@ def test_jaccard_allocation():
     for k in range(20, 38):
         few, many = ((m + r * jaccard_join.limits(k, 80)[0] / m) for m, r, _ in (jaccard_join.allocate(k, 80, c) for c in (2_000, 200_000)))
         assert many <= 2 * few
+
+
+def test_keep_one(spark):
+    """Repeated rows, an id with several texts, and rows without an id, also as bridges."""
+    w = lambda t, *changed: " ".join(f"{t}{k}" if k not in changed else f"{t}x{k}" for k in range(100))
+    a = w("a")
+    rows = [(5, a), (5, a), (7, a), (None, a)]  # copies of one id, of another and of none
+    rows += [(5, w("b")), (4, w("b", 99))]  # 5 is the least id of a's group, but here isn't the least
+    rows += [(None, w("c")), (None, w("c")), (None, w("d"))]  # groups without any id
+    rows += [(20, w("e")), (None, w("e", 99)), (21, w("e", 99, 0))]  # 20 and 21 are similar to what is between
+    rows += [(30, w("f")), (30, w("g"))]  # one id, two groups
+    rows += [(None, None), (None, " "), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, size long")
+    got = jaccard_join.keep_one(docs, 2, 97)
+    assert got.columns == docs.columns
+    kept = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    assert kept == Counter([(5, a), (4, w("b", 99)), (None, w("c")), (None, w("d")), (20, w("e")), (30, w("f")), (30, w("g")), (None, None), (None, " "), (9, ""), (9, "")])
+    ids = {r["text"]: r["component_id"] for r in docs.join(jaccard_join.linked(docs, 2, 97).select("doc_id", "component_id"), "doc_id").collect() if r["doc_id"] == 21}
+    assert ids == {w("e", 99, 0): 20}

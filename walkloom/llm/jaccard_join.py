@@ -202,16 +202,17 @@ def led(sizes: list[int], sketches: list[bytes], p: int) -> list[tuple[int, int]
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, node (a digest of the set), sketch."""
+    """doc_id, row_key, n_shingles, node (a digest of the set), sketch. row_key: null where docs has none."""
+    key = F.col("row_key") if "row_key" in docs.columns else F.lit(None).cast("long").alias("row_key")
 
     def run(batches):
         for b in pieces(batches):
             hs = [shingles(t.as_py(), n) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array([len(h) for h in hs], pa.int64()), pa.array([_node(h) if len(h) else None for h in hs], pa.binary()),
-                pa.array([sketch(h) if len(h) else None for h in hs], pa.binary())], ["doc_id", "n_shingles", "node", "sketch"])
+                b.column(0), b.column(2), pa.array([len(h) for h in hs], pa.int64()), pa.array([_node(h) if len(h) else None for h in hs], pa.binary()),
+                pa.array([sketch(h) if len(h) else None for h in hs], pa.binary())], ["doc_id", "row_key", "n_shingles", "node", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", key).mapInArrow(run, "doc_id long, row_key long, n_shingles long, node binary, sketch binary")
 
 
 def _node(h: np.ndarray) -> bytes:
@@ -431,8 +432,13 @@ def _round(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, links: DataFr
 def linked(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
     """doc_id, n_shingles, node, component_id of every row of docs (doc_id, text): n-word shingles, p % similarity.
 
-    component_id: the least doc_id that links lead to. node: a digest of the set, null where that is empty.
+    component_id: the least doc_id that links lead to, null if there is none. node: a digest of the set, null where that is empty.
     """
+    return _linked(docs, n, p).select("doc_id", "n_shingles", "node", "component_id")
+
+
+def _linked(docs: DataFrame, n: int, p: int) -> DataFrame:
+    """As linked, with row_key (of docs, if it has one) and label: the component itself, as components may share their least doc_id."""
     # Word counts stand for set sizes where keys are chosen: they weigh costs, and no result depends on them.
     sizes = docs.groupBy(F.floor(F.log1p(F.size(words(F.col("text"))).cast("double")) * 8).alias("k")).count().collect()
     plans: dict = {}
@@ -454,12 +460,18 @@ def linked(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
     sketches = materialize(some.select("node", F.col("n_shingles").alias("size"), "sketch"), "sketches")
     pairs = materialize(_pairs(shared, sketches, p), "pairs")
     wanted = base.groupBy("node").agg(F.min("doc_id").alias("rep"))
-    need = wanted.join(pairs.select("node").union(pairs.select("centre")).distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-    need = materialize(need, "wanted")
+    asked = wanted.join(pairs.select("node").union(pairs.select("centre")).distinct(), "node", "left_semi")
+    asked = materialize(asked, "wanted")
+    need = asked.filter("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
     # A doc_id may have several texts; sets that aren't asked for drop out where pairs are joined.
     # Their ids are broadcast if they are few; else texts are shuffled.
     ids = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
-    sets = materialize(_hashes(docs.join(ids, "doc_id", "left_semi"), n).dropDuplicates(["node"]), "hashes")
+    sets = _hashes(docs.join(ids, "doc_id", "left_semi"), n)
+    # Sets that only rows without an id have are found by their digests.
+    unnamed = asked.filter("rep is null").select("node")
+    if not unnamed.isEmpty():
+        sets = sets.union(_hashes(docs.filter("doc_id is null"), n).join(unnamed, "node", "left_semi").select(*sets.columns))
+    sets = materialize(sets.dropDuplicates(["node"]), "hashes")
     links, k = None, 0
     while k == 0 or not shared.isEmpty():
         k += 1
@@ -469,16 +481,18 @@ def linked(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
     labels = components(links)
     reps = _labelled(wanted.filter("node is not null"), labels, "node", "label")
     least = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
-    found = materialize(reps.join(least, "label").select("node", "component_id"), "components")
-    return base.drop("sketch").join(found, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = materialize(reps.join(least, "label").select("node", "label", "component_id"), "components")
+    return base.drop("sketch").join(found, "node", "left").select("doc_id", "row_key", "n_shingles", "node", "label", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
-    """One document of each component, that with the least doc_id, with the columns of docs; of copies with one doc_id, one.
+    """One row of each component, that with the least doc_id, with the columns of docs; of rows with that doc_id, one.
 
-    Documents without words are in no group and all stay.
+    Rows without a doc_id stay only where their component has no row with one. Documents without words are in no group and all stay.
     """
-    found = linked(docs.select("doc_id", "text"), n, p)
-    first = found.filter("node is not null").groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    gone = found.filter(F.col("node").isNotNull()).select("doc_id").join(first, "doc_id", "left_anti").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    # A written table, so that a row has the same key each time it is read.
+    rows = materialize(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
+    found = materialize(_linked(rows, n, p).filter("node is not null").select("doc_id", "row_key", "label"), "rows")
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("x")).select("x.row_key")
+    gone = found.select("row_key").join(first, "row_key", "left_anti")
+    return rows.join(gone, "row_key", "left_anti").drop("row_key").select(docs.columns)
