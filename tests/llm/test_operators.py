@@ -173,11 +173,15 @@ def test_jaccard(spark, docs, n, p):
     assert Counter(plain(found.select("doc_id", "n_shingles", "component_id"))) == want
 
 
-@pytest.mark.parametrize("led_nodes", [2048, 5])
-def test_jaccard_families(spark, monkeypatch, led_nodes):
-    """Copies of copies, more than a centre reaches, with the hot path on, and with keys of very many nodes."""
+@pytest.mark.parametrize("led_nodes,rounds", [(2048, 8), (5, 1)])
+def test_jaccard_families(spark, monkeypatch, led_nodes, rounds):
+    """Copies of copies, more than a centre reaches, with the hot path on, with keys of very many nodes, and with buckets in blocks."""
     monkeypatch.setattr(jaccard_join, "HOT_PAIRS", 4)
     monkeypatch.setattr(jaccard_join, "LED_NODES", led_nodes)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard_join, "SIDE", 3)
+    monkeypatch.setattr(jaccard_join, "PER_CENTRE", 4)
+    monkeypatch.setattr(jaccard_join, "COPIES", 2)
     rng = random.Random(5)
     base, rows = [f"w{k}" for k in range(150)], []
     for f in range(4):
@@ -198,6 +202,38 @@ def test_jaccard_families(spark, monkeypatch, led_nodes):
     assert dict(plain(found.select("doc_id", "component_id"))) == dict(enumerate(label))
 
 
+def test_jaccard_null_ids(spark):
+    """Near copies whose ids are null link like others; a component's id is the least that it has."""
+    near = [" ".join(f"w{j}" if j != k else "x" for j in range(60)) for k in (58, 59, 60)]
+    rows = [(None, near[0]), (None, near[1]), (4, near[2]), (None, "alone " * 9), (None, None), (6, "")]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, node string")
+    got = Counter(plain(jaccard_join.linked(docs, 5, 80).select("doc_id", "component_id")))
+    assert got == Counter([(None, 4), (None, 4), (4, 4), (None, None), (None, None), (6, 6)])
+    assert jaccard_join.linked(docs.limit(0)).count() == 0 and jaccard_join.keep_one(docs.limit(0)).count() == 0
+
+
+def test_forest_blocks(spark, monkeypatch):
+    """Several blocks of rows and parts of queries, fewer candidates than are asked for, ties, and clashing columns."""
+    monkeypatch.setattr(ann_forest, "BLOCK", 300)
+    monkeypatch.setattr(ann_forest, "QUERIES", 20)
+    v = np.random.default_rng(4).normal(size=(1500, 24))
+    v[200:900] = v[3] + v[200:900] * 1e-3  # a hot cluster
+    df = spark.createDataFrame([(k, [float(x) for x in y], 1, 0.5) for k, y in enumerate(v)], "vec_id long, embedding array<double>, row int, score double")
+    out = {}
+    for r in ann_forest.search(df, df.filter("vec_id % 20 = 0")).collect():
+        out.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    hit = 0
+    for q in range(0, 1500, 20):
+        s = v @ v[q]
+        s[q] = -np.inf
+        got = sorted(out[q])
+        assert [g[0] for g in got] == list(range(1, 21)) and all(abs(s[i] - x) < 1e-9 for _, i, x in got)
+        hit += len({i for _, i, _ in got} & set(np.argsort(-s)[:20].tolist()))
+    assert hit / 1500 >= 0.9
+    few = spark.createDataFrame([(k, [1.0, float(k % 2)]) for k in (0, 1, 2, 3, 3)], "vec_id long, embedding array<double>")
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in ann_forest.search(few, few.filter("vec_id = 0")).orderBy("rank").collect()] == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0), (4, 3, 1.0)]
+
+
 def test_forest(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(700, 16))

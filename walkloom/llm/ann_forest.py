@@ -1,19 +1,21 @@
 """Approximate nearest neighbours by inner product with a hash-prefix forest.
 
-A vector gets, for each tree, a long string of hash bits (signs of random projections, over vectors
-brought to one length by an extra component, so that the nearest by angle are those with the largest
-inner product). Rows are dealt into blocks of about BLOCK; each block holds one sorted array of hash
-strings per tree. A query descends in every tree of a block to its longest-prefix match; then all trees
-ascend together, a bit at a time, until the ranges under their prefixes hold WIDTH times the block's rows
-in all. What lies in the ranges is measured exactly, in double precision on the original vectors.
-
-Queries are dealt into blocks too, so no task holds more than a block of each whatever the table's size.
-Every row is indexed; nothing is sampled.
+A hash of a vector is the place and sign of the largest of WIDE rotated components (a cross-polytope hash,
+over vectors brought to one length by an extra component, so that the nearest by angle are those with the
+largest inner product). A tree's strings are DEPTH such hashes in an order of the tree's own. Rows are dealt
+into blocks of about BLOCK; each block holds one sorted array of strings per tree. A query descends in every
+tree of a block to its longest-prefix match; then all trees ascend together, a hash at a time, until the ranges
+under their prefixes hold ENTRIES times the block's rows in all. A row's votes are the trees whose range it is in;
+the rows with the most votes, SHARE of the block's or LEAST times as many as are asked for, and all that tie with
+the last of them, are measured exactly, in double precision on the original vectors.
+
+Queries are dealt into parts too, so no task holds more than a block of rows and a part of queries whatever the
+table's size. Every row is indexed; nothing is sampled.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part; shorter
 vectors count as padded with zeros; a query id with several vectors uses the least of them; rows with the
 query's id are never its candidates; other repeated rows are candidates each; ties go to the smaller vec_id;
-no valid rows give no result.
+fewer candidates than are asked for are all returned; other columns are ignored; no valid rows give no result.
 """
 
 from __future__ import annotations
@@ -28,13 +30,21 @@ from pyspark.sql import functions as F
 
 from walkloom.llm.common import materialize
 
-TREES = 72
-BITS = 32
+TREES = 192
+DEPTH = 4
+WIDE = 32
+BITS = 6
 BLOCK = 8192
 QUERIES = 4096
-#: Measured on random 64-component vectors, the hardest case: recall of the 20 nearest 0.97 (see README).
-WIDTH = 1.0
+#: Index entries read in all, as a multiple of the block's rows, at which the trees stop ascending.
+ENTRIES = 1.5
+#: Rows measured for a query, as a share of the block's. Recall for other shares is in the README.
+SHARE = 0.05
+#: Rows measured at least, as a multiple of those asked for.
+LEAST = 7
 SEED = 11
+#: Queries whose votes are held at a time.
+AT_ONCE = 256
 
 
 def valid(rows: DataFrame) -> DataFrame:
@@ -51,77 +61,100 @@ def matrix(vectors, dim: int) -> np.ndarray:
     return out
 
 
-def planes(dim: int) -> np.ndarray:
-    return np.random.default_rng(SEED).normal(size=(dim + 1, TREES * BITS))
+def hashes(m: np.ndarray, extra: np.ndarray, trees: int = TREES, wide: int = WIDE) -> np.ndarray:
+    """The hashes of rows: trees x rows. Rotations are drawn alike in every task; one gives as many hashes as it has room for."""
+    x = np.hstack([m, extra[:, None]]).astype(np.float32)
+    dim, rng, out, k = x.shape[1], np.random.default_rng(SEED), np.empty((trees, len(x)), np.uint32), 0
+    wide, at = min(wide, dim), np.arange(len(x))
+    while k < trees:
+        y = x @ np.linalg.qr(rng.normal(size=(dim, dim)))[0].astype(np.float32)
+        for g in range(min(dim // wide, trees - k)):
+            own = y[:, g * wide : (g + 1) * wide]
+            place = np.abs(own).argmax(1)
+            out[k] = 2 * place + (own[at, place] > 0)
+            k += 1
+    return out
 
 
-def strings(m: np.ndarray, extra: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Hash strings, one unsigned integer a tree: trees x rows. The first bit is the highest."""
-    bits = (np.hstack([m, extra[:, None]]) @ p > 0).reshape(len(m), TREES, BITS)
-    weight = (np.uint64(1) << np.arange(BITS, dtype=np.uint64)[::-1]).astype(np.float64)
-    return (bits @ weight).astype(np.uint64).T.copy()
+def strings(h: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """A tree's string is its own hash, then those of other trees at growing steps; the first is the highest."""
+    out = np.zeros_like(h)
+    for k in range(depth):
+        out = (out << np.uint32(BITS)) | np.roll(h, -k * (k + 1) * 7, axis=0)
+    return out
 
 
 class Forest:
     """The sorted arrays of one block."""
 
-    def __init__(self, m: np.ndarray, longest: float, p: np.ndarray):
+    def __init__(self, m: np.ndarray, longest: float):
         self.m = m
         # The extra component brings every row to the length of the longest.
-        extra = np.sqrt(np.maximum(longest**2 - (m**2).sum(1), 0))
-        codes = strings(m, extra, p)
-        self.order = np.argsort(codes, axis=1, kind="stable")
+        codes = strings(hashes(m, np.sqrt(np.maximum(longest**2 - (m**2).sum(1), 0))))
+        self.order = np.argsort(codes, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(codes, self.order, 1)
 
-    def candidates(self, q: np.ndarray, p: np.ndarray, width: float):
-        """Yields for each query a boolean mask over the rows."""
-        n, codes = len(self.m), strings(q, np.zeros(len(q)), p)
-        want, todo = min(max(width * n, 64), TREES * n), np.arange(len(q))
-        lo, hi = np.zeros((TREES, len(q)), dtype=np.int64), np.full((TREES, len(q)), n, dtype=np.int64)
-        # Ranges shrink as prefixes grow: descend from the root, and keep the last level at which the trees hold enough in all.
-        for depth in range(1, BITS + 1):
+    def ranges(self, codes: np.ndarray, entries: float) -> tuple[np.ndarray, np.ndarray]:
+        """lo and hi of each tree and query where the ascent stops: at the longest prefixes that hold enough in all, or at the root."""
+        n, trees, nq = len(self.m), *codes.shape
+        lo, hi, todo = np.zeros((trees, nq), np.int64), np.full((trees, nq), n, np.int64), np.arange(nq)
+        for depth in range(DEPTH, 0, -1):
+            shift = np.uint32(BITS * (DEPTH - depth))
+            a, b = np.empty((trees, len(todo)), np.int64), np.empty((trees, len(todo)), np.int64)
+            for t in range(trees):
+                own, c = self.sorted[t] >> shift, codes[t, todo] >> shift
+                a[t], b[t] = np.searchsorted(own, c), np.searchsorted(own, c, side="right")
+            enough = (b - a).sum(0) >= entries * n
+            lo[:, todo[enough]], hi[:, todo[enough]] = a[:, enough], b[:, enough]
+            todo = todo[~enough]
             if not len(todo):
                 break
-            shift = np.uint64(BITS - depth)
-            a, b = np.empty((TREES, len(todo)), dtype=np.int64), np.empty((TREES, len(todo)), dtype=np.int64)
-            for t in range(TREES):
-                c = codes[t, todo] >> shift
-                a[t] = np.searchsorted(self.sorted[t], c << shift)
-                b[t] = np.searchsorted(self.sorted[t], ((c + np.uint64(1)) << shift) - np.uint64(1), side="right")
-            enough = (b - a).sum(0) >= want
-            todo, a, b = todo[enough], a[:, enough], b[:, enough]
-            lo[:, todo], hi[:, todo] = a, b
-        for k in range(len(q)):
-            mask = np.zeros(n, dtype=bool)
-            for t in range(TREES):
-                mask[self.order[t, lo[t, k] : hi[t, k]]] = True
-            yield mask
-
-
-def search(rows: DataFrame, queries: DataFrame, top: int = 20, width: float = WIDTH) -> DataFrame:
-    """query_id, rank, vec_id, score: the nearest found of rows (vec_id, embedding) for each of queries (alike)."""
-    rows = materialize(valid(rows), "vectors")
-    queries = valid(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
+        return lo, hi
+
+    def candidates(self, q: np.ndarray, want: int, entries: float = ENTRIES):
+        """Yields for each query the places of the rows that are measured."""
+        n, codes = len(self.m), strings(hashes(q, np.zeros(len(q))))
+        for at in range(0, len(q), AT_ONCE):
+            lo, hi = self.ranges(codes[:, at : at + AT_ONCE], entries)
+            votes = np.zeros((lo.shape[1], n), np.uint16)
+            for t in range(len(lo)):
+                size = hi[t] - lo[t]
+                ends = np.cumsum(size)
+                who = np.repeat(np.arange(len(size)), size)
+                places = np.arange(ends[-1]) + np.repeat(lo[t] - (ends - size), size)
+                votes[who, self.order[t][places]] += 1  # a row is in a tree once
+            for v in votes:
+                yield np.flatnonzero(v >= (np.partition(v, n - want)[n - want] if want < n else 0))
+
+
+def search(rows: DataFrame, queries: DataFrame, top: int = 20, share: float = SHARE) -> DataFrame:
+    """query_id, rank, vec_id, score, measured: the nearest found of rows (vec_id, embedding) for each of queries (alike).
+
+    measured: the rows that were measured exactly for the query, in the block that vec_id is in.
+    """
+    # Written, so that a row has the same number each time it is read.
+    rows = materialize(valid(rows).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    queries = materialize(valid(queries).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     n, dim, longest = rows.agg(F.count("*"), F.max(F.size("v")), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
-    n_queries = queries.count()
+    n_queries, wide_q = queries.agg(F.count("*"), F.max(F.size("v"))).first()
+    dim = max(dim or 0, wide_q or 0)
     blocks, parts = max(1, math.ceil(n / BLOCK)), max(1, math.ceil(n_queries / QUERIES))
-    deal = lambda k: F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    left = rows.withColumn("block", deal(blocks)).withColumn("part", every(parts))
-    right = queries.withColumn("part", deal(parts)).withColumn("block", every(blocks))
+    left = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
+    right = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
 
     def find(a: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(a) and len(q):
-            p, ids = planes(dim), a["vec_id"].to_numpy()
+            ids = a["vec_id"].to_numpy()
             m, x = matrix(a["v"], dim), matrix(q["v"], dim)
-            for query, v, mask in zip(q["vec_id"].to_numpy(), x, Forest(m, longest, p).candidates(x, p, width)):
-                at = np.flatnonzero(mask & (ids != query))
+            for query, v, at in zip(q["vec_id"].to_numpy(), x, Forest(m, longest).candidates(x, max(math.ceil(share * len(a)), LEAST * top))):
+                measured, at = len(at), at[ids[at] != query]
                 score = m[at] @ v
                 best = np.lexsort((ids[at], -score))[:top]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at][best], "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at][best], "score": score[best], "measured": measured}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "measured": []}).astype({"query_id": "int64", "vec_id": "int64", "measured": "int64"})
 
-    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(find, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(find, "query_id long, vec_id long, score double, measured long")
+    found = found.withColumn("_first", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
+    return found.filter(F.col("_first") <= top).select("query_id", F.col("_first").alias("rank"), "vec_id", "score", "measured")
