@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +15,11 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a new one where that is unset (tests on one machine)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where that is unset, a new one on a single machine (tests), else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that the driver and all executors see")
         found = "file://" + tempfile.mkdtemp(prefix="walkloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -24,18 +28,34 @@ def shared_dir(spark: SparkSession) -> str:
 #: Rows in an Arrow batch at most: a batch of whole texts is held by the JVM and by Python.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: The setting of the batches is the session's, so threads write one after another.
+_writing = threading.RLock()
+_path = {}
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, survives lost executors, and gives later plans its true size."""
     spark = df.sparkSession
-    path, before = f"{shared_dir(spark)}/walkloom/{tag}-{uuid.uuid4().hex}", spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH, before)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_dir(spark)}/walkloom/{tag}-{uuid.uuid4().hex}"
+    with _writing:
+        before = spark.conf.get(_BATCH)
+        spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+        try:
+            df.write.parquet(path)
+        finally:
+            spark.conf.set(_BATCH, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _path[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        found, path = _path.pop(id(t), (None, None))
+        if found is not None and found() is t:
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

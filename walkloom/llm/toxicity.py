@@ -5,7 +5,8 @@ and what is restored is scored by terms learned from labels.
 Words without digits, symbols, separators or characters in runs of three have one path and aren't decoded.
 Defined results: null and empty texts, and texts without learned terms, get the rate of toxic documents among
 labelled ones without terms; with no labels, or one kind, every score is that kind's rate (0 without any);
-labels of missing documents are ignored; repeated rows each get a row; other columns are ignored.
+labels of missing documents are ignored, of several for one document the largest counts; repeated rows each get
+a row; other columns are ignored. Words and spaced runs of any length are decoded whole.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from walkloom.llm.common import crc_mod, materialize
+from walkloom.llm.common import crc_mod, discard, materialize
 from walkloom.llm.quality_classifier import isotonic
 
 #: Labelled documents that terms are learned from, at most; the same ones are taken in every run.
 LABELLED = 40_000
-#: Terms of the model, at most, and those that are counted in documents that aren't toxic.
-TERMS, COUNTED = 5_000, 50_000
+#: Terms that a task counts before it sends what it has.
+HELD = 200_000
 #: Standard errors by which a term's rate of toxic documents must exceed a half.
 SURE = 1.64
 #: Toxic documents that a term is in, at least.
@@ -179,16 +180,25 @@ class Reader:
         return out
 
 
-def _count_terms(rows: DataFrame, lm: LanguageModel, wanted: dict | None) -> DataFrame:
+def _count_terms(rows: DataFrame, lm: LanguageModel) -> DataFrame:
     """term, n0, n1: documents of rows (text, half) with it, by half."""
 
     def run(batches):
-        seen, reader = (Counter(), Counter()), Reader(lm, wanted)
+        seen, reader = (Counter(), Counter()), Reader(lm)
+
+        def flush():
+            every = list(seen[0].keys() | seen[1].keys())
+            out = pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([c[t] for t in every], pa.int64()) for c in seen)], ["term", "n0", "n1"])
+            for c in seen:
+                c.clear()
+            return out
+
         for batch in batches:
             for t, half in zip(batch.column(0), batch.column(1).to_pylist()):
                 seen[half].update(reader(t.as_py() or ""))
-        every = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([c[t] for t in every], pa.int64()) for c in seen)], ["term", "n0", "n1"])
+                if len(seen[0]) + len(seen[1]) > HELD:
+                    yield flush()
+        yield flush()
 
     return rows.select("text", "half").mapInArrow(run, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
@@ -205,15 +215,25 @@ def _sums(rows: DataFrame, lm: LanguageModel, weights: list[dict], ddl: str) ->
     return rows.mapInArrow(run, f"{ddl} long, s double")
 
 
-def weigh(toxic: dict, clean: dict, base: float) -> dict:
-    """Weights of the terms whose rate of toxic documents is surely over a half: the log odds of its lower bound, over the base rate's."""
-    out = {}
-    for t, a in toxic.items():
-        if (n := a + clean.get(t, 0)) and a >= LEAST:
-            low = (a / n + SURE**2 / 2 / n - SURE * math.sqrt(a / n * (1 - a / n) / n + SURE**2 / 4 / n**2)) / (1 + SURE**2 / n)
-            if low > 0.5:
-                out[t] = math.log(low / (1 - low)) - math.log(base / (1 - base))
-    return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:TERMS])
+def lower_bound(a, n):
+    """The lower bound of the rate that a of n show."""
+    rate = a / n
+    return (rate + SURE**2 / 2 / n - SURE * F.sqrt(rate * (1 - rate) / n + SURE**2 / 4 / n**2)) / (1 + SURE**2 / n)
+
+
+def weigh(toxic: DataFrame, clean: DataFrame, base: float) -> list[dict]:
+    """Weights of the terms whose rate of toxic documents is surely over a half: the log odds of its lower bound, over the base rate's.
+
+    Three of them: by both halves, by the second and by the first. The terms are chosen before they are collected; as
+    the labelled documents are bounded, so are these.
+    """
+    clean = clean.join(toxic.select("term"), "term", "left_semi").select("term", F.col("n0").alias("c0"), F.col("n1").alias("c1"))
+    both = toxic.join(clean, "term", "left").na.fill(0, ["c0", "c1"])
+    sides = (F.col("n0") + F.col("n1"), F.col("c0") + F.col("c1")), (F.col("n1"), F.col("c1")), (F.col("n0"), F.col("c0"))
+    low = [F.when(a >= LEAST, lower_bound(a.cast("double"), (a + c).cast("double"))).alias(f"w{k}") for k, (a, c) in enumerate(sides)]
+    found = both.select("term", *low).filter("w0 > 0.5 or w1 > 0.5 or w2 > 0.5").collect()
+    odds = lambda x: math.log(x / (1 - x)) - math.log(base / (1 - base))
+    return [dict(sorted((r["term"], odds(r[f"w{k}"])) for r in found if (r[f"w{k}"] or 0) > 0.5)) for k in range(3)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, lm: LanguageModel, bound: int = LABELLED):
@@ -232,15 +252,14 @@ def fit(docs: DataFrame, labels: DataFrame, lm: LanguageModel, bound: int = LABE
         rate = bad / (bad + good) if bad + good else 0.0
         return {}, lambda s: np.full(len(s), rate)
     base = bad / (bad + good)
-    toxic = _count_terms(known.filter("y = 1"), lm, None).filter(F.col("n0") + F.col("n1") >= LEAST).orderBy((F.col("n0") + F.col("n1")).desc(), "term").limit(COUNTED).collect()
-    clean = {r["term"]: r for r in _count_terms(known.filter("y = 0"), lm, {r["term"]: None for r in toxic}).collect()}
-    sides = lambda *names: weigh({r["term"]: sum(r[n] for n in names) for r in toxic}, {t: sum(r[n] for n in names) for t, r in clean.items()}, base)
-    weights = sides("n0", "n1")
-    cross = [sides("n1"), sides("n0")]
+    toxic = materialize(_count_terms(known.filter("y = 1"), lm).filter(F.col("n0") + F.col("n1") >= LEAST), "terms")
+    weights, *cross = weigh(toxic, _count_terms(known.filter("y = 0"), lm), base)
+    discard(toxic)
     sums = _sums(known.select("text", "half", F.col("y").cast("long").alias("y")), lm, cross, "y")
     sums = sums.groupBy(F.least(F.floor(F.col("s") * 10), F.lit(BINS)).alias("k")).agg(F.count("*").alias("n"), F.sum("y").alias("y")).orderBy("k").collect()
     at = np.array([r["k"] for r in sums], dtype=float)
     rates = isotonic(np.array([r["n"] for r in sums], dtype=float), np.array([r["y"] for r in sums], dtype=float))
+    discard(known)
     return weights, lambda s: np.interp(np.minimum(np.floor(s * 10), BINS), at, rates)
 
 
