@@ -16,7 +16,8 @@ centre). Nodes that share but a passage are mostly far from each other and stay
 the node that shares most. Nodes are compared with their centres by exact difference sets. Pairs of the key's nodes that this leaves
 in different components, and near by their sketches, must share members of those differences, rarest first, so they are found by
 a prefix join over the differences, and verified on them. A member that very many differences share
-is a key of the next round. No candidate is dropped.
+is a key of the next round, for ROUNDS rounds; what is left then, and pairs that need share none, meet in blocks
+of a bucket. No candidate is dropped.
 
 Defined results: words are runs of non-blank characters, A-Z lower-cased; null text and text without
 words have size 0 and no links; with fewer than n words the whole is the one shingle; rows of one doc_id
@@ -35,11 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from walkloom.llm.common import materialize, pieces, words
+from walkloom.llm.common import discard, materialize, pieces, words
 
-#: A difference member that makes more pairs than this in one centre's group starts a round of its own.
+#: A difference member that makes more pairs than this in one centre's group is a key of the next round, for so many rounds.
 HOT_PAIRS = 4096
 ROUNDS = 8
+#: Nodes on each side of a bucket that one task pairs: larger buckets are split into blocks, and pairs of blocks are joined.
+SIDE = 256
+#: Copies of a text from which its rows are dealt to several tasks.
+COPIES = 1000
 #: Ids of documents that are broadcast, at most: 16 MB.
 BROADCAST_IDS = 2_000_000
 #: Nodes that are compared with one copy of their centre.
@@ -315,10 +320,10 @@ def _near_others(members: DataFrame, sketches: DataFrame, p: int) -> DataFrame:
             may = near(np.array([r[3] for r in g]), folded([r[4] for r in g]), p) & (own[:, None] != own)
             yield from _once((g[i][0], g[i][1]) for i in np.flatnonzero(may.any(axis=1)))
 
-    counts = members.groupBy("centre").agg(F.count("*").alias("n"))
-    few = members.join(counts.filter(F.col("n") <= LED_NODES), "centre", "left_semi").select("centre", "node", "own").join(sketches, "node")
+    large = materialize(members.groupBy("centre").agg(F.count("*").alias("n")).filter(F.col("n") > LED_NODES).select("centre"), "large-centres")
+    few = members.join(large, "centre", "left_anti").select("centre", "node", "own").join(sketches, "node")
     few = few.select("centre", "node", "own", "size", "sketch").repartition("centre").sortWithinPartitions("centre", "node")
-    many = members.join(counts.filter(F.col("n") > LED_NODES), "centre", "left_semi").select("centre", "node")
+    many = members.join(large, "centre", "left_semi").select("centre", "node")
     kept = materialize(few.mapInArrow(run, "centre binary, node binary").union(many), "near")
     return members.join(kept, ["centre", "node"], "left_semi")
 
@@ -326,8 +331,11 @@ def _near_others(members: DataFrame, sketches: DataFrame, p: int) -> DataFrame:
 def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """centre, node, centre_size, size, diff, n_diff of pairs (centre, node). diff: what only the node has, then what only the centre has."""
     counts = pairs.groupBy("centre").agg(F.ceil(F.count("*") / PER_CENTRE).cast("int").alias("salts"))
+    counts = materialize(counts, "centres")
+    wide = materialize(counts.filter("salts > 1"), "wide-centres")  # few; their size is known, so Spark broadcasts them where they are small
     centres = counts.join(sets, counts["centre"] == sets["node"]).select("centre", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("is_node"), "node", "size", "h")
-    nodes = pairs.join(counts, "centre").join(sets, "node").select("centre", F.pmod(F.xxhash64("node"), F.col("salts").cast("long")).cast("int").alias("salt"), F.lit(1).alias("is_node"), "node", "size", "h")
+    salt = F.pmod(F.xxhash64("node"), F.coalesce("salts", F.lit(1)).cast("long")).cast("int")
+    nodes = pairs.join(wide, "centre", "left").join(sets, "node").select("centre", salt.alias("salt"), F.lit(1).alias("is_node"), "node", "size", "h")
 
     def run(batches):
         centre = h0 = size0 = None
@@ -357,7 +365,7 @@ def _links(total, apart, p: int):
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, label (the least node of its component) of undirected links, by alternating large and small stars.
+    """u, v: each node that isn't the least of its component, and that least, of undirected links; by alternating large and small stars.
 
     Minima are summed before they are shuffled, and joined back, so a node with very many links is split.
     """
@@ -373,15 +381,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = down.join(least, "u").select("v", "m").union(least.select("u", "m"))
         small = materialize(small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).filter("u <> v").distinct(), "small")
         now = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        edges = small
+        edges, last = small, edges
+        discard(down, last)
         if now == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+            return edges
         seen = now
 
 
 def _labelled(df: DataFrame, labels: DataFrame, col: str, to: str) -> DataFrame:
     """df with the label of the node in col, itself where it has no links."""
-    x = labels.select(F.col("node").alias(col), F.col("label").alias("_label"))
+    x = labels.select(F.col("u").alias(col), F.col("v").alias("_label"))
     return df.join(x, col, "left").withColumn(to, F.coalesce("_label", col)).drop("_label")
 
 
@@ -392,7 +401,7 @@ def _round(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, links: DataFr
     links = found if links is None else links.union(found)
     labels = components(links)
     members = _labelled(_labelled(diffs, labels, "node", "own"), labels, "centre", "main")
-    apart = members.groupBy("centre").agg(F.max(F.col("own") != F.col("main")).alias("some")).filter("some")
+    apart = materialize(members.groupBy("centre").agg(F.max(F.col("own") != F.col("main")).alias("some")).filter("some").select("centre"), "apart")
     members = materialize(_near_others(members.join(apart, "centre", "left_semi"), sketches, p), "members")
 
     # x and y: a pair's nearer and farther node from their centre; at least one isn't linked to it, so y is at least "far" from it.
@@ -409,24 +418,35 @@ def _round(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, links: DataFr
         tokens = F.concat(F.slice("diff", F.lit(1), length.cast("int")), F.when(free, F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<long>")))
         return rows.select("centre", "node", "own", "size", "d", F.lit(at).alias("at"), F.posexplode(tokens).alias("i", "token"))
 
-    both = materialize(side(0, x_len, need <= 0).union(side(1, y_len, (F.col("d") >= far) & (F.col("d") <= most))), "prefixes")
+    both = prefixes = materialize(side(0, x_len, need <= 0).union(side(1, y_len, (F.col("d") >= far) & (F.col("d") <= most))), "prefixes")
     count = both.groupBy("centre", "token").agg(F.sum(1 - F.col("at")).alias("nx"), F.sum("at").alias("ny"), F.min("own").alias("lo"), F.max("own").alias("hi")).filter("nx > 0 and ny > 0 and lo <> hi")
     hot = F.lit(False) if last else (F.col("nx") * F.col("ny") > HOT_PAIRS) & (F.col("token") != 0)
-    count = materialize(count.select("centre", "token", hot.alias("hot")), "buckets")
+    split = lambda n: F.ceil(F.col(n) / SIDE).cast("int").alias(n)
+    count = materialize(count.select("centre", "token", hot.alias("hot"), split("nx"), split("ny")), "buckets")
     both = both.join(count, ["centre", "token"])
     again = both.filter("hot").select(F.xxhash64("centre", "token").alias("key"), "node").distinct()
-    x, y = (both.filter(~F.col("hot") & (F.col("at") == k)).select("centre", "token", *[F.col(c).alias(c + t) for c in ("node", "own", "size", "d", "i")]) for k, t in ((0, "_x"), (1, "_y")))
+
+    def blocks(at, own, other, t):
+        """A side of the buckets that aren't hot; a row is in its own block, and meets each block of the other side."""
+        block = F.pmod(F.xxhash64("node"), F.col(own).cast("long")).cast("int").alias("b" + own)
+        cols = ["centre", "token", *[F.col(c).alias(c + t) for c in ("node", "own", "size", "d", "i")], block]
+        return both.filter(~F.col("hot") & (F.col("at") == at)).select(*cols, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("b" + other))
+
+    x, y = blocks(0, "nx", "ny", "_x"), blocks(1, "ny", "nx", "_y")
     total = F.col("size_x") + F.col("size_y")
     need_both = F.ceil((F.col("d_x") + F.col("d_y") - (total - 2 * F.ceil(total * p / ratio[1]))) / 2)
     order = (F.col("d_x") < F.col("d_y")) | ((F.col("d_x") == F.col("d_y")) & (F.col("node_x") < F.col("node_y")))
     fit = (F.col("size_x") * 100 >= F.col("size_y") * p) & (F.col("size_y") * 100 >= F.col("size_x") * p)
     room = F.least(F.col("d_x") - F.col("i_x"), F.col("d_y") - F.col("i_y")) >= need_both
-    maybe = x.join(y, ["centre", "token"]).filter((F.col("own_x") != F.col("own_y")) & order & fit & room).select("centre", "node_x", "node_y").distinct()
+    maybe = x.join(y, ["centre", "token", "bnx", "bny"]).filter((F.col("own_x") != F.col("own_y")) & order & fit & room).select("centre", "node_x", "node_y").distinct()
     of = lambda t: members.select("centre", F.col("node").alias("node" + t), F.col("size").alias("size" + t), F.col("diff").alias("diff" + t))
     maybe = maybe.join(of("_x"), ["centre", "node_x"]).join(of("_y"), ["centre", "node_y"])
     apart = F.size("diff_x") + F.size("diff_y") - 2 * F.size(F.array_intersect("diff_x", "diff_y"))
     more = materialize(maybe.filter(_links(total, apart, p)).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")), "links")
-    return links.union(more), materialize(again, "again")
+    links = materialize(links.union(more).distinct(), "all-links")
+    again = materialize(again, "again")
+    discard(diffs, members, prefixes, count, more)
+    return links, again
 
 
 def linked(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
@@ -452,14 +472,16 @@ def _linked(docs: DataFrame, n: int, p: int) -> DataFrame:
     rows = _keys(docs, n, p, plans).repartition("key").dropDuplicates(["key", "node"])
     by_key = W.partitionBy("key")
     named = rows.withColumn("n", F.count("*").over(by_key)).withColumn("name", F.sum(F.shiftright(F.xxhash64("node", F.col("need") < 0), 20)).over(by_key)).filter("n > 1")
-    shared = materialize(named.groupBy(F.xxhash64("name", "n").alias("key"), "node", "need").agg(F.count("*").alias("n")), "found")
+    shared = found = materialize(named.groupBy(F.xxhash64("name", "n").alias("key"), "node", "need").agg(F.count("*").alias("n")), "found")
     # Too few shared keys in a band: no similar set there.
     shared = shared.withColumn("n", F.sum("n").over(W.partitionBy("node", F.col("need") < 0))).filter(F.col("n") >= F.abs("need"))
     shared = materialize(shared.select("key", "node").distinct(), "shared")
-    some = base.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    sketches = materialize(some.select("node", F.col("n_shingles").alias("size"), "sketch"), "sketches")
+    discard(found)
+    # Copies go before the join, so that none of them is a key of many rows there.
+    some = base.select("node", F.col("n_shingles").alias("size"), "sketch").dropDuplicates(["node"]).join(shared.select("node").distinct(), "node", "left_semi")
+    sketches = materialize(some, "sketches")
     pairs = materialize(_pairs(shared, sketches, p), "pairs")
-    wanted = base.groupBy("node").agg(F.min("doc_id").alias("rep"))
+    wanted = base.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
     asked = wanted.join(pairs.select("node").union(pairs.select("centre")).distinct(), "node", "left_semi")
     asked = materialize(asked, "wanted")
     need = asked.filter("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
@@ -475,14 +497,23 @@ def _linked(docs: DataFrame, n: int, p: int) -> DataFrame:
     links, k = None, 0
     while k == 0 or not shared.isEmpty():
         k += 1
-        links, shared = _round(pairs, sets, sketches, links, p, k == ROUNDS)
-        if not shared.isEmpty():
-            pairs = materialize(_pairs(shared, sketches, p), "pairs")
+        before = shared, pairs, links
+        links, shared = _round(pairs, sets, sketches, links, p, k >= ROUNDS)
+        pairs = None if shared.isEmpty() else materialize(_pairs(shared, sketches, p), "pairs")
+        discard(*[x for x in before if x is not None])
     labels = components(links)
     reps = _labelled(wanted.filter("node is not null"), labels, "node", "label")
     least = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
-    found = materialize(reps.join(least, "label").select("node", "label", "component_id"), "components")
-    return base.drop("sketch").join(found, "node", "left").select("doc_id", "row_key", "n_shingles", "node", "label", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = reps.join(least, "label").select("node", "label", "component_id", F.when(F.col("rows") > COPIES, F.ceil(F.col("rows") / COPIES)).otherwise(1).cast("long").alias("salts"))
+    found = materialize(found, "components")
+    wide = materialize(found.filter("salts > 1").select("node", "salts"), "wide-nodes")
+    discard(sketches, asked, sets, links, labels)
+    # A text with very many rows is dealt to several tasks. Such texts are few, and Spark broadcasts them where they are small.
+    base = base.drop("sketch").join(wide, "node", "left")
+    salt = F.pmod(F.xxhash64("doc_id", "row_key"), F.when(F.col("node").isNull(), COPIES).otherwise(F.coalesce("salts", F.lit(1))).cast("long"))
+    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    out = base.withColumn("salt", salt).join(found, ["node", "salt"], "left")
+    return out.select("doc_id", "row_key", "n_shingles", "node", "label", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
