@@ -111,12 +111,61 @@ def test_warc(spark):
     hurt[len(hurt) // 2] ^= 255
     content = recs[0] + bytes(hurt) + recs[2] + b"\x1f\x8bjunk WARC/1.1 no" + recs[3] + recs[4][:-9]
     out = list(warc.salvage(content))
-    assert [x[2]["warc-record-id"] for x in out if x[0] == "record"] == ["<urn:page:0>", "<urn:page:2>", "<urn:page:3>"]
+    assert [x[2]["warc-record-id"] for x in out if x[0] == "record"] == ["<urn:page:0>", "<urn:page:2>", "<urn:page:3>", "<urn:page:4>"]  # the last lost its checksum only; its digest is right
     gaps = [(x[1], x[2]) for x in out if x[0] == "gap"]
     assert gaps[0] == (len(recs[0]), len(recs[0]) + len(hurt)) and gaps[-1][1] == len(content) and len(gaps) == 3
     assert list(warc.salvage(b"")) == [] and list(warc.salvage(b"junk")) == [("gap", 0, 4)]
 
 
+@pytest.mark.parametrize("kind", ["gzip", "plain"])
+def test_salvage_within(kind):
+    """Records in one member, or uncompressed: a damaged one in the middle is set aside, its neighbours are read."""
+    import gzip
+
+    recs = [warc.record(k, "u", f"text {k} ".encode() * 9, warc.digest(f"text {k} ".encode() * 9), "response", None) for k in range(3)]
+    raws = [gzip.decompress(r) for r in recs]
+    for hurt in (raws[1].replace(b"text 1", b"tixt 1", 1), raws[1].replace(b"Content-Length: 63", b"Content-Length: 9999"), raws[1][:-40], b"WARC/1.1\r\n junk " * 20):
+        raw = raws[0] + hurt + raws[2]
+        out = list(warc.salvage(gzip.compress(raw) if kind == "gzip" else raw))
+        assert [x[2]["warc-record-id"] for x in out if x[0] == "record"] == ["<urn:page:0>", "<urn:page:2>"]
+        gap = [x for x in out if x[0] == "gap"]
+        assert len(gap) == 1
+        assert gap[0][3:] == (len(raws[0]), len(raws[0]) + len(hurt)) if kind == "gzip" else gap[0][1:3] == (len(raws[0]), len(raws[0]) + len(hurt))
+
+
+def test_salvage_damaged_members():
+    """Truncated members and members with a wrong checksum give the records that are whole; what follows is read; junk takes time in proportion."""
+    import gzip
+    import time
+
+    rng = random.Random(8)
+    text = lambda k: bytes(rng.randrange(32, 127) for _ in range(3000)) + str(k).encode()
+    bodies = [text(k) for k in range(4)]
+    recs = [warc.record(k, "u", b, warc.digest(b), "response", None) for k, b in enumerate(bodies)]
+    whole = gzip.compress(b"".join(gzip.decompress(r) for r in recs[:3]))
+    ids = lambda content: [x[2]["warc-record-id"][10:-1] for x in warc.salvage(content) if x[0] == "record"]
+    assert ids(whole[: len(whole) * 5 // 6]) == ["0", "1"] and [x[0] for x in warc.salvage(whole[: len(whole) * 5 // 6])][-1] == "gap"
+    wrong = whole[:-8] + b"\0\0\0\0" + whole[-4:]  # the checksum only
+    assert ids(wrong + recs[3]) == ["0", "1", "2", "3"]
+    assert ids(whole[: len(whole) // 2] + recs[3])[-1] == "3"
+    began = time.time()
+    assert ids((b"\x1f\x8b\x08junk WARC/1.1 no" * 200_000) + recs[3]) == ["3"] and time.time() - began < 60
+    big = warc.record(9, "u", b"x" * 30_000_000, warc.digest(b"x" * 30_000_000), "response", None)
+    assert ids(recs[0] + big + recs[1]) == ["0", "9", "1"]
+
+
+def test_warc_after_shuffle(spark, tmp_path):
+    """Rows that come from a shuffle, extra and clashing columns, an empty table, and archives read back from files."""
+    rows = [(k % 3, "u", f"p{k % 2}", "x", k) for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string, row int").repartition(7)
+    archives = warc.write(warc.plan_records(pages))
+    warc.export(archives, f"{tmp_path}/a")
+    for a in (archives, warc.files(spark, f"{tmp_path}/a")):
+        got = warc.read(a).collect()
+        assert len(got) == 40 and Counter(r["record_type"] for r in got) == {"response": 2, "revisit": 38} and {r["refers_to"] for r in got} == {None, 2}
+    assert warc.read(warc.write(warc.plan_records(pages.limit(0)))).count() == 0
+
+
 def test_mixing(spark, docs):
     out = mixing.mixed(docs).collect()
     by = {r["source"]: r for r in out}

@@ -6,6 +6,9 @@ are written and read by Spark, so they may be in any store; export() copies them
 Defined results: null html is an empty payload; null url and page_id are written as "null" and read
 back as null; of rows with equal payloads and equal largest page_id, one is the response (which, is
 decided by row order) and the others revisit it; other columns are dropped; an empty table gives no rows.
+
+What a salvage sets aside is a row of kind gap, with its place in the archive and, within a member that was
+decompressed, in its text. A record of a member whose checksum fails counts only if its own digest is right.
 """
 
 from __future__ import annotations
@@ -39,6 +42,9 @@ def with_digests(pages: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([digest(x.as_py()) for x in b.column(2)], pa.string())], [*b.schema.names, "payload_digest"])
 
+    # Row numbers are the same in each reading of a plain scan; rows that come otherwise are written first.
+    if any(x in pages._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "InArrow", "InPandas", "Python", "RDD", "Generate")):
+        pages = materialize(pages.select("page_id", "url", "html"), "pages")
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"), F.monotonically_increasing_id().alias("row"))
     return rows.mapInArrow(run, "page_id long, url string, payload binary, row long, payload_digest string")
 
@@ -110,16 +116,34 @@ def export(archives: DataFrame, folder: str) -> None:
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """Archives from files, in any store."""
+    """Archives from files, in any store. An archive is one row: Spark fails on files above spark.sql.sources.binaryFile.maxLength."""
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
 
-def parse(raw: bytes, at: int) -> tuple[dict, bytes, int] | None:
-    """Headers, block and end of the record at raw[at:], or None if any check fails."""
+class _Marks:
+    """The next place of each of some marks; no byte is searched twice for one."""
+
+    def __init__(self, raw: bytes, *marks: bytes):
+        self.raw, self.at = raw, {m: -1 for m in marks}
+
+    def next(self, start: int) -> int:
+        for m, p in self.at.items():
+            if p < start:
+                p = self.raw.find(m, start)
+                self.at[m] = len(self.raw) if p < 0 else p
+        return min(self.at.values())
+
+
+#: Bytes of a record's headers, at most: what has more isn't a record.
+HEAD_BYTES = 1 << 20
+
+
+def parse(raw: bytes, at: int, blank: _Marks) -> tuple[dict, bytes, int] | None:
+    """Headers, block and end of the record at raw[at:], or None if any check fails. blank: raw's blank lines."""
     if not raw.startswith(b"WARC/1.", at):
         return None
-    split = raw.find(b"\r\n\r\n", at)
-    if split < 0:
+    split = blank.next(at)
+    if split == len(raw) or split - at > HEAD_BYTES:
         return None
     try:
         lines = raw[at:split].decode().split("\r\n")[1:]
@@ -135,45 +159,93 @@ def parse(raw: bytes, at: int) -> tuple[dict, bytes, int] | None:
     return head, body, end + 4
 
 
-def member(content: bytes, at: int) -> tuple[bytes, int] | None:
-    """The text and the end of the gzip member at content[at:], or None if it doesn't end with a right checksum."""
-    z = zlib.decompressobj(31)
-    try:
-        raw = z.decompress(memoryview(content)[at:])
-    except zlib.error:
-        return None
-    return (raw, len(content) - len(z.unused_data)) if z.eof else None
+#: Compressed bytes that are taken at a time.
+STEP = 1 << 16
+
+
+def member(content: bytes, at: int) -> tuple[bytes, int | None]:
+    """What the gzip member at content[at:] decompresses to, as far as that goes, and its end; None as the end if it has no right checksum."""
+    z, out, view = zlib.decompressobj(31), [], memoryview(content)
+    for p in range(at, len(content), STEP):
+        step, before = view[p : p + STEP], z.copy()
+        try:
+            out.append(z.decompress(step))
+        except zlib.error:
+            # What came before the fault, by halves, as the last step gave nothing.
+            lo, hi = 0, len(step)
+            while hi - lo > 1:
+                mid, trial = (lo + hi) // 2, before.copy()
+                try:
+                    out.append(trial.decompress(step[lo:mid]))
+                    lo, before = mid, trial
+                except zlib.error:
+                    hi = mid
+            return b"".join(out), None
+        if z.eof:
+            return b"".join(out), p + len(step) - len(z.unused_data)
+    return b"".join(out), None
+
+
+def records(raw: bytes, sure: bool = True):
+    """Yields ("record", start, end, headers, block) and ("gap", start, end) of raw records, one after another.
+
+    After a failed check the next version line that begins a whole record is searched for. sure: whether
+    records without a digest of their block count.
+    """
+    at, bad, versions, blank = 0, None, _Marks(raw, b"WARC/1."), _Marks(raw, b"\r\n\r\n")
+    while at < len(raw):
+        got = parse(raw, at, blank)
+        if got and (sure or got[0].get("warc-block-digest", "").startswith("sha1:")):
+            if bad is not None:
+                yield "gap", bad, at
+                bad = None
+            yield "record", at, got[2], *got[:2]
+            at = got[2]
+        else:
+            bad = at if bad is None else bad
+            at = versions.next(at + 1)
+    if bad is not None:
+        yield "gap", bad, len(raw)
 
 
 def salvage(content: bytes):
-    """Yields ("record", start, headers, block) and ("gap", start, end): what is read, and bytes that are set aside.
+    """Yields ("record", start, headers, block) and ("gap", start, end) or ("gap", start, end, inner start, inner end): what is read, and bytes that are set aside.
 
-    After a failed check the next gzip member, or version line of an archive that isn't compressed,
-    that holds a whole record is searched for; what is before it is a gap.
+    After a failed check the next gzip member, or version line, that holds a whole record is searched for, and what is
+    before it is a gap. Inner places are those in a member's text, the end None where that is unknown. Of a
+    member that is damaged, records are read as far as it decompresses; the bytes after it are searched as well.
     """
-    at, bad = 0, None
+    at, bad, marks, blank = 0, None, _Marks(content, GZIP, b"WARC/1."), _Marks(content, b"\r\n\r\n")
     while at < len(content):
         found, end = [], None
         if content.startswith(GZIP, at):
-            if got := member(content, at):
-                inner, p = got[0], 0
-                while p < len(inner) and (r := parse(inner, p)):
-                    found.append(r[:2])
-                    p = r[2]
-                end = got[1] if found and p == len(inner) else None
-        elif got := parse(content, at):
-            found, end = [got[:2]], got[2]
-        if end is None:
+            raw, end = member(content, at)
+            found = list(records(raw, end is not None))
+            if not any(x[0] == "record" for x in found) and (end is None or raw):
+                found, end = [], None
+            stop = end
+        elif got := parse(content, at, blank):
+            found, end = [("record", 0, 0, *got[:2])], got[2]
+            stop = end
+        if not found and end is None:
             bad = at if bad is None else bad
-            nexts = [p for p in (content.find(GZIP, at + 1), content.find(b"WARC/1.", at + 1)) if p >= 0]
-            at = min(nexts, default=len(content))
+            at = marks.next(at + 1)
             continue
         if bad is not None:
             yield "gap", bad, at
             bad = None
-        for head, body in found:
-            yield "record", at, head, body
-        at = end
+        if stop is None:  # a damaged member ends where the next mark is
+            stop = marks.next(at + 1)
+        read = 0
+        for kind, a, b, *x in found:
+            if kind == "gap":
+                yield "gap", at, stop, a, b
+            else:
+                yield "record", at, *x
+            read = b
+        if end is None and found[-1][0] == "record":
+            yield "gap", at, stop, read, None  # the rest of its text is unknown
+        at = stop
     if bad is not None:
         yield "gap", bad, len(content)
 
@@ -184,7 +256,7 @@ def _id(x: str | None):
 
 
 def read(archives: DataFrame, with_payload: bool = False) -> DataFrame:
-    """A row a record or gap: name, at, kind (record or gap), gap_end, page_id, record_type, refers_to, payload_digest, payload_bytes, payload."""
+    """A row a record or gap: name, at, kind (record or gap), gap_end, inner_at, inner_end, page_id, record_type, refers_to, payload_digest, payload_bytes, payload."""
 
     def run(batches):
         for b in batches:
@@ -193,15 +265,18 @@ def read(archives: DataFrame, with_payload: bool = False) -> DataFrame:
                 for kind, at, x, *body in salvage(content.as_py()):
                     row = {"name": name.as_py(), "at": at, "kind": kind}
                     if kind == "gap":
-                        row["gap_end"] = x
+                        row |= {"gap_end": x, **dict(zip(("inner_at", "inner_end"), body))}
                     else:
                         t, payload = x.get("warc-type"), body[0]
                         same = t == "response"
                         row |= {"page_id": _id(x.get("warc-record-id")), "record_type": t, "refers_to": _id(x.get("warc-refers-to")),
                                 "payload_digest": digest(payload) if same else x.get("warc-payload-digest", "").removeprefix("sha1:"), "payload_bytes": len(payload) if same else int(x.get("x-payload-length", 0)), "payload": payload if with_payload else None}
                     rows.append(row)
+                    if len(rows) == 1000:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows = []
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    schema = pa.schema([("name", pa.string()), ("at", pa.int64()), ("kind", pa.string()), ("gap_end", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
-    return archives.select("name", "content").mapInArrow(run, "name string, at long, kind string, gap_end long, page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
+    schema = pa.schema([("name", pa.string()), ("at", pa.int64()), ("kind", pa.string()), ("gap_end", pa.int64()), ("inner_at", pa.int64()), ("inner_end", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
+    return archives.select("name", "content").mapInArrow(run, "name string, at long, kind string, gap_end long, inner_at long, inner_end long, page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
