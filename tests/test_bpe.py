@@ -36,3 +36,53 @@ def test_limits(spark):
     for m in ("none", "all", "topk", "random", "triangular", "gaussian"):
         got = [r[0] for r in df.select(bpe.rank_limit(m, 50, 20)).collect()]
         assert min(got) >= 0 and max(got) <= 50
+
+
+def test_random_corpora(spark):
+    """Arrays and batches of independent merges against counting anew, and encoding by arrays against pair by pair, with limits."""
+    from collections import Counter
+
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(150):
+        k = rng.choice([1, 2, 3, 5])
+        seqs = [[rng.randrange(k) for _ in range(rng.randrange(30))] for _ in range(rng.randint(1, 12))]
+        now, want, top = [list(s) for s in seqs], [], max((max(s) for s in seqs if s), default=-1)
+        while len(want) < 25 and (c := Counter(p for s in now for p in zip(s, s[1:]))) and max(c.values()) > 1:
+            pair, n = min(c.items(), key=lambda x: (-x[1], x[0]))
+            want.append((*pair, top + 2 + len(want), n))
+            now = [bpe.merge_list(s, *want[-1][:3]) for s in now]
+        assert bpe.train_local([(s, 1) for s in seqs], 25, 2) == want
+        now, made = [list(s) for s in seqs], []
+        while len(made) < 25:
+            c = Counter(p for s in now for p in zip(s, s[1:]))
+            best = sorted(((*p, n) for p, n in c.items()), key=lambda x: (-x[2], x[0], x[1]))[: rng.choice([4, 256])]
+            step = bpe.independent(best, 2)[: 25 - len(made)]
+            if not step:
+                break
+            for a, b, n in step:
+                made.append((a, b, top + 2 + len(made), n))
+                now = [bpe.merge_list(s, *made[-1][:3]) for s in now]
+        assert made == want
+        book, rank = bpe.Codebook([r[:3] for r in want]), {r[:2]: (i, r[2]) for i, r in enumerate(want)}
+        flat, ends = np.array([t for s in seqs for t in s], np.int64), np.cumsum([len(s) for s in seqs])
+        limits = np.array([rng.randrange(len(want) + 2) for _ in seqs])
+        for lim in (None, limits):
+            tok, stop, used, last = book.encode(flat, ends, lim)
+            stop, last = np.concatenate([[0], stop]), np.concatenate([[0], last])
+            for i, s in enumerate(seqs):
+                assert bpe.encode_list(s, rank, None if lim is None else int(lim[i])) == (tok[stop[i] : stop[i + 1]].tolist(), used[last[i] : last[i + 1]].tolist())
+
+
+def test_distributed_tables(spark):
+    """Both ways over tables, with null and empty sequences, and the round trip."""
+    rng = random.Random(9)
+    rows = [(k, [rng.choice([1, 3, 5, 2]) for _ in range(rng.randrange(40))]) for k in range(200)] + [(900, []), (901, None)]
+    df = spark.createDataFrame(rows, "graph_id long, tokens array<int>")
+    a, b = (bpe.train(df, 30, strategy=s).orderBy("rank").collect() for s in ("local", "distributed"))
+    assert a == b and len(a) == 30
+    out = bpe.decode(bpe.encode(df, spark.createDataFrame(a, bpe.RULES)), spark.createDataFrame(a, bpe.RULES)).collect()
+    assert all(r["decoded"] == (r["tokens"] or []) for r in out) and len(out) == len(rows)
+    assert bpe.train(df.limit(0), 5).count() == 0
+    assert [r["first_rank"] for r in bpe.codebook_patterns(spark.createDataFrame([(0, 67, 108, 300, 9), (1, 300, 49, 301, 5)], bpe.RULES), targets=("Cl1",)).orderBy("rank").collect()] == [None, 1]

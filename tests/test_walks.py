@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from walkloom.operators import walks
+from walkloom.operators import matching, walks
 
 TYPES, PAIRS = [6, 6, 8, 1, 7], [(0, 1, 1), (1, 2, 2), (0, 3, 1), (1, 4, 1), (2, 4, 1)]
 
@@ -59,3 +59,77 @@ def test_circuits_use_each_edge_once(seed):
         return 0 if not left else min(cost[left[0], b] + least([x for x in left[1:] if x != b]) for b in left[1:])
 
     assert len(odd) > 8 or len(p) - 1 - len(pairs) == least(odd)
+
+
+def least_sum(n, cost):
+    """The least cost of a perfect matching, by all of them."""
+    from functools import lru_cache
+
+    @lru_cache(None)
+    def rest(mask):
+        if not mask:
+            return 0
+        i = (mask & -mask).bit_length() - 1
+        return min(cost[i][j] + rest(mask ^ (1 << i) ^ (1 << j)) for j in range(i + 1, n) if mask >> j & 1)
+
+    return rest((1 << n) - 1)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_matching_is_least(seed):
+    rng = random.Random(seed)
+    n, most = rng.choice([2, 4, 6, 8, 10, 12]), rng.choice([2, 5, 100])
+    cost = [[0] * n for _ in range(n)]
+    for i in range(n):
+        for j in range(i):
+            cost[i][j] = cost[j][i] = rng.randint(0, most)
+    got = matching.pairs(list(range(n)), lambda a, b: cost[a][b])
+    assert sorted(x for p in got for x in p) == list(range(n)) and sum(cost[a][b] for a, b in got) == least_sum(n, cost)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_matching_of_58_on_a_tree(seed):
+    """Between nodes of a tree, the least matching uses the edges that part odd numbers of them; a postman walks just these twice."""
+    rng = random.Random(seed)
+    up, w = [None] + [rng.randrange(v) for v in range(1, 200)], [0] + [rng.randint(1, 9) for _ in range(199)]
+    some = rng.sample(range(200), 58)
+
+    def above(v):
+        out, s = {}, 0
+        while v is not None:
+            out[v], s, v = s, s + w[v], up[v]
+        return out
+
+    far = {v: above(v) for v in some}
+    cost = lambda a, b: min(far[a][x] + far[b][x] for x in far[a] if x in far[b])
+    count = [v in some for v in range(200)]
+    best = 0
+    for v in range(199, 0, -1):
+        best += w[v] * (count[v] % 2)
+        count[up[v]] += count[v]
+    assert sum(cost(a, b) for a, b in matching.pairs(some, cost)) == best
+    near = {v: {} for v in range(200)}
+    for v in range(1, 200):
+        near[v][up[v]] = near[up[v]][v] = w[v]
+    assert sum(near[a][b] for a, b in walks.walked_twice(near)) == sum(w)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_walked_twice_is_least(seed):
+    """Against matchings of all odd nodes by shortest paths, with weights, on graphs with cycles and leaves."""
+    rng = random.Random(seed)
+    n = rng.randint(4, 16)
+    near = {v: {} for v in range(n)}
+    for v in range(1, n):
+        u = rng.randrange(v)
+        near[v][u] = near[u][v] = rng.randint(1, 20) / 4
+    for _ in range(rng.randrange(n)):
+        a, b = rng.sample(range(n), 2)
+        near[a][b] = near[b][a] = rng.randint(1, 20) / 4
+    again = walks.walked_twice(near)
+    degree = Counter(v for v in near for _ in near[v]) + Counter(x for e in again for x in e)
+    assert all(d % 2 == 0 for d in degree.values())
+    lists = {v: sorted(x.items()) for v, x in near.items()}
+    odd = [v for v in near if len(near[v]) % 2]
+    if len(odd) <= 12:
+        assert abs(sum(near[a][b] for a, b in again) - least_sum(len(odd), [[walks.shortest(lists, a)[0][b] for b in odd] for a in odd])) < 1e-6

@@ -6,15 +6,75 @@ count; merges don't overlap and go from left to right; new ids start at the larg
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import heapq
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from walkloom.sources.io import saved
+
 RULES = "rank int, left int, right int, new_id int, cnt long"
-#: Distinct sequences and their tokens that are gathered for local training, at most; beyond, each merge is a pass over the table.
-LOCAL_SEQUENCES, LOCAL_TOKENS = 500_000, 20_000_000
+#: Tokens of distinct sequences that one machine trains on, at most (some 40 bytes each); beyond, tables are passed over. Both give the same rules.
+LOCAL_TOKENS = 8_000_000
+#: The commonest pairs that a pass looks at for merges that don't touch each other.
+CANDIDATES = 256
+#: Tokens that are encoded at once.
+CHUNK_TOKENS = 2_000_000
+
+
+class Corpus:
+    """Sequences end to end as arrays, with links over what is merged away. A place's pair is its token and the next of its sequence."""
+
+    def __init__(self, tokens: np.ndarray, ends: np.ndarray):
+        """ends: where each sequence ends."""
+        n = len(tokens)
+        self.tok = tokens.astype(np.int64)
+        self.after, self.before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        starts, full = np.concatenate([[0], ends[:-1]]), ends > np.concatenate([[0], ends[:-1]])
+        self.after[ends[full] - 1], self.before[starts[full]] = -1, -1
+        self.live = np.ones(n, bool)
+
+    def pairs(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of places that begin a pair, and the pairs, as one number each."""
+        places = places[places >= 0]
+        places = places[self.live[places] & (self.after[places] >= 0)]
+        return places, (self.tok[places] << 32) | self.tok[self.after[places]]
+
+    def hits(self, places: np.ndarray, left: int, right: int) -> np.ndarray:
+        """Those of places where the pair stands, from the left, without overlaps."""
+        places, code = self.pairs(places)
+        places = np.unique(places[code == ((left << 32) | right)])
+        if left == right and len(places) > 1:
+            # In a run of one token every other place is taken.
+            first = np.concatenate([[True], self.after[places[:-1]] != places[1:]])
+            run = np.flatnonzero(first)[np.cumsum(first) - 1]
+            places = places[(np.arange(len(places)) - run) % 2 == 0]
+        return places
+
+    def lost(self, places: np.ndarray) -> np.ndarray:
+        """Before a merge at places: where the pairs are that it takes away."""
+        around = np.concatenate([places, self.before[places], self.after[places]])
+        return np.unique(around[around >= 0])
+
+    def made(self, places: np.ndarray) -> np.ndarray:
+        """After a merge at places: where the pairs are that it made."""
+        around = np.concatenate([places, self.before[places]])
+        return np.unique(around[around >= 0])
+
+    def merge(self, places: np.ndarray, new_id: int) -> None:
+        gone = self.after[places]
+        then = self.after[gone]
+        self.tok[places], self.live[gone] = new_id, False
+        self.after[places] = then
+        # Neighbours that were merged away in this step hand over to those that took them in.
+        self.before[then[then >= 0]] = places[then >= 0]
+
+    def rest(self) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self.live)
+        return at, self.tok[at]
 
 
 def pair_counts(sequences: DataFrame, weight: Column | None = None) -> DataFrame:
@@ -49,65 +109,135 @@ def merge_list(tokens: list[int], left: int, right: int, new_id: int) -> list[in
     return out
 
 
-def train_local(sequences: list[tuple[list[int], int]], merges: int, min_frequency: int = 2) -> list[tuple[int, int, int, int]]:
-    """(left, right, new_id, cnt) by rank from (tokens, multiplicity). Counts are kept up to date for the sequences that change."""
-    seqs = [list(t) for t, _ in sequences]
-    times = [n for _, n in sequences]
-    counts: Counter = Counter()
-    where: dict = defaultdict(set)
-    for k, t in enumerate(seqs):
-        for p in zip(t, t[1:]):
-            counts[p] += times[k]
-            where[p].add(k)
-    new_id = max((max(t) for t in seqs if t), default=-1) + 2
-    rules = []
-    for _ in range(merges):
-        best = min(counts.items(), key=lambda x: (-x[1], x[0]), default=None)
-        if best is None or best[1] < min_frequency:
+def train_arrays(tokens: np.ndarray, ends: np.ndarray, times: np.ndarray, merges: int, min_frequency: int = 2, first_id: int | None = None) -> list[tuple[int, int, int, int]]:
+    """(left, right, new_id, cnt) by rank, of sequences with multiplicities.
+
+    Pair counts are kept up to date at the places that a merge touches, and a heap gives the next pair; entries whose
+    count has changed since are passed over.
+    """
+    c = Corpus(tokens, ends)
+    weight = np.repeat(times, np.diff(np.concatenate([[0], ends])))
+    places, code = c.pairs(np.arange(len(tokens)))
+    order = np.argsort(code, kind="stable")
+    found, start = np.unique(code[order], return_index=True)
+    where = dict(zip(found.tolist(), ([x] for x in np.split(places[order], start[1:]))))
+    counts = dict(zip(found.tolist(), np.add.reduceat(weight[places[order]], start).tolist() if len(found) else ()))
+    heap = [(-n, k) for k, n in counts.items()]
+    heapq.heapify(heap)
+    new_id = (int(tokens.max()) + 2 if len(tokens) else 1) if first_id is None else first_id
+    rules: list[tuple[int, int, int, int]] = []
+
+    def shift(at: np.ndarray, sign: int) -> set[int]:
+        at, code = c.pairs(at)
+        if not len(at):
+            return set()
+        order = np.argsort(code, kind="stable")
+        at, code = at[order], code[order]
+        found, start = np.unique(code, return_index=True)
+        sums = np.add.reduceat(weight[at], start)
+        for k, n, own in zip(found.tolist(), sums.tolist(), np.split(at, start[1:])):
+            counts[k] = counts.get(k, 0) + sign * n
+            if sign > 0:
+                where.setdefault(k, []).append(own)
+        return set(found.tolist())
+
+    while heap and len(rules) < merges:
+        n, k = heapq.heappop(heap)
+        if counts.get(k, 0) != -n:
+            continue
+        if -n < min_frequency or n == 0:
             break
-        (left, right), n = best
-        rules.append((left, right, new_id, n))
-        for k in where.pop((left, right)):
-            old = seqs[k]
-            seqs[k] = new = merge_list(old, left, right, new_id)
-            if new is not old and len(new) != len(old):
-                for p in zip(old, old[1:]):
-                    counts[p] -= times[k]
-                    if counts[p] <= 0:
-                        del counts[p]
-                for p in zip(new, new[1:]):
-                    counts[p] += times[k]
-                    where[p].add(k)
+        left, right = k >> 32, k & 0xFFFFFFFF
+        at = c.hits(np.concatenate(where.pop(k)), left, right)
+        changed = shift(c.lost(at), -1)
+        c.merge(at, new_id)
+        changed |= shift(c.made(at), 1)
+        rules.append((left, right, new_id, -n))
         new_id += 1
+        for x in changed:
+            if counts[x] > 0:
+                heapq.heappush(heap, (-counts[x], x))
+            else:
+                counts.pop(x)
+                where.pop(x, None)
     return rules
 
 
+def train_local(sequences: list[tuple[list[int], int]], merges: int, min_frequency: int = 2) -> list[tuple[int, int, int, int]]:
+    """As train_arrays, from (tokens, multiplicity)."""
+    tokens = np.array([t for s, _ in sequences for t in s], np.int64)
+    return train_arrays(tokens, np.cumsum([len(s) for s, _ in sequences]).astype(np.int64), np.array([n for _, n in sequences], np.int64), merges, min_frequency)
+
+
+def independent(counts: list[tuple[int, int, int]], min_frequency: int) -> list[tuple[int, int, int]]:
+    """Of pairs (left, right, cnt), commonest first, the first ones that are sure to be the next merges, one after another.
+
+    A merge changes only counts of pairs that share a token with it, and makes pairs no commoner than those; so the
+    next in order follows it if they share none, and if no pair as common as that next one shares a token with what is merged.
+    """
+    out, used = [], set()
+    for k, (left, right, n) in enumerate(counts):
+        same = (x for x in counts[k + 1 :] if x[2] == n)
+        if n < min_frequency or used & {left, right} or (used and any(used & {a, b} for a, b, _ in same)) or (k and k == len(counts) - 1):
+            break
+        out.append((left, right, n))
+        used |= {left, right}
+        if left == right:
+            break
+    return out
+
+
+def apply_rules(sequences: DataFrame, rules: list[tuple[int, int, int]]) -> DataFrame:
+    """sequences (tokens, n) after merges (left, right, new_id), one after another."""
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(0)
+            flat, ends = _flat(lists)
+            c = Corpus(flat, ends)
+            for left, right, new_id in rules:
+                c.merge(c.hits(np.flatnonzero(c.live & (c.tok == left)), left, right), new_id)
+            at, tok = c.rest()
+            cut = np.concatenate([[0], np.searchsorted(at, ends)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cut), pa.array(tok.astype(np.int32))), b.column(1)], ["tokens", "n"])
+
+    return sequences.select("tokens", "n").mapInArrow(run, "tokens array<int>, n long")
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of lists end to end, and where each ends; null is empty."""
+    sizes = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
+    return np.asarray(lists.flatten(), dtype=np.int64), np.cumsum(sizes)
+
+
 def train(sequences: DataFrame, merges: int = 2000, min_frequency: int = 2, strategy: str = "auto", save=None) -> DataFrame:
     """The codebook (rank, left, right, new_id, cnt). strategy: auto, local or distributed. save: writes a table and reads it back, for the distributed passes.
 
-    Equal sequences are one, with a multiplicity; auto trains locally if what is distinct is within the bounds above.
+    Equal sequences are one, with a multiplicity. What is distinct is trained on one machine if its tokens are within LOCAL_TOKENS; else each
+    pass over the table counts pairs where they are, takes all merges that are sure to be next, and makes them. Both give the same rules.
     """
     spark = sequences.sparkSession
     distinct = sequences.groupBy("tokens").agg(F.count("*").alias("n"))
     if strategy == "auto":
-        size = distinct.agg(F.count("*").alias("s"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("t")).first()
-        strategy = "local" if size["s"] <= LOCAL_SEQUENCES and size["t"] <= LOCAL_TOKENS else "distributed"
+        distinct = distinct.persist()
+        size = distinct.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("t")).first()["t"]
+        strategy = "local" if size <= LOCAL_TOKENS else "distributed"
     if strategy == "local":
-        rules = train_local([(r["tokens"], r["n"]) for r in distinct.collect()], merges, min_frequency)
+        rows = distinct.toArrow()
+        flat, ends = _flat(rows.column("tokens").combine_chunks()) if rows.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        rules = train_arrays(flat, ends, np.asarray(rows.column("n"), dtype=np.int64), merges, min_frequency)
     else:
-        save = save or (lambda df: df.checkpoint())
-        distinct, rules = save(distinct), []
-        top = distinct.agg(F.max(F.array_max("tokens"))).first()[0]
-        for k in range(merges if top is not None else 0):
-            best = best_pair(pair_counts(distinct, F.col("n")), min_frequency).first()
-            if best is None:
+        save = save or saved
+        state, rules = save(distinct), []
+        top = state.agg(F.max(F.array_max("tokens"))).first()[0]
+        while top is not None and len(rules) < merges:
+            best = [tuple(r) for r in pair_counts(state, F.col("n")).orderBy(F.col("cnt").desc(), "left", "right").limit(CANDIDATES).collect()]
+            made = [(left, right, top + 2 + len(rules) + k, n) for k, (left, right, n) in enumerate(independent(best, min_frequency)[: merges - len(rules)])]
+            if not made:
                 break
-            new_id = top + 2 + k
-            rules.append((best["left"], best["right"], new_id, best["cnt"]))
-            hit = F.array_contains("tokens", best["left"]) & F.array_contains("tokens", best["right"])
-            distinct = distinct.withColumn("tokens", F.when(hit, merged("tokens", best["left"], best["right"], new_id)).otherwise(F.col("tokens")))
-            if k % 8 == 7:
-                distinct = save(distinct)
+            rules += made
+            state = save(apply_rules(state, [r[:3] for r in made]))
+    distinct.unpersist()
     return spark.createDataFrame([(k, *r) for k, r in enumerate(rules)], RULES)
 
 
@@ -118,7 +248,7 @@ def vocab_size(sequences: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def encode_list(tokens: list[int], rank: dict, limit: int | None = None) -> tuple[list[int], list[int]]:
-    """Encoded tokens, and the ranks applied. rank: (left, right) -> (rank, new_id). The lowest-ranked pair present is merged first."""
+    """Encoded tokens, and the ranks applied. rank: (left, right) -> (rank, new_id). The lowest-ranked pair present is merged first. The plain form of encode_arrays."""
     used = []
     while len(tokens) > 1:
         best = min((rank[p] for p in zip(tokens, tokens[1:]) if p in rank), default=None)
@@ -130,41 +260,120 @@ def encode_list(tokens: list[int], rank: dict, limit: int | None = None) -> tupl
     return tokens, used
 
 
+class Codebook:
+    """Rules as arrays: pairs as sorted numbers, with their ranks."""
+
+    def __init__(self, rules: list[tuple[int, int, int]]):
+        """rules: (left, right, new_id) by rank."""
+        code = np.array([(a << 32) | b for a, b, _ in rules], np.int64)
+        self.order = np.argsort(code, kind="stable")
+        self.code, self.rules = code[self.order], rules
+
+    def ranks(self, code: np.ndarray) -> np.ndarray:
+        """The ranks of pairs; -1 where there is none."""
+        if not len(self.code):
+            return np.full(len(code), -1)
+        at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+        return np.where(self.code[at] == code, self.order[at], -1)
+
+    def encode(self, tokens: np.ndarray, ends: np.ndarray, limits: np.ndarray | None = None):
+        """Tokens and ends after the rules, ranks applied, and their ends. limits: by sequence, rules of lower rank only.
+
+        A new token's rules come after the rule that made it, so one pass by rank does: what a merge brings together is put by for its rank.
+        """
+        c, waiting = Corpus(tokens, ends), [[] for _ in self.rules]
+        owner = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
+        used: list[tuple[np.ndarray, int]] = []
+
+        def put(places):
+            places, code = c.pairs(places)
+            rank = self.ranks(code)
+            keep = rank >= 0 if limits is None else (rank >= 0) & (rank < limits[owner[places]])
+            places, rank = places[keep], rank[keep]
+            if len(places):
+                order = np.argsort(rank, kind="stable")
+                found, start = np.unique(rank[order], return_index=True)
+                for r, own in zip(found.tolist(), np.split(places[order], start[1:])):
+                    waiting[r].append(own)
+
+        put(np.arange(len(tokens)))
+        for r, (left, right, new_id) in enumerate(self.rules):
+            if waiting[r]:
+                at = c.hits(np.concatenate(waiting[r]), left, right)
+                if len(at):
+                    used.append((np.unique(owner[at]), r))
+                    c.merge(at, new_id)
+                    put(c.made(at))
+                waiting[r] = None
+        at, tok = c.rest()
+        who = np.concatenate([x for x, _ in used] or [np.zeros(0, np.int64)])
+        rank = np.concatenate([np.full(len(x), r) for x, r in used] or [np.zeros(0, np.int64)])
+        order = np.argsort(who, kind="stable")  # ranks rise already
+        return tok, np.searchsorted(at, ends), rank[order], np.cumsum(np.bincount(who, minlength=len(ends)))
+
+
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
 def encode(sequences: DataFrame, rules: DataFrame, limit: int | None = None, limit_column: str | None = None) -> DataFrame:
     """sequences with encoded and ranks. limit: rules of lower rank only, for all, or by a column. A codebook has as many rows as merges, so each task holds it."""
-    rank = {(r["left"], r["right"]): (r["rank"], r["new_id"]) for r in rules.collect()}
-    cols = sequences.columns
+    book = Codebook([(r["left"], r["right"], r["new_id"]) for r in rules.orderBy("rank").collect()])
+    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+
+    ints = ArrayType(IntegerType())
+    schema = StructType([*sequences.schema.fields, StructField("encoded", ints), StructField("ranks", ints)])
+    names = [*sequences.columns, "encoded", "ranks"]
 
     def run(batches):
-        known: dict = {}
+        held, size = [], 0
+
+        def flush():
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            flat, ends = _flat(whole.column(whole.schema.get_field_index("tokens")))
+            limits = None if limit is None else np.full(len(ends), limit)
+            if limit_column:
+                limits = np.asarray(whole.column(whole.schema.get_field_index(limit_column)), dtype=np.int64)
+            tok, stops, rank, last = book.encode(flat, ends, limits)
+            return pa.RecordBatch.from_arrays([*whole.columns, _lists(tok, stops), _lists(rank, last)], names)
+
         for b in batches:
-            ks = b.column(b.schema.get_field_index(limit_column)).to_pylist() if limit_column else [limit] * b.num_rows
-            out = []
-            for t, k in zip(b.column(b.schema.get_field_index("tokens")).to_pylist(), ks):
-                key = (tuple(t or ()), k)
-                if key not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    known[key] = encode_list(list(key[0]), rank, k)
-                out.append(known[key])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in out], pa.list_(pa.int32())), pa.array([x[1] for x in out], pa.list_(pa.int32()))], [*cols, "encoded", "ranks"])
+            if b.num_rows:
+                held.append(b)
+                size += len(b.column(b.schema.get_field_index("tokens")).flatten())
+            if size >= CHUNK_TOKENS:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
 
-    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+    return sequences.mapInArrow(run, schema)
 
-    ints = ArrayType(IntegerType())
-    return sequences.mapInArrow(run, StructType([*sequences.schema.fields, StructField("encoded", ints), StructField("ranks", ints)]))
+
+def draw(salt, *keys) -> Column:
+    """A number from 0 to 1 by a digest of the keys, which any engine with md5 can repeat."""
+    key = F.concat_ws(":", *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys], F.lit(str(salt)))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
+#: Draws of a truncated Gaussian before it is set to a bound.
+TRIES = 8
 
 
 def rank_limit(mode: str, rules: int, k: int | None = None, lo: int = 0, hi: int | None = None, seed: int = 42, keys=("graph_id",)) -> Column:
-    """A column of rank limits: none, all, topk, random, triangular or gaussian between lo and hi; drawn by a hash of the keys."""
+    """A column of rank limits: none, all, topk, random, triangular or gaussian between lo and hi; drawn by a digest of the keys.
+
+    triangular has its mode at hi; gaussian has its mean at hi and a third of the range as deviation, cut to whole numbers and drawn up to TRIES times until it is inside; else it is hi.
+    """
     hi = rules if hi is None else hi
-    u = lambda salt: F.pmod(F.xxhash64(*keys, F.lit(seed), F.lit(salt)), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    normal = F.sqrt(-2 * F.log(F.greatest(u(1), F.lit(1e-12)))) * F.cos(2 * F.pi() * u(2))
-    draw = {
-        "none": F.lit(0), "all": F.lit(rules), "topk": F.lit(k if k is not None else rules), "random": lo + F.floor(u(0) * (hi - lo + 1)),
-        "triangular": F.round((lo + (hi - lo) * (u(0) + u(3)) / 2)), "gaussian": F.round(hi - F.abs(normal) * (hi - lo) / 3.0),
-    }[mode]
-    return F.greatest(F.lit(lo if mode in ("random", "triangular", "gaussian") else 0), F.least(F.lit(rules), draw)).cast("int")
+    u = lambda salt: draw(f"{seed}:{salt}", *keys)
+    normal = lambda t: (hi + F.sqrt(-2 * F.log(F.greatest(u(f"a{t}"), F.lit(1e-12)))) * F.cos(2 * F.pi() * u(f"b{t}")) * max(1.0, (hi - lo) / 3.0)).cast("long")
+    tries = [normal(t) for t in range(TRIES)]
+    value = {
+        "none": lambda: F.lit(0), "all": lambda: F.lit(rules), "topk": lambda: F.lit(k if k is not None else rules), "random": lambda: lo + F.floor(u("r") * (hi - lo + 1)),
+        "triangular": lambda: F.floor(lo + (hi - lo) * F.sqrt(u("t"))), "gaussian": lambda: F.coalesce(*[F.when((x >= lo) & (x <= hi), x) for x in tries], F.lit(hi)),
+    }[mode]()
+    return F.greatest(F.lit(lo if mode in ("random", "triangular", "gaussian") else 0), F.least(F.lit(rules), value)).cast("int")
 
 
 def eval_limit(mode: str, rules: int, k: int | None = None, lo: int = 0, hi: int | None = None) -> int:
@@ -184,17 +393,27 @@ def expansions(rules: DataFrame) -> DataFrame:
 
 def decode(sequences: DataFrame, rules: DataFrame, column: str = "encoded") -> DataFrame:
     """sequences with decoded."""
-    known = {r["token"]: r["base"] for r in expansions(rules).collect()}
-    m = F.create_map(*[x for k, v in known.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]) if known else F.create_map().cast("map<int,array<int>>")
-    if len(known) <= 200:
-        return sequences.withColumn("decoded", F.flatten(F.transform(column, lambda t: F.coalesce(F.try_element_at(m, t), F.array(t)))))
+    known = {r["token"]: np.array(r["base"], np.int32) for r in expansions(rules).collect()}
     at = sequences.columns.index(column)
+    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+
+    ids = np.array(sorted(known), np.int64)
+    sizes = np.array([len(known[i]) for i in ids.tolist()], np.int64)
+    begins, flat = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([known[i] for i in ids.tolist()] or [np.zeros(0, np.int32)])
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([[y for x in t or () for y in known.get(x, (x,))] for t in b.column(at).to_pylist()], pa.list_(pa.int32()))], [*b.schema.names, "decoded"])
-
-    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+            tok, ends = _flat(b.column(at))
+            place = np.minimum(np.searchsorted(ids, tok), max(len(ids) - 1, 0))
+            new = ids[place] == tok if len(ids) else np.zeros(len(tok), bool)
+            n = np.where(new, sizes[place], 1) if len(ids) else np.ones(len(tok), np.int64)
+            stop = np.cumsum(n)
+            out = np.repeat(tok, n)
+            within = np.arange(len(out)) - np.repeat(stop - n, n)
+            if len(ids):
+                is_new = np.repeat(new, n)
+                out[is_new] = flat[(np.repeat(begins[place], n) + within)[is_new]]
+            yield pa.RecordBatch.from_arrays([*b.columns, _lists(out, np.concatenate([[0], stop])[ends])], [*b.schema.names, "decoded"])
 
     return sequences.mapInArrow(run, StructType([*sequences.schema.fields, StructField("decoded", ArrayType(IntegerType()))]))
 
@@ -210,3 +429,25 @@ def codebook_sizes(rules: DataFrame) -> DataFrame:
     n = F.size("base")
     kind = F.when(n <= 1, "1").when(n <= 3, "2-3").when(n <= 10, "4-10").otherwise(">10")
     return expansions(rules).groupBy(kind.alias("size")).agg(F.count("*").alias("tokens"))
+
+
+#: Fixed value: atoms of a molecule's string, in brackets, of two letters or of one.
+ATOMS = r"(\[[^\]]+\]|Cl|Br|Si|Se|Na|Li|K|Mg|Ca|Fe|Zn|Cu|Mn|Co|Ni|Cd|Hg|[BCNOPSFIbcnopsfi])"
+
+
+def codebook_patterns(rules: DataFrame, elements: tuple[str, ...] = ("C", "N", "O", "S"), targets: tuple[str, ...] = ()) -> DataFrame:
+    """rank, new_id, text, atoms, size (bin of atoms), rings, one has_<k> an element, target, of a codebook over code points.
+
+    rings: half the digits of the text, as a ring's ends carry one each. target: whether the text holds one of targets;
+    the least rank of those that do is first_rank.
+    """
+    text = F.concat_ws("", F.transform("base", lambda t: F.char(t)))
+    x = rules.select("rank", "new_id").join(expansions(rules).withColumnRenamed("token", "new_id"), "new_id").withColumn("text", text)
+    atoms = F.size(F.regexp_extract_all("text", F.lit(ATOMS), F.lit(0)))
+    kind = F.when(F.col("atoms") <= 1, "1").when(F.col("atoms") <= 3, "2-3").when(F.col("atoms") <= 10, "4-10").otherwise(">10")
+    digits = F.length(F.regexp_replace("text", "[^0-9]", ""))
+    target = F.lit(False)
+    for t in targets:
+        target = target | F.contains("text", F.lit(t))
+    x = x.withColumn("atoms", atoms).withColumns({"size": kind, "rings": F.floor(digits / 2).cast("int"), "target": target, **{f"has_{e}": F.lower("text").contains(e.lower()) for e in elements}})
+    return x.drop("base").withColumn("first_rank", F.min(F.when(F.col("target"), F.col("rank"))).over(W.partitionBy("target")))

@@ -56,8 +56,9 @@ def triplet_summary(counts: DataFrame) -> DataFrame:
 
 def undirected(edges: DataFrame) -> DataFrame:
     """The first stored edge of each pair of nodes."""
-    first = F.row_number().over(W.partitionBy("graph_id", F.least("src", "dst"), F.greatest("src", "dst")).orderBy("edge_id"))
-    return edges.withColumn("_n", first).filter("_n = 1").drop("_n")
+    pair = [F.least("src", "dst").alias("_a"), F.greatest("src", "dst").alias("_b")]
+    first = edges.groupBy("graph_id", *pair).agg(F.min("edge_id").alias("edge_id")).drop("_a", "_b")
+    return edges.join(first, ["graph_id", "edge_id"], "left_semi")
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -66,8 +67,8 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 def degrees(edges: DataFrame) -> DataFrame:
     """graph_id, node_id, degree, counting each pair of nodes once."""
-    u = undirected(edges)
-    ends = u.select("graph_id", F.explode(F.array_distinct(F.array("src", "dst"))).alias("node_id"))
+    end = lambda a, b: F.struct(F.col(a).alias("node_id"), F.col(b).alias("other"))
+    ends = edges.select("graph_id", F.explode(F.array(end("src", "dst"), end("dst", "src"))).alias("x")).select("graph_id", "x.*").distinct()
     return ends.groupBy("graph_id", "node_id").agg(F.count("*").alias("degree"))
 
 
@@ -82,17 +83,63 @@ def odd_nodes(edges: DataFrame) -> DataFrame:
     return degrees(edges).filter("degree % 2 = 1").select("graph_id", "node_id")
 
 
-def hamiltonian_screen(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per graph of three nodes or more: whether every degree is at least n / 2 (Dirac), and whether any is below 2."""
-    s = summary(nodes, edges).filter("n >= 3")
-    return s.select("graph_id", (2 * F.col("min_degree") >= F.col("n")).alias("dirac"), (F.col("min_degree") < 2).alias("hopeless"))
+def hamiltonian_screen(packed: DataFrame) -> DataFrame:
+    """Per packed graph: verdict and why, of a screen for a Hamiltonian cycle.
+
+    An unconnected graph has none; a least degree of half the nodes, rounded down (Dirac), or summed degrees of the
+    nodes for all pairs that no edge joins (Ore), passes; else it fails.
+    """
+    import pyarrow as pa
+
+    from walkloom.operators.walks import component_roots
+
+    def screen(n, edges):
+        near = [set() for _ in range(n)]
+        for a, b in edges:
+            near[a].add(b)
+            near[b].add(a)
+        deg = [len(x) for x in near]
+        if any(component_roots(n, edges)):
+            return False, "unconnected"
+        if min(deg, default=0) >= n // 2:
+            return True, "dirac"
+        if all(deg[a] + deg[b] >= n for a in range(n) for b in range(a + 1, n) if b not in near[a]):
+            return True, "ore"
+        return False, "neither"
+
+    def run(batches):
+        for b in batches:
+            found = [screen(len(g["types"]), [(e["src"], e["dst"]) for e in g["edges"] or ()]) for g in b.select(["types", "edges"]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("graph_id"), pa.array([x for x, _ in found], pa.bool_()), pa.array([y for _, y in found], pa.string())], ["graph_id", "verdict", "why"])
+
+    return packed.mapInArrow(run, "graph_id long, verdict boolean, why string")
+
+
+def _steps(paths: DataFrame) -> DataFrame:
+    n = F.size("path")
+    step = F.arrays_zip(F.slice("path", F.lit(1), F.greatest(n - 1, F.lit(0))).alias("src"), F.slice("path", F.lit(2), F.greatest(n - 1, F.lit(0))).alias("dst"))
+    return paths.select("graph_id", "path", F.explode_outer(step).alias("s")).select("graph_id", "path", "s.src", "s.dst")
 
 
 def path_weight(paths: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per path (graph_id, path): summed weight of its steps, infinite if an edge is missing."""
-    steps = paths.select("graph_id", "path", F.explode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("src"), F.slice("path", F.lit(2), F.size("path") - 1).alias("dst"))).alias("s")).select("graph_id", "path", "s.src", "s.dst")
-    w = steps.join(edges.select("graph_id", "src", "dst", "weight"), ["graph_id", "src", "dst"], "left")
-    return w.groupBy("graph_id", "path").agg(F.sum(F.coalesce("weight", F.lit(float("inf")))).alias("total"))
+    """Per path (graph_id, path): summed weight of its steps, infinite if an edge is missing, 0 without steps."""
+    w = _steps(paths).join(edges.select("graph_id", "src", "dst", "weight"), ["graph_id", "src", "dst"], "left")
+    return w.groupBy("graph_id", "path").agg(F.sum(F.when(F.col("src").isNull(), 0.0).otherwise(F.coalesce("weight", F.lit(float("inf"))))).alias("total"))
+
+
+def path_validity(paths: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per path (graph_id, path): whether it is a Hamiltonian path, each node once along edges, and a cycle, where an edge leads back as well.
+
+    For the cycle, the first node at the end once more is left out.
+    """
+    size = nodes.groupBy("graph_id").agg(F.count("*").alias("n"))
+    e = edges.select("graph_id", "src", "dst").distinct().withColumn("there", F.lit(1))
+    closed = (F.size("path") > 1) & (F.get("path", F.lit(0)) == F.element_at("path", -1))
+    core = paths.filter(F.size("path") > 0).withColumn("whole", F.col("path")).withColumn("path", F.when(closed, F.slice("path", F.lit(1), F.size("path") - 1)).otherwise(F.col("path")))
+    steps = _steps(core.select("graph_id", "path").distinct()).join(e, ["graph_id", "src", "dst"], "left").groupBy("graph_id", "path").agg(F.count_if(F.col("src").isNotNull() & F.col("there").isNull()).alias("missing"))
+    ends = core.join(steps, ["graph_id", "path"]).join(size, "graph_id").withColumns({"src": F.element_at("path", -1), "dst": F.get("path", F.lit(0))}).join(e, ["graph_id", "src", "dst"], "left")
+    once = (F.col("missing") == 0) & (F.size("path") == F.col("n")) & (F.size(F.array_distinct("path")) == F.col("n"))
+    return ends.select("graph_id", F.col("whole").alias("path"), (once & (F.size("whole") == F.size("path"))).alias("is_path"), (once & F.col("there").isNotNull()).alias("is_cycle"))
 
 
 def type_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -105,26 +152,29 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy("graph_id", column).agg(F.count("*").alias("cnt"))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """graph_id, node_id, root (least node of the component), rank (from 0, by size downwards, ties to the least root). Graphs are packed, one a row."""
+def components(packed: DataFrame) -> DataFrame:
+    """graph_id, node_id, root (least node of the component), rank (from 0, by size downwards, ties to the least root) of packed graphs."""
     import pyarrow as pa
 
     from walkloom.operators.walks import component_roots
-    from walkloom.sources.views import pack
 
     def run(batches):
+        import numpy as np
+
         for b in batches:
-            out: dict = {"graph_id": [], "node_id": [], "root": []}
-            for g in b.to_pylist():
-                roots = component_roots(len(g["types"]), [(e["src"], e["dst"]) for e in g["edges"] or ()])
-                out["graph_id"] += [g["graph_id"]] * len(roots)
+            out: dict = {"graph_id": [], "node_id": [], "root": [], "rank": []}
+            for g, types, edges in zip(*(b.column(c) for c in ("graph_id", "types", "edges"))):
+                ends = (x.to_numpy() for x in (edges.values.field("src"), edges.values.field("dst"))) if edges.values is not None else ((), ())
+                roots = component_roots(len(types), zip(*(x.tolist() if len(x) else [] for x in ends)))
+                least, size = np.unique(roots, return_counts=True)
+                rank = dict(zip(least[np.lexsort((least, -size))].tolist(), range(len(least))))
+                out["graph_id"] += [g.as_py()] * len(roots)
                 out["node_id"] += range(len(roots))
                 out["root"] += roots
-            yield pa.RecordBatch.from_arrays([pa.array(out["graph_id"], pa.int64()), pa.array(out["node_id"], pa.int32()), pa.array(out["root"], pa.int32())], list(out))
+                out["rank"] += [rank[r] for r in roots]
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k == "graph_id" else pa.int32()) for k, v in out.items()], list(out))
 
-    c = pack(nodes, edges).mapInArrow(run, "graph_id long, node_id int, root int")
-    size = F.count("*").over(W.partitionBy("graph_id", "root"))
-    return c.withColumn("_s", size).withColumn("rank", (F.dense_rank().over(W.partitionBy("graph_id").orderBy(F.col("_s").desc(), "root")) - 1).cast("int")).drop("_s")
+    return packed.select("graph_id", "types", "edges").mapInArrow(run, "graph_id long, node_id int, root int, rank int")
 
 
 def spread_components(nodes: DataFrame, edges: DataFrame, save) -> DataFrame:
@@ -138,14 +188,42 @@ def spread_components(nodes: DataFrame, edges: DataFrame, save) -> DataFrame:
         labels = new.drop("moved")
 
 
-def wl_hash(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
-    """graph_id, wl: a Weisfeiler-Lehman digest."""
-    v = nodes.select("graph_id", "node_id", F.md5(F.col("node_type").cast("string").cast("binary")).alias("label"))
-    e = edges.select("graph_id", "src", F.col("dst").alias("node_id"), "edge_type")
-    for _ in range(rounds):
-        near = e.join(v, ["graph_id", "node_id"]).groupBy("graph_id", F.col("src").alias("node_id")).agg(F.concat_ws("|", F.array_sort(F.collect_list(F.concat_ws(":", F.col("edge_type").cast("string"), "label")))).alias("n"))
-        v = v.join(near, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.md5(F.concat_ws("/", "label", F.coalesce("n", F.lit(""))).cast("binary")).alias("label"))
-    return v.groupBy("graph_id").agg(F.md5(F.concat_ws("|", F.array_sort(F.collect_list("label"))).cast("binary")).alias("wl"))
+def wl_hash(packed: DataFrame, rounds: int = 3) -> DataFrame:
+    """graph_id, wl: a Weisfeiler-Lehman digest, of packed graphs. A graph is a row, so no round is shuffled."""
+    import pyarrow as pa
+
+    def run(batches):
+        from hashlib import md5
+
+        digest = lambda s: md5(s.encode()).hexdigest()
+        for b in batches:
+            out = []
+            for g in b.select(["types", "edges"]).to_pylist():
+                labels, near = [digest(str(t)) for t in g["types"]], [[] for _ in g["types"]]
+                for e in g["edges"] or ():
+                    near[e["src"]].append((e["dst"], f"{e['edge_type']}:"))
+                for _ in range(rounds):
+                    labels = [digest(x + "/" + "|".join(sorted(t + labels[u] for u, t in near[v]))) for v, x in enumerate(labels)]
+                out.append(digest("|".join(sorted(labels))))
+            yield pa.RecordBatch.from_arrays([b.column("graph_id"), pa.array(out, pa.string())], ["graph_id", "wl"])
+
+    return packed.mapInArrow(run, "graph_id long, wl string")
+
+
+def signature(packed: DataFrame) -> DataFrame:
+    """graph_id, signature: a digest of a graph's types and edges in their stored order."""
+    types = F.concat_ws(",", F.transform("types", lambda t: t.cast("string")))
+    edges = F.concat_ws(",", F.transform("edges", lambda e: F.concat_ws("-", e["src"].cast("string"), e["dst"].cast("string"), e["edge_type"].cast("string"))))
+    return packed.select("graph_id", F.md5(F.concat_ws("|", types, edges).cast("binary")).alias("signature"))
+
+
+def reordered(rows: DataFrame, reference: DataFrame) -> DataFrame:
+    """rows (signature, graph_id) with place: that of the reference row (signature, place) of the same signature, first to first.
+
+    A row without a partner has none.
+    """
+    nth = lambda order: F.row_number().over(W.partitionBy("signature").orderBy(order))
+    return rows.withColumn("_n", nth("graph_id")).join(reference.select("signature", "place", nth("place").alias("_n")), ["signature", "_n"], "left").drop("_n")
 
 
 def flatten_kinds(nodes: DataFrame) -> DataFrame:

@@ -6,13 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: The main metric of a task.
-PRIMARY = {"regression": ("mae", False), "multi_target_regression": ("mae", False), "binary_classification": ("accuracy", True), "classification": ("accuracy", True), "multi_label_classification": ("ap", True)}
-PRIMARY_BY_DATASET = {"molhiv": ("roc_auc", True)}
+from walkloom.operators.splits import buckets
 
+#: The main metric of a task, and the tasks whose metric is to rise.
+PRIMARY = {"mlm": "loss", "regression": "mae", "multi_target_regression": "mae", "binary_classification": "roc_auc", "classification": "accuracy", "multi_label_classification": "ap"}
+RISING = ("binary_classification", "classification", "multi_label_classification")
 
-def primary(task: str, dataset: str | None = None) -> tuple[str, bool]:
-    return PRIMARY_BY_DATASET.get(dataset) or PRIMARY[task]
+
+def primary(task, dataset) -> tuple[Column, Column]:
+    """Columns: the main metric of a task, and whether it is to rise. Unknown tasks go by loss; classification of molhiv by roc_auc."""
+    task, dataset = F.col(task), F.col(dataset)
+    known = F.create_map(*[F.lit(x) for kv in PRIMARY.items() for x in kv])
+    special = (task == "classification") & F.coalesce(dataset == "molhiv", F.lit(False))
+    return F.when(special, "roc_auc").otherwise(F.coalesce(F.try_element_at(known, task), F.lit("loss"))), F.coalesce(task.isin(*RISING), F.lit(False))
 
 
 def by_graph(pred: DataFrame, how: str = "avg") -> DataFrame:
@@ -73,12 +79,25 @@ def classification(df: DataFrame) -> DataFrame:
 
 
 def ranking(df: DataFrame, *by: str) -> DataFrame:
-    """roc_auc and ap of y (0 or 1) by score; ties share their rank. Rows are first summed by distinct score."""
+    """roc_auc and ap of y (0 or 1) by score; ties share their rank. Rows are first summed by distinct score.
+
+    Scores are dealt by ranges, and sums within a range are added to those of the ranges below it, so no task sees all scores.
+    """
     g = df.groupBy(*by, "score").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    up = W.partitionBy(*by).orderBy("score")
-    down = W.partitionBy(*by).orderBy(F.col("score").desc())
-    g = g.withColumns({"_below": F.sum(F.col("n") - F.col("pos")).over(up) - (F.col("n") - F.col("pos")), "_tp": F.sum("pos").over(down), "_all": F.sum("n").over(down)})
-    x = g.groupBy(*by).agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.sum(F.col("pos") * (F.col("_below") + (F.col("n") - F.col("pos")) / 2)).alias("u"), F.sum(F.col("pos") * F.col("_tp") / F.col("_all")).alias("s"))
+    g = g.withColumn("_p", buckets(g, F.col("score")))
+    own = W.partitionBy("_p", *by).orderBy("score")
+    g = g.withColumns({"_pos": F.sum("pos").over(own), "_n": F.sum("n").over(own)})
+    parts = g.groupBy("_p", *by).agg(F.max("_pos").alias("a"), F.max("_n").alias("b"))  # a row a range
+    before = W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    parts = parts.select("_p", *[F.col(c).alias(f"_{c}") for c in by], zero(F.sum("a").over(before)).alias("_a"), zero(F.sum("b").over(before)).alias("_b"), F.sum("a").over(W.partitionBy(*by)).alias("_t"), F.sum("b").over(W.partitionBy(*by)).alias("_all"))
+    on = g["_p"] == parts["_p"]
+    for c in by:
+        on &= g[c].eqNullSafe(parts[f"_{c}"])
+    x = g.join(F.broadcast(parts), on).withColumns({"_pos": F.col("_pos") + F.col("_a"), "_n": F.col("_n") + F.col("_b")})
+    below = F.col("_n") - F.col("_pos") - (F.col("n") - F.col("pos"))
+    tp, seen = F.col("_t") - F.col("_pos") + F.col("pos"), F.col("_all") - F.col("_n") + F.col("n")
+    x = x.groupBy(*by).agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.sum(F.col("pos") * (below + (F.col("n") - F.col("pos")) / 2)).alias("u"), F.sum(F.col("pos") * tp / seen).alias("s"))
     neg = F.col("n") - F.col("pos")
     return x.select(*by, F.when((F.col("pos") > 0) & (neg > 0), F.col("u") / (F.col("pos") * neg)).alias("roc_auc"), F.when(F.col("pos") > 0, F.col("s") / F.col("pos")).alias("ap"))
 
@@ -134,11 +153,23 @@ def stopped(log: DataFrame, patience: int, maximise: bool = True) -> DataFrame:
     return x.groupBy("run_id").agg(F.max_by("value", F.struct("_v", -F.col("epoch"))).alias("best"), F.max_by("epoch", F.struct("_v", -F.col("epoch"))).cast("long").alias("best_epoch"), F.max("_end").cast("long").alias("stop_epoch"))
 
 
-def losses(df: DataFrame) -> DataFrame:
-    """df (y 0 or 1, p) with cross entropy, focal loss (gamma 2), squared and absolute error."""
+def losses(df: DataFrame, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """df (y 0 or 1, p) with cross entropy, that weighted by class, focal loss (gamma 2), squared and absolute error."""
     p = F.least(F.greatest(F.col("p"), F.lit(1e-7)), F.lit(1 - 1e-7))
     pt = F.when(F.col("y") == 1, p).otherwise(1 - p)
-    return df.withColumns({"ce": -F.log(pt), "focal": -F.pow(1 - pt, F.lit(2.0)) * F.log(pt), "l2": F.pow(F.col("y") - F.col("p"), F.lit(2.0)), "l1": F.abs(F.col("y") - F.col("p"))})
+    w = F.when(F.col("y") == 1, F.lit(float(weights[1]))).otherwise(F.lit(float(weights[0])))
+    return df.withColumns({"ce": -F.log(pt), "weighted_ce": -w * F.log(pt), "focal": -F.pow(1 - pt, F.lit(2.0)) * F.log(pt), "l2": F.pow(F.col("y") - F.col("p"), F.lit(2.0)), "l1": F.abs(F.col("y") - F.col("p"))})
+
+
+def two_way_kl(a, b) -> Column:
+    """The mean of both Kullback-Leibler divergences of two arrays of probabilities."""
+    x = F.zip_with(a, b, lambda p, q: (p - q) * (F.log(p) - F.log(q)))
+    return F.aggregate(x, F.lit(0.0), lambda s, y: s + y) / 2
+
+
+def mixup(a, b, share) -> Column:
+    """Two arrays mixed member by member."""
+    return F.zip_with(a, b, lambda x, y: x * share + y * (1 - share))
 
 
 def schedule(spark, steps: int, warm: int, floor: float = 0.01) -> DataFrame:

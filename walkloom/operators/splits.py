@@ -14,18 +14,37 @@ def _named(k: Column, n: Column, ratios=RATIOS) -> Column:
     return F.when(k < a, "train").when(k < b, "val").otherwise("test")
 
 
+def buckets(rows: DataFrame, key: Column) -> Column:
+    """The number of each row's range of a numeric key, null and least first. Bounds are fixed numbers from approximate quantiles, so a row is in the same range each time it is read."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = rows.agg(F.percentile_approx(key.cast("double"), [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    cuts = F.array(*[F.lit(float(x)) for x in sorted(set(bounds))]).cast("array<double>")
+    return F.size(F.filter(cuts, lambda b: b < key.cast("double")))
+
+
 def placed(rows: DataFrame, *order, by: str | None = None, ratios=RATIOS) -> DataFrame:
-    """rows with split by place in an order, within each value of by if given.
+    """rows with split by place in an order (its first column numeric), within each value of by if given.
 
     Places are taken within ranges of the order, so no task sees all rows: each row's place is its place in its range and the count of rows before the range.
     """
     if by:
         w = W.partitionBy(by)
         return rows.withColumn("split", _named(F.row_number().over(w.orderBy(*order)) - 1, F.count("*").over(w), ratios))
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = spread.groupBy("_p").agg(F.count("*").alias("c"))
+    first = F.col(order[0]) if isinstance(order[0], str) else order[0]
+    spread = rows.withColumn("_p", buckets(rows, first))
+    counts = spread.groupBy("_p").agg(F.count("*").alias("c"))  # a row a range
     before = counts.select("_p", F.coalesce(F.sum("c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"), F.sum("c").over(W.partitionBy()).alias("_n"))
-    return spread.join(F.broadcast(before), "_p").withColumn("split", _named(F.col("_b") + F.col("_i"), F.col("_n"), ratios)).drop("_p", "_i", "_b", "_n")
+    place = F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1
+    return spread.withColumn("_i", place).join(F.broadcast(before), "_p").withColumn("split", _named(F.col("_b") + F.col("_i"), F.col("_n"), ratios)).drop("_p", "_i", "_b", "_n")
+
+
+def given(rows: DataFrame, parts: dict[str, DataFrame], key: str = "graph_id") -> DataFrame:
+    """rows with split, of parts that are given: split -> ids. A row in none has no split; faults() tells of ids in several."""
+    every = None
+    for name, ids in parts.items():
+        part = ids.select(F.col(ids.columns[0]).alias(key), F.lit("val" if name == "valid" else name).alias("split"))
+        every = part if every is None else every.union(part)
+    return rows.join(every, key, "left")
 
 
 def arithmetic_key(column: str, seed: int = 42) -> Column:

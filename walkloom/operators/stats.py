@@ -49,7 +49,7 @@ def balance(counts: DataFrame, *by: str) -> DataFrame:
         F.when(F.min("cnt") == 0, F.lit(float("inf"))).otherwise(F.max("cnt") / F.min("cnt")).alias("imbalance"), (F.stddev_pop("cnt") / F.avg("cnt")).alias("cv"),
         F.sum(F.when(F.col("share") > 0, F.col("share") * F.log(F.col("share")))).alias("_plogp"), (1 - (F.sum((2 * F.col("_r")) * F.col("cnt")) / (k * F.sum("cnt")) - (k + 1) / k)).alias("gini_equality"))
     g = g.withColumn("kl", F.col("_plogp") + F.log("classes")).drop("_plogp")
-    return g.withColumn("flagged", (F.col("imbalance") >= 1.5) | (F.col("cv") >= 0.2) | (F.col("entropy_norm") <= 0.98))
+    return g.withColumn("flagged", ((F.col("imbalance") >= 1.5) & (F.col("imbalance") < float("inf"))) | (F.col("cv") >= 0.2) | (F.col("entropy_norm") <= 0.98))
 
 
 def class_weights(counts: DataFrame) -> DataFrame:
@@ -79,14 +79,49 @@ def first_runs(runs: DataFrame, key: str, *order: str) -> DataFrame:
     return runs.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
-#: Metrics an optimiser looks for, in this order, and whether more is better.
-TARGETS = (("mae", False), ("rmse", False), ("mse", False), ("roc_auc", True), ("ap", True), ("accuracy", True), ("f1", True))
+#: Metrics that an optimiser looks for, in this order, and those of which more is better.
+TARGETS = ("mae", "rmse", "roc_auc", "ap", "accuracy", "f1", "precision", "recall")
+MORE_IS_BETTER = ("accuracy", "roc_auc", "ap", "f1", "precision", "recall")
 
 
 def objective(df: DataFrame, metrics: str = "metrics", fallback: str = "best_val_loss") -> DataFrame:
-    """df with objective, to be minimised: the first metric present of TARGETS, negated if more is better; else the fallback."""
-    found = [F.try_element_at(F.col(metrics), F.lit(m)) * (-1 if up else 1) for m, up in TARGETS]
-    return df.withColumn("objective", F.coalesce(*found, F.col(fallback)))
+    """df with metric_name, objective, to be minimised: the first metric present of TARGETS, else the first other by name, else the fallback; negated if more is better.
+
+    A row without any of them is an error.
+    """
+    m = F.col(metrics)
+    there = F.map_filter(m, lambda k, v: v.isNotNull())
+    others = F.array_sort(F.map_keys(there))
+    name = F.coalesce(*[F.when(F.try_element_at(m, F.lit(t)).isNotNull(), F.lit(t)) for t in TARGETS], F.get(others, F.lit(0)), F.when(F.col(fallback).isNotNull(), F.lit(fallback)))
+    value = F.coalesce(F.try_element_at(m, F.col("metric_name")), F.col(fallback))
+    signed = F.when(F.col("metric_name").isin(*MORE_IS_BETTER), -value).otherwise(value)
+    return df.withColumn("metric_name", name).withColumn("objective", F.when(F.col("metric_name").isNull(), F.raise_error(F.lit("no metric to optimise by")).cast("double")).otherwise(signed))
+
+
+def label_kind(df: DataFrame, column: str) -> DataFrame:
+    """label, kind, classes: what a label column holds: a vector, text, real numbers, or whole numbers of two or more classes."""
+    kind = df.schema[column].dataType.simpleString()
+    x = df.agg(F.countDistinct(column).alias("classes")).select(F.lit(column).alias("label"), "classes")
+    fixed = "vector" if kind.startswith("array") else "text" if kind == "string" else "real" if kind in ("float", "double") or kind.startswith("decimal") else None
+    return x.select("label", (F.lit(fixed) if fixed else F.when(F.col("classes") <= 2, "binary").otherwise("multiclass")).alias("kind"), "classes")
+
+
+def pivoted(rows: DataFrame, row: str, column: str, value: str, columns: list) -> DataFrame:
+    """A table of mean values: a row a value of row, a column a value of column."""
+    return rows.groupBy(row).pivot(column, columns).agg(F.avg(value))
+
+
+def with_overall(df: DataFrame, by: str, *aggregates) -> DataFrame:
+    """Aggregates for each value of by and, under "overall", for all."""
+    return df.rollup(by).agg(F.grouping(by).alias("_all"), *aggregates).withColumn(by, F.when(F.col("_all") == 1, "overall").otherwise(F.col(by))).drop("_all")
+
+
+def tasks(spark, **choices) -> DataFrame:
+    """A row each combination of choices, with task_id in their order. As many rows as the product of a few short lists."""
+    out = spark.range(1).select(F.lit(0).cast("long").alias("task_id"))
+    for name, values in choices.items():
+        out = out.select("*", F.posexplode(F.array(*map(F.lit, values))).alias("_i", name)).withColumn("task_id", F.col("task_id") * len(values) + F.col("_i")).drop("_i")
+    return out
 
 
 def unpivoted(df: DataFrame, ids: list[str], values: list[str]) -> DataFrame:

@@ -72,6 +72,23 @@ def code_points(s) -> Column:
     return F.when(F.length(s) > 0, F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.ascii(c))).otherwise(F.array().cast("array<int>"))
 
 
+def texts_to_points(rows: DataFrame) -> DataFrame:
+    """graph_id, tokens of rows (graph_id, text), by Arrow: a text's UTF-32 units are its code points. Null text is empty."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                points = [np.frombuffer((t.as_py() or "").encode("utf-32-le"), np.int32) for t in part.column(1)]
+                ends = np.cumsum([0, *map(len, points)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*points, np.zeros(0, np.int32)])))], ["graph_id", "tokens"])
+
+    return rows.select(F.col("graph_id").cast("long"), "text").mapInArrow(run, "graph_id long, tokens array<int>")
+
+
 def readable(tokens: str) -> Column:
     """Element symbols for odd tokens, bond glyphs for even ones."""
     return F.concat_ws("", F.transform(tokens, lambda t: F.coalesce(F.when(t % 2 == 1, F.try_element_at(_map(SYMBOLS), F.shiftright(t, 1))).otherwise(F.try_element_at(_map(GLYPHS), F.shiftright(t, 1))), F.lit("?"))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,9 +17,31 @@ def frequencies(tokens: DataFrame) -> DataFrame:
     return tokens.filter("tok >= 0").groupBy("tok").agg(F.count("*").alias("cnt"), F.min(F.struct("graph_id", "pos")).alias("first"))
 
 
+def frequencies_of(sequences: DataFrame) -> DataFrame:
+    """As frequencies, from sequences (graph_id, tokens): a batch's tokens are counted where they are."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            b = b.take(pa.array(np.argsort(np.asarray(b.column(0)), kind="stable")))  # so that the first place is that of the least id
+            lists = b.column(1)
+            sizes = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
+            tok, at, n = np.unique(np.asarray(lists.flatten(), dtype=np.int64), return_index=True, return_counts=True)
+            ends = np.cumsum(sizes)
+            row = np.searchsorted(ends, at, side="right")
+            first = pa.StructArray.from_arrays([b.column(0).take(pa.array(row)).cast(pa.int64()), pa.array((at - (ends - sizes)[row]).astype(np.int32))], ["graph_id", "pos"])
+            keep = pa.array(tok >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(tok.astype(np.int32)).filter(keep), pa.array(n).filter(keep), first.filter(keep)], ["tok", "cnt", "first"])
+
+    parts = sequences.select("graph_id", "tokens").mapInArrow(run, "tok int, cnt long, first struct<graph_id: long, pos: int>")
+    return parts.groupBy("tok").agg(F.sum("cnt").alias("cnt"), F.min("first").alias("first"))
+
+
 def build(tokens: DataFrame, min_frequency: int = 1, max_size: int | None = None, compat_pad_zero: bool = False) -> DataFrame:
-    """token, vocab_id, freq: by count downwards, ties to what is seen first; ids follow the special ones."""
-    f = frequencies(tokens).filter(F.col("cnt") >= min_frequency)
+    """token, vocab_id, freq: by count downwards, ties to what is seen first; ids follow the special ones. tokens: as for frequencies, or what that gives."""
+    f = (tokens if "cnt" in tokens.columns else frequencies(tokens)).filter(F.col("cnt") >= min_frequency)
     if compat_pad_zero:
         f = f.filter("tok <> 0")
     rank = F.row_number().over(W.orderBy(F.col("cnt").desc(), "first"))  # one row a distinct token
@@ -25,6 +49,40 @@ def build(tokens: DataFrame, min_frequency: int = 1, max_size: int | None = None
     return out if max_size is None else out.filter(F.col("vocab_id") < max_size)
 
 
+#: Types of a vocabulary that each task holds, at most (16 bytes each); with more, tokens are joined.
+HELD_TYPES = 5_000_000
+
+
+def ids_of(sequences: DataFrame, vocab: DataFrame) -> DataFrame:
+    """sequences with tokens replaced by their ids, in place; unknown tokens are UNK."""
+    import numpy as np
+
+    rows = vocab.select("token", "vocab_id").limit(HELD_TYPES + 1).toArrow()
+    if rows.num_rows > HELD_TYPES:
+        long = to_ids(sequences.select("graph_id", F.posexplode("tokens").alias("pos", "tok")), vocab)
+        lists = long.groupBy("graph_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "vocab_id"))), lambda x: x["vocab_id"]).alias("tokens"))
+        return sequences.drop("tokens").join(lists, "graph_id", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<int>"))).select(sequences.columns)
+    token, ids = (np.asarray(rows.column(c), dtype=np.int64) for c in ("token", "vocab_id"))
+    order = np.argsort(token)
+    token, ids = token[order], ids[order].astype(np.int32)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            lists = b.column(at)
+            flat = np.asarray(lists.flatten(), dtype=np.int64)
+            place = np.minimum(np.searchsorted(token, flat), max(len(token) - 1, 0))
+            new = np.where(token[place] == flat, ids[place], SPECIALS["UNK"]) if len(token) else np.full(len(flat), SPECIALS["UNK"])
+            ends = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))])
+            cols = list(b.columns)
+            cols[at] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(new.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(cols, b.schema.names)
+
+    at = sequences.columns.index("tokens")
+    return sequences.mapInArrow(run, sequences.schema)
+
+
 def coverage(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """total, known, rate of tokens that the vocabulary has."""
     x = frequencies(tokens).join(vocab.select(F.col("token").alias("tok"), "vocab_id"), "tok", "left")
@@ -67,34 +125,90 @@ def length_policy(lengths: DataFrame, policy: str = "max", k: float = 3.0, cap:
     return lengths.agg(F.least(n.cast("long") + 2, F.lit(cap)).cast("long").alias("max_len"))
 
 
-def uniform(salt: str, *keys) -> Column:
-    """A number from 0 to 1 by a hash of the keys."""
-    return F.pmod(F.xxhash64(*keys, F.lit(salt)), F.lit(1 << 30)).cast("double") / float(1 << 30)
+def framed(sequences: DataFrame, max_len: int) -> DataFrame:
+    """As encoded, from sequences of ids (graph_id, tokens)."""
+    body = F.concat(F.array(F.lit(SPECIALS["CLS"])), F.slice("tokens", 1, max_len - 2), F.array(F.lit(SPECIALS["SEP"])))
+    n = F.size("b")
+    pad = lambda x: F.array_repeat(F.lit(x), (max_len - n).cast("int"))
+    return sequences.withColumn("b", body).select("graph_id", F.concat("b", pad(SPECIALS["PAD"])).alias("input_ids"), F.concat(F.array_repeat(F.lit(1), n), pad(0)).alias("attention_mask"))
+
+
+#: A prime below 2 ** 31, so that squares fit in a long.
+PRIME = 2_147_483_647
+
+
+def salt_number(salt: str) -> int:
+    return zlib.crc32(salt.encode()) % PRIME
 
 
-def masked(ids: DataFrame, p: float = 0.15, vocab_size: int = 100, seed: int = 42) -> DataFrame:
-    """graph_id, pos, input_id, label: of the tokens drawn, 80 % are MASK, 10 % another, 10 % stay; labels are -100 elsewhere."""
-    u = lambda s: uniform(f"{s}:{seed}", "graph_id", "pos")
-    drawn = (F.col("vocab_id") >= len(SPECIALS)) & (u("draw") < p)
-    other = (len(SPECIALS) + F.floor(u("token") * (vocab_size - len(SPECIALS)))).cast("int")
-    new = F.when(u("how") < 0.8, SPECIALS["MASK"]).when(u("how") < 0.9, other).otherwise(F.col("vocab_id"))
-    return ids.select("graph_id", "pos", F.when(drawn, new).otherwise(F.col("vocab_id")).alias("input_id"), F.when(drawn, F.col("vocab_id")).otherwise(-100).alias("label"))
+def uniform(salt: str, key: Column | str, place: Column | int = 0) -> Column:
+    """A number from 0 to 1 by whole-number arithmetic on a key and a place, which SQL can repeat."""
+    s, key = salt_number(salt), F.col(key) if isinstance(key, str) else key
+    h = F.pmod(key.cast("long") * 7919 + (F.lit(place) if isinstance(place, int) else place).cast("long") * 104729 + s, F.lit(PRIME).cast("long"))
+    h = (h * h + h * 40503 + s) % PRIME
+    h = (h * h + h * 12345 + 1) % PRIME
+    return h.cast("double") / float(PRIME)
 
 
-def augmented(sequences: DataFrame, how: str, p: float = 0.1, window: int = 3, epoch: int = 0, mask_id: int = SPECIALS["MASK"]) -> DataFrame:
-    """sequences (graph_id, tokens) changed by deletion, insertion, replacement, swap, truncation or masking; the same for the same epoch."""
+def uniform_sql(salt: str, key: str, place: str = "0") -> str:
+    """The same number in SQL."""
+    s = salt_number(salt)
+    h = f"((({key}) * 7919 + ({place}) * 104729 + {s}) % {PRIME})"
+    h = f"(list_transform([{h}], lambda h: (h * h + h * 40503 + {s}) % {PRIME})[1])"
+    return f"(list_transform([{h}], lambda h: (h * h + h * 12345 + 1) % {PRIME})[1] / {float(PRIME)})"
+
+
+def masked(sequences: DataFrame, p: float = 0.15, vocab_size: int = 100, seed: int = 42) -> DataFrame:
+    """graph_id, input_ids, labels of sequences of ids: of the tokens drawn, 80 % are MASK, 10 % another, 10 % stay; labels are -100 elsewhere."""
+    u = lambda s, i: uniform(f"{s}:{seed}", "graph_id", i)
+    drawn = lambda x, i: (x >= len(SPECIALS)) & (u("draw", i) < p)
+    other = lambda i: (len(SPECIALS) + F.floor(u("token", i) * (vocab_size - len(SPECIALS)))).cast("int")
+    new = lambda x, i: F.when(drawn(x, i), F.when(u("how", i) < 0.8, F.lit(SPECIALS["MASK"])).when(u("how", i) < 0.9, other(i)).otherwise(x)).otherwise(x)
+    return sequences.select("graph_id", F.transform("tokens", new).alias("input_ids"), F.transform("tokens", lambda x, i: F.when(drawn(x, i), x).otherwise(F.lit(-100))).alias("labels"))
+
+
+def augmented(sequences: DataFrame, how: str, ratio: float = 0.1, p: float = 1.0, window: int = 3, epoch: int = 0, mask_id: int = SPECIALS["MASK"], valid: tuple[int, ...] = ()) -> DataFrame:
+    """sequences (graph_id, tokens) changed by deletion, insertion, replacement, swap, truncation or masking; the same for the same epoch.
+
+    A sequence is changed at all with probability p. Then ratio of its length, rounded down, is the number of places that are deleted
+    (one token stays), inserted at, replaced, swapped with another in a window around a place, or masked (one at least, one stays);
+    truncation leaves a run of at least that share. What is put in comes from valid. Sequences of one token aren't deleted from, swapped, cut or masked.
+    """
     t, n = F.col("tokens"), F.size("tokens")
-    u = lambda s, i: uniform(f"{s}:{epoch}", "graph_id", i)
-    other = lambda i: F.element_at(t, (F.floor(u("pick", i) * n) + 1).cast("int"))
+    u = lambda s, i=0: uniform(f"{how}:{s}:{epoch}", "graph_id", i)
+    count = F.floor(n * ratio + 1e-9).cast("int")
+    at = lambda a, i: F.get(a, i.cast("int"))
+    token = lambda i: F.element_at(F.array(*map(F.lit, valid)), (F.floor(u("token", i) * len(valid)) + 1).cast("int"))
+    ranked = F.array_sort(F.transform(t, lambda x, i: F.struct(u("place", i).alias("u"), i.alias("i"))))
+    chosen = lambda k: F.transform(F.slice(ranked, F.lit(1), k), lambda s: s["i"])
+    many = n > 1
+
+    def swapped(acc, j):
+        lo = F.greatest(F.lit(0), F.floor(u("centre", j) * n).cast("int") - window // 2)
+        size = F.least(n, F.floor(u("centre", j) * n).cast("int") + window // 2 + 1) - lo
+        a = (F.floor(u("a", j) * size)).cast("int")
+        b = ((a + 1 + F.floor(u("b", j) * (size - 1))) % size).cast("int")
+        return F.when(size >= 2, F.transform(acc, lambda x, i: F.when(i == lo + a, at(acc, lo + b)).when(i == lo + b, at(acc, lo + a)).otherwise(x))).otherwise(acc)
+
+    steps = lambda k: F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
+    least = F.greatest(F.lit(1), count)
+    start = F.floor(u("start") * (n - least + 1)).cast("int")
+    length = least + F.floor(u("end") * (n - start - least + 1)).cast("int")
+
+    def inserted():
+        where = F.transform(steps(count), lambda j: F.struct(F.floor(u("where", j) * (n + 1)).cast("int").alias("p"), token(j).alias("x")))
+        put = lambda i: F.transform(F.filter(where, lambda s: s["p"] == i), lambda s: s["x"])
+        return F.concat(F.flatten(F.transform(t, lambda x, i: F.concat(put(i), F.array(x)))), put(n))
+
     new = {
-        "deletion": F.filter(t, lambda x, i: (u("delete", i) >= p) | (i == 0)),
-        "insertion": F.flatten(F.transform(t, lambda x, i: F.when(u("insert", i) < p, F.array(x, other(i))).otherwise(F.array(x)))),
-        "replacement": F.transform(t, lambda x, i: F.when(u("replace", i) < p, other(i)).otherwise(x)),
-        "swap": F.transform(F.array_sort(F.transform(t, lambda x, i: F.struct(F.floor(i / window).alias("a"), F.when(u("window", F.floor(i / window)) < p, u("swap", i)).otherwise(i.cast("double") / 1e9).alias("b"), i.alias("i"), x.alias("x")))), lambda s: s["x"]),
-        "truncation": F.slice(t, F.lit(1), F.greatest(F.lit(1), F.ceil(n * (1 - p * uniform(f"cut:{epoch}", "graph_id"))).cast("int"))),
-        "masking": F.transform(t, lambda x, i: F.when(u("mask", i) < p, F.lit(mask_id)).otherwise(x)),
-    }[how]
-    return sequences.withColumn("tokens", F.when(n > 0, new).otherwise(t))
+        "deletion": lambda: F.when(many, F.filter(t, lambda x, i: ~F.array_contains(chosen(F.least(count, n - 1)), i))).otherwise(t),
+        "insertion": inserted,
+        "replacement": lambda: F.transform(t, lambda x, i: F.when(F.array_contains(chosen(F.least(count, n)), i), token(i)).otherwise(x)),
+        "swap": lambda: F.when(many, F.aggregate(steps(count), t, swapped)).otherwise(t),
+        "truncation": lambda: F.when(many & (least < n), F.slice(t, start + 1, length)).otherwise(t),
+        "masking": lambda: F.when(many, F.transform(t, lambda x, i: F.when(F.array_contains(chosen(F.greatest(F.lit(1), F.least(count, n - 1))), i), F.lit(mask_id)).otherwise(x))).otherwise(t),
+    }[how]()
+    return sequences.withColumn("tokens", F.when((n > 0) & (u("gate") <= p), new).otherwise(t))
 
 
 def compose(sequences: DataFrame, steps: list[dict]) -> DataFrame:
@@ -103,7 +217,12 @@ def compose(sequences: DataFrame, steps: list[dict]) -> DataFrame:
     return sequences
 
 
-PRESETS = {"pretrain": [{"how": "swap"}], "finetune": [{"how": "swap"}, {"how": "masking"}]}
+#: Presets of steps.
+PRESETS = {
+    "default": [{"how": "deletion", "ratio": 0.05, "p": 0.3}, {"how": "swap", "ratio": 0.05, "p": 0.3}],
+    "aggressive": [{"how": "deletion", "ratio": 0.1, "p": 0.5}, {"how": "swap", "ratio": 0.1, "p": 0.5}, {"how": "truncation", "ratio": 0.6, "p": 0.3}],
+    "conservative": [{"how": "deletion", "ratio": 0.02, "p": 0.2}, {"how": "swap", "ratio": 0.02, "p": 0.2}],
+}
 
 
 def one_variant(sequences: DataFrame, how: str = "first", seed: int = 42) -> DataFrame:

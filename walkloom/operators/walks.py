@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Nodes of odd degree up to which the matching is found by trying all subsets.
-EXACT_MATCH = 14
+from walkloom.operators import matching
+
 METHODS = ("feuler", "eulerian", "cpp", "fcpp", "bfs", "dfs", "topo")
 
 
@@ -92,52 +92,49 @@ def shortest(near: dict[int, list[tuple[int, float]]], start: int) -> tuple[dict
     return dist, prev
 
 
-def match(odd: list[int], cost) -> list[tuple[int, int]]:
-    """Pairs of all of odd (an even number) at least summed cost; beyond EXACT_MATCH, cheapest first and then swapped while that saves."""
-    n = len(odd)
-    if n <= EXACT_MATCH:
-        best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
-        for mask in range(1, 1 << n):
-            if mask.bit_count() % 2:
-                continue
-            i = (mask & -mask).bit_length() - 1
-            best[mask] = min(((best[mask ^ (1 << i) ^ (1 << j)][0] + cost(odd[i], odd[j]), best[mask ^ (1 << i) ^ (1 << j)][1] + ((odd[i], odd[j]),)) for j in range(i + 1, n) if mask >> j & 1), key=lambda x: x[0])
-        return list(best[(1 << n) - 1][1])
-    left, pairs = set(odd), []
-    for _, a, b in sorted((cost(a, b), a, b) for k, a in enumerate(odd) for b in odd[k + 1 :]):
-        if a in left and b in left:
-            left -= {a, b}
-            pairs.append((a, b))
-    better = True
-    while better:
-        better = False
-        for i in range(len(pairs)):
-            for j in range(i + 1, len(pairs)):
-                (a, b), (c, d) = pairs[i], pairs[j]
-                now = cost(a, b) + cost(c, d)
-                for p, q in (((a, c), (b, d)), ((a, d), (b, c))):
-                    if cost(*p) + cost(*q) < now - 1e-12:
-                        pairs[i], pairs[j], better = p, q, True
-                        now = cost(*p) + cost(*q)
-    return pairs
+def walked_twice(near: dict[int, dict[int, float]]) -> list[tuple[int, int]]:
+    """Edges that, walked once more, leave no node of odd degree, at the least summed cost. near: costs by node and neighbour.
+
+    An edge to a node of degree one must be in if that node is odd, so such nodes are taken off one after another;
+    what is left is solved by shortest paths between odd nodes and a least-cost matching of these.
+    """
+    odd = {v for v, x in near.items() if len(x) % 2}
+    left, again = {v: dict(x) for v, x in near.items()}, []
+    ends = [v for v, x in left.items() if len(x) == 1]
+    while ends:
+        v = ends.pop()
+        if len(left[v]) != 1:
+            continue
+        (u, _), left[v] = *left[v].items(), {}
+        del left[u][v]
+        if v in odd:
+            again.append((u, v))
+            odd ^= {u, v}
+        if len(left[u]) == 1:
+            ends.append(u)
+    lists, rest = {v: sorted(x.items()) for v, x in left.items()}, sorted(odd)
+    paths = {v: shortest(lists, v) for v in rest}
+    for a, b in matching.pairs(rest, lambda a, b: paths[a][0][b]):
+        while b != a:
+            again.append((paths[a][1][b], b))
+            b = paths[a][1][b]
+    return again
 
 
-def postman(nodes, edges, start, costs=None):
-    """A closed walk over every pair of nodes joined by an edge, with the cheapest pairs walked twice. costs: of a pair, 1 if none are given."""
+def pair_costs(edges, costs=None) -> dict[int, dict[int, float]]:
+    """Costs by node and neighbour; 1 if none are given."""
     near: dict[int, dict[int, float]] = {}
     for s, d, *_ in edges:
-        if d not in near.get(s, ()):
+        if d != s and d not in near.get(s, ()):
             near.setdefault(s, {})[d] = near.setdefault(d, {})[s] = costs[min(s, d), max(s, d)] if costs else 1.0
-    odd = sorted(v for v in near if len(near[v]) % 2)
-    lists = {v: sorted(x.items()) for v, x in near.items()}
-    paths = {v: shortest(lists, v) for v in odd}
-    again: list[tuple[int, int]] = []
-    for a, b in match(odd, lambda a, b: paths[a][0][b]) if odd else ():
-        while b != a:
-            again.append((paths[a][1][b], b))
-            b = paths[a][1][b]
+    return near
+
+
+def postman(nodes, edges, start, costs=None):
+    """A closed walk over every pair of nodes joined by an edge, with the cheapest pairs walked twice. costs: of a pair, 1 if none are given."""
+    near = pair_costs(edges, costs)
     left: dict[int, list[int]] = {v: sorted(x) for v, x in near.items()}
-    for a, b in again:
+    for a, b in walked_twice(near):
         left[a].append(b)
         left[b].append(a)
     left = {v: sorted(x, reverse=True) for v, x in left.items()}
@@ -153,14 +150,19 @@ def postman(nodes, edges, start, costs=None):
     return done[::-1]
 
 
-def fcpp(nodes, edges, start):
+def fcpp_costs(edges) -> dict:
+    """The costs of pairs by the logarithm of their triplets' counts, from 0.5 for the commonest to 1."""
     import math
 
-    weight = {}
+    weight: dict = {}
     for s, d, _, c in edges:
         weight.setdefault((min(s, d), max(s, d)), math.log10(max(c, 1)))
     lo, hi = min(weight.values(), default=0), max(weight.values(), default=0)
-    return postman(nodes, edges, start, {k: 0.5 + 0.5 * (1 - ((w - lo) / (hi - lo) if hi > lo else 0.5)) for k, w in weight.items()})
+    return {k: 0.5 + 0.5 * (1 - ((w - lo) / (hi - lo) if hi > lo else 0.5)) for k, w in weight.items()}
+
+
+def fcpp(nodes, edges, start):
+    return postman(nodes, edges, start, fcpp_costs(edges))
 
 
 def bfs(nodes, edges, start):
@@ -219,39 +221,48 @@ def starts(n: int, k: int) -> list[int]:
     return [i * max(1, n // k) % n for i in range(k)] if k else []
 
 
-def tokens_of(path, types, edges, omit, with_edges: bool) -> tuple[list[int], list[str]]:
-    """Node tokens 2t + 1 with edge tokens 2t between them, but for edges of the type omit."""
-    kind = {}
+def tokens_of(path, types, edges, omit, with_edges: bool, named: bool = True, ids: list[int] | None = None) -> tuple[list[int], list[str]]:
+    """Node tokens 2t + 1 with edge tokens 2t between them, but for edges of the type omit; and, if named, what each came from."""
+    if not with_edges:
+        return [2 * types[v] + 1 for v in path], [f"node_{v}" for v in path] if named else []
+    kind: dict = {}
     for k, (s, d, t, _) in enumerate(edges):
         kind.setdefault((s, d), (t, k))
-    tokens, names = [], []
-    for i, v in enumerate(path):
-        tokens.append(2 * types[v] + 1)
-        names.append(f"node_{v}")
-        if with_edges and i + 1 < len(path):
-            t, k = kind.get((v, path[i + 1])) or kind[path[i + 1], v]
+    tokens, names, before = [], [], None
+    for v in path:
+        if before is not None:
+            t, k = kind.get((before, v)) or kind[v, before]
             if t != omit:
                 tokens.append(2 * t)
-                names.append(f"edge_{k}")
+                if named:
+                    names.append(f"edge_{ids[k] if ids else k}")
+        tokens.append(2 * types[v] + 1)
+        if named:
+            names.append(f"node_{v}")
+        before = v
     return tokens, names
 
 
-def walk(types, edges, method: str, start: int = 0, omit: int | None = 1, with_edges: bool = True, separator: int = 7) -> tuple[list[int], list[str]]:
-    """Tokens and what each came from. Euler and postman walks take components by size downwards, parted by a separator."""
+def walk(types, edges, method: str, start: int = 0, omit: int | None = 1, with_edges: bool = True, separator: int = 7, named: bool = True) -> tuple[list[int], list[str]]:
+    """Tokens and, if named, what each came from. Euler and postman walks take components by size downwards, parted by a separator."""
     n, run = len(types), WALKS[method]
     if not n:
         return [], []
     if method in ("bfs", "dfs", "topo"):
-        return tokens_of(run(list(range(n)), edges, start), types, edges, omit, False)
+        return tokens_of(run(list(range(n)), edges, start), types, edges, omit, False, named)
     roots = component_roots(n, [(s, d) for s, d, *_ in edges])
     parts: dict[int, list[int]] = {}
     for v, r in enumerate(roots):
         parts.setdefault(r, []).append(v)
+    own: dict[int, list] = {r: [] for r in parts}
+    ids: dict[int, list[int]] = {r: [] for r in parts}
+    for k, e in enumerate(edges):
+        own[roots[e[0]]].append(e)
+        ids[roots[e[0]]].append(k)
     tokens, names = [], []
     order = sorted(parts, key=lambda r: (-len(parts[r]), r))
     for k, r in enumerate(order):
-        own = [e for e in edges if roots[e[0]] == r] if len(order) > 1 else edges
-        t, e = tokens_of(run(parts[r], own, start if len(order) == 1 else r), types, edges, omit, with_edges)
+        t, e = tokens_of(run(parts[r], own[r], start if len(order) == 1 else r), types, own[r], omit, with_edges, named, ids[r])
         if k:
             tokens.append(separator)
             names.append("component_sep")
@@ -260,21 +271,69 @@ def walk(types, edges, method: str, start: int = 0, omit: int | None = 1, with_e
     return tokens, names
 
 
-def serialize(packed: DataFrame, method: str = "feuler", variants: int = 1, omit: int | None = 1, with_edges: bool = True, separator: int = 7) -> DataFrame:
-    """graph_id, variant_id, tokens, elements of packed graphs. A graph is a row, so nothing is shuffled."""
+def packed_rows(batch):
+    """graph_id, types, edges (src, dst, type, count) of the rows of a batch of packed graphs, without a dictionary an edge."""
+    types, edges = batch.column("types"), batch.column("edges")
+    e = edges.flatten()
+    flat = list(zip(*(e.field(c).to_pylist() for c in ("src", "dst", "edge_type", "cnt")))) if len(e) else []
+    ends = 0
+    for g, t, x in zip(batch.column("graph_id").to_pylist(), types.to_pylist(), edges):
+        n = len(x) if x.is_valid else 0
+        yield g, t or [], flat[ends : ends + n]
+        ends += n
+
+
+def serialize(packed: DataFrame, method: str = "feuler", variants: int = 1, omit: int | None = 1, with_edges: bool = True, separator: int = 7, elements: bool = True) -> DataFrame:
+    """graph_id, variant_id, tokens and, if asked for, elements of packed graphs. A graph is a row, so nothing is shuffled."""
+
+    def run(batches):
+        for b in batches:
+            ids, ks, tokens, names = [], [], [], []
+            for g, types, edges in packed_rows(b):
+                for k, s in enumerate(starts(len(types), variants)):
+                    t, e = walk(types, edges, method, s, omit, with_edges, separator, elements)
+                    ids.append(g)
+                    ks.append(k)
+                    tokens.append(t)
+                    names.append(e)
+            out = [pa.array(ids, pa.int64()), pa.array(ks, pa.int32()), pa.array(tokens, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(names, pa.list_(pa.string()))] if elements else out, ["graph_id", "variant_id", "tokens", "elements"][: 3 + elements])
+
+    return packed.select("graph_id", "types", "edges").mapInArrow(run, "graph_id long, variant_id int, tokens array<int>" + (", elements array<string>" if elements else ""))
+
+
+def postman_costs(packed: DataFrame, weighted: bool = False) -> DataFrame:
+    """graph_id, odd (nodes of odd degree), again (edges walked twice), cost (of these) of packed graphs: the least cost of an even graph."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for g, _, edges in packed_rows(b):
+                costs = fcpp_costs(edges) if weighted else None
+                near = pair_costs(edges, costs)
+                again = walked_twice(near)
+                rows.append((g, sum(len(x) % 2 for x in near.values()), len(again), sum(near[a][b] for a, b in again)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["graph_id", "odd", "again", "cost"])
+
+    return packed.select("graph_id", "types", "edges").mapInArrow(run, "graph_id long, odd long, again long, cost double")
+
+
+def odd_paths(packed: DataFrame) -> DataFrame:
+    """graph_id, src, dst, hops: shortest paths between nodes of odd degree in one component, src < dst."""
 
     def run(batches):
-        schema = pa.schema([("graph_id", pa.int64()), ("variant_id", pa.int32()), ("tokens", pa.list_(pa.int32())), ("elements", pa.list_(pa.string()))])
         for b in batches:
             rows = []
-            for g in b.to_pylist():
-                edges = [tuple(e.values()) for e in g["edges"] or ()]
-                for k, s in enumerate(starts(len(g["types"]), variants)):
-                    t, e = walk(g["types"], edges, method, s, omit, with_edges, separator)
-                    rows.append({"graph_id": g["graph_id"], "variant_id": k, "tokens": t, "elements": e})
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-    return packed.mapInArrow(run, "graph_id long, variant_id int, tokens array<int>, elements array<string>")
+            for g, _, edges in packed_rows(b):
+                near = pair_costs(edges)
+                lists = {v: sorted(x.items()) for v, x in near.items()}
+                odd = [v for v in near if len(near[v]) % 2]
+                for v in odd:
+                    dist = shortest(lists, v)[0]
+                    rows += [(g, v, u, int(dist[u])) for u in odd if u > v and u in dist]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64()))], ["graph_id", "src", "dst", "hops"])
+
+    return packed.select("graph_id", "types", "edges").mapInArrow(run, "graph_id long, src int, dst int, hops long")
 
 
 def provenance(sequences: DataFrame) -> DataFrame:

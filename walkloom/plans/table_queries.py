@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from walkloom import streaming
 from walkloom.operators import bpe, metrics, splits, stats, vocab
 from walkloom.operators import tokenize as T
 from walkloom.plans.graph_queries import six
-from walkloom.plans.views_sql import CHARS, CLS, EVENTS, LABELLED, PRED, VOCAB
+from walkloom.plans.views_sql import CHARS, CLS, EVENTS, LABELLED, PRED, VOCAB, merges
 from walkloom.sources import io, views
 from walkloom.sources.views import table
 
@@ -58,25 +59,59 @@ def _runs(s, d):
 _RUNS = "WITH ru AS (SELECT o_orderkey AS run_id, c_mktsegment AS dataset, o_orderpriority AS method, o_totalprice AS value FROM orders JOIN customer ON o_custkey = c_custkey)\n"
 
 # Scans, filters
-query("O-SC4", "SELECT CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'val' ELSE 'test' END AS split, COUNT(*) AS n FROM labels GROUP BY 1")(lambda s, d: _labelled(s, d).groupBy("split").agg(F.count("*").alias("n")))
-query("O-SC5", "SELECT d.doc_id, coalesce(p.url, '') AS url FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id")(
-    lambda s, d: table(s, d, "documents").select("doc_id").join(table(s, d, "pages").select(F.col("page_id").alias("doc_id"), "url"), "doc_id", "left").withColumn("url", F.coalesce("url", F.lit(""))))
-query("O-SC6", "SELECT n_nationkey AS value, n_name AS name FROM nation")(lambda s, d: table(s, d, "nation").select(F.col("n_nationkey").alias("value"), F.col("n_name").alias("name")))
-query("O-SC7", "SELECT event_type, COUNT(*) AS n, COUNT(*) FILTER (json_extract_string(props, '$.k') IS NULL) AS skipped FROM events GROUP BY 1")(
-    lambda s, d: table(s, d, "events").select("event_type", F.get_json_object("props", "$.k").alias("k")).groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("k").isNull()).alias("skipped")))
-query("O-SK1", EVENTS + "SELECT graph_id, string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY pos) AS tokens FROM ev GROUP BY 1")(lambda s, d: views.sequences(views.user_events(s, d)).withColumn("tokens", F.array_join("tokens", " ")))
+_PLACED = "SELECT doc_id AS graph_id, CASE WHEN k < floor(n * 0.8 + 1e-9) THEN 'train' WHEN k < floor(n * 0.9 + 1e-9) THEN 'val' ELSE 'test' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, COUNT(*) OVER () AS n FROM documents)"
+
+
+def _written(s, name, write, read):
+    """What is read back from a new folder that write fills."""
+    path = io.scratch(s, name)
+    write(path)
+    return read(path)
+
+
+query("O-SC4", _PLACED)(lambda s, d: _written(s, "splits", lambda p: io.write_splits(p, splits.placed(table(s, d, "documents").select(F.col("doc_id").alias("graph_id")), "graph_id")), lambda p: io.read_splits(s, p)))
+query("O-SC5", "SELECT d.doc_id AS graph_id, coalesce(p.url, '') AS url FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id")(
+    lambda s, d: _written(s, "lines", lambda p: table(s, d, "pages").select(F.concat_ws("\t", F.col("page_id").cast("string"), "url").alias("value")).write.text(p), lambda p: io.read_aligned_lines(s, p, table(s, d, "documents").select(F.col("doc_id").alias("graph_id")), "url")))
+query("O-SC6", "SELECT n_nationkey AS value, n_name AS name, CAST(n_regionkey AS DOUBLE) / 4 AS share FROM nation")(
+    lambda s, d: _written(s, "csv", lambda p: table(s, d, "nation").select(F.col("n_nationkey").alias("value"), F.col("n_name").alias("name"), (F.col("n_regionkey") / 4).alias("share")).write.csv(p, header=True), lambda p: io.read_csv(s, p, "value int, name string, share double")))
+
+
+def _metric_files(s, d):
+    """A file of results a nation: some lack their method or test metrics."""
+    n = table(s, d, "nation")
+    test = F.when(F.col("n_nationkey") % 4 == 0, F.create_map(F.lit("mse"), F.col("n_nationkey").cast("double"), F.lit("roc_auc"), F.col("n_nationkey") / 25)).when(F.col("n_nationkey") % 4 == 1, F.create_map(F.lit("mae"), F.col("n_nationkey") / 10, F.lit("accuracy"), F.lit(0.5))).when(F.col("n_nationkey") % 4 == 2, F.create_map(F.lit("zeta"), F.lit(3.0), F.lit("eta"), F.col("n_nationkey").cast("double")))
+    doc = F.to_json(F.struct(F.col("n_name").alias("dataset"), F.when(F.col("n_nationkey") % 5 != 0, "bert").alias("method"), F.lit("regression").alias("task"), test.alias("test_metrics"), (F.col("n_nationkey") / 7).alias("best_val_loss")))
+    path = io.scratch(s, "metrics")
+    n.select(doc.alias("value"), F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation")).repartition(5, "nation").write.partitionBy("region", "nation").text(f"{path}/tree")
+    return f"{path}/tree"
+
+
+query("O-SC7", "SELECT n_name AS dataset, CASE WHEN n_nationkey % 5 = 0 THEN 'method' ELSE '' END AS reason FROM nation")(
+    lambda s, d: (lambda x: x[0].select("dataset", F.lit("").alias("reason")).union(x[1].select(F.get_json_object("value", "$.dataset"), "reason")))(io.read_metrics(s, _metric_files(s, d), pattern="*.txt", keep=("value",))))
+query("O-AG20_files", "SELECT n_name AS dataset, CASE n_nationkey % 4 WHEN 0 THEN 'roc_auc' WHEN 1 THEN 'mae' WHEN 2 THEN 'eta' ELSE 'best_val_loss' END AS metric_name, round(CASE n_nationkey % 4 WHEN 0 THEN -n_nationkey / 25 WHEN 1 THEN n_nationkey / 10 WHEN 2 THEN n_nationkey ELSE n_nationkey / 7 END, 6) AS objective FROM nation WHERE n_nationkey % 5 <> 0")(
+    lambda s, d: six(stats.objective(io.read_metrics(s, _metric_files(s, d), pattern="*.txt")[0].withColumn("metrics", F.coalesce("test_metrics", F.create_map().cast("map<string,double>")))).select("dataset", "metric_name", "objective"), "objective"))
+query("O-SK1", EVENTS + "SELECT graph_id, string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY pos) AS tokens FROM ev GROUP BY 1")(
+    lambda s, d: _written(s, "sequences", lambda p: [io.write_sequences(p, views.sequences(views.user_events(s, d)), m, k) for m, k in (("bfs", None), ("feuler", 4), ("feuler", 4))], lambda p: io.read_sequences(s, p, "feuler", 4)).withColumn("tokens", F.array_join("tokens", " ")).select("graph_id", "tokens"))
 query("O-SK5", _RUNS + "SELECT dataset, method, printf('%.4f', sum(CAST(round(value * 100) AS BIGINT)) / 100.0) AS total FROM ru GROUP BY 1, 2")(
     lambda s, d: io.four_places(_runs(s, d).groupBy("dataset", "method").agg((F.sum(F.round(F.col("value") * 100).cast("long")) / 100).alias("total")), ["total"]))
-query("O-PF1", "SELECT c_custkey, c_acctbal AS acctbal, CASE WHEN length(c_name) < 50 THEN c_name END AS name FROM customer")(lambda s, d: table(s, d, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("acctbal"), F.when(F.length("c_name") < 50, F.col("c_name")).alias("name")))
-query("O-PF2", "SELECT p_partkey, p_retailprice AS target FROM part")(lambda s, d: table(s, d, "part").select("p_partkey", F.element_at(F.create_map(F.lit("size"), F.col("p_size").cast("double"), F.lit("price"), F.col("p_retailprice")), "price").alias("target")))
+query("O-PF1", "SELECT c_custkey, c_acctbal AS acctbal, CAST(round(c_acctbal) AS BIGINT) AS whole, c_name AS name, c_nationkey % 2 = 0 AS even FROM customer")(
+    lambda s, d: io.typed_properties(table(s, d, "customer").select("c_custkey", F.create_map(F.lit("acctbal"), F.col("c_acctbal").cast("string"), F.lit("whole"), F.round("c_acctbal").cast("long").cast("string"), F.lit("name"), F.col("c_name"), F.lit("even"), (F.col("c_nationkey") % 2 == 0).cast("string"), F.lit("dropped"), F.lit("x")).alias("properties")), {"acctbal": "double", "whole": "long", "name": "string", "even": "boolean"}))
+query("O-PF2", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_retailprice WHEN p_size % 3 = 1 THEN CAST(p_size AS DOUBLE) ELSE 7.0 END AS target FROM part")(
+    lambda s, d: table(s, d, "part").select("p_partkey", io.target(F.when(F.col("p_size") % 3 == 0, F.create_map(F.lit("price"), F.col("p_retailprice"), F.lit("z"), F.lit(1.0))).when(F.col("p_size") % 3 == 1, F.create_map(F.lit("label"), F.col("p_size").cast("double"), F.lit("a"), F.lit(2.0))).otherwise(F.create_map(F.lit("only"), F.lit(7.0))), "price").alias("target")))
 query("O-PF5", "SELECT doc_id FROM documents WHERE length(text) > 0")(lambda s, d: table(s, d, "documents").filter(F.size(T.code_points("text")) > 0).select("doc_id"))
 query("O-PF6", _RUNS + "SELECT run_id FROM ru WHERE dataset IN ('BUILDING', 'MACHINERY') AND method IN ('1-URGENT', '2-HIGH')")(lambda s, d: _runs(s, d).filter(F.col("dataset").isin("BUILDING", "MACHINERY") & F.col("method").isin("1-URGENT", "2-HIGH")).select("run_id"))
 query("O-TK4", "SELECT p_partkey, (p_size & 1) + (p_size & 2) + (p_size & 4) AS mask FROM part")(lambda s, d: table(s, d, "part").select("p_partkey", T.bitmask(F.array(*[F.shiftright("p_size", k).bitwiseAND(F.lit(1)) for k in range(3)])).alias("mask")))
 query("O-TK5", "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) AS INT) AS c FROM embeddings")(lambda s, d: table(s, d, "embeddings").select("vec_id", T.argmax_class(F.col("embedding")).alias("c")))
 query("O-TK9", "SELECT doc_id, n_chars % 256 AS a, doc_id % 28 + 256 AS b, doc_id % 27 + 512 AS c FROM documents")(
     lambda s, d: table(s, d, "documents").select("doc_id", (F.col("n_chars") % 256).alias("p"), (F.col("doc_id") % 28).alias("x"), (F.col("doc_id") % 27).alias("y")).withColumn("t", T.image_tokens("p", "x", "y")).select("doc_id", *[F.col("t")[k].alias(c) for k, c in enumerate("abc")]))
-query("O-TK10", CHARS + "SELECT * FROM dc")(lambda s, d: views.doc_chars(s, d))
-query("O-SE8", CHARS + "SELECT graph_id, string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY pos) AS tokens FROM dc GROUP BY 1")(lambda s, d: table(s, d, "documents").select(F.col("doc_id").alias("graph_id"), F.array_join(T.code_points("text"), " ").alias("tokens")))
+query("O-TK10", CHARS + "SELECT graph_id, COUNT(*) AS n, md5(string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY pos)) AS points FROM dc GROUP BY 1")(
+    lambda s, d: table(s, d, "documents").select(F.col("doc_id").alias("graph_id"), T.code_points("text").alias("t")).filter(F.size("t") > 0).select("graph_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ").cast("binary")).alias("points")))
+_joined = lambda c: F.md5(F.array_join(c, " ").cast("binary"))
+query("O-SE8", CHARS + "SELECT graph_id, COUNT(*) AS n, md5(string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY pos)) AS tokens FROM dc GROUP BY 1")(lambda s, d: views.doc_sequences(s, d).filter(F.size("tokens") > 0).select("graph_id", F.size("tokens").cast("long").alias("n"), _joined("tokens").alias("tokens")))
+# Other columns of strings of a graph, as smiles_1 to smiles_4.
+for _k, _c in enumerate(("p_name", "p_brand", "p_type"), 1):
+    query(f"O-SE8_{_k}", f"SELECT p_partkey AS graph_id, {_c} AS text, len({_c}) AS n FROM part")(
+        lambda s, d, c=_c: T.texts_to_points(table(s, d, "part").select(F.col("p_partkey").alias("graph_id"), F.col(c).alias("text"))).select("graph_id", F.concat_ws("", F.transform("tokens", lambda t: F.char(t))).alias("text"), F.size("tokens").cast("long").alias("n")))
 query("O-TK13", "WITH x AS (SELECT generate_subscripts(embedding, 1) - 1 AS col, unnest(embedding) AS v FROM embeddings) SELECT CAST(col AS INT) AS col, CAST(min(v) AS FLOAT) AS lo, CAST(max(v) AS FLOAT) AS hi, bool_and(v = floor(v)) AS whole, bool_and(v IN (0, 1)) AS binary FROM x GROUP BY 1")(lambda s, d: T.discrete_columns(table(s, d, "embeddings"), "embedding"))
 query("O-TK14", "WITH g AS (SELECT CAST(range // 16 AS INT) AS r, CAST(range % 16 AS INT) AS c, CAST((range // 16) // 4 * 4 + (range % 16) // 4 AS INT) AS label FROM range(256)) SELECT DISTINCT 0 AS image_id, least(a.label, b.label) AS a, greatest(a.label, b.label) AS b FROM g a JOIN g b ON (b.r = a.r AND b.c = a.c + 1 OR b.c = a.c AND b.r = a.r + 1) WHERE a.label <> b.label")(
     lambda s, d: T.region_adjacency(s.range(256).select(F.lit(0).alias("image_id"), F.floor(F.col("id") / 16).cast("int").alias("r"), (F.col("id") % 16).cast("int").alias("c")).withColumn("label", (F.floor(F.col("r") / 4) * 4 + F.floor(F.col("c") / 4)).cast("int"))))
@@ -87,42 +122,71 @@ query("O-BP1", EVENTS + 'SELECT left_ AS "left", right_ AS "right", cnt FROM pc'
 query("O-BP2", EVENTS + 'SELECT left_ AS "left", right_ AS "right", cnt FROM pc ORDER BY cnt DESC, 1, 2 LIMIT 1')(lambda s, d: bpe.best_pair(bpe.pair_counts(_seqs(s, d))))
 query("O-BP3", EVENTS + ", h AS (SELECT *, tok = 0 AND nxt = 0 AS hit FROM nx WHERE true), g AS (SELECT *, pos - sum(CAST(hit AS INT)) OVER (PARTITION BY graph_id ORDER BY pos) AS grp FROM h), k AS (SELECT *, row_number() OVER (PARTITION BY graph_id, hit, grp ORDER BY pos) AS k FROM g), t AS (SELECT *, hit AND k % 2 = 1 AS take FROM k), f AS (SELECT *, coalesce(lag(take) OVER (PARTITION BY graph_id ORDER BY pos), false) AS gone FROM t) SELECT graph_id, string_agg(CASE WHEN take THEN '9' ELSE CAST(tok AS VARCHAR) END, ' ' ORDER BY pos) AS tokens FROM f WHERE NOT gone GROUP BY 1")(
     lambda s, d: _seqs(s, d).select("graph_id", F.array_join(bpe.merged("tokens", 0, 0, 9), " ").alias("tokens")))
-query("O-BP4")(lambda s, d: bpe.train(_seqs(s, d), merges=50, min_frequency=2))
-query("O-BP5")(lambda s, d: bpe.train(_seqs(s, d), merges=3, strategy="local"))
+_RULES = merges(6) + " " + " UNION ALL ".join(f'SELECT {k} AS rank, l AS "left", r AS "right", new_id, cnt FROM r{k}' for k in range(6))
+query("O-BP4", _RULES)(lambda s, d: bpe.train(_seqs(s, d), merges=6, min_frequency=2))
+query("O-BP4_50")(lambda s, d: bpe.train(_seqs(s, d), merges=50, min_frequency=2))
+# Counts are kept up to date merge by merge; the SQL counts anew.
+query("O-BP5", _RULES)(lambda s, d: bpe.train(_seqs(s, d), merges=6, strategy="local"))
 query("O-BP6", EVENTS + "SELECT COUNT(DISTINCT tok) AS base, max(tok) + 1 AS separator, CAST(10 AS BIGINT) AS merges, COUNT(DISTINCT tok) + 10 AS vocab_size FROM ev")(lambda s, d: bpe.vocab_size(_seqs(s, d), bpe.train(_seqs(s, d), merges=10)))
 
 
 def _encoded(s, d, limit=None):
-    rules = bpe.train(_seqs(s, d), merges=50)
+    rules = bpe.train(_seqs(s, d), merges=6)
     return bpe.decode(bpe.encode(_seqs(s, d), rules, limit), rules)
 
 
-query("O-BP7")(lambda s, d: _encoded(s, d).select("graph_id", F.array_join("encoded", " ").alias("encoded")))
-query("O-BP8")(lambda s, d: _encoded(s, d, 10).select("graph_id", F.array_join("encoded", " ").alias("encoded"), F.array_join("ranks", " ").alias("ranks")))
-query("O-BP9")(lambda s, d: _seqs(s, d).select("graph_id", *[bpe.rank_limit(m, 50, 20).alias(m) for m in ("none", "all", "topk", "random", "triangular", "gaussian")]))
+query("O-BP7", merges(6) + " SELECT graph_id, array_to_string(t, ' ') AS encoded FROM s6")(lambda s, d: _encoded(s, d).select("graph_id", F.array_join("encoded", " ").alias("encoded")))
+_USED = " UNION ALL ".join(f"SELECT DISTINCT graph_id, {k} AS k FROM zs{k + 1} WHERE take" for k in range(3))
+query("O-BP8", merges(3) + f", us AS (SELECT graph_id, string_agg(CAST(k AS VARCHAR), ' ' ORDER BY k) AS ranks FROM ({_USED}) GROUP BY 1) SELECT graph_id, array_to_string(t, ' ') AS encoded, coalesce(ranks, '') AS ranks FROM s3 LEFT JOIN us USING (graph_id)")(
+    lambda s, d: _encoded(s, d, 3).select("graph_id", F.array_join("encoded", " ").alias("encoded"), F.array_join("ranks", " ").alias("ranks")))
+
+
+def _draw(salt):
+    return f"CAST('0x' || substr(md5(graph_id || ':42:{salt}'), 1, 12) AS BIGINT) / {float(1 << 48)}"
+
+
+_GAUSS = "coalesce(" + ", ".join(f"(SELECT x FROM (SELECT CAST(trunc(50 + sqrt(-2 * ln(greatest({_draw(f'a{t}')}, 1e-12))) * cos(2 * pi() * {_draw(f'b{t}')}) * 50 / 3.0) AS BIGINT) AS x) WHERE x BETWEEN 0 AND 50)" for t in range(8)) + ", 50)"
+query("O-BP9", EVENTS + f"SELECT DISTINCT graph_id, 0 AS none, 50 AS all_, 20 AS topk, CAST(floor({_draw('r')} * 51) AS INT) AS random, CAST(floor(50 * sqrt({_draw('t')})) AS INT) AS triangular, CAST({_GAUSS} AS INT) AS gaussian FROM (SELECT DISTINCT graph_id FROM ev)")(
+    lambda s, d: _seqs(s, d).select("graph_id", *[bpe.rank_limit(m, 50, 20).alias({"all": "all_"}.get(m, m)) for m in ("none", "all", "topk", "random", "triangular", "gaussian")]))
 query("O-BP10", "SELECT 0 AS none, 50 AS all_, 20 AS topk, 25 AS random, 20 AS gaussian")(lambda s, d: s.range(1).select(*[F.lit(bpe.eval_limit(m, 50, 20)).alias({"all": "all_"}.get(m, m)) for m in ("none", "all", "topk", "random", "gaussian")]))
-query("O-BP11")(lambda s, d: bpe.encode(_seqs(s, d).withColumn("k", bpe.rank_limit("random", 50)), bpe.train(_seqs(s, d), merges=50), limit_column="k").select("graph_id", "k", F.size("encoded").alias("n")))
+query("O-BP11", merges(6) + f", lim AS (SELECT graph_id, CAST(floor({_draw('r')} * 7) AS INT) AS k FROM s0) SELECT graph_id, k, CASE k " + " ".join(f"WHEN {k} THEN (SELECT array_to_string(t, ' ') FROM s{k} x WHERE x.graph_id = lim.graph_id)" for k in range(7)) + " END AS encoded FROM lim")(
+    lambda s, d: bpe.encode(_seqs(s, d).withColumn("k", bpe.rank_limit("random", 6)), bpe.train(_seqs(s, d), merges=6), limit_column="k").select("graph_id", "k", F.array_join("encoded", " ").alias("encoded")))
 query("O-BP12", EVENTS + "SELECT graph_id, string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY pos) AS decoded FROM ev GROUP BY 1")(lambda s, d: _encoded(s, d).select("graph_id", F.array_join("decoded", " ").alias("decoded")))
-query("O-BP13")(lambda s, d: six(bpe.compression(_encoded(s, d)), "ratio", "exact"))
+query("O-BP13", merges(6) + " SELECT COUNT(*) AS sequences, CAST(sum(len(s0.t)) AS BIGINT) AS before, CAST(sum(len(s6.t)) AS BIGINT) AS after, 1.0 AS exact, CAST(sum(len(s0.t)) - sum(len(s6.t)) AS BIGINT) AS saved, round(sum(len(s6.t)) / sum(len(s0.t)), 6) AS ratio FROM s0 JOIN s6 USING (graph_id)")(lambda s, d: six(bpe.compression(_encoded(s, d)), "ratio", "exact"))
 query("O-BP14", EVENTS + "SELECT CAST(sum(cnt) AS BIGINT) AS total, COUNT(*) AS distinct_pairs, round(sum(cnt) / (SELECT COUNT(DISTINCT graph_id) FROM ev), 6) AS per_sequence FROM pc")(
     lambda s, d: bpe.pair_counts(_seqs(s, d)).agg(F.sum("cnt").alias("total"), F.count("*").alias("distinct_pairs")).crossJoin(_seqs(s, d).agg(F.count("*").alias("n"))).select("total", "distinct_pairs", F.round(F.col("total") / F.col("n"), 6).alias("per_sequence")))
 query("O-BP15")(lambda s, d: bpe.codebook_sizes(bpe.train(_seqs(s, d), merges=50)))
-query("O-BP16")(lambda s, d: bpe.train(views.sequences(views.doc_chars(s, d)), merges=40, min_frequency=20))
-query("O-BP17", "SELECT true AS same")(lambda s, d: (lambda a, b: a.exceptAll(b).union(b.exceptAll(a)).agg((F.count("*") == 0).alias("same")))(bpe.train(_seqs(s, d), 4, strategy="local"), bpe.train(_seqs(s, d), 4, strategy="distributed", save=lambda x: x)))
+query("O-BP15_patterns")(lambda s, d: bpe.codebook_patterns(bpe.train(T.texts_to_points(table(s, d, "part").select(F.col("p_partkey").alias("graph_id"), F.col("p_name").alias("text"))), merges=60), targets=("ing", "er")))
+query("O-BP16")(lambda s, d: bpe.train(views.doc_sequences(s, d), merges=40, min_frequency=20))
+query("O-BP17", _RULES)(lambda s, d: bpe.train(_seqs(s, d), 6, strategy="distributed"))
+query("O-SK2", _RULES)(lambda s, d: _written(s, "codebook", lambda p: io.write_codebook(f"{p}.json", bpe.train(_seqs(s, d), merges=6)), lambda p: io.read_codebook(s, f"{p}.json")))
 
 # Vocabulary
-query("O-VO1", CHARS + "SELECT tok, COUNT(*) AS cnt FROM dc GROUP BY 1")(lambda s, d: vocab.frequencies(views.doc_chars(s, d)).select("tok", "cnt"))
-query("O-VO2", VOCAB + "SELECT * FROM vo")(lambda s, d: vocab.build(views.doc_chars(s, d)))
+query("O-VO1", CHARS + "SELECT tok, COUNT(*) AS cnt FROM dc GROUP BY 1")(lambda s, d: vocab.frequencies_of(views.doc_sequences(s, d)).select("tok", "cnt"))
+_vocab = lambda s, d, least=1: vocab.build(vocab.frequencies_of(views.doc_sequences(s, d)), least)
+query("O-VO2", VOCAB + "SELECT * FROM vo")(lambda s, d: _vocab(s, d))
+query("O-SK3", VOCAB + "SELECT * FROM vo")(lambda s, d: _written(s, "vocab", lambda p: io.write_vocab(p, _vocab(s, d)), lambda p: io.read_vocab(s, p)))
 query("O-VO3", EVENTS + "SELECT CAST(tok AS INT) AS tok, COUNT(*) AS cnt FROM ev GROUP BY 1 UNION ALL SELECT 6, 1")(lambda s, d: vocab.with_all(vocab.frequencies(views.user_events(s, d)), bpe.train(_seqs(s, d), merges=1)))
-query("O-VO4", VOCAB + "SELECT graph_id, pos, coalesce(CASE WHEN freq >= 50 THEN vocab_id END, 1) AS vocab_id FROM dc LEFT JOIN vo ON token = tok")(lambda s, d: vocab.to_ids(views.doc_chars(s, d), vocab.build(views.doc_chars(s, d), 50)))
+query("O-VO4", VOCAB + "SELECT graph_id, COUNT(*) AS n, md5(string_agg(CAST(coalesce(CASE WHEN freq >= 50 THEN vocab_id END, 1) AS VARCHAR), ' ' ORDER BY pos)) AS ids FROM dc LEFT JOIN vo ON token = tok GROUP BY 1")(
+    lambda s, d: vocab.ids_of(views.doc_sequences(s, d), _vocab(s, d, 50)).filter(F.size("tokens") > 0).select("graph_id", F.size("tokens").cast("long").alias("n"), _joined("tokens").alias("ids")))
 query("O-VO5", VOCAB + ", i AS (SELECT graph_id, pos, vocab_id FROM dc JOIN vo ON token = tok WHERE pos < 46), e AS (SELECT graph_id, '3,' || string_agg(CAST(vocab_id AS VARCHAR), ',' ORDER BY pos) || ',4' || repeat(',0', CAST(46 - COUNT(*) AS INT)) AS input_ids, COUNT(*) + 2 AS used FROM i GROUP BY 1) SELECT * FROM e")(
-    lambda s, d: vocab.encoded(vocab.to_ids(views.doc_chars(s, d), vocab.build(views.doc_chars(s, d))), 48).select("graph_id", F.array_join("input_ids", ",").alias("input_ids"), F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("used")))
+    lambda s, d: vocab.framed(vocab.ids_of(views.doc_sequences(s, d), _vocab(s, d)).filter(F.size("tokens") > 0), 48).select("graph_id", F.array_join("input_ids", ",").alias("input_ids"), F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("used")))
 query("O-VO6", VOCAB + ", t AS (SELECT COUNT(*) AS types, COUNT(*) FILTER (freq < 50) AS unknown FROM vo) SELECT types, unknown, round(unknown / types, 6) AS ratio, CASE WHEN unknown / types <= 0.05 THEN 'ok' WHEN unknown / types <= 0.1 THEN 'warn' ELSE 'fail' END AS verdict FROM t")(
-    lambda s, d: six(vocab.compatibility(views.doc_chars(s, d), vocab.build(views.doc_chars(s, d), 50)), "ratio"))
+    lambda s, d: six(vocab.compatibility(vocab.frequencies_of(views.doc_sequences(s, d)), _vocab(s, d, 50)), "ratio"))
 query("O-VO7", "SELECT least(CAST(ceil(avg(n_chars) + 3 * stddev_pop(n_chars)) AS BIGINT) + 2, 8096) AS max_len FROM documents")(lambda s, d: vocab.length_policy(table(s, d, "documents").select(F.col("n_chars").alias("n")), "sigma"))
-query("O-VO8")(lambda s, d: vocab.masked(vocab.to_ids(views.doc_chars(s, d), vocab.build(views.doc_chars(s, d)))))
+_U = lambda what: vocab.uniform_sql(f"{what}:42", "graph_id", "pos")
+query("O-VO8", VOCAB + f", m AS (SELECT graph_id, pos, vocab_id AS x, vocab_id >= 8 AND {_U('draw')} < 0.15 AS drawn, {_U('how')} AS how, CAST(8 + floor({_U('token')} * 92) AS INT) AS other FROM dc JOIN vo ON token = tok) SELECT graph_id, COUNT(*) FILTER (drawn) AS masked, md5(string_agg(CAST(CASE WHEN NOT drawn THEN x WHEN how < 0.8 THEN 2 WHEN how < 0.9 THEN other ELSE x END AS VARCHAR), ' ' ORDER BY pos)) AS input_ids, md5(string_agg(CAST(CASE WHEN drawn THEN x ELSE -100 END AS VARCHAR), ' ' ORDER BY pos)) AS labels FROM m GROUP BY 1")(
+    lambda s, d: vocab.masked(vocab.ids_of(views.doc_sequences(s, d), _vocab(s, d)).filter(F.size("tokens") > 0)).select("graph_id", F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("masked"), _joined("input_ids").alias("input_ids"), _joined("labels").alias("labels")))
+# Augmentations: a gate of 0.7 by sequence, a ratio of 0.1, what is put in from 0 to 4. Swaps follow one another, which SQL can't express.
+_AUG = EVENTS.rstrip() + ", n AS (SELECT *, COUNT(*) OVER (PARTITION BY graph_id) AS n FROM ev), g AS (SELECT *, CAST(floor(n * 0.1 + 1e-9) AS INT) AS k, {gate} <= 0.7 AS go, row_number() OVER (PARTITION BY graph_id ORDER BY {place}, pos) AS place, {token} AS token, {start} AS u1, {end} AS u2 FROM n), c AS (SELECT *, greatest(1, k) AS least, CAST(floor(u1 * (n - greatest(1, k) + 1)) AS INT) AS b FROM g) SELECT graph_id, string_agg(CAST({new} AS VARCHAR), ' ' ORDER BY pos) AS tokens FROM c WHERE {keep} GROUP BY 1"
+_NEW = {
+    "deletion": ("tok", "NOT (go AND n > 1 AND place <= least(k, n - 1))"), "replacement": ("CASE WHEN go AND place <= k THEN CAST(floor(token * 5) AS INT) ELSE tok END", "true"),
+    "truncation": ("tok", "NOT (go AND n > 1 AND least < n) OR pos >= b AND pos < b + least + CAST(floor(u2 * (n - b - least + 1)) AS INT)"), "masking": ("CASE WHEN go AND n > 1 AND place <= greatest(1, least(k, n - 1)) THEN 2 ELSE tok END", "true"),
+}
 for _h in ("deletion", "insertion", "replacement", "swap", "truncation", "masking"):
-    query(f"O-VO9_{_h}")(lambda s, d, h=_h: vocab.augmented(_seqs(s, d), h).select("graph_id", F.array_join("tokens", " ").alias("tokens")))
+    _u = lambda what, place="0", h=_h: vocab.uniform_sql(f"{h}:{what}:0", "graph_id", place)
+    query(f"O-VO9_{_h}", _AUG.format(gate=_u("gate"), place=_u("place", "pos"), token=_u("token", "pos"), start=_u("start"), end=_u("end"), new=_NEW[_h][0], keep=_NEW[_h][1]) if _h in _NEW else None)(
+        lambda s, d, h=_h: vocab.augmented(_seqs(s, d), h, p=0.7, valid=(0, 1, 2, 3, 4)).select("graph_id", F.array_join("tokens", " ").alias("tokens")))
 query("O-VO10", "SELECT conv_id AS graph_id, turn AS variant_id FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1")(lambda s, d: vocab.one_variant(_pred(s, d)).select("graph_id", "variant_id"))
 _price = lambda s, d: table(s, d, "part").select("p_partkey", F.col("p_retailprice").alias("y"))
 query("O-VO11", "SELECT 'standard' AS how, round(avg(p_retailprice), 6) AS shift, round(stddev_pop(p_retailprice), 6) AS scale FROM part UNION ALL SELECT 'minmax', min(p_retailprice), round(max(p_retailprice) - min(p_retailprice), 6) FROM part UNION ALL SELECT 'robust', round(quantile_cont(p_retailprice, 0.5), 6), round(quantile_cont(p_retailprice, 0.75) - quantile_cont(p_retailprice, 0.25), 6) FROM part")(
@@ -142,7 +206,11 @@ query("O-AG6", _C2 + " SELECT split, round(-sum(greatest(share, 1e-12) * ln(grea
 query("O-AG7", _C2 + " SELECT split, round((1 - sum(share * share)) / (1 - 1.0 / COUNT(*)), 6) AS gini_impurity_norm FROM sh GROUP BY 1")(lambda s, d: six(_bal(s, d).select("split", "gini_impurity_norm"), "gini_impurity_norm"))
 query("O-AG8", _C2 + " SELECT split, round(CASE WHEN min(cnt) = 0 THEN CAST('infinity' AS DOUBLE) ELSE max(cnt) / min(cnt) END, 6) AS imbalance FROM sh GROUP BY 1")(lambda s, d: six(_bal(s, d).select("split", "imbalance"), "imbalance"))
 query("O-AG9", _C2 + " SELECT split, round(stddev_pop(cnt) / avg(cnt), 6) AS cv, round(sum(CASE WHEN share > 0 THEN share * ln(share) END) + ln(COUNT(*)), 6) AS kl FROM sh GROUP BY 1")(lambda s, d: six(_bal(s, d).select("split", "cv", "kl"), "cv", "kl"))
-query("O-AG10", _C2 + " SELECT split, CASE WHEN min(cnt) = 0 THEN true ELSE max(cnt) / min(cnt) >= 1.5 OR stddev_pop(cnt) / avg(cnt) >= 0.2 END AS flagged FROM sh GROUP BY 1")(lambda s, d: _bal(s, d).select("split", "flagged"))
+query("O-AG10", _CC + " SELECT split, CASE WHEN min(cnt) > 0 AND max(cnt) / min(cnt) >= 1.5 THEN true ELSE stddev_pop(cnt) / avg(cnt) >= 0.2 OR -sum(greatest(share, 1e-12) * ln(greatest(share, 1e-12))) / ln(COUNT(*)) <= 0.98 END AS flagged, round(CASE WHEN min(cnt) = 0 THEN CAST('infinity' AS DOUBLE) ELSE max(cnt) / min(cnt) END, 6) AS imbalance FROM sh GROUP BY 1")(
+    lambda s, d: six(stats.balance(stats.class_counts(_labelled(s, d), "quality", 3, "split"), "split").select("split", "flagged", "imbalance"), "imbalance"))
+# One class is empty and the others are equal: the ratio isn't finite and doesn't count, the deviation does.
+query("O-AG10_empty", "SELECT 'a' AS split, true AS flagged UNION ALL SELECT 'b', false UNION ALL SELECT 'c', true")(
+    lambda s, d: stats.balance(s.createDataFrame([("a", 0, 5), ("a", 1, 0), ("b", 0, 100), ("b", 1, 99), ("c", 0, 8), ("c", 1, 5)], "split string, label int, cnt long").withColumn("share", F.expr("cnt / sum(cnt) over (partition by split)")), "split").select("split", "flagged"))
 query("O-AG11", LABELLED + "SELECT split, 0 AS label, CAST(sum(quality) AS BIGINT) AS cnt, COUNT(*) AS n FROM lab GROUP BY 1 UNION ALL SELECT split, 1, CAST(sum(toxic) AS BIGINT), COUNT(*) FROM lab GROUP BY 1")(lambda s, d: stats.positives(_labelled(s, d).withColumn("v", F.array("quality", "toxic")), "v", "split"))
 query("O-AG12", LABELLED + "SELECT split, COUNT(n_chars) AS n, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 6) AS std, min(n_chars) AS lo, max(n_chars) AS hi, CAST(sum(n_chars) AS BIGINT) AS total FROM lab GROUP BY 1")(lambda s, d: six(stats.moments(_labelled(s, d), "n_chars", "split"), "mean", "std"))
 query("O-AG13", "WITH c AS (SELECT CAST(quality AS INT) AS quality, COUNT(*) AS cnt FROM labels GROUP BY 1) SELECT quality, round(sum(cnt) OVER () / (COUNT(*) OVER () * cnt), 6) AS weight FROM c")(lambda s, d: six(stats.class_weights(stats.class_counts(table(s, d, "labels"), "quality", 2)).select("quality", "weight"), "weight"))
@@ -153,11 +221,30 @@ query("O-AG16", "SELECT 'quantity' AS metric, round(avg(l_quantity), 6) AS mean,
     lambda s, d: stats.unpivoted(table(s, d, "lineitem").select("l_orderkey", *[F.col(f"l_{c}").cast("double").alias(c) for c in ("quantity", "discount", "tax")]), ["l_orderkey"], ["quantity", "discount", "tax"]).groupBy("metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n")))
 query("O-AG17", _RUNS + "SELECT run_id, dataset, method, round(value / 7, 4) AS value FROM ru")(lambda s, d: _runs(s, d).select(F.struct("run_id", "dataset").alias("config"), F.struct("method", (F.col("value") / 7).alias("value")).alias("test")).select("config.run_id", "config.dataset", "test.method", F.round("test.value", 4).alias("value")))
 query("O-AG18", _RUNS + "SELECT method, dataset, COUNT(*) AS n, round(avg(value), 4) AS mean FROM ru GROUP BY 1, 2")(lambda s, d: _runs(s, d).groupBy("method", "dataset").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean")))
-query("O-AG19", "SELECT lang, COUNT(*) AS graphs, CAST(sum(n_chars) AS BIGINT) AS before, CAST(sum(n_chars // 3) AS BIGINT) AS after, round(sum(n_chars // 3) / sum(n_chars), 6) AS compression, round(COUNT(*) / (COUNT(*) * 0.5), 6) AS graphs_per_s FROM documents GROUP BY 1")(
-    lambda s, d: six(stats.efficiency(table(s, d, "documents").select("lang", F.col("n_chars").alias("n_before"), F.floor(F.col("n_chars") / 3).alias("n_after"), F.lit(0.5).alias("seconds")), "lang").drop("seconds"), "compression", "graphs_per_s"))
-query("O-AG20", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_retailprice WHEN p_size % 3 = 1 THEN -p_size ELSE 0.5 END AS objective FROM part")(
-    lambda s, d: stats.objective(table(s, d, "part").select("p_partkey", F.when(F.col("p_size") % 3 == 0, F.create_map(F.lit("mae"), F.col("p_retailprice"))).when(F.col("p_size") % 3 == 1, F.create_map(F.lit("accuracy"), F.col("p_size").cast("double"))).otherwise(F.create_map().cast("map<string,double>")).alias("metrics"), F.lit(0.5).alias("best_val_loss"))).select("p_partkey", "objective"))
-query("O-AG21", "SELECT 'quality' AS label, CASE WHEN COUNT(DISTINCT quality) = 2 THEN 'binary' ELSE 'other' END AS kind FROM labels")(lambda s, d: table(s, d, "labels").agg(F.countDistinct("quality").alias("n")).select(F.lit("quality").alias("label"), F.when(F.col("n") == 2, "binary").otherwise("other").alias("kind")))
+query("O-AG19", merges(6) + ", x AS (SELECT graph_id % 3 AS part, len(s0.t) AS a, len(s6.t) AS b FROM s0 JOIN s6 USING (graph_id)) SELECT part, COUNT(*) AS graphs, CAST(sum(a) AS BIGINT) AS before, CAST(sum(b) AS BIGINT) AS after, round(sum(b) / sum(a), 6) AS compression FROM x GROUP BY 1")(
+    lambda s, d: six(stats.efficiency(_encoded(s, d).select((F.col("graph_id") % 3).alias("part"), F.size("tokens").alias("n_before"), F.size("encoded").alias("n_after"), F.lit(0.5).alias("seconds")), "part").drop("seconds", "graphs_per_s"), "compression"))
+_M = lambda *kv: F.create_map(*[x for k, v in kv for x in (F.lit(k), v.cast("double"))])
+
+
+def _results(s, d):
+    """Parts with test metrics of which some are looked for in order and some only by name."""
+    size, price = F.col("p_size"), F.col("p_retailprice")
+    found = F.when(size % 5 == 0, _M(("mse", size), ("accuracy", size), ("rmse", price))).when(size % 5 == 1, _M(("mse", size), ("accuracy", size), ("roc_auc", price)))
+    found = found.when(size % 5 == 2, _M(("mse", price), ("recall", price), ("precision", size))).when(size % 5 == 3, _M(("beta", size), ("alpha", price)))
+    return table(s, d, "part").select("p_partkey", found.otherwise(F.create_map().cast("map<string,double>")).alias("metrics"), F.lit(0.5).alias("best_val_loss"))
+
+
+query("O-AG20", "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'rmse' WHEN 1 THEN 'roc_auc' WHEN 2 THEN 'precision' WHEN 3 THEN 'alpha' ELSE 'best_val_loss' END AS metric_name, CASE p_size % 5 WHEN 0 THEN p_retailprice WHEN 1 THEN -p_retailprice WHEN 2 THEN CAST(-p_size AS DOUBLE) WHEN 3 THEN p_retailprice ELSE 0.5 END AS objective FROM part")(
+    lambda s, d: stats.objective(_results(s, d)).select("p_partkey", "metric_name", "objective"))
+query("O-AG21", "SELECT 'quality' AS label, CASE WHEN COUNT(DISTINCT quality) <= 2 THEN 'binary' ELSE 'multiclass' END AS kind, COUNT(DISTINCT quality) AS classes FROM labels UNION ALL SELECT 'label', CASE WHEN COUNT(DISTINCT label) <= 2 THEN 'binary' ELSE 'multiclass' END, COUNT(DISTINCT label) FROM embeddings UNION ALL SELECT 'value', 'real', COUNT(DISTINCT value) FROM events UNION ALL SELECT 'lang', 'text', COUNT(DISTINCT lang) FROM documents")(
+    lambda s, d: stats.label_kind(table(s, d, "labels"), "quality").union(stats.label_kind(table(s, d, "embeddings"), "label")).union(stats.label_kind(table(s, d, "events"), "value")).union(stats.label_kind(table(s, d, "documents"), "lang")))
+_METHODS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+query("pivot", _RUNS + "SELECT dataset, " + ", ".join(f"round(avg(value) FILTER (method = '{m}'), 4) AS m{k}" for k, m in enumerate(_METHODS)) + " FROM ru GROUP BY 1")(
+    lambda s, d: stats.pivoted(_runs(s, d), "dataset", "method", "value", _METHODS).select("dataset", *[F.round(f"`{m}`", 4).alias(f"m{k}") for k, m in enumerate(_METHODS)]))
+query("rollup", LABELLED + "SELECT split, COUNT(*) AS n, CAST(sum(quality) AS BIGINT) AS good FROM lab GROUP BY 1 UNION ALL SELECT 'overall', COUNT(*), CAST(sum(quality) AS BIGINT) FROM lab")(
+    lambda s, d: stats.with_overall(_labelled(s, d), "split", F.count("*").alias("n"), F.sum("quality").alias("good")))
+query("tasks", "SELECT CAST(row_number() OVER (ORDER BY i, j, k) - 1 AS BIGINT) AS task_id, dataset, method, seed FROM (VALUES (0, 'zinc'), (1, 'qm9')) a(i, dataset), (VALUES (0, 'bfs'), (1, 'cpp'), (2, 'feuler')) b(j, method), (VALUES (0, 1), (1, 2)) c(k, seed)")(
+    lambda s, d: stats.tasks(s, dataset=["zinc", "qm9"], method=["bfs", "cpp", "feuler"], seed=[1, 2]))
 query("O-AG22", _RUNS + "SELECT method, round(avg(value), 4) AS mean, CAST(rank() OVER (ORDER BY avg(value) DESC) AS INT) AS place FROM ru GROUP BY 1")(
     lambda s, d: _runs(s, d).groupBy("method").agg(F.avg("value").alias("m")).select("method", F.round("m", 4).alias("mean"), F.expr("cast(rank() over (order by m desc) as int)").alias("place")))
 
@@ -168,26 +255,35 @@ query("O-EV2", _PROBS + ", av AS (SELECT graph_id, y_true, k, avg(p) AS p FROM p
 query("O-EV2_best", _PROBS + ", c AS (SELECT graph_id, variant_id, y_true, k AS c FROM pv QUALIFY row_number() OVER (PARTITION BY graph_id, variant_id ORDER BY p DESC, k) = 1), v AS (SELECT graph_id, y_true, c, COUNT(*) AS n FROM c GROUP BY ALL) SELECT graph_id, y_true, coalesce(max(CASE WHEN c = y_true THEN c END), arg_max(c, n * 10 - c)) AS y_pred FROM v GROUP BY 1, 2")(lambda s, d: metrics.classes_by_graph(_probs(s, d), "best"))
 query("O-EV3", _PROBS + "SELECT graph_id, k, round(avg(p), 6) AS p FROM pv GROUP BY 1, 2")(lambda s, d: metrics.mean_probs(_probs(s, d)).select("graph_id", F.posexplode("probs").alias("k", "p")).withColumn("p", F.round("p", 6)))
 query("O-EV4", PRED + ", e AS (SELECT *, exp(variant_id - max(variant_id) OVER (PARTITION BY graph_id)) AS w FROM pr) SELECT graph_id, any_value(y_true) AS y_true, round(sum(w * y_pred) / sum(w), 6) AS y_pred FROM e GROUP BY 1")(lambda s, d: six(metrics.weighted_mean(_pred(s, d), "variant_id"), "y_pred"))
-query("O-EV5", PRED + ", n AS (SELECT graph_id, least(COUNT(*), 4) AS used FROM pr GROUP BY 1) SELECT graph_id, used, CAST(4 AS INT) AS k FROM n")(lambda s, d: metrics.variant_sets(_pred(s, d)).select("graph_id", F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("used"), F.size("preds").alias("k")))
+query("O-EV5", PRED + ", n AS (SELECT graph_id, COUNT(*) AS used FROM pr GROUP BY 1) SELECT graph_id, used, CAST((SELECT max(used) FROM n) AS INT) AS k, CAST((SELECT sum(y_pred) FROM pr WHERE pr.graph_id = n.graph_id) AS DOUBLE) AS total FROM n")(
+    lambda s, d: metrics.variant_sets(_pred(s, d)).select("graph_id", F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("used"), F.size("preds").alias("k"), F.aggregate("preds", F.lit(0.0), lambda a, x: a + x).alias("total")))
 query("O-EV6", PRED + "SELECT COUNT(*) AS n, round(avg((y_true - y_pred) ** 2), 6) AS mse, round(avg(abs(y_true - y_pred)), 6) AS mae, round(corr(y_true, y_pred), 6) AS corr, round(sqrt(avg((y_true - y_pred) ** 2)), 6) AS rmse, round(1 - avg((y_true - y_pred) ** 2) / var_pop(y_true), 6) AS r2 FROM pr")(lambda s, d: six(metrics.regression(_pred(s, d)), "mse", "mae", "corr", "rmse", "r2"))
 query("O-EV7", CLS + ", k AS (SELECT CAST(range AS INT) AS c FROM range(3)), m AS (SELECT c, COUNT(*) FILTER (y_true = c) AS t, COUNT(*) FILTER (y_pred = c) AS p, COUNT(*) FILTER (y_true = c AND y_pred = c) AS tp FROM k CROSS JOIN pc GROUP BY 1) SELECT CAST(sum(t) AS BIGINT) AS n, round(sum(tp) / sum(t), 6) AS accuracy, round(avg(tp / p), 6) AS precision, round(avg(tp / t), 6) AS recall, round(avg(2 * (tp / p) * (tp / t) / (tp / p + tp / t)), 6) AS f1 FROM m")(
     lambda s, d: six(metrics.classification(_cls(s, d)), "accuracy", "precision", "recall", "f1"))
 _RANK = ", g AS (SELECT score, sum(y) AS pos, COUNT(*) AS n FROM pc GROUP BY 1), w AS (SELECT *, sum(n - pos) OVER (ORDER BY score) - (n - pos) AS below, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS seen FROM g) SELECT round(sum(pos * (below + (n - pos) / 2)) / (sum(pos) * sum(n - pos)), 6) AS roc_auc, round(sum(pos * tp / seen) / sum(pos), 6) AS ap FROM w"
 query("O-EV8", CLS + _RANK)(lambda s, d: six(metrics.ranking(_cls(s, d)), "roc_auc", "ap"))
-query("O-EV9", CLS + ", l AS (SELECT 0 AS k, y, score FROM pc UNION ALL SELECT 1, CAST(y_true = 1 AS INT), 1 - score FROM pc), m AS (SELECT k, COUNT(*) FILTER (score > 0.5 AND y = 1) AS tp, COUNT(*) FILTER (score > 0.5) AS p, sum(y) AS t, avg(CAST((score > 0.5) = (y = 1) AS INT)) AS h FROM l GROUP BY 1) SELECT round(avg(tp / p), 6) AS precision, round(avg(tp / t), 6) AS recall, round(avg(2 * tp / (p + t)), 6) AS f1, round(avg(h), 6) AS hamming FROM m")(
-    lambda s, d: six(metrics.multi_label(_cls(s, d).select(F.lit(0).alias("k"), "y", "score").union(_cls(s, d).select(F.lit(1), (F.col("y_true") == 1).cast("int"), 1 - F.col("score")))).drop("ap"), "precision", "recall", "f1", "hamming"))
+_LABELS = CLS.rstrip() + ", l AS (SELECT 0 AS k, y, score FROM pc UNION ALL SELECT 1, CAST(y_true = 1 AS INT), 1 - score FROM pc)"
+query("O-EV9", _LABELS + ", m AS (SELECT k, COUNT(*) FILTER (score > 0.5 AND y = 1) AS tp, COUNT(*) FILTER (score > 0.5) AS p, sum(y) AS t, avg(CAST((score > 0.5) = (y = 1) AS INT)) AS h FROM l GROUP BY 1), g AS (SELECT k, score, sum(y) AS pos, COUNT(*) AS n FROM l GROUP BY 1, 2), w AS (SELECT *, sum(pos) OVER (PARTITION BY k ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY k ORDER BY score DESC) AS seen FROM g), a AS (SELECT avg(ap) AS ap FROM (SELECT k, sum(pos * tp / seen) / sum(pos) AS ap FROM w GROUP BY 1)) SELECT round(avg(tp / p), 6) AS precision, round(avg(tp / t), 6) AS recall, round(avg(2 * tp / (p + t)), 6) AS f1, round(avg(h), 6) AS hamming, round(any_value(ap), 6) AS ap FROM m, a")(
+    lambda s, d: six(metrics.multi_label(_cls(s, d).select(F.lit(0).alias("k"), "y", "score").union(_cls(s, d).select(F.lit(1), (F.col("y_true") == 1).cast("int"), 1 - F.col("score")))), "precision", "recall", "f1", "hamming", "ap"))
 query("O-EV10", PRED + ", t AS (SELECT variant_id % 2 AS k, avg(abs(y_true - y_pred)) AS mae, avg((y_true - y_pred) ** 2) AS mse, 1 - avg((y_true - y_pred) ** 2) / var_pop(y_true) AS r2, corr(y_true, y_pred) AS corr FROM pr GROUP BY 1) SELECT round(avg(mae), 6) AS mae, round(avg(mse), 6) AS mse, round(sqrt(avg(mse)), 6) AS rmse, round(avg(r2), 6) AS r2, round(avg(corr), 6) AS corr FROM t")(
     lambda s, d: six(metrics.multi_target(_pred(s, d).withColumn("k", F.col("variant_id") % 2)), "mae", "mse", "rmse", "r2", "corr"))
-query("O-EV11", "SELECT 'molhiv' AS dataset, 'roc_auc' AS metric, true AS maximise UNION ALL SELECT 'zinc', 'mae', false")(lambda s, d: s.createDataFrame([("molhiv", *metrics.primary("binary_classification", "molhiv")), ("zinc", *metrics.primary("regression", "zinc"))], "dataset string, metric string, maximise boolean"))
+query("O-EV11", "SELECT task, dataset, CASE WHEN task = 'classification' AND dataset = 'molhiv' THEN 'roc_auc' WHEN task IN ('regression', 'multi_target_regression') THEN 'mae' WHEN task = 'binary_classification' THEN 'roc_auc' WHEN task = 'classification' THEN 'accuracy' WHEN task = 'multi_label_classification' THEN 'ap' ELSE 'loss' END AS metric, task IN ('binary_classification', 'classification', 'multi_label_classification') AS maximise FROM (VALUES ('mlm'), ('regression'), ('multi_target_regression'), ('binary_classification'), ('classification'), ('multi_label_classification'), ('other')) a(task), (VALUES ('molhiv'), ('zinc')) b(dataset)")(
+    lambda s, d: stats.tasks(s, task=[*metrics.PRIMARY, "other"], dataset=["molhiv", "zinc"]).select("task", "dataset", *[c.alias(n) for c, n in zip(metrics.primary("task", "dataset"), ("metric", "maximise"))]))
 query("O-EV12", _PROBS + ", e AS (SELECT graph_id, variant_id, k, exp(p - max(p) OVER (PARTITION BY graph_id, variant_id)) AS e FROM pv) SELECT graph_id, variant_id, k, round(e / sum(e) OVER (PARTITION BY graph_id, variant_id), 6) AS p FROM e")(
     lambda s, d: _probs(s, d).select("graph_id", "variant_id", F.posexplode(metrics.softmax(F.col("probs"))).alias("k", "p")).withColumn("p", F.round("p", 6)))
 query("O-EV13", "SELECT round(exp(avg(CASE WHEN label <> -100 THEN nll END)), 6) AS perplexity FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN -100 ELSE 1 END AS label, (doc_id % 17) / 10 AS nll FROM documents)")(
     lambda s, d: six(metrics.perplexity(table(s, d, "documents").select(F.when(F.col("doc_id") % 3 == 0, -100).otherwise(1).alias("label"), (F.col("doc_id") % 17 / 10).alias("nll"))), "perplexity"))
 query("O-EV14", "WITH x AS (SELECT label AS graph_id, vec_id AS pos, CAST(vec_id % 2 AS INT) AS mask, generate_subscripts(embedding, 1) - 1 AS k, unnest(embedding) AS v FROM embeddings) SELECT graph_id, CAST(k AS INT) AS k, round(avg(CASE WHEN mask = 1 THEN CAST(v AS DOUBLE) END), 6) AS mean, round(CAST(arg_min(v, pos) AS DOUBLE), 6) AS cls FROM x GROUP BY 1, 2")(
     lambda s, d: six(metrics.pooled(table(s, d, "embeddings").select(F.col("label").alias("graph_id"), F.col("vec_id").alias("pos"), (F.col("vec_id") % 2).alias("mask"), F.transform("embedding", lambda v: v.cast("double")).alias("vec"))), "mean", "cls"))
-query("O-EV15")(lambda s, d: metrics.stopped(table(s, d, "orders").select(F.col("o_custkey").alias("run_id"), F.expr("row_number() over (partition by o_custkey order by o_orderkey)").alias("epoch"), F.col("o_totalprice").alias("value")), 3))
-query("O-EV16", "WITH x AS (SELECT doc_id, CAST(doc_id * 11 % 2 AS INT) AS y, (doc_id * 37 % 99 + 1) / 101 AS p FROM documents), t AS (SELECT *, CASE WHEN y = 1 THEN p ELSE 1 - p END AS pt FROM x) SELECT doc_id, round(-ln(pt), 6) AS ce, round(-(1 - pt) ** 2 * ln(pt), 6) AS focal, round((y - p) ** 2, 6) AS l2, round(abs(y - p), 6) AS l1 FROM t".replace("-(1 - pt) ** 2 * ln(pt)", "(1 - pt) * (1 - pt) * -ln(pt)"))(
-    lambda s, d: six(metrics.losses(table(s, d, "documents").select("doc_id", (F.col("doc_id") * 11 % 2).cast("int").alias("y"), ((F.col("doc_id") * 37 % 99 + 1) / 101).alias("p"))).select("doc_id", "ce", "focal", "l2", "l1"), "ce", "focal", "l2", "l1"))
+query("O-EV15", "WITH e AS (SELECT o_custkey AS run_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS epoch, o_totalprice AS v FROM orders), i AS (SELECT e.*, NOT EXISTS (SELECT 1 FROM e b WHERE b.run_id = e.run_id AND b.epoch < e.epoch AND b.v >= e.v) AS better FROM e), l AS (SELECT *, max(CASE WHEN better THEN epoch END) OVER (PARTITION BY run_id ORDER BY epoch) AS since FROM i), s AS (SELECT run_id, min(epoch) FILTER (epoch - since >= 3) AS stop FROM l GROUP BY 1), k AS (SELECT l.*, stop FROM l JOIN s USING (run_id) WHERE stop IS NULL OR epoch <= stop) SELECT run_id, max(v) AS best, arg_max(epoch, since) FILTER (better) AS best_epoch, coalesce(any_value(stop), -1) AS stop_epoch FROM k GROUP BY 1")(
+    lambda s, d: metrics.stopped(table(s, d, "orders").select(F.col("o_custkey").alias("run_id"), F.expr("row_number() over (partition by o_custkey order by o_orderkey)").alias("epoch"), F.col("o_totalprice").alias("value")), 3).withColumn("stop_epoch", F.coalesce("stop_epoch", F.lit(-1))))
+_LOSS = "WITH x AS (SELECT doc_id, CAST(doc_id * 11 % 2 AS INT) AS y, (doc_id * 37 % 99 + 1) / 101 AS p FROM documents), t AS (SELECT *, CASE WHEN y = 1 THEN p ELSE 1 - p END AS pt FROM x) "
+_losses = lambda s, d: table(s, d, "documents").select("doc_id", (F.col("doc_id") * 11 % 2).cast("int").alias("y"), ((F.col("doc_id") * 37 % 99 + 1) / 101).alias("p"))
+query("O-EV16", _LOSS + "SELECT doc_id, round(-ln(pt), 6) AS ce, round(CASE WHEN y = 1 THEN 3 ELSE 0.5 END * -ln(pt), 6) AS weighted_ce, round((1 - pt) * (1 - pt) * -ln(pt), 6) AS focal, round((y - p) ** 2, 6) AS l2, round(abs(y - p), 6) AS l1 FROM t")(
+    lambda s, d: six(metrics.losses(_losses(s, d), (0.5, 3.0)).drop("y", "p"), "ce", "weighted_ce", "focal", "l2", "l1"))
+# Two passes of one model that agree but for noise, and two rows mixed.
+query("O-EV16_pairs", _LOSS + "SELECT doc_id, round(((p - q) * (ln(p) - ln(q)) + (q - p) * (ln(1 - p) - ln(1 - q))) / 2, 6) AS kl, round(0.3 * p + 0.7 * q, 6) AS mixed FROM (SELECT *, (p + 0.5) / 2 AS q FROM t)")(
+    lambda s, d: (lambda a, b: six(_losses(s, d).select("doc_id", metrics.two_way_kl(a, b).alias("kl"), metrics.mixup(a, b, F.lit(0.3))[0].alias("mixed")), "kl", "mixed"))(F.array("p", 1 - F.col("p")), F.array((F.col("p") + 0.5) / 2, 1 - (F.col("p") + 0.5) / 2)))
 query("O-EV17", "SELECT range AS step, round(CASE WHEN range < 10 THEN (range + 1) / 10 ELSE 0.01 + 0.99 * 0.5 * (1 + cos(pi() * (range - 10) / 90)) END, 6) AS factor FROM range(100)")(lambda s, d: six(metrics.schedule(s, 100, 10), "factor"))
 
 # Splits
@@ -198,9 +294,15 @@ query("O-SP1", f"SELECT doc_id AS graph_id, {_PLACE} FROM (SELECT doc_id, row_nu
 query("O-SP2", f"SELECT doc_id AS graph_id, lang, {_PLACE} FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_KEY}, doc_id) - 1 AS k, COUNT(*) OVER (PARTITION BY lang) AS n FROM documents)")(lambda s, d: splits.stratified(_ids(s, d), "lang"))
 query("O-SP3", f"SELECT doc_id AS graph_id, {_PLACE} FROM (SELECT doc_id, row_number() OVER (ORDER BY {_KEY}, doc_id) - 1 AS k, COUNT(*) OVER () AS n FROM documents)")(lambda s, d: splits.shuffled(_ids(s, d)).select("graph_id", "split"))
 query("O-SP4", f"SELECT doc_id AS graph_id, row_number() OVER (ORDER BY doc_id) - 1 AS new_id FROM (SELECT doc_id FROM documents ORDER BY {_KEY}, doc_id LIMIT 50)")(lambda s, d: splits.drawn(_ids(s, d), 50).select("graph_id", "new_id"))
-query("O-SP5", "SELECT COUNT(*) AS rows, CAST(0 AS BIGINT) AS twice, CAST(0 AS BIGINT) AS unknown FROM documents")(lambda s, d: splits.faults(splits.placed(_ids(s, d), "graph_id"), _ids(s, d)))
+query("O-SP5", "WITH s AS (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM documents WHERE doc_id % 9 = 4 UNION ALL SELECT doc_id + 1000000 FROM documents WHERE doc_id % 13 = 1) SELECT (SELECT COUNT(*) FROM s) AS rows, (SELECT COUNT(*) FROM (SELECT doc_id FROM s GROUP BY 1 HAVING COUNT(*) > 1)) AS twice, (SELECT COUNT(*) FROM s WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS unknown")(
+    lambda s, d: splits.faults((lambda x: x.union(x.filter("graph_id % 9 = 4")).union(x.filter("graph_id % 13 = 1").withColumn("graph_id", F.col("graph_id") + 1000000)))(splits.placed(_ids(s, d), "graph_id")), _ids(s, d)))
+query("O-SP7", "SELECT doc_id AS graph_id, CASE doc_id % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'val' WHEN 2 THEN 'test' END AS split FROM documents")(
+    lambda s, d: splits.given(_ids(s, d).select("graph_id"), {k: _ids(s, d).filter(F.col("graph_id") % 4 == m).select("graph_id") for m, k in enumerate(("train", "valid", "test"))}))
 query("O-SP6", EVENTS + f", u AS (SELECT DISTINCT graph_id AS doc_id FROM ev), sp AS (SELECT doc_id, {_PLACE} FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, COUNT(*) OVER () AS n FROM u)) SELECT graph_id, COUNT(*) AS n FROM ev JOIN sp ON doc_id = graph_id WHERE split = 'train' GROUP BY 1")(
     lambda s, d: splits.of_split(_seqs(s, d), splits.placed(_seqs(s, d).select("graph_id"), "graph_id"), "train").select("graph_id", F.size("tokens").cast("long").alias("n")))
 
 # Streams, over the events table, as batches: tests hold them against the stream
-query("O-ST1", "SELECT event_type, COUNT(*) AS n FROM events GROUP BY 1")(lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n")))
+query("O-ST1", "SELECT event_type, COUNT(*) AS n FROM events GROUP BY 1")(lambda s, d: streaming.counts(table(s, d, "events"), "event_type").withColumnRenamed("cnt", "n"))
+query("O-ST1_windows", "SELECT CAST(time_bucket(INTERVAL '1 hour', ts) AS VARCHAR) AS start, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2")(lambda s, d: streaming.tumbling(table(s, d, "events")).select(F.col("start").cast("string").alias("start"), "event_type", "n"))
+query("O-ST1_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 + 1800 AS seconds, COUNT(*) AS n FROM s GROUP BY user_id, k")(
+    lambda s, d: streaming.sessions(table(s, d, "events")).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("first"), F.timestamp_diff("SECOND", "start", "end").alias("seconds"), "n"))

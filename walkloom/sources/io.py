@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that the driver and all executors see: spark.checkpoint.dir; on a single machine without one, a new folder."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that the driver and all executors see")
+        top = "file://" + tempfile.mkdtemp(prefix="walkloom-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top.rstrip('/')}/walkloom/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str = "table") -> DataFrame:
+    """df written and read back: cuts its lineage, and gives later plans its size."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_graphs(path: str, nodes: DataFrame, edges: DataFrame) -> None:
     nodes.write.mode("overwrite").parquet(f"{path}/nodes")
     edges.write.mode("overwrite").parquet(f"{path}/edges")
@@ -58,6 +79,17 @@ def write_vocab(path: str, vocab: DataFrame) -> None:
     vocab.write.mode("overwrite").parquet(path)
 
 
+def read_vocab(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("token int, vocab_id int, freq long").parquet(path)
+
+
+def write_splits(path: str, splits: DataFrame) -> None:
+    """One JSON list of ids a split, as read_splits reads; a list is one row."""
+    for split in ("train", "val", "test"):
+        ids = splits.filter(F.col("split") == split).agg(F.to_json(F.sort_array(F.collect_list("graph_id"))).alias("value"))
+        ids.coalesce(1).write.mode("overwrite").text(f"{path}/{split}.json")
+
+
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
     """graph_id, split from one JSON list of ids a split: <path>/<split>.json. A missing one is an error."""
     out = None
@@ -77,14 +109,27 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True)
 
 
-def read_metrics(spark: SparkSession, path: str, required: tuple[str, ...] = ("dataset", "method")) -> tuple[DataFrame, DataFrame]:
-    """Runs from a tree of JSON files, and the files skipped, with the reason."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    schema = "dataset string, method string, task string, val struct<by_aggregation: map<string, map<string, double>>>, test struct<by_aggregation: map<string, map<string, double>>>, time map<string, double>, config map<string, string>"
+def typed_properties(rows: DataFrame, types: dict[str, str], column: str = "properties") -> DataFrame:
+    """rows with a column each of the properties that types names, cast; other properties go, and one that is absent or can't be cast is null."""
+    keep = [c for c in rows.columns if c != column]
+    return rows.select(*keep, *[F.try_element_at(F.col(column), F.lit(k)).try_cast(t).alias(k) for k, t in types.items()])
+
+
+def target(properties: Column, name: str | None = None) -> Column:
+    """The property to predict: the one named, else "label", else the only one; an error if that doesn't settle it."""
+    found = [F.try_element_at(properties, F.lit(k)) for k in ([name] if name else []) + ["label"]]
+    only = F.when(F.size(properties) == 1, F.map_values(properties)[0])
+    return F.coalesce(*found, only, F.raise_error(F.lit("no property to predict")).cast("double"))
+
+
+def read_metrics(spark: SparkSession, path: str, required: tuple[str, ...] = ("dataset", "method"), pattern: str = "*.json", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Runs from a tree of JSON files, and the files skipped, with the reason (keep: value, for what they hold)."""
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    schema = "dataset string, method string, task string, best_val_loss double, test_metrics map<string, double>, val struct<by_aggregation: map<string, map<string, double>>>, test struct<by_aggregation: map<string, map<string, double>>>, time map<string, double>, config map<string, string>"
     rows = raw.withColumn("run", F.from_json("value", schema))
     why = F.concat_ws(",", *[F.when(F.col(f"run.{c}").isNull(), c) for c in required])
     rows = rows.withColumn("reason", why)
-    return rows.filter("reason = ''").select("file", "run.*"), rows.filter("reason <> ''").select("file", "reason")
+    return rows.filter("reason = ''").select("file", "run.*"), rows.filter("reason <> ''").select("file", "reason", *keep)
 
 
 def four_places(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -102,6 +147,16 @@ def digest(df: DataFrame) -> DataFrame:
     return df.select(F.conv(F.substring(row, 1, 12), 16, 10).cast("long").alias("h")).agg(F.count("*").alias("rows"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("total"))
 
 
+def compare(a: DataFrame, b: DataFrame) -> DataFrame:
+    """rows_a, rows_b, only_a, only_b (rows that the other has not, or not as often), same."""
+    b = b.select(*a.columns)
+    side = lambda df, k: df.groupBy(*a.columns).agg(F.count("*").alias("n")).withColumn("n", F.col("n") * k)
+    net = side(a, 1).union(side(b, -1)).groupBy(*a.columns).agg(F.sum("n").alias("d"), F.sum(F.greatest("n", F.lit(0))).alias("a"), F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("b"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    out = net.agg(total(F.col("a")).alias("rows_a"), total(F.col("b")).alias("rows_b"), total(F.greatest("d", F.lit(0))).alias("only_a"), total(F.greatest(-F.col("d"), F.lit(0))).alias("only_b"))
+    return out.withColumn("same", (F.col("only_a") == 0) & (F.col("only_b") == 0))
+
+
 def same(a: DataFrame, b: DataFrame) -> bool:
     """Whether two tables hold the same rows, as often."""
     b = b.select(*a.columns)

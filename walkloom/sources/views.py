@@ -19,31 +19,53 @@ def _line_items(spark, sf_dir, by: str) -> DataFrame:
     return li.join(orders, li["l_orderkey"] == orders["o_orderkey"])
 
 
+def pairs(spark: SparkSession, sf_dir: str, by: str = "customer") -> DataFrame:
+    """graph_id, part, supplier, src, dst, src_type, dst_type, edge_type: a row a part-supplier pair of a graph.
+
+    All that is done by graph follows one shuffle by graph_id: pairs are summed, and a part's place among the
+    graph's parts, then a supplier's among its suppliers, is its node's number.
+    """
+    li = _line_items(spark, sf_dir, by).select("graph_id", "l_partkey", "l_suppkey", "l_returnflag").repartition("graph_id")
+    kind = F.when(F.col("l_returnflag") == "N", 1).when(F.col("l_returnflag") == "R", 2).otherwise(3)
+    li = li.groupBy("graph_id", "l_partkey", "l_suppkey").agg(F.min(kind).alias("edge_type"))
+    place = lambda k: F.dense_rank().over(W.partitionBy("graph_id").orderBy(k)) - 1
+    li = li.withColumn("src", place("l_partkey").cast("int"))
+    n_parts = F.max("src").over(W.partitionBy("graph_id")) + 1
+    li = li.withColumn("dst", (place("l_suppkey") + n_parts).cast("int"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") % 8).cast("int").alias("src_type"))
+    supp = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), (8 + F.col("s_nationkey") % 8).cast("int").alias("dst_type"))
+    out = li.join(part, "l_partkey", "left").join(supp, "l_suppkey", "left")
+    return out.select("graph_id", F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), "src", "dst", "src_type", "dst_type", "edge_type")
+
+
 def nodes(spark: SparkSession, sf_dir: str, by: str = "customer") -> DataFrame:
     """graph_id, kind, k, node_id, node_type: a graph a customer or order; its parts (kind 0), then its suppliers (kind 1)."""
-    li = _line_items(spark, sf_dir, by)
-    raw = li.select("graph_id", F.lit(0).alias("kind"), F.col("l_partkey").alias("k")).distinct()
-    raw = raw.union(li.select("graph_id", F.lit(1).alias("kind"), F.col("l_suppkey").alias("k")).distinct())
-    part = table(spark, sf_dir, "part").select(F.lit(0).alias("kind"), F.col("p_partkey").alias("k"), (F.col("p_size") % 8).alias("node_type"))
-    supp = table(spark, sf_dir, "supplier").select(F.lit(1).alias("kind"), F.col("s_suppkey").alias("k"), (8 + F.col("s_nationkey") % 8).alias("node_type"))
-    number = (F.row_number().over(W.partitionBy("graph_id").orderBy("kind", "k")) - 1).cast("int")
-    return raw.withColumn("node_id", number).join(part.union(supp), ["kind", "k"], "left").select("graph_id", "kind", "k", "node_id", F.col("node_type").cast("int"))
+    end = lambda kind, k, node, type_: F.struct(F.lit(kind).alias("kind"), F.col(k).alias("k"), F.col(node).alias("node_id"), F.col(type_).alias("node_type"))
+    ends = F.explode(F.array(end(0, "part", "src", "src_type"), end(1, "supplier", "dst", "dst_type")))
+    return pairs(spark, sf_dir, by).select("graph_id", ends.alias("v")).select("graph_id", "v.*").distinct()
 
 
 def edges(spark: SparkSession, sf_dir: str, by: str = "customer") -> DataFrame:
     """graph_id, edge_id, src, dst, src_type, dst_type, edge_type: both directions of each part-supplier pair."""
-    li, v = _line_items(spark, sf_dir, by), nodes(spark, sf_dir, by)
-    kind = F.when(F.col("l_returnflag") == "N", 1).when(F.col("l_returnflag") == "R", 2).otherwise(3)
-    pairs = li.groupBy("graph_id", "l_partkey", "l_suppkey").agg(F.min(kind).alias("edge_type"))
-    a = v.filter("kind = 0").select("graph_id", F.col("k").alias("l_partkey"), F.col("node_id").alias("src"), F.col("node_type").alias("src_type"))
-    b = v.filter("kind = 1").select("graph_id", F.col("k").alias("l_suppkey"), F.col("node_id").alias("dst"), F.col("node_type").alias("dst_type"))
-    half = pairs.join(a, ["graph_id", "l_partkey"]).join(b, ["graph_id", "l_suppkey"])
-    both = half.select("graph_id", F.explode(F.array(F.struct("src", "dst", "src_type", "dst_type"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("dst_type").alias("src_type"), F.col("src_type").alias("dst_type")))).alias("e"), "edge_type")
-    out = both.select("graph_id", "e.*", "edge_type")
+    half = pairs(spark, sf_dir, by)
+    back = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("dst_type").alias("src_type"), F.col("src_type").alias("dst_type"))
+    out = half.select("graph_id", F.explode(F.array(F.struct("src", "dst", "src_type", "dst_type"), back)).alias("e"), "edge_type").select("graph_id", "e.*", "edge_type")
     number = (F.row_number().over(W.partitionBy("graph_id").orderBy("src", "dst")) - 1).cast("int")
     return out.withColumn("edge_id", number).select("graph_id", "edge_id", "src", "dst", "src_type", "dst_type", "edge_type")
 
 
+def packed_edges(edges: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """As pack, of graphs whose every node has an edge: types come from the edges' ends, so nodes aren't made apart."""
+    if counts is None:
+        edges = edges.withColumn("cnt", F.lit(0).cast("long"))
+    else:
+        edges = edges.join(counts, ["src_type", "edge_type", "dst_type"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+    e = F.array_sort(F.collect_list(F.struct("edge_id", "src", "dst", "edge_type", "cnt", "src_type"))).alias("e")
+    g = edges.groupBy("graph_id").agg(e)
+    ends = F.array_sort(F.array_distinct(F.transform("e", lambda x: F.struct(x["src"].alias("node"), x["src_type"].alias("type")))))
+    return g.select("graph_id", F.transform(ends, lambda x: x["type"]).alias("types"), F.transform("e", lambda x: F.struct(x["src"], x["dst"], x["edge_type"], x["cnt"])).alias("edges"))
+
+
 def pack(nodes: DataFrame, edges: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """One row a graph: graph_id, types (by node id), edges (src, dst, type, count) by edge id. counts: triplets, joined in if given."""
     v = nodes.groupBy("graph_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "node_type"))), lambda x: x["node_type"]).alias("types"))
@@ -66,11 +88,17 @@ def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """graph_id (the document), pos, tok: code points of its whole text."""
+    """graph_id (the document), pos, tok: code points of its whole text, a row each."""
     from walkloom.operators.tokenize import code_points
 
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("graph_id"), F.posexplode(code_points("text")).alias("pos", "tok"))
-    return docs
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("graph_id"), F.posexplode(code_points("text")).alias("pos", "tok"))
+
+
+def doc_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """graph_id (the document), tokens: code points of its whole text, in one row."""
+    from walkloom.operators.tokenize import texts_to_points
+
+    return texts_to_points(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("graph_id"), "text"))
 
 
 def sequences(tokens: DataFrame) -> DataFrame:
