@@ -54,21 +54,31 @@ def _joined(turns: Column) -> Column:
 def expand(formatted: DataFrame) -> DataFrame:
     """Examples: conv_id, pos, context, target (the text under the loss mask), after.
 
-    A last row per conversation, whose target is null, holds the whole of it as context: turns after
-    the last reply, and conversations without one, are in the output too.
+    A last row per conversation, whose target is null, holds the turns after the last reply as context
+    (all of them without one), so that the output has every turn.
     """
     each = formatted.select("conv_id", "turns", F.posexplode("turns").alias("pos", "x")).filter("x.trains")
     each = each.select("conv_id", "pos", F.concat(_joined(F.slice("turns", F.lit(1), F.col("pos"))), "x.head").alias("context"), F.col("x.body").alias("target"), F.lit(TAIL).alias("after"))
-    whole = formatted.select("conv_id", F.size("turns").alias("pos"), _joined(F.col("turns")).alias("context"), F.lit(None).cast("string").alias("target"), F.lit("").alias("after"))
-    return each.unionByName(whole)
+    last = F.coalesce(F.array_max(F.transform("turns", lambda x, i: F.when(x["trains"], i + 1))), F.lit(0))
+    rest = formatted.select("conv_id", F.size("turns").alias("pos"), _joined(F.slice("turns", last + 1, F.size("turns"))).alias("context"), F.lit(None).cast("string").alias("target"), F.lit("").alias("after"))
+    return each.unionByName(rest)
 
 
 def read_back(examples: DataFrame) -> DataFrame:
-    """conv_id, turns (role, text), losses (the trained texts in order), formatted_chars, from the formatted strings alone."""
+    """conv_id, turns (role, text), losses (the trained texts in order), formatted_chars, from the formatted strings alone.
+
+    The turns are those of the last example, its context, target and what follows, and of the rest after it; a
+    context that isn't what the last example begins with is an error.
+    """
+    is_reply = F.col("target").isNotNull()
     got = examples.groupBy("conv_id").agg(
-        F.max(F.when(F.col("target").isNull(), F.col("context"))).alias("whole"),
-        F.sort_array(F.collect_list(F.when(F.col("target").isNotNull(), F.struct("pos", "target")))).alias("x"),
+        F.max_by(F.when(is_reply, F.concat("context", "target", "after")), F.when(is_reply, F.col("pos"))).alias("last"),
+        F.max(F.when(~is_reply, F.col("context"))).alias("rest"),
+        F.sort_array(F.collect_list(F.when(is_reply, F.struct("pos", "target", F.length("context").alias("n"), F.crc32(F.col("context").cast("binary")).alias("crc"))))).alias("x"),
     )
+    got = got.withColumn("last", F.coalesce("last", F.lit("")))
+    agree = F.forall("x", lambda e: F.crc32(F.substr(F.col("last"), F.lit(1), e["n"]).cast("binary")) == e["crc"])
+    got = got.withColumn("whole", F.when(agree, F.concat("last", "rest")).otherwise(F.raise_error(F.lit("a context isn't a prefix of its conversation"))))
     parts = F.filter(F.split("whole", r"<\|im_end\|>\n", -1), lambda s: s != "")
     body = lambda s: F.substr(s, F.lit(len(HEAD) + 1))
     turns = F.transform(parts, lambda s: F.struct(_unrole(F.substring_index(body(s), "\n", 1)).alias("role"), unescape(F.substr(body(s), F.instr(body(s), "\n") + 1)).alias("text")))
