@@ -3,6 +3,16 @@
 WORDS = r"list_filter(string_split(translate(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda x: x <> '')"
 
 SQL = {
+    "op3_quality_rules": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+win AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+rep AS (SELECT r, i FROM (SELECT r, i, COUNT(*) OVER (PARTITION BY r, x) AS n FROM win) WHERE n > 1),
+cov AS (SELECT r, COUNT(DISTINCT i + k) AS n FROM rep, (SELECT unnest(range(3)) AS k) GROUP BY 1),
+lin AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: translate(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13), '') <> '') AS l FROM d),
+m AS (SELECT d.r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT) AS chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+CAST(length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS BIGINT) AS caps, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words FROM d JOIN lin USING (r) LEFT JOIN cov USING (r)),
+b AS (SELECT *, coalesce(chars, 0) AS word_chars, CAST(n_words < 50 AS INT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS INT) + 4 * CAST(100 * n_symbols > 25 * n_words AS INT) + 8 * CAST(n_lines >= 4 AND 100 * n_dup_lines > 40 * n_lines AS INT)
++ 16 * CAST(coalesce(chars, 0) < 3 * n_words AS INT) + 32 * CAST(coalesce(chars, 0) > 12 * n_words AS INT) + 64 * CAST(100 * caps > 40 * coalesce(chars, 0) AS INT) AS bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed, bits = 0 AS kept, CAST(bits AS BIGINT) AS failed_bits FROM b""",
     "op2_chat_format": """WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
 UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 l AS (SELECT *, length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&lb;')) + length(role) + 24 AS n FROM c)

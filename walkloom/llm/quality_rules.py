@@ -2,7 +2,8 @@
 measurements it was made from; versioned policies are masks over those bits.
 
 Only DataFrame functions are used. Defined results: a null or empty text has no words and no
-lines, and fails the word-count rule; repeated rows each get a row; other columns are ignored.
+lines, and fails the word-count rule; repeated rows each get a row; other columns pass
+through, those named as what is made here are replaced.
 Three-word windows are compared by a 64-bit hash within one document (at 20,000 words the odds of
 a clash are below 1e-11).
 """
@@ -47,10 +48,10 @@ def ledger(docs: DataFrame) -> DataFrame:
     """docs with the measurements and failed_bits (long), one bit a rule of RULES. docs needs a column text."""
     kept = [c for c in docs.columns if c not in _MADE]
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select(*kept, words(F.col("text")).alias("_w"), text.alias("_t"))
+    df = docs.select(F.struct(*kept).alias("_in"), words(F.col("text")).alias("_w"), text.alias("_t"))  # so that no column of docs clashes with what is made
     lines = F.filter(F.split("_t", "\n", -1), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
     df = df.select(
-        *kept, "_w", lines.alias("_l"), F.size("_w").cast("long").alias("n_words"),
+        "_in", "_w", lines.alias("_l"), F.size("_w").cast("long").alias("n_words"),
         F.length(F.translate("_t", BLANKS, "")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.length("_t") - F.length(F.translate("_t", CAPITALS, ""))).cast("long").alias("n_capitals"),
@@ -69,7 +70,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     df = df.withColumn("n_repeat_words", F.coalesce(cover, F.lit(0).cast("long")))
     bits = sum((F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(RULES.values())), F.lit(0))
     # The id only keeps filters on the bits from being moved below, where they would repeat all of the above within one expression.
-    return df.withColumn("failed_bits", F.when(F.monotonically_increasing_id() >= 0, bits.cast("long"))).select(*kept, *_MADE)
+    return df.withColumn("failed_bits", F.when(F.monotonically_increasing_id() >= 0, bits.cast("long"))).select("_in.*", *_MADE)
 
 
 _MADE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "failed_bits"]
