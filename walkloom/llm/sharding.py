@@ -3,7 +3,7 @@ prefix cut at equal targets, which gives contiguous shards whose sizes differ by
 
 Defined results: the order is by the given columns, null first; rows equal in them are parted by a
 hash, so that a key with any share of the rows fills many partitions; an empty table gives no rows;
-other columns pass through, those named as what is made here are replaced.
+other columns pass through, those named as what is made here are replaced; a null size counts as 0.
 """
 
 from __future__ import annotations
@@ -19,13 +19,14 @@ def shard_by_bytes(rows: DataFrame, shards: int = 24, order: tuple[str, ...] = (
 
     Driver: two numbers a partition and one a shard. A middle of a row decides its shard.
     """
-    rows = rows.drop("shard", "slot")
-    spread = rows.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id()))
-    keys = [*order, "_salt"]
+    keep = [c for c in rows.columns if c not in ("shard", "slot")]
+    keys = [*[f"_o{k}" for k in range(len(order))], "_salt"]
+    # In one column, so that no column of rows clashes with what is made.
+    spread = rows.select(F.struct(*keep).alias("_row"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"), *[F.col(c).alias(k) for c, k in zip(order, keys)], F.xxhash64(F.monotonically_increasing_id()).alias("_salt"))
     # checkpoint() keeps partitions and their order; the numbers below hold for it alone.
-    fixed = spread.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_salt").withColumn("_part", F.spark_partition_id())
+    fixed = spread.repartitionByRange(*keys).sortWithinPartitions(*keys).select("_row", "_size", F.spark_partition_id().alias("_part"))
     fixed = _checkpoint(fixed)
-    totals = fixed.groupBy("_part").agg(F.sum(size).alias("b"), F.count("*").alias("n")).orderBy("_part").collect()
+    totals = fixed.groupBy("_part").agg(F.sum("_size").alias("b"), F.count("*").alias("n")).orderBy("_part").collect()
     at, bytes_before, rows_before = {}, 0, 0
     for t in totals:
         at[t["_part"]] = (bytes_before, rows_before)
@@ -39,7 +40,7 @@ def shard_by_bytes(rows: DataFrame, shards: int = 24, order: tuple[str, ...] = (
             if part is None:
                 part = batch.column(batch.schema.get_field_index("_part"))[0].as_py()
                 seen = list(at[part])
-            sizes = np.asarray(batch.column(batch.schema.get_field_index(size)), dtype=np.int64)
+            sizes = np.asarray(batch.column(batch.schema.get_field_index("_size")), dtype=np.int64)
             ends = seen[0] + np.cumsum(sizes)
             shard = np.minimum((2 * ends - sizes) * shards // (2 * total), shards - 1).astype(np.int32)
             index = seen[1] + np.arange(len(sizes), dtype=np.int64)
@@ -51,7 +52,7 @@ def shard_by_bytes(rows: DataFrame, shards: int = 24, order: tuple[str, ...] = (
             found, where = np.unique(shard, return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(index[where], pa.int64())], ["shard", "first"])
 
-    starts = {r["shard"]: r["first"] for r in fixed.select("_part", size).mapInArrow(first, "shard int, first long").groupBy("shard").agg(F.min("first").alias("first")).collect()}
+    starts = {r["shard"]: r["first"] for r in fixed.select("_part", "_size").mapInArrow(first, "shard int, first long").groupBy("shard").agg(F.min("first").alias("first")).collect()}
 
     def number(batches):
         base = np.array([starts.get(k, 0) for k in range(shards)], dtype=np.int64)
@@ -62,7 +63,7 @@ def shard_by_bytes(rows: DataFrame, shards: int = 24, order: tuple[str, ...] = (
     from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
     out = StructType([*fixed.schema.fields, StructField("shard", IntegerType()), StructField("slot", LongType())])
-    return fixed.mapInArrow(number, out).drop("_part")
+    return fixed.mapInArrow(number, out).select("_row.*", "shard", "slot")
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
