@@ -2,7 +2,7 @@
 ridge regression is fitted from normal equations summed by partition, scores are calibrated by isotonic regression.
 
 Defined results: null or empty text has all statistics 0 and is scored like any other; labels of
-documents that don't exist are ignored; with no labels, or one kind only, every score is that kind's
+documents that don't exist are ignored, of several for one document the largest counts; with no labels, or one kind only, every score is that kind's
 rate (0.5 without any); repeated rows each get a row; other columns pass through where docs are kept.
 """
 
@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from walkloom.llm.common import crc_mod, materialize
+from walkloom.llm.common import crc_mod, discard, materialize
 
 FEATURES = 192
 GAMMA = 0.15
 RIDGE = 1.0
 BINS = 1000
 SEED = 7
+#: "letters" are the counts of the three commonest letters of the corpus' languages: junk has too few of them, or too many.
 STATISTICS = ["log_words", "word_len", "symbols", "duplicate_lines", "repeated_windows", "capitals", "digits", "distinct_words", "line_words", "top_word", "letters", "stops"]
 
 
@@ -116,28 +117,37 @@ def isotonic(n: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit(features: DataFrame, labels: DataFrame):
-    """A function from a matrix of statistics to scores in [0, 1]. labels: doc_id, y (0 or 1)."""
+    """A function from a matrix of statistics to scores in [0, 1]. labels: doc_id, y (0 or 1).
+
+    Calibration is cross-fitted: rates come from scores that the weights of the other half give. The weights of all are the model.
+    """
     stats = features.select(*[c for k in range(len(STATISTICS)) for c in (F.avg(F.col("x")[k]).alias(f"m{k}"), F.stddev_pop(F.col("x")[k]).alias(f"s{k}"))]).first()
     mean = [stats[f"m{k}"] or 0.0 for k in range(len(STATISTICS))]
     phi = Map(mean, [stats[f"s{k}"] or 0.0 for k in range(len(STATISTICS))])
-    rows = features.join(labels.filter("y is not null").select("doc_id", "y"), "doc_id").select("x", "y")
-    a, b = normal_equations(rows, phi)
+    y = labels.filter("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
+    half = (F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 5) % 2).cast("int")
+    rows = materialize(features.join(y, "doc_id").select("x", "y", half.alias("half")), "labelled")
+    parts = [normal_equations(rows.filter(F.col("half") == h), phi) for h in (0, 1)]
+    a, b = parts[0][0] + parts[1][0], parts[0][1] + parts[1][1]
     n = a[-1, -1]  # the constant's square, summed
     if n < 1 or b[-1] in (0.0, n):
         rate = 0.5 if n < 1 else b[-1] / n
         return lambda x: np.full(len(x), rate)
-    weights = np.linalg.solve(a + RIDGE * np.eye(len(a)), b)
+    solve = lambda a, b: np.linalg.solve(a + RIDGE * np.eye(len(a)), b)
+    weights, cross = solve(a, b), [solve(*parts[1]), solve(*parts[0])]
     raw = lambda x: phi(x) @ weights
 
     def bins(batches):
         for batch in batches:
             if batch.num_rows:
-                k = np.clip((raw(_matrix(batch.column(0))) + 0.5) / 2 * BINS, 0, BINS - 1).astype(np.int32)
+                z, h = phi(_matrix(batch.column(0))), np.asarray(batch.column(2))
+                k = np.clip((np.where(h == 0, z @ cross[0], z @ cross[1]) + 0.5) / 2 * BINS, 0, BINS - 1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), batch.column(1)], ["k", "y"])
 
-    found = rows.select("x", F.col("y").cast("long")).mapInArrow(bins, "k int, y long").groupBy("k").agg(F.count("*").alias("n"), F.sum("y").alias("y")).orderBy("k").collect()
+    found = rows.select("x", F.col("y").cast("long"), "half").mapInArrow(bins, "k int, y long").groupBy("k").agg(F.count("*").alias("n"), F.sum("y").alias("y")).orderBy("k").collect()
     at = (np.array([r["k"] for r in found]) + 0.5) / BINS * 2 - 0.5
     rates = isotonic(np.array([r["n"] for r in found], dtype=float), np.array([r["y"] for r in found], dtype=float))
+    discard(rows)
     return lambda x: np.clip(np.interp(raw(x), at, rates), 0.0, 1.0)
 
 
