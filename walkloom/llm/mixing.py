@@ -45,17 +45,18 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
 
 def mixed(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """docs with size, source_size, target, copies and taken (size * copies). docs has doc_id, source, and text or else a size."""
-    if "text" in docs.columns:
-        docs = docs.withColumn("size", F.size(words(F.col("text"))).cast("long"))
-    docs = docs.drop("source_size", "target", "copies", "taken", "weight")
+    size = F.size(words(F.col("text"))).cast("long") if "text" in docs.columns else F.col("size")
+    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    # In one column, so that no column of docs clashes with what is made.
+    rows = docs.select(F.struct(*keep).alias("_in"), "doc_id", "source", size.alias("size"))
     # Written first: Spark then knows the table's size, and broadcasts it only below spark.sql.autoBroadcastJoinThreshold.
-    by = materialize(source_targets(docs.select("source", "size"), weights, cap), "sources").withColumnRenamed("source", "_source")
+    by = materialize(source_targets(rows.select("source", "size"), weights, cap), "sources").select(F.col("source").alias("_source"), "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + seed))
     draw = F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
-    out = docs.join(by, docs["source"].eqNullSafe(by["_source"])).withColumn("_rate", rate)
+    out = rows.join(by, rows["source"].eqNullSafe(by["_source"])).withColumn("_rate", rate)
     out = out.withColumn("copies", F.floor("_rate") + F.when(draw < F.col("_rate") - F.floor("_rate"), 1).otherwise(0))
-    return out.withColumn("taken", F.col("size") * F.col("copies")).drop("_rate", "_source", "weight")
+    return out.select("_in.*", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def emit(docs: DataFrame, **how) -> DataFrame:
