@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from walkloom.llm import byte_bpe, jaccard_join, mixing, quality_classifier, quality_rules
-from walkloom.llm.common import materialize
+from walkloom.llm.common import discard, materialize
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +37,13 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", rules), ("quality_classifier", classifier), ("jaccard_join", near_duplicates), ("mixing", mix), ("byte_bpe", tokens)]
 
-#: The classifier's scores and the tokenizer's ids can't be expressed in SQL; tests/llm compares each stage with brute force.
+#: The classifier's scores and the tokenizer's ids can't be expressed in SQL; tests/llm/test_pipeline.py compares each stage with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
