@@ -17,6 +17,19 @@ def frequencies(tokens: DataFrame) -> DataFrame:
     return tokens.filter("tok >= 0").groupBy("tok").agg(F.count("*").alias("cnt"), F.min(F.struct("graph_id", "pos")).alias("first"))
 
 
+def _counted(flat):
+    """Distinct values, the place where each is first, and how often it is there; by a table where values are small."""
+    import numpy as np
+
+    if not len(flat) or flat.min() < 0 or flat.max() > 1 << 21:
+        return np.unique(flat, return_index=True, return_counts=True)
+    n = np.bincount(flat)
+    first = np.zeros(len(n), np.int64)
+    first[flat[::-1]] = np.arange(len(flat) - 1, -1, -1)  # the last one written stays
+    tok = np.flatnonzero(n)
+    return tok, first[tok], n[tok]
+
+
 def frequencies_of(sequences: DataFrame) -> DataFrame:
     """As frequencies, from sequences (graph_id, tokens): a batch's tokens are counted where they are."""
 
@@ -28,7 +41,7 @@ def frequencies_of(sequences: DataFrame) -> DataFrame:
             b = b.take(pa.array(np.argsort(np.asarray(b.column(0)), kind="stable")))  # so that the first place is that of the least id
             lists = b.column(1)
             sizes = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
-            tok, at, n = np.unique(np.asarray(lists.flatten(), dtype=np.int64), return_index=True, return_counts=True)
+            tok, at, n = _counted(np.asarray(lists.flatten(), dtype=np.int64))
             ends = np.cumsum(sizes)
             row = np.searchsorted(ends, at, side="right")
             first = pa.StructArray.from_arrays([b.column(0).take(pa.array(row)).cast(pa.int64()), pa.array((at - (ends - sizes)[row]).astype(np.int32))], ["graph_id", "pos"])
