@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from walkloom.llm.common import materialize
 
-TREES = 192
+TREES = 160
 DEPTH = 4
 WIDE = 32
 BITS = 6
@@ -116,14 +116,13 @@ class Forest:
         n, codes = len(self.m), strings(hashes(q, np.zeros(len(q))))
         for at in range(0, len(q), AT_ONCE):
             lo, hi = self.ranges(codes[:, at : at + AT_ONCE], entries)
-            votes = np.zeros((lo.shape[1], n), np.uint16)
+            votes = np.zeros(lo.shape[1] * n, np.uint8 if len(lo) < 256 else np.uint16)
             for t in range(len(lo)):
                 size = hi[t] - lo[t]
                 ends = np.cumsum(size)
-                who = np.repeat(np.arange(len(size)), size)
                 places = np.arange(ends[-1]) + np.repeat(lo[t] - (ends - size), size)
-                votes[who, self.order[t][places]] += 1  # a row is in a tree once
-            for v in votes:
+                votes[self.order[t][places] + np.repeat(np.arange(len(size)) * n, size)] += 1  # a row is in a tree once
+            for v in votes.reshape(-1, n):
                 yield np.flatnonzero(v >= (np.partition(v, n - want)[n - want] if want < n else 0))
 
 
