@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from walkloom.llm.common import materialize
 
-TREES = 160
+TREES = 192
 DEPTH = 4
 WIDE = 32
 BITS = 6
