@@ -525,5 +525,8 @@ def keep_one(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
     rows = materialize(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
     found = materialize(_linked(rows, n, p).filter("node is not null").select("doc_id", "row_key", "label"), "rows")
     first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("x")).select("x.row_key")
-    gone = found.select("row_key").join(first, "row_key", "left_anti")
-    return rows.join(gone, "row_key", "left_anti").drop("row_key").select(docs.columns)
+    gone = materialize(found.select("row_key").join(first, "row_key", "left_anti"), "gone")
+    discard(found)
+    # As above: keys are broadcast if they are few; else texts are shuffled.
+    keys = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return rows.join(keys, "row_key", "left_anti").drop("row_key").select(docs.columns)
