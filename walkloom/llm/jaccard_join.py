@@ -503,11 +503,14 @@ def _linked(docs: DataFrame, n: int, p: int) -> DataFrame:
         discard(*[x for x in before if x is not None])
     labels = components(links)
     reps = _labelled(wanted.filter("node is not null"), labels, "node", "label")
-    least = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
-    found = reps.join(least, "label").select("node", "label", "component_id", F.when(F.col("rows") > COPIES, F.ceil(F.col("rows") / COPIES)).otherwise(1).cast("long").alias("salts"))
+    reps = materialize(reps, "reps")
+    # Components of one node are their own; the others are few, and Spark broadcasts them where they are small.
+    least = reps.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")).filter("n > 1").select("label", "component_id")
+    least = materialize(least, "least")
+    found = reps.join(least, "label", "left").select("node", "label", F.coalesce("component_id", "rep").alias("component_id"), F.when(F.col("rows") > COPIES, F.ceil(F.col("rows") / COPIES)).otherwise(1).cast("long").alias("salts"))
     found = materialize(found, "components")
     wide = materialize(found.filter("salts > 1").select("node", "salts"), "wide-nodes")
-    discard(sketches, asked, sets, links, labels)
+    discard(sketches, asked, sets, links, labels, reps, least)
     # A text with very many rows is dealt to several tasks. Such texts are few, and Spark broadcasts them where they are small.
     base = base.drop("sketch").join(wide, "node", "left")
     salt = F.pmod(F.xxhash64("doc_id", "row_key"), F.when(F.col("node").isNull(), COPIES).otherwise(F.coalesce("salts", F.lit(1))).cast("long"))
