@@ -166,7 +166,7 @@ def uniform(salt: str, key: Column | str, place: Column | int = 0) -> Column:
 def uniform_sql(salt: str, key: str, place: str = "0") -> str:
     """The same number in SQL."""
     s = salt_number(salt)
-    h = f"((({key}) * 7919 + ({place}) * 104729 + {s}) % {PRIME})"
+    h = f"((CAST({key} AS BIGINT) * 7919 + CAST({place} AS BIGINT) * 104729 + {s}) % {PRIME})"
     h = f"(list_transform([{h}], lambda h: (h * h + h * 40503 + {s}) % {PRIME})[1])"
     return f"(list_transform([{h}], lambda h: (h * h + h * 12345 + 1) % {PRIME})[1] / {float(PRIME)})"
 
