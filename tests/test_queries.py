@@ -10,7 +10,7 @@ from walkloom.plans import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ["O-GS1", "O-GS3", "O-GS6", "O-GS12", "O-GS18", "O-SE11", "O-SE13", "O-BP1", "O-BP3", "O-BP12", "O-VO2", "O-VO5", "O-AG3", "O-AG5", "O-EV1", "O-EV7", "O-EV8", "O-EV17", "O-SP1", "O-SP2"]
+SAMPLE = ["O-GS1", "O-GS3", "O-GS6", "O-GS12", "O-GS18", "O-SE11", "O-SE13", "O-BP1", "O-BP3", "O-BP12", "O-VO2", "O-VO5", "O-AG3", "O-AG5", "O-EV1", "O-EV7", "O-EV8", "O-EV17", "O-SP1", "O-SP2", "O-SC9"]
 
 
 def rows(df):

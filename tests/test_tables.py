@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from walkloom import streaming
 from walkloom.functions import register
 from walkloom.operators import bpe, metrics, stats, vocab
-from walkloom.sources import io
+from walkloom.sources import importers, io
 
 
 def test_balance_golden(spark):
@@ -135,3 +135,28 @@ def test_variant_sets_keep_all(spark):
     got = {r["graph_id"]: (r["preds"], r["mask"]) for r in metrics.variant_sets(df).collect()}
     assert got == {1: ([10.0 + v for v in range(7)], [1] * 7), 2: ([20.0, 21.0, 22.0] + [0.0] * 4, [1] * 3 + [0] * 4)}
     assert metrics.variant_sets(df.limit(0)).count() == 0
+
+
+def test_numbered_lines(spark, tmp_path):
+    """Files in several splits each: lines keep their places, empty ones too."""
+    texts = [[f"{k} " + "x" * (k * 7 % 40) if k % 5 else "" for k in range(f, f + 400)] for f in (0, 1000)]
+    for i, own in enumerate(texts):
+        (tmp_path / f"part-{i}.txt").write_text("\n".join(own) + "\n")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "900")
+    try:
+        got = sorted(map(tuple, importers.numbered(spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.set(key, before)
+    assert got == list(enumerate(texts[0] + texts[1]))
+
+
+def test_read_tu(spark, tmp_path):
+    files = {"A": "1, 2\n2, 1\n4, 5\n5, 3\n", "graph_indicator": "1\n1\n2\n2\n2\n", "graph_labels": "1\n-1\n", "node_labels": "7\n8\n9\n7\n8\n"}
+    for name, text in files.items():
+        (tmp_path / f"T_{name}.txt").write_text(text)
+    graphs, nodes, edges = importers.read_tu(spark, str(tmp_path), "T", edge_labels=False)
+    assert sorted(map(tuple, graphs.collect())) == [(0, 1), (1, -1)]
+    assert sorted(map(tuple, nodes.collect())) == [(0, 0, 7), (0, 1, 8), (1, 0, 9), (1, 1, 7), (1, 2, 8)]
+    assert sorted(map(tuple, edges.collect())) == [(0, 0, 0, 1, 0), (0, 1, 1, 0, 0), (1, 0, 1, 2, 0), (1, 1, 2, 0, 0)]

@@ -9,7 +9,7 @@ from walkloom.operators import bpe, metrics, splits, stats, vocab
 from walkloom.operators import tokenize as T
 from walkloom.plans.graph_queries import six
 from walkloom.plans.views_sql import CHARS, CLS, EVENTS, LABELLED, PRED, VOCAB, merges
-from walkloom.sources import io, views
+from walkloom.sources import importers, io, views
 from walkloom.sources.views import table
 
 Q, S = {}, {}
@@ -90,6 +90,22 @@ query("O-SC7", "SELECT n_name AS dataset, CASE WHEN n_nationkey % 5 = 0 THEN 'me
     lambda s, d: (lambda x: x[0].select("dataset", F.lit("").alias("reason")).union(x[1].select(F.get_json_object("value", "$.dataset"), "reason")))(io.read_metrics(s, _metric_files(s, d), pattern="*.txt", keep=("value",))))
 query("O-AG20_files", "SELECT n_name AS dataset, CASE n_nationkey % 4 WHEN 0 THEN 'roc_auc' WHEN 1 THEN 'mae' WHEN 2 THEN 'eta' ELSE 'best_val_loss' END AS metric_name, round(CASE n_nationkey % 4 WHEN 0 THEN -n_nationkey / 25 WHEN 1 THEN n_nationkey / 10 WHEN 2 THEN n_nationkey ELSE n_nationkey / 7 END, 6) AS objective FROM nation WHERE n_nationkey % 5 <> 0")(
     lambda s, d: six(stats.objective(io.read_metrics(s, _metric_files(s, d), pattern="*.txt")[0].withColumn("metrics", F.coalesce("test_metrics", F.create_map().cast("map<string,double>")))).select("dataset", "metric_name", "objective"), "objective"))
+
+
+def _triangles(s, d):
+    """A data set in TU text files: a triangle a customer, its nodes and edges typed by the customer's keys; read back."""
+    path, c = io.scratch(s, "tu"), table(s, d, "customer").select("c_custkey", "c_nationkey")
+    k = F.col("c_custkey") + 1  # from 1, without gaps
+    each = c.select("c_custkey", "c_nationkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j"))
+    ends = F.concat_ws(", ", *[(3 * k - 2 + j).cast("string") for j in (F.col("j"), (F.col("j") + 1) % 3)])
+    files = {"A": (each, ends), "graph_indicator": (each, k), "graph_labels": (c, F.col("c_nationkey")), "node_labels": (each, (F.col("c_nationkey") + F.col("j")) % 7), "edge_labels": (each, k % 4)}
+    for name, (rows, value) in files.items():
+        rows.select(*[x for x in ("c_custkey", "j") if x in rows.columns], value.cast("string").alias("value")).orderBy(*[x for x in ("c_custkey", "j") if x in rows.columns]).select("value").write.text(f"{path}/C_{name}.txt")
+    graphs, nodes, edges = importers.read_tu(s, path, "C")
+    return edges.join(graphs, "graph_id").join(nodes.select("graph_id", F.col("node_id").alias("src"), F.col("node_type").alias("src_type")), ["graph_id", "src"])
+
+
+query("O-SC9", "SELECT c_custkey AS graph_id, CAST(j AS INT) AS edge_id, CAST(j AS INT) AS src, CAST((j + 1) % 3 AS INT) AS dst, CAST((c_custkey + 1) % 4 AS INT) AS edge_type, c_nationkey AS label, CAST((c_nationkey + j) % 7 AS INT) AS src_type FROM customer, range(3) AS r(j)")(_triangles)
 query("O-SK1", EVENTS + "SELECT graph_id, string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY pos) AS tokens FROM ev GROUP BY 1")(
     lambda s, d: _written(s, "sequences", lambda p: [io.write_sequences(p, views.sequences(views.user_events(s, d)), m, k) for m, k in (("bfs", None), ("feuler", 4), ("feuler", 4))], lambda p: io.read_sequences(s, p, "feuler", 4)).withColumn("tokens", F.array_join("tokens", " ")).select("graph_id", "tokens"))
 query("O-SK5", _RUNS + "SELECT dataset, method, printf('%.4f', sum(CAST(round(value * 100) AS BIGINT)) / 100.0) AS total FROM ru GROUP BY 1, 2")(
