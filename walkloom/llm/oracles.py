@@ -28,3 +28,54 @@ t AS (SELECT *, least(CAST(cap AS DOUBLE), weight * coalesce((SELECT arg_min(lev
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate, CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '') || ':mix-1'), 1, 13) AS BIGINT) / 4503599627370496.0 AS draw FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, size * (CAST(floor(rate) AS BIGINT) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS taken FROM r""",
 }
+
+FILTER_AUDIT = f"""WITH d AS (SELECT coalesce(lang, '') AS part, doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, doc_id, CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT) + 4 * CAST(100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(t) AS INT)
++ 8 * CAST(length(translate(t, '#$%&*|', '')) < length(t) AS INT) + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INT) AS mask FROM d),
+c AS (SELECT part, mask, COUNT(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+f AS (SELECT unnest(range(5)) AS i),
+p AS (SELECT [a.i, b.i, x.i, y.i, z.i] AS o FROM f a, f b, f x, f y, f z WHERE len(list_distinct([a.i, b.i, x.i, y.i, z.i])) = 5),
+s AS (SELECT array_to_string(list_transform(o, lambda i: substr('ABCDE', CAST(i + 1 AS INT), 1)), '') AS filter_order, CAST(unnest(range(1, 6)) AS INT) AS step, o FROM p),
+b AS (SELECT filter_order, step, CAST(pow(2, o[step]) AS INT) AS bit, CAST(coalesce(list_sum(list_transform(o[1:step - 1], lambda i: pow(2, i))), 0) AS INT) AS before FROM s),
+r AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before = 0), 0) AS removed, coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0), 0) AS redundant,
+coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails, coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & before = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & before = 0), 0) AS toxic_lost FROM c, b GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r"""
+
+
+def _step(x: str, cost: str, letter: str, out: str | None) -> str:
+    """A state's best (cost in 8 digits, then edits; rows given), with one more edit."""
+    rows = f"list_append({x}.o, {out})" if out else f"{x}.o"
+    return f"CASE WHEN {x} IS NOT NULL THEN {{'k': lpad(CAST(CAST(left({x}.k, 8) AS INT) + {cost} AS VARCHAR), 8, '0') || substr({x}.k, 9) || '{letter}', 'o': {rows}}} END"
+
+
+def _if(when: str, then: str) -> str:
+    return f"CASE WHEN {when} THEN {then} END"
+
+
+def _best(*ways: str) -> str:
+    return f"list_min(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))"
+
+
+_KEEP, _NEW = "role || ':' || t", {"u": "'user:' || t", "a": "'assistant:' || t"}
+_USER = [_if(f"NOT gone AND i1 = 'u' AND {s} IS NOT NULL", _step(s, "cut", "K", _KEEP)) for s in ("s0", "s1", "s3")] + [_if("NOT gone", _step(s, "3 + cut", "R", _NEW["u"])) for s in ("s0", "s1", "s3")]
+CONVERSATION_REPAIR = f"""WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS t, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS b FROM conversations),
+h AS (SELECT raw.*, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, crc.t[CAST((xor(c, x) & 255) + 1 AS INT)])), 4294967295) % 20 AS h FROM raw, crc),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN translate(t, '.!?', '') ELSE t END AS t, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+q AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(role || chr(0) || t), copy) AS pos, regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g') AS body, left(role, 1) AS i1 FROM d),
+g AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, t ORDER BY pos) > 1 AS again, lag(i1) OVER (PARTITION BY conv_id ORDER BY pos) || i1 AS pair FROM q),
+r AS (SELECT *, body = '' OR again AS gone, CASE WHEN body <> '' AND NOT again AND right(body, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS cut FROM g),
+n AS (SELECT conv_id, COUNT(*) AS n, coalesce(max(turn) - min(turn) + 1 - COUNT(DISTINCT turn), 0) AS gaps, COUNT(*) FILTER (body = '') AS blank, COUNT(*) FILTER (body <> '' AND again) AS duplicate, COUNT(*) FILTER (cut = 3) AS truncated, COUNT(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY 1),
+dp AS (SELECT conv_id, CAST(0 AS BIGINT) AS pos, {{'k': '00000000', 'o': CAST([] AS VARCHAR[])}} AS s0, CAST(NULL AS STRUCT(k VARCHAR, o VARCHAR[])) AS s1, {{'k': '00000003I', 'o': ['user:']}} AS s2, {{'k': '00000006II', 'o': ['user:', 'assistant:']}} AS s3 FROM n
+UNION ALL SELECT conv_id, pos, p0, p1, s2, {_best("p3", _step("s2", "3", "I", "'assistant:'"))} AS s3 FROM (SELECT *, {_best("p2", _step("p0", "3", "I", "'user:'"), _step("p1", "3", "I", "'user:'"), _step("p3", "3", "I", "'user:'"))} AS s2 FROM (
+SELECT r.conv_id, r.pos, {_step("s0", "4", "D", None)} AS p0, {_best(_step("s1", "4", "D", None), _if("NOT gone AND i1 = 's'", _step("s0", "cut", "K", _KEEP)))} AS p1,
+{_best(_step("s2", "4", "D", None), *_USER)} AS p2, {_best(_step("s3", "4", "D", None), _if("NOT gone AND i1 = 'a'", _step("s2", "cut", "K", _KEEP)), _if("NOT gone", _step("s2", "3 + cut", "R", _NEW["a"])))} AS p3
+FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.pos = dp.pos + 1))),
+e AS (SELECT dp.conv_id, {_best("s0", "s3")} AS x FROM dp JOIN n ON n.conv_id IS NOT DISTINCT FROM dp.conv_id AND n.n = dp.pos),
+c AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(left(x.k, 8), '0') AS BIGINT) AS cost, coalesce(substr(x.k, 9), '') AS audit,
+sha256(coalesce(array_to_string(x.o, chr(10)), '')) AS repaired_sha256 FROM c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+SQL |= {"op11_filter_audit": FILTER_AUDIT, "op13_conversation_repair": CONVERSATION_REPAIR}
