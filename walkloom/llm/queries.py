@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walkloom.llm import ann_forest, byte_bpe, chat_format, conversation_repair, filter_audit, jaccard_join, mixing, quality_classifier, quality_rules, sharding, toxicity, warc
+from walkloom.llm import ann_forest, byte_bpe, chat_format, conversation_repair, filter_audit, html_extract, jaccard_join, mixing, quality_classifier, quality_rules, sharding, toxicity, warc
 from walkloom.llm.common import materialize, table, words
 from walkloom.llm.oracles import SQL
 
@@ -71,6 +71,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
 
@@ -78,6 +82,6 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity, "op2_chat_format": op2_chat_format, "op3_quality_rules": op3_quality_rules, "op4_sharding": op4_sharding,
     "op5_byte_bpe": op5_byte_bpe, "op6_quality_classifier": op6_quality_classifier, "op7_ann_forest": op7_ann_forest, "op8_jaccard_join": op8_jaccard_join,
-    "op9_warc": op9_warc, "op10_mixing": op10_mixing, "op11_filter_audit": op11_filter_audit, "op13_conversation_repair": op13_conversation_repair,
+    "op9_warc": op9_warc, "op10_mixing": op10_mixing, "op11_filter_audit": op11_filter_audit, "op12_html_extract": op12_html_extract, "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE_SQL: dict[str, str] = dict(SQL)
