@@ -1,16 +1,17 @@
 """Approximate nearest neighbours by inner product with a hash-prefix forest.
 
-A hash of a vector is the place and sign of the largest of WIDE rotated components (a cross-polytope hash,
+A symbol of a vector is the place and sign of the largest of WIDE rotated components (a cross-polytope hash,
 over vectors brought to one length by an extra component, so that the nearest by angle are those with the
-largest inner product). A tree's strings are DEPTH such hashes in an order of the tree's own. Rows are dealt
-into blocks of about BLOCK; each block holds one sorted array of strings per tree. A query descends in every
-tree of a block to its longest-prefix match; then all trees ascend together, a hash at a time, until the ranges
-under their prefixes hold ENTRIES times the block's rows in all. A row's votes are the trees whose range it is in;
-the rows with the most votes, SHARE of the block's or LEAST times as many as are asked for, and all that tie with
-the last of them, are measured exactly, in double precision on the original vectors.
+largest inner product). A tree's strings are DEPTH symbols, and no two trees share one, so trees are independent.
+Rows are dealt into blocks of about BLOCK; a block holds one sorted array of strings per tree. A query descends
+in every tree of a block to its longest-prefix match; then all trees ascend together, a symbol at a time, until
+the ranges under their prefixes hold enough entries: SHARE of the block's rows, and LEAST times as many as are
+asked for, besides the query's own copies. How long the prefixes are then depends on how close its neighbours
+are: a query in a tight cluster stops at long ones. The rows of these ranges, and no others, are measured exactly,
+in double precision on the original vectors.
 
-Queries are dealt into parts too, so no task holds more than a block of rows and a part of queries whatever the
-table's size. Every row is indexed; nothing is sampled.
+Vectors are measured where they are, so a query is sent to every block, in parts of QUERIES; no task holds more
+than a block of rows and a part of queries whatever the table's size. Every row is indexed; nothing is sampled.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part; shorter
 vectors count as padded with zeros; a query id with several vectors uses the least of them; rows with the
@@ -30,20 +31,19 @@ from pyspark.sql import functions as F
 
 from walkloom.llm.common import materialize
 
-TREES = 192
-DEPTH = 4
-WIDE = 32
-BITS = 6
+TREES = 288
+DEPTH = 5
+WIDE = 16
+#: Bits of a symbol.
+BITS = 5
 BLOCK = 8192
 QUERIES = 4096
-#: Index entries read in all, as a multiple of the block's rows, at which the trees stop ascending.
-ENTRIES = 1.5
-#: Rows measured for a query, as a share of the block's. Recall for other shares is in the README.
-SHARE = 0.05
-#: Rows measured at least, as a multiple of those asked for.
-LEAST = 7
+#: Entries of the trees' ranges in all, as a share of the block's rows, at which the trees stop ascending. Recall for this and other figures is in the README.
+SHARE = 0.15
+#: Entries at least, as a multiple of the rows asked for.
+LEAST = 20
 SEED = 11
-#: Queries whose votes are held at a time.
+#: Queries whose candidates are held at a time.
 AT_ONCE = 256
 
 
@@ -61,72 +61,71 @@ def matrix(vectors, dim: int) -> np.ndarray:
     return out
 
 
-def hashes(m: np.ndarray, extra: np.ndarray, trees: int = TREES, wide: int = WIDE) -> np.ndarray:
-    """The hashes of rows: trees x rows. Rotations are drawn alike in every task; one gives as many hashes as it has room for."""
+def strings(m: np.ndarray, extra: np.ndarray, trees: int = TREES, depth: int = DEPTH, wide: int = WIDE) -> np.ndarray:
+    """The strings of rows: trees x rows, the first symbol highest. Rotations are drawn alike in every task; one gives as many symbols as it has room for, each to another tree."""
     x = np.hstack([m, extra[:, None]]).astype(np.float32)
-    dim, rng, out, k = x.shape[1], np.random.default_rng(SEED), np.empty((trees, len(x)), np.uint32), 0
+    dim, rng, out, k = x.shape[1], np.random.default_rng(SEED), np.zeros((trees, len(x)), np.uint32), 0
     wide, at = min(wide, dim), np.arange(len(x))
-    while k < trees:
+    while k < trees * depth:
         y = x @ np.linalg.qr(rng.normal(size=(dim, dim)))[0].astype(np.float32)
-        for g in range(min(dim // wide, trees - k)):
+        for g in range(min(dim // wide, trees * depth - k)):
             own = y[:, g * wide : (g + 1) * wide]
             place = np.abs(own).argmax(1)
-            out[k] = 2 * place + (own[at, place] > 0)
+            out[k % trees] = (out[k % trees] << np.uint32(BITS)) | (2 * place + (own[at, place] > 0)).astype(np.uint32)
             k += 1
     return out
 
 
-def strings(h: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """A tree's string is its own hash, then those of other trees at growing steps; the first is the highest."""
-    out = np.zeros_like(h)
-    for k in range(depth):
-        out = (out << np.uint32(BITS)) | np.roll(h, -k * (k + 1) * 7, axis=0)
-    return out
-
-
 class Forest:
     """The sorted arrays of one block."""
 
-    def __init__(self, m: np.ndarray, longest: float):
-        self.m = m
+    def __init__(self, m: np.ndarray, longest: float, depth: int = DEPTH):
+        self.m, self.depth = m, depth
         # The extra component brings every row to the length of the longest.
-        codes = strings(hashes(m, np.sqrt(np.maximum(longest**2 - (m**2).sum(1), 0))))
+        codes = strings(m, np.sqrt(np.maximum(longest**2 - (m**2).sum(1), 0)), depth=depth)
         self.order = np.argsort(codes, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(codes, self.order, 1)
 
-    def ranges(self, codes: np.ndarray, entries: float) -> tuple[np.ndarray, np.ndarray]:
-        """lo and hi of each tree and query where the ascent stops: at the longest prefixes that hold enough in all, or at the root."""
+    def ranges(self, codes: np.ndarray, enough: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """lo and hi of each tree and query where the ascent stops, and the length of the prefixes there: the longest that hold enough in all, or none."""
         n, trees, nq = len(self.m), *codes.shape
         lo, hi, todo = np.zeros((trees, nq), np.int64), np.full((trees, nq), n, np.int64), np.arange(nq)
-        for depth in range(DEPTH, 0, -1):
-            shift = np.uint32(BITS * (DEPTH - depth))
+        length, copies = np.zeros(nq, int), None
+        for depth in range(self.depth, 0, -1):
+            shift = np.uint32(BITS * (self.depth - depth))
             a, b = np.empty((trees, len(todo)), np.int64), np.empty((trees, len(todo)), np.int64)
             for t in range(trees):
                 own, c = self.sorted[t] >> shift, codes[t, todo] >> shift
                 a[t], b[t] = np.searchsorted(own, c), np.searchsorted(own, c, side="right")
-            enough = (b - a).sum(0) >= entries * n
-            lo[:, todo[enough]], hi[:, todo[enough]] = a[:, enough], b[:, enough]
-            todo = todo[~enough]
+            # What is in every tree's whole string is the query's own vector again: a copy counts once.
+            held = (b - a).sum(0)
+            copies = (b - a).min(0) if copies is None else copies
+            stop = held - copies * (trees - 1) >= enough
+            lo[:, todo[stop]], hi[:, todo[stop]], length[todo[stop]] = a[:, stop], b[:, stop], depth
+            todo, copies = todo[~stop], copies[~stop]
             if not len(todo):
                 break
-        return lo, hi
+        return lo, hi, length
 
-    def candidates(self, q: np.ndarray, want: int, entries: float = ENTRIES):
+    def candidates(self, q: np.ndarray, enough: float):
         """Yields for each query the places of the rows that are measured."""
-        n, codes = len(self.m), strings(hashes(q, np.zeros(len(q))))
+        n, codes = len(self.m), strings(q, np.zeros(len(q)), depth=self.depth)
         for at in range(0, len(q), AT_ONCE):
-            lo, hi = self.ranges(codes[:, at : at + AT_ONCE], entries)
-            votes = np.zeros(lo.shape[1] * n, np.uint8 if len(lo) < 256 else np.uint16)
+            lo, hi, length = self.ranges(codes[:, at : at + AT_ONCE], enough)
+            held = np.zeros((lo.shape[1], n), bool)
+            held[length == 0] = True
+            some = np.flatnonzero(length)
             for t in range(len(lo)):
-                size = hi[t] - lo[t]
+                size = hi[t, some] - lo[t, some]
                 ends = np.cumsum(size)
-                places = np.arange(ends[-1]) + np.repeat(lo[t] - (ends - size), size)
-                votes[self.order[t][places] + np.repeat(np.arange(len(size)) * n, size)] += 1  # a row is in a tree once
-            for v in votes.reshape(-1, n):
-                yield np.flatnonzero(v >= (np.partition(v, n - want)[n - want] if want < n else 0))
+                if len(ends) and ends[-1]:
+                    places = np.arange(ends[-1]) + np.repeat(lo[t, some] - (ends - size), size)
+                    held[np.repeat(some, size), self.order[t][places]] = True
+            for v in held:
+                yield np.flatnonzero(v)
 
 
-def search(rows: DataFrame, queries: DataFrame, top: int = 20, share: float = SHARE) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, top: int = 20, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """query_id, rank, vec_id, score, measured: the nearest found of rows (vec_id, embedding) for each of queries (alike).
 
     measured: the rows that were measured exactly for the query, in the block that vec_id is in.
@@ -147,12 +146,16 @@ def search(rows: DataFrame, queries: DataFrame, top: int = 20, share: float = SH
         if len(a) and len(q):
             ids = a["vec_id"].to_numpy()
             m, x = matrix(a["v"], dim), matrix(q["v"], dim)
-            for query, v, at in zip(q["vec_id"].to_numpy(), x, Forest(m, longest).candidates(x, max(math.ceil(share * len(a)), LEAST * top))):
+            for query, v, at in zip(q["vec_id"].to_numpy(), x, Forest(m, longest).candidates(x, max(share * len(a), least * top))):
                 measured, at = len(at), at[ids[at] != query]
                 score = m[at] @ v
+                if len(at) > top:  # the best, and all that tie with the last of them
+                    best = score >= np.partition(score, len(at) - top)[len(at) - top]
+                    at, score = at[best], score[best]
                 best = np.lexsort((ids[at], -score))[:top]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at][best], "score": score[best], "measured": measured}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "measured": []}).astype({"query_id": "int64", "vec_id": "int64", "measured": "int64"})
+                out.append((np.full(len(best), query), ids[at][best], score[best], np.full(len(best), measured)))
+        names = {"query_id": "int64", "vec_id": "int64", "score": "float64", "measured": "int64"}
+        return pd.DataFrame({c: np.concatenate([x[k] for x in out]) if out else np.zeros(0) for k, c in enumerate(names)}).astype(names)
 
     found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(find, "query_id long, vec_id long, score double, measured long")
     found = found.withColumn("_first", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
