@@ -6,6 +6,8 @@ are written and read by Spark, so they may be in any store; export() copies them
 Defined results: null html is an empty payload; null url and page_id are written as "null" and read
 back as null; of rows with equal payloads and equal largest page_id, one is the response (which, is
 decided by row order) and the others revisit it; other columns are dropped; an empty table gives no rows.
+Headers and URLs may have any length. A number in a header that isn't one, in ASCII digits and within 64
+bits, is null, as is a damaged page id; without a right Content-Length there is no record. No damage raises.
 
 What a salvage sets aside is a row of kind gap, with its place in the archive and, within a member that was
 decompressed, in its text. A record of a member whose checksum fails counts only if its own digest is right.
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walkloom.llm.common import materialize
+from walkloom.llm.common import materialize, shared_dir  # noqa: F401
 
 VERSION = b"WARC/1.1"
 #: An archive is closed when it has reached so many bytes.
@@ -35,6 +37,16 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def _numbered_alike(df: DataFrame) -> bool:
+    """Whether row numbers are the same in each reading: only of files that are scanned, with columns and filters that give the same each time."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if not plan.deterministic():
+        return False
+    while (kind := plan.getClass().getSimpleName()) in ("Project", "Filter"):
+        plan = plan.child()
+    return kind == "LogicalRelation"
+
+
 def with_digests(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, payload_digest, row."""
 
@@ -42,8 +54,7 @@ def with_digests(pages: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([digest(x.as_py()) for x in b.column(2)], pa.string())], [*b.schema.names, "payload_digest"])
 
-    # Row numbers are the same in each reading of a plain scan; rows that come otherwise are written first.
-    if any(x in pages._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "InArrow", "InPandas", "Python", "RDD", "Generate")):
+    if not _numbered_alike(pages):
         pages = materialize(pages.select("page_id", "url", "html"), "pages")
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"), F.monotonically_increasing_id().alias("row"))
     return rows.mapInArrow(run, "page_id long, url string, payload binary, row long, payload_digest string")
@@ -134,29 +145,45 @@ class _Marks:
         return min(self.at.values())
 
 
-#: Bytes of a record's headers, at most: what has more isn't a record.
-HEAD_BYTES = 1 << 20
+VERSION_LINE = re.compile(rb"WARC/1\.\d\r\n")
+NUMBER = re.compile(r"\d{1,18}", re.ASCII)
+
+
+def number(x: str | None) -> int | None:
+    """What ASCII digits say, if they fit in 64 bits."""
+    return int(x) if x is not None and NUMBER.fullmatch(x) else None
 
 
-def parse(raw: bytes, at: int, blank: _Marks) -> tuple[dict, bytes, int] | None:
-    """Headers, block and end of the record at raw[at:], or None if any check fails. blank: raw's blank lines."""
-    if not raw.startswith(b"WARC/1.", at):
-        return None
-    split = blank.next(at)
-    if split == len(raw) or split - at > HEAD_BYTES:
-        return None
-    try:
-        lines = raw[at:split].decode().split("\r\n")[1:]
-        head = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines)}
-        length = int(head["content-length"])
-    except (ValueError, KeyError):
-        return None
-    body, end = raw[split + 4 : split + 4 + length], split + 4 + length
-    if length < 0 or len(body) != length or raw[end : end + 4] != b"\r\n\r\n":
-        return None
-    if (d := head.get("warc-block-digest", "")).startswith("sha1:") and d[5:] != digest(body):
-        return None
-    return head, body, end + 4
+class Text:
+    """Bytes that are searched for records."""
+
+    def __init__(self, raw: bytes):
+        self.raw = raw
+        self.blanks, self.versions = _Marks(raw, b"\r\n\r\n"), _Marks(raw, b"\r\nWARC/1.")
+
+    def record(self, at: int) -> tuple[dict, bytes, int] | None:
+        """Headers, block and end of the record at a place, or None if any check fails.
+
+        Headers that hold a version line are those of a record that is cut off, so no byte is read as headers twice.
+        """
+        if not VERSION_LINE.match(self.raw, at):
+            return None
+        split = self.blanks.next(at)
+        if split == len(self.raw) or self.versions.next(at) < split:
+            return None
+        try:
+            lines = self.raw[at:split].decode().split("\r\n")[1:]
+            head = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines)}
+        except ValueError:
+            return None
+        length = number(head.get("content-length"))
+        end = split + 4 + (length or 0)
+        if length is None or self.raw[end : end + 4] != b"\r\n\r\n":
+            return None
+        body = self.raw[split + 4 : end]
+        if (d := head.get("warc-block-digest", "")).startswith("sha1:") and d[5:] != digest(body):
+            return None
+        return head, body, end + 4
 
 
 #: Compressed bytes that are taken at a time.
@@ -192,9 +219,9 @@ def records(raw: bytes, sure: bool = True):
     After a failed check the next version line that begins a whole record is searched for. sure: whether
     records without a digest of their block count.
     """
-    at, bad, versions, blank = 0, None, _Marks(raw, b"WARC/1."), _Marks(raw, b"\r\n\r\n")
+    at, bad, versions, text = 0, None, _Marks(raw, b"WARC/1."), Text(raw)
     while at < len(raw):
-        got = parse(raw, at, blank)
+        got = text.record(at)
         if got and (sure or got[0].get("warc-block-digest", "").startswith("sha1:")):
             if bad is not None:
                 yield "gap", bad, at
@@ -215,7 +242,7 @@ def salvage(content: bytes):
     before it is a gap. Inner places are those in a member's text, the end None where that is unknown. Of a
     member that is damaged, records are read as far as it decompresses; the bytes after it are searched as well.
     """
-    at, bad, marks, blank = 0, None, _Marks(content, GZIP, b"WARC/1."), _Marks(content, b"\r\n\r\n")
+    at, bad, marks, text = 0, None, _Marks(content, GZIP, b"WARC/1."), Text(content)
     while at < len(content):
         found, end = [], None
         if content.startswith(GZIP, at):
@@ -224,7 +251,7 @@ def salvage(content: bytes):
             if not any(x[0] == "record" for x in found) and (end is None or raw):
                 found, end = [], None
             stop = end
-        elif got := parse(content, at, blank):
+        elif got := text.record(at):
             found, end = [("record", 0, 0, *got[:2])], got[2]
             stop = end
         if not found and end is None:
@@ -250,9 +277,10 @@ def salvage(content: bytes):
         yield "gap", bad, len(content)
 
 
-def _id(x: str | None):
+def _id(x: str | None) -> int | None:
     x = (x or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(x) if x.lstrip("-").isdigit() else None
+    found = re.fullmatch(r"-?\d{1,19}", x, re.ASCII)
+    return int(x) if found and -(1 << 63) <= int(x) < 1 << 63 else None
 
 
 def read(archives: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -270,7 +298,7 @@ def read(archives: DataFrame, with_payload: bool = False) -> DataFrame:
                         t, payload = x.get("warc-type"), body[0]
                         same = t == "response"
                         row |= {"page_id": _id(x.get("warc-record-id")), "record_type": t, "refers_to": _id(x.get("warc-refers-to")),
-                                "payload_digest": digest(payload) if same else x.get("warc-payload-digest", "").removeprefix("sha1:"), "payload_bytes": len(payload) if same else int(x.get("x-payload-length", 0)), "payload": payload if with_payload else None}
+                                "payload_digest": digest(payload) if same else x.get("warc-payload-digest", "").removeprefix("sha1:"), "payload_bytes": len(payload) if same else number(x.get("x-payload-length")), "payload": payload if with_payload else None}
                     rows.append(row)
                     if len(rows) == 1000:
                         yield pa.RecordBatch.from_pylist(rows, schema)
