@@ -12,7 +12,7 @@ def test_golden(spark):
     assert bpe.train_local([(t, 1) for t in CORPUS], 10, 2) == RULES
     df = spark.createDataFrame([(k, t) for k, t in enumerate(CORPUS)], "graph_id long, tokens array<int>")
     for how in ("local", "distributed"):
-        rules = bpe.train(df, 10, 2, how, save=lambda x: x)
+        rules = bpe.train(df, 10, 2, how)
         assert [tuple(r)[1:] for r in rules.orderBy("rank").collect()] == RULES
     out = bpe.decode(bpe.encode(df, rules), rules).orderBy("graph_id").collect()
     assert [r["encoded"] for r in out] == [[7, 5], [5, 7], [6, 6, 1]]
@@ -86,3 +86,59 @@ def test_distributed_tables(spark):
     assert all(r["decoded"] == (r["tokens"] or []) for r in out) and len(out) == len(rows)
     assert bpe.train(df.limit(0), 5).count() == 0
     assert [r["first_rank"] for r in bpe.codebook_patterns(spark.createDataFrame([(0, 67, 108, 300, 9), (1, 300, 49, 301, 5)], bpe.RULES), targets=("Cl1",)).orderBy("rank").collect()] == [None, 1]
+
+
+def _left(spark):
+    """Files of the shared folder."""
+    import glob
+
+    from walkloom.sources import io
+
+    return set(glob.glob(io.scratch(spark, "x").removeprefix("file://").rpartition("/")[0] + "/*"))
+
+
+def test_tables(spark):
+    """Training over tables gives the rules of one machine, on corpora of few and of many tokens, and leaves no table."""
+    rng = random.Random(6)
+    before = _left(spark)
+    for k, size, merges in ((2, 10, 6), (5, 40, 9)):
+        seqs = [([rng.randrange(k) for _ in range(rng.randrange(25))],) for _ in range(size)] + [([1, 1, 1, 1, 1],), ([],), ([0],)] * 2
+        df = spark.createDataFrame(seqs, "tokens array<int>").repartition(3)
+        both = [[tuple(r) for r in bpe.train(df, merges, 2, how).orderBy("rank").collect()] for how in ("local", "distributed")]
+        assert both[0] == both[1] and len(both[0]) > 5
+    assert bpe.train(spark.createDataFrame([], "tokens array<int>"), 5, 2, "distributed").count() == 0
+    assert _left(spark) == before
+
+
+def test_tables_write_what_changes(spark):
+    """A pair that few sequences hold costs few rows, however many sequences there are."""
+    rows = [([k % 7 + 10 * (k % 11), 200 + k, 300 + k % 13],) for k in range(3000)] + [([1, 2, 400 + k, 3, 4, 5, 6],) for k in range(12)]
+    df = spark.createDataFrame(rows, "tokens array<int>").groupBy("tokens").agg(F.count("*").alias("n"))
+    rules, (sequences, counts, index) = bpe.train_tables(df, 8, 5)
+    passes = len(rules)
+    assert rules[:2] == [(1, 2, 3201, 12), (3, 4, 3202, 12)] and 4 <= passes <= 8
+    base = 3012, sum(max(0, len(set(zip(t, t[1:])))) for (t,) in rows)
+    assert base[0] <= sequences < base[0] + 12 * 2 * passes and index < base[1] + 12 * 3 * passes
+
+
+def test_merge_batch():
+    """Changes of counts and places of pairs around merges, against counting anew."""
+    from collections import Counter
+
+    import numpy as np
+
+    rng = random.Random(9)
+    for _ in range(200):
+        seqs = [[rng.randrange(3) for _ in range(rng.randrange(14))] for _ in range(rng.randint(1, 6))]
+        times, ids = [rng.randint(1, 4) for _ in seqs], [100 + k for k in range(len(seqs))]
+        rules = [(rng.randrange(3), rng.randrange(3), 7), (rng.choice([7, 1]), rng.choice([7, 2]), 8)]
+        now = [bpe.merge_list(bpe.merge_list(s, *rules[0]), *rules[1]) for s in seqs]
+        count = lambda ss: sum((Counter({p: n * w for p, n in Counter(zip(s, s[1:])).items()}) for s, w in zip(ss, times)), Counter())
+        kept, tok, ends, (code, delta), (pair, own) = bpe.merge_batch(np.array(ids), np.array(times), np.array([t for s in seqs for t in s], np.int64), np.cumsum([len(s) for s in seqs]), rules)
+        want = count(now)
+        want.subtract(count(seqs))
+        assert {(c >> 32, c & 0xFFFFFFFF): d for c, d in zip(code.tolist(), delta.tolist())} == {p: d for p, d in want.items() if d}
+        parts = np.split(tok, ends[:-1])
+        assert {k: p.tolist() for k, p in zip(kept.tolist(), parts)} == {k: b for k, (a, b) in enumerate(zip(seqs, now)) if a != b}
+        held = {((c >> 32, c & 0xFFFFFFFF), i) for c, i in zip(pair.tolist(), own.tolist())}
+        assert held >= {(p, ids[k]) for k, s in enumerate(now) for p in zip(s, s[1:]) if 7 in p or 8 in p}

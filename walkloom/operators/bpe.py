@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from walkloom.sources.io import saved
+from walkloom.sources.io import Layers, discard, exists, opened, saved, scratch
 
 RULES = "rank int, left int, right int, new_id int, cnt long"
 #: Tokens of distinct sequences that one machine trains on, at most (some 40 bytes each); beyond, tables are passed over. Both give the same rules.
@@ -187,21 +187,146 @@ def independent(counts: list[tuple[int, int, int]], min_frequency: int) -> list[
     return out
 
 
-def apply_rules(sequences: DataFrame, rules: list[tuple[int, int, int]]) -> DataFrame:
-    """sequences (tokens, n) after merges (left, right, new_id), one after another."""
+#: What a pass over the sequences that hold a pair gives: the changed sequences, changes of counts, and places of new pairs.
+STEP = "kind int, id long, n long, tokens array<int>, left int, right int, cnt long"
+SEQUENCE, COUNT, PLACE = range(3)
+_OF = {SEQUENCE: ("id", "n", "tokens"), COUNT: ("left", "right", "cnt"), PLACE: ("left", "right", "id")}
+_TYPE = {"id": "long", "n": "long", "tokens": "array<int>", "left": "int", "right": "int", "cnt": "long"}
+
+
+def _sums(code: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(code, return_inverse=True)
+    total = np.zeros(len(found), np.int64)
+    np.add.at(total, at, weight)
+    return found[total != 0], total[total != 0]
+
+
+def merge_batch(ids: np.ndarray, times: np.ndarray, tokens: np.ndarray, ends: np.ndarray, rules: list[tuple[int, int, int]]):
+    """Sequences after merges (left, right, new_id), one after another: which changed, their tokens and ends, changes of pair counts, and new pairs by sequence.
+
+    Counts and places are kept up to date around the merged places only.
+    """
+    c = Corpus(tokens, ends)
+    owner = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
+    changed, codes, weights, places = np.zeros(len(ends), bool), [], [], []
+    for left, right, new_id in rules:
+        at = c.hits(np.flatnonzero(c.live & (c.tok == left)), left, right)
+        if not len(at):
+            continue
+        changed[owner[at]] = True
+        lost, code = c.pairs(c.lost(at))
+        codes.append(code)
+        weights.append(-times[owner[lost]])
+        c.merge(at, new_id)
+        made, code = c.pairs(c.made(at))
+        codes.append(code)
+        weights.append(times[owner[made]])
+        places.append(np.unique(np.stack([code, ids[owner[made]]]), axis=1))
+    at, tok = c.rest()
+    stops = np.searchsorted(at, ends)
+    begins = np.concatenate([[0], stops[:-1]])
+    kept = np.flatnonzero(changed)
+    empty = np.zeros(0, np.int64)
+    cut = np.concatenate([tok[begins[k] : stops[k]] for k in kept.tolist()] or [empty])
+    return kept, cut, np.cumsum(stops[kept] - begins[kept]), _sums(np.concatenate(codes or [empty]), np.concatenate(weights or [empty])), np.concatenate(places or [np.zeros((2, 0), np.int64)], axis=1)
+
+
+def _pass(rows: DataFrame, rules: list[tuple[int, int, int]]) -> DataFrame:
+    """STEP of sequences (id, n, tokens)."""
+
+    def batch(kind, size, **columns):
+        arrays = [pa.array(np.full(size, kind, np.int32))]
+        for name, type_ in (("id", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int32())), ("left", pa.int32()), ("right", pa.int32()), ("cnt", pa.int64())):
+            x = columns.get(name)
+            arrays.append(pa.nulls(size, type_) if x is None else x if isinstance(x, pa.Array) else pa.array(x).cast(type_))
+        return pa.RecordBatch.from_arrays(arrays, ["kind", "id", "n", "tokens", "left", "right", "cnt"])
 
     def run(batches):
         for b in batches:
-            lists = b.column(0)
-            flat, ends = _flat(lists)
-            c = Corpus(flat, ends)
-            for left, right, new_id in rules:
-                c.merge(c.hits(np.flatnonzero(c.live & (c.tok == left)), left, right), new_id)
-            at, tok = c.rest()
-            cut = np.concatenate([[0], np.searchsorted(at, ends)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cut), pa.array(tok.astype(np.int32))), b.column(1)], ["tokens", "n"])
+            ids, times = (np.asarray(b.column(k), dtype=np.int64) for k in (0, 1))
+            kept, tokens, ends, (code, delta), (pair, own) = merge_batch(ids, times, *_flat(b.column(2)), rules)
+            yield batch(SEQUENCE, len(kept), id=ids[kept], n=times[kept], tokens=_lists(tokens, ends))
+            yield batch(COUNT, len(code), left=code >> 32, right=code & 0xFFFFFFFF, cnt=delta)
+            yield batch(PLACE, len(pair), left=pair >> 32, right=pair & 0xFFFFFFFF, id=own)
+
+    return rows.select("id", "n", "tokens").mapInArrow(run, STEP)
 
-    return sequences.select("tokens", "n").mapInArrow(run, "tokens array<int>, n long")
+
+class PairTables:
+    """Training state as tables in layers: sequences (the newest of an id counts), pair counts (to be summed), and an index from pair to sequences.
+
+    A pass reads the counts, asks the index for the sequences that hold its pairs, and writes those that changed, the changes of counts
+    and the places of new pairs. An index entry may be out of date: then its sequence is looked at and doesn't change.
+    """
+
+    def __init__(self, distinct: DataFrame):
+        """distinct: tokens, n."""
+        self.spark, self.age = distinct.sparkSession, 0
+        base = saved(distinct.select(F.monotonically_increasing_id().alias("id"), "n", "tokens", F.lit(0).alias("age")), "sequences")
+        newest = lambda df: df.groupBy("id").agg(F.max_by(F.struct("n", "tokens", "age"), "age").alias("x")).select("id", "x.*")
+        self.sequences = Layers(newest)
+        self.counts = Layers(lambda df: df.groupBy("left", "right").agg(F.sum("cnt").alias("cnt")).filter("cnt <> 0"))
+        self.index = Layers(lambda df: df.distinct().repartitionByRange("left", "right").sortWithinPartitions("left", "right"))
+        self.newest = newest
+        self.top = base.agg(F.max(F.array_max("tokens"))).first()[0]
+        self.counts.add(saved(pair_counts(base, F.col("n")), "counts"))
+        n = F.greatest(F.size("tokens") - 1, F.lit(0))
+        pairs = F.array_distinct(F.arrays_zip(F.slice("tokens", F.lit(1), n).alias("l"), F.slice("tokens", F.lit(2), n).alias("r")))
+        places = base.select("id", F.explode(pairs).alias("p")).select(F.col("p.l").alias("left"), F.col("p.r").alias("right"), "id")
+        self.index.add(saved(places.repartitionByRange("left", "right").sortWithinPartitions("left", "right"), "index"))
+        self.sequences.add(base)
+
+    def best(self) -> list[tuple[int, int, int]]:
+        """The commonest pairs, as many as a pass looks at."""
+        if not self.counts.layers:
+            return []
+        return [tuple(r) for r in self.counts.combine(self.counts.all()).orderBy(F.col("cnt").desc(), "left", "right").limit(CANDIDATES).select("left", "right", "cnt").collect()]
+
+    def merge(self, rules: list[tuple[int, int, int]]) -> None:
+        wanted = F.lit(False)
+        for left, right, _ in rules:
+            wanted = wanted | ((F.col("left") == left) & (F.col("right") == right))  # a filter of the scan: layers are sorted by pair
+        ids = self.index.all().filter(wanted).select("id").distinct()
+        rows = self.newest(self.sequences.all().join(ids, "id", "left_semi"))
+        path = scratch(self.spark, "pass")
+        _pass(rows, rules).write.partitionBy("kind").parquet(path)
+        self.age += 1
+        for kind, layers in ((SEQUENCE, self.sequences), (COUNT, self.counts), (PLACE, self.index)):
+            if not exists(self.spark, f"{path}/kind={kind}"):
+                continue
+            part = opened(self.spark, f"{path}/kind={kind}", ", ".join(f"{c} {_TYPE[c]}" for c in _OF[kind]))
+            if kind == SEQUENCE:
+                aged = saved(part.withColumn("age", F.lit(self.age)), "sequences")
+            else:
+                aged = saved(layers.combine(part), "counts" if kind == COUNT else "index")
+            discard(part)
+            layers.add(aged)
+        discard(opened(self.spark, path, STEP))
+
+    @property
+    def written(self) -> int:
+        """Rows written so far, by table."""
+        return self.sequences.written, self.counts.written, self.index.written
+
+    def discard(self) -> None:
+        for x in (self.sequences, self.counts, self.index):
+            x.discard()
+
+
+def train_tables(distinct: DataFrame, merges: int, min_frequency: int = 2) -> tuple[list[tuple[int, int, int, int]], tuple[int, int, int]]:
+    """(left, right, new_id, cnt) by rank, of sequences (tokens, n) of any size, and the rows written of sequences, counts and index."""
+    state, rules = PairTables(distinct), []
+    try:
+        while state.top is not None and len(rules) < merges:
+            made = [(left, right, state.top + 2 + len(rules) + k, n) for k, (left, right, n) in enumerate(independent(state.best(), min_frequency)[: merges - len(rules)])]
+            if not made:
+                break
+            rules += made
+            if len(rules) < merges:
+                state.merge([r[:3] for r in made])
+        return rules, state.written
+    finally:
+        state.discard()
 
 
 def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,11 +335,11 @@ def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(lists.flatten(), dtype=np.int64), np.cumsum(sizes)
 
 
-def train(sequences: DataFrame, merges: int = 2000, min_frequency: int = 2, strategy: str = "auto", save=None) -> DataFrame:
-    """The codebook (rank, left, right, new_id, cnt). strategy: auto, local or distributed. save: writes a table and reads it back, for the distributed passes.
+def train(sequences: DataFrame, merges: int = 2000, min_frequency: int = 2, strategy: str = "auto") -> DataFrame:
+    """The codebook (rank, left, right, new_id, cnt). strategy: auto, local or distributed.
 
-    Equal sequences are one, with a multiplicity. What is distinct is trained on one machine if its tokens are within LOCAL_TOKENS; else each
-    pass over the table counts pairs where they are, takes all merges that are sure to be next, and makes them. Both give the same rules.
+    Equal sequences are one, with a multiplicity. What is distinct is trained on one machine if its tokens are within LOCAL_TOKENS; else by passes
+    over tables (PairTables), each of which takes all merges that are sure to be next. Both give the same rules.
     """
     spark = sequences.sparkSession
     distinct = sequences.groupBy("tokens").agg(F.count("*").alias("n"))
@@ -227,16 +352,7 @@ def train(sequences: DataFrame, merges: int = 2000, min_frequency: int = 2, stra
         flat, ends = _flat(rows.column("tokens").combine_chunks()) if rows.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         rules = train_arrays(flat, ends, np.asarray(rows.column("n"), dtype=np.int64), merges, min_frequency)
     else:
-        save = save or saved
-        state, rules = save(distinct), []
-        top = state.agg(F.max(F.array_max("tokens"))).first()[0]
-        while top is not None and len(rules) < merges:
-            best = [tuple(r) for r in pair_counts(state, F.col("n")).orderBy(F.col("cnt").desc(), "left", "right").limit(CANDIDATES).collect()]
-            made = [(left, right, top + 2 + len(rules) + k, n) for k, (left, right, n) in enumerate(independent(best, min_frequency)[: merges - len(rules)])]
-            if not made:
-                break
-            rules += made
-            state = save(apply_rules(state, [r[:3] for r in made]))
+        rules, _ = train_tables(distinct, merges, min_frequency)
     distinct.unpersist()
     return spark.createDataFrame([(k, *r) for k, r in enumerate(rules)], RULES)
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+import weakref
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +23,80 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/walkloom/{name}-{uuid.uuid4().hex}"
 
 
+_places: dict[int, tuple] = {}
+
+
+def opened(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A table of the scratch folder, as discard() knows it."""
+    out = spark.read.schema(schema).parquet(path)
+    _places[id(out)] = (weakref.ref(out), path)
+    return out
+
+
 def saved(df: DataFrame, name: str = "table") -> DataFrame:
-    """df written and read back: cuts its lineage, and gives later plans its size."""
+    """df written and read back: cuts its lineage, and gives later plans its size. discard() deletes it."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return opened(df.sparkSession, path, df.schema)
+
+
+def _filesystem(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _filesystem(spark, path)
+    return fs.exists(at)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes saved tables that nothing reads any more."""
+    for t in tables:
+        found, path = _places.pop(id(t), (None, None))
+        if found is not None and found() is t:
+            at, fs = _filesystem(t.sparkSession, path)
+            fs.delete(at, True)
+
+
+class Layers:
+    """A table that grows by saved tables, its layers. Where FAN of them are of about one size they are put together, so
+    each row is written again as often as its layer's size grows FAN times: what is written follows what is added."""
+
+    FAN = 6
+
+    def __init__(self, combine=lambda df: df):
+        """combine: what becomes of the union of some layers."""
+        self.combine, self.layers, self.written = combine, [], 0
+
+    def add(self, layer: DataFrame) -> None:
+        self._keep(layer)
+        while True:
+            by: dict[int, list] = {}
+            for x in self.layers:
+                by.setdefault(int(math.log(x[0], self.FAN)), []).append(x)
+            same = next((x for x in by.values() if len(x) >= self.FAN), None)
+            if not same:
+                return
+            whole = saved(self.combine(reduce(DataFrame.unionByName, [x for _, x in same])))
+            self.layers = [x for x in self.layers if all(x is not y for y in same)]
+            discard(*[x for _, x in same])
+            self._keep(whole)
+
+    def _keep(self, layer: DataFrame) -> None:
+        rows = layer.count()
+        self.written += rows
+        if rows:
+            self.layers.append((rows, layer))
+        else:
+            discard(layer)
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [x for _, x in self.layers])
+
+    def discard(self) -> None:
+        discard(*[x for _, x in self.layers])
+        self.layers = []
 
 
 def write_graphs(path: str, nodes: DataFrame, edges: DataFrame) -> None:
