@@ -8,7 +8,7 @@ a suffix array over these token streams, sorted to the depth LONG, shows where a
 so repeated are removed from the blocks that say nothing of themselves (a whole block, or LONG tokens of it),
 and the rest is kept.
 
-Hosts are dealt by host; one whose text is larger than HOST_CHARS is split in groups of its pages, and runs
+Pages are dealt by host; a host whose pages are larger than HOST_CHARS is split in groups of its pages, and runs
 that stand in several groups are found by names of their tokens, counted over the groups. A task holds one group.
 
 Defined results: null html is empty; white space is Unicode's; a <br> is white space; a nested article is a
@@ -28,12 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from walkloom.llm.common import discard, materialize, pieces
+from walkloom.llm.common import materialize, pieces
 
 #: Tokens of a repeated run at least, ends of blocks included.
 LONG = 10
-#: Characters of visible text of a host's group of pages.
-HOST_CHARS = 1 << 24
+#: Characters of html of a host's group of pages.
+HOST_CHARS = 1 << 22
 #: Share of a page's tokens that repeat, from which it is a near copy.
 NEAR_COPY = 0.8
 #: Share of a block's characters in links, from which it is a menu.
@@ -300,24 +300,22 @@ def _texts(pages: list[dict], also: np.ndarray | None):
 
 
 def _parsed(batches):
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("article", pa.list_(pa.string())), ("others", pa.list_(pa.string())), ("kinds", pa.list_(pa.int32())), ("digest", pa.int64()), ("chars", pa.int64())])
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("part", pa.int64()), ("article", pa.list_(pa.string())), ("others", pa.list_(pa.string())), ("kinds", pa.list_(pa.int32())), ("digest", pa.int64())])
     for b in pieces(batches, 200):
         rows = []
         for r in b.to_pylist():
             article, others = split(blocks(r["html"] or ""))
-            texts = [*article, "\0", *(t for t, _ in others)]
-            digest = xxhash.xxh3_64_intdigest("\n".join(texts)) - (1 << 63)
-            rows.append({"page_id": r["page_id"], "url": r["url"], "host": r["host"], "article": article, "others": [t for t, _ in others], "kinds": [k for _, k in others], "digest": digest, "chars": sum(map(len, texts))})
+            digest = xxhash.xxh3_64_intdigest("\n".join([*article, "\0", *(t for t, _ in others)])) - (1 << 63)
+            rows.append({"page_id": r["page_id"], "url": r["url"], "host": r["host"], "part": digest % r["parts"], "article": article, "others": [t for t, _ in others], "kinds": [k for _, k in others], "digest": digest})
         yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-_PAGE = "page_id long, url string, host string, article array<string>, others array<string>, kinds array<int>, digest long, chars long"
+_PAGE = "page_id long, url string, host string, part long, article array<string>, others array<string>, kinds array<int>, digest long"
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, article (blocks), others (blocks), kinds (of the others), digest (of all visible text), chars."""
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), host.alias("host"), F.col("html").cast("string")).mapInArrow(_parsed, _PAGE)
+    """Of pages (page_id, url, host, parts, html): page_id, url, host, part (of so many, by the digest), article (blocks), others (blocks), kinds (of the others), digest (of all visible text)."""
+    return pages.select("page_id", "url", "host", "parts", "html").mapInArrow(_parsed, _PAGE)
 
 
 def _name_rows(batches):
@@ -355,14 +353,16 @@ def _groups(batches):
 
 def extract(pages: DataFrame, host_chars: int = HOST_CHARS) -> DataFrame:
     """page_id, url, text, n_chars, repeated_tokens (tokens outside of the article that lie in runs which the host repeats) of each page (page_id, url, html)."""
-    parsed = materialize(parse(pages), "pages")
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
+    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), host.alias("host"), F.col("html").cast("string"))
     # A row for each host that is split; Spark knows the written table's size, and broadcasts it only below its threshold.
-    large = materialize(parsed.groupBy(F.col("host").alias("_host")).agg(F.sum("chars").alias("_chars")).filter(F.col("_chars") > host_chars).select("_host", F.ceil(F.col("_chars") / host_chars).alias("_parts")), "hosts")
-    part = F.coalesce(F.pmod(F.col("digest"), F.col("_parts")), F.lit(0)).cast("long")
-    dealt = parsed.join(large, F.col("host") == F.col("_host"), "left").withColumn("part", part)
+    large = pages.groupBy(F.col("host").alias("_host")).agg(F.sum(F.length("html")).alias("_chars")).filter(F.col("_chars") > host_chars)
+    large = materialize(large.select("_host", F.ceil(F.col("_chars") / host_chars).cast("long").alias("_parts")), "hosts")
+    pages = pages.join(large, F.col("host") == F.col("_host"), "left")
+    dealt = parse(pages.withColumn("parts", F.coalesce("_parts", F.lit(1))))
     # Equal pages are in one group. A name is sent once a task, however many pages have it, and comes back to the groups that have it.
-    runs = dealt.filter("_parts is not null").select("host", "part", "others", "digest").mapInArrow(_name_rows, "host string, part long, name long, digest long")
-    shared = runs.groupBy("host", "name", "part").agg(F.min("digest").alias("lo")).groupBy("host", "name").agg(F.collect_set("part").alias("parts"), F.count("*").alias("n")).filter("n > 1")
+    runs = parse(pages.filter("_parts is not null").withColumn("parts", F.col("_parts"))).select("host", "part", "others", "digest").mapInArrow(_name_rows, "host string, part long, name long, digest long")
+    shared = runs.select("host", "name", "part").distinct().groupBy("host", "name").agg(F.collect_set("part").alias("parts"), F.count("*").alias("n")).filter("n > 1")
     shared = shared.select("host", F.explode("parts").alias("part"), "name")
     rows = dealt.select("host", "part", "page_id", "url", "article", "others", "kinds", "digest").unionByName(shared, allowMissingColumns=True)
     found = rows.repartition("host", "part").sortWithinPartitions("host", "part", F.col("name").isNull()).mapInArrow(_groups, "page_id long, url string, text string, repeated_tokens long")
