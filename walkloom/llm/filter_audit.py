@@ -100,10 +100,15 @@ def _meet(records):
             yield least, part, mask, n
 
 
+#: Bytes of text that a routing partition holds, about.
+PART_BYTES = 32 << 20
+
+
 def masks(docs: DataFrame, part: str = "lang") -> DataFrame:
     """doc_id, part, mask (bit k: filter k of FILTERS fails; E marks the ids that aren't least of their text), copies (equal rows)."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
     rows = docs.select(F.col("doc_id").cast("long"), F.col(part).cast("string"), "text").rdd
     met = rows.mapPartitions(_send).partitionBy(n, lambda k: k % n).mapPartitions(_meet)
     return spark.createDataFrame(met, "doc_id long, part string, mask int, copies long", verifySchema=False)
