@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from walkloom.sources.io import discard, saved
+
 TRIPLET = ["src_type", "edge_type", "dst_type"]
 
 
@@ -177,15 +179,16 @@ def components(packed: DataFrame) -> DataFrame:
     return packed.select("graph_id", "types", "edges").mapInArrow(run, "graph_id long, node_id int, root int, rank int")
 
 
-def spread_components(nodes: DataFrame, edges: DataFrame, save) -> DataFrame:
+def spread_components(nodes: DataFrame, edges: DataFrame, save=saved) -> DataFrame:
     """Components of graphs too large for one row: the least label spreads along edges until none changes. save: writes a step's labels and reads them back."""
     labels = save(nodes.select("graph_id", "node_id", F.col("node_id").alias("root")))
     while True:
         near = edges.join(labels.select("graph_id", F.col("node_id").alias("src"), "root"), ["graph_id", "src"]).groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.min("root").alias("_r"))
         new = save(labels.join(near, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.least("root", F.coalesce("_r", "root")).alias("root"), (F.coalesce("_r", "root") < F.col("root")).alias("moved")))
+        discard(labels)
         if not new.filter("moved").limit(1).count():
-            return new.drop("moved")
-        labels = new.drop("moved")
+            return new
+        labels = new
 
 
 def wl_hash(packed: DataFrame, rounds: int = 3) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from walkloom.operators import graph as G
-from walkloom.operators import stats, walks
+from walkloom.operators import large_graph, stats, walks
 from walkloom.operators import tokenize as T
 from walkloom.plans.views_sql import BFS, COMPONENTS, GRAPH
 from walkloom.sources import io, views
@@ -148,3 +148,31 @@ for _id, (_how, _key) in _IMG.items():
         lambda s, d, how=_how: s.range(1).select(F.posexplode(T.image_order(28, 28, how)).alias("pos", "i")))
 query("O-AG1", GRAPH + ", g AS (SELECT graph_id, COUNT(*) AS n FROM nodes GROUP BY 1) SELECT CASE WHEN graph_id % 10 < 8 THEN 'train' WHEN graph_id % 10 = 8 THEN 'val' ELSE 'test' END AS split, COUNT(n) AS n, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS std, min(n) AS lo, max(n) AS hi, CAST(sum(n) AS BIGINT) AS total FROM g GROUP BY 1")(
     lambda s, d: stats.moments(views.nodes(s, d).groupBy("graph_id").agg(F.count("*").alias("n")).withColumn("split", F.when(F.col("graph_id") % 10 < 8, "train").when(F.col("graph_id") % 10 == 8, "val").otherwise("test")), "n", "split").withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)}))
+
+# One graph of all line items, spread over rows.
+_WHOLE = """WITH RECURSIVE half AS (SELECT l_partkey AS a, l_suppkey + 1099511627776 AS b, CAST(min(CASE l_returnflag WHEN 'N' THEN 1 WHEN 'R' THEN 2 ELSE 3 END) AS BIGINT) AS cost FROM lineitem GROUP BY 1, 2),
+e AS (SELECT a AS src, b AS dst, cost FROM half UNION ALL SELECT b, a, cost FROM half)"""
+
+
+def _tour(s, d):
+    """Of the walk of each part of the graph, as found by its order: edges, how many are used once, steps that don't begin where the last ended, and whether it closes."""
+    walk, e = large_graph.euler(views.whole_edges(s, d)), views.whole_edges(s, d).select("edge_id", "src", "dst")
+    at = walk.join(e, "edge_id")
+    then = at.select("root", (F.col("pos") - 1).alias("pos"), F.col("src").alias("next_src"))
+    ends = at.groupBy("root").agg(F.count("*").alias("n"), F.countDistinct("edge_id").alias("used"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.min_by("src", "pos").alias("first"), F.max_by("dst", "pos").alias("last"))
+    breaks = at.join(then, ["root", "pos"], "left").agg(F.count_if(F.col("next_src") != F.col("dst")).alias("breaks"))
+    return ends.agg(F.sum("n").alias("edges"), F.sum("used").alias("used"), F.bool_and((F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1)).alias("whole"), F.bool_and(F.col("first") == F.col("last")).alias("closed")).crossJoin(breaks)  # one row each
+
+
+query("O-SE1_whole", _WHOLE + " SELECT COUNT(*) AS edges, COUNT(*) AS used, true AS whole, true AS closed, CAST(0 AS BIGINT) AS breaks FROM e")(_tour)
+_LEVELS = ", v0 AS (SELECT min(src) AS node_id, 0 AS level, CAST(0 AS BIGINT) AS place, CAST(-1 AS BIGINT) AS parent FROM e)"
+for _k in range(8):
+    _seen = " UNION ALL ".join(f"SELECT * FROM v{j}" for j in range(_k + 1))
+    _LEVELS += f", v{_k + 1} AS (SELECT dst AS node_id, {_k + 1} AS level, (SELECT COUNT(*) FROM ({_seen})) + row_number() OVER (ORDER BY min(place), dst) - 1 AS place, arg_min(src, place) AS parent FROM e JOIN v{_k} ON src = node_id WHERE dst NOT IN (SELECT node_id FROM ({_seen})) GROUP BY dst)"
+query("O-SE5_whole", _WHOLE + _LEVELS + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT * FROM v{j}" for j in range(9)) + ")")(lambda s, d: large_graph.bfs(views.whole_edges(s, d)).select("node_id", "level", "place", F.coalesce("parent", F.lit(-1)).alias("parent")))
+# Suppliers have the larger ids, and arcs go from larger to smaller: a part follows the largest of its suppliers.
+query("O-SE7_whole", _WHOLE + ", n AS (SELECT b AS node_id, b AS after, 0 AS kind FROM half UNION SELECT a, max(b), 1 FROM half GROUP BY a) SELECT node_id, row_number() OVER (ORDER BY after, kind, node_id) - 1 AS place FROM n")(
+    lambda s, d: (lambda e: large_graph.topo(e.select("graph_id", F.col("src").alias("node_id")), e).select("node_id", "place"))(views.whole_edges(s, d)))
+query("O-GS15_whole", _WHOLE + """, dist(node_id, dist) USING KEY (node_id) AS (SELECT min(src), CAST(0 AS BIGINT) FROM e UNION SELECT x.dst, x.d FROM (SELECT e.dst, CAST(min(dist.dist + e.cost) AS BIGINT) AS d FROM dist JOIN e ON e.src = dist.node_id GROUP BY 1) x LEFT JOIN recurring.dist r ON r.node_id = x.dst WHERE r.dist IS NULL OR x.d < r.dist)
+SELECT t.node_id, t.dist, coalesce(string_agg(CAST(f.node_id AS VARCHAR), ',' ORDER BY f.node_id), '') AS predecessors FROM dist t LEFT JOIN (SELECT f.node_id, f.dist + e.cost AS d, e.dst FROM dist f JOIN e ON e.src = f.node_id) f ON f.dst = t.node_id AND f.d = t.dist GROUP BY 1, 2""")(
+    lambda s, d: (lambda e: large_graph.shortest_paths(e, large_graph.least_nodes(e), 3).select("node_id", "dist", F.array_join("predecessors", ",").alias("predecessors")))(views.whole_edges(s, d)))

@@ -54,6 +54,19 @@ def edges(spark: SparkSession, sf_dir: str, by: str = "customer") -> DataFrame:
     return out.withColumn("edge_id", number).select("graph_id", "edge_id", "src", "dst", "src_type", "dst_type", "edge_type")
 
 
+#: What is added to a supplier's key, so that it isn't a part's.
+SUPPLIERS = 1 << 40
+
+
+def whole_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """graph_id (0), edge_id, src, dst, cost: one graph of all line items, both directions of each part-supplier pair. cost: 1 to 3, by the least return flag of the pair."""
+    kind = F.when(F.col("l_returnflag") == "N", 1).when(F.col("l_returnflag") == "R", 2).otherwise(3)
+    half = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min(kind).cast("long").alias("cost"))
+    a, b = F.col("l_partkey"), F.col("l_suppkey") + SUPPLIERS
+    way = lambda x, y, k: F.struct((F.col("l_partkey") * 2_000_000_000 + F.col("l_suppkey") * 2 + k).alias("edge_id"), x.alias("src"), y.alias("dst"))
+    return half.select(F.lit(0).cast("long").alias("graph_id"), F.explode(F.array(way(a, b, 0), way(b, a, 1))).alias("e"), "cost").select("graph_id", "e.*", "cost")
+
+
 def packed_edges(edges: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """As pack, of graphs whose every node has an edge: types come from the edges' ends, so nodes aren't made apart."""
     if counts is None:
