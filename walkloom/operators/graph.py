@@ -236,13 +236,5 @@ def flatten_kinds(nodes: DataFrame) -> DataFrame:
     return nodes.select("graph_id", "kind", local.alias("local_id"), every.alias("node_id"))
 
 
-def grid_edges(spark, h: int, w: int) -> DataFrame:
-    """src, dst of the four-neighbour grid, both directions."""
-    p = spark.range(h * w).select(F.col("id").cast("int").alias("src"))
-    r, c = F.floor(F.col("src") / w), F.col("src") % w
-    near = F.array(F.when(c + 1 < w, F.col("src") + 1), F.when(c > 0, F.col("src") - 1), F.when(r + 1 < h, F.col("src") + w), F.when(r > 0, F.col("src") - w))
-    return p.select("src", F.explode(F.array_compact(near)).alias("dst"))
-
-
 def entropy(p: Column) -> Column:
     return -F.sum(p * F.log(p))

@@ -63,10 +63,6 @@ def bond_code(c: str) -> Column:
     return F.coalesce(F.try_element_at(_map(BONDS), F.col(c).cast("int")), F.lit(0))
 
 
-def image_tokens(pixel: str, x: str, y: str, bases: tuple[int, int, int] = (0, 256, 512)) -> Column:
-    return F.array(F.col(pixel) + bases[0], F.col(x) + bases[1], F.col(y) + bases[2])
-
-
 def code_points(s) -> Column:
     s = F.col(s) if isinstance(s, str) else s
     return F.when(F.length(s) > 0, F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.ascii(c))).otherwise(F.array().cast("array<int>"))
@@ -94,10 +90,10 @@ def readable(tokens: str) -> Column:
     return F.concat_ws("", F.transform(tokens, lambda t: F.coalesce(F.when(t % 2 == 1, F.try_element_at(_map(SYMBOLS), F.shiftright(t, 1))).otherwise(F.try_element_at(_map(GLYPHS), F.shiftright(t, 1))), F.lit("?"))))
 
 
-def token_map(spark) -> DataFrame:
-    """kind, value, token of atoms 1 to 118 and bonds 0 to 4."""
-    atoms = spark.range(1, 119).select(F.lit("node").alias("kind"), F.col("id").cast("int").alias("value"), (F.col("id") * 2 + 1).cast("int").alias("token"))
-    return atoms.union(spark.range(0, 5).select(F.lit("edge"), F.col("id").cast("int"), (F.col("id") * 2).cast("int")))
+def token_map(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """kind, value, token of the types that nodes (node_type) and edges (edge_type) of a data set have."""
+    v = nodes.select(F.lit("node").alias("kind"), F.col("node_type").cast("int").alias("value"), node_token("node_type").cast("int").alias("token")).distinct()
+    return v.union(edges.select(F.lit("edge"), F.col("edge_type").cast("int"), edge_token("edge_type").cast("int")).distinct())
 
 
 def discrete_columns(df: DataFrame, vector: str, first: int = 64) -> DataFrame:
@@ -119,10 +115,3 @@ def image_order(h: int, w: int, how: str) -> Column:
     key = keys[{"row": "row_major", "snake": "serpentine"}.get(how, how)]
     places = F.sequence(F.lit(0), F.lit(h * w - 1))
     return F.transform(F.array_sort(F.transform(places, lambda i: F.struct(key(i).alias("k"), i.alias("i")))), lambda x: x["i"])
-
-
-def region_adjacency(labels: DataFrame) -> DataFrame:
-    """image_id, a, b: pairs of labels that touch to the right or below. labels: image_id, r, c, label."""
-    near = lambda dr, dc: labels.select("image_id", (F.col("r") - dr).alias("r"), (F.col("c") - dc).alias("c"), F.col("label").alias("other"))
-    pairs = labels.join(near(0, 1).union(near(1, 0)), ["image_id", "r", "c"]).filter("label <> other")
-    return pairs.select("image_id", F.least("label", "other").alias("a"), F.greatest("label", "other").alias("b")).distinct()

@@ -41,8 +41,6 @@ query("O-SC1", GRAPH + "SELECT n.graph_id, n.num_nodes, e.num_edges FROM (SELECT
     lambda s, d: views.nodes(s, d).groupBy("graph_id").agg(F.count("*").alias("num_nodes")).join(views.edges(s, d).groupBy("graph_id").agg(F.count("*").alias("num_edges")), "graph_id"))
 query("O-SC2", GRAPH + "SELECT graph_id, edge_id, src, dst, edge_type FROM edges")(
     lambda s, d: io.unpack(_packed(s, d))[1].select("graph_id", "edge_id", "src", "dst", "edge_type"))
-query("O-SC3", "WITH p AS (SELECT CAST(range AS INT) AS src FROM range(784)) SELECT src, src + 1 AS dst FROM p WHERE src % 28 < 27 UNION ALL SELECT src + 1, src FROM p WHERE src % 28 < 27 UNION ALL SELECT src, src + 28 FROM p WHERE src < 756 UNION ALL SELECT src + 28, src FROM p WHERE src < 756")(
-    lambda s, d: G.grid_edges(s, 28, 28))
 query("O-SK4", GRAPH + "SELECT graph_id, CAST(list(src ORDER BY edge_id) AS VARCHAR) AS src, CAST(list(dst ORDER BY edge_id) AS VARCHAR) AS dst FROM edges GROUP BY 1")(
     lambda s, d: _packed(s, d).select("graph_id", *[F.concat(F.lit("["), F.array_join(F.transform("edges", lambda e: e[c]), ", "), F.lit("]")).alias(c) for c in ("src", "dst")]))
 query("O-SK7", GRAPH + """, j AS (SELECT sha256(to_json({'dst': dst, 'dst_type': dst_type, 'edge_id': edge_id, 'edge_type': edge_type, 'graph_id': graph_id, 'src': src, 'src_type': src_type})) AS h FROM edges) SELECT COUNT(*) AS rows, CAST(sum(CAST('0x' || substr(h, 1, 12) AS BIGINT)) AS VARCHAR) AS total FROM j""")(lambda s, d: io.digest(views.edges(s, d)))
@@ -68,7 +66,7 @@ query("O-TK7", GRAPH + "SELECT graph_id, edge_id, CAST(src_type AS BIGINT) * CAS
 query("O-TK8", GRAPH + "SELECT graph_id, edge_id, CASE edge_type WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 ELSE 0 END AS code FROM edges")(
     lambda s, d: views.edges(s, d).select("graph_id", "edge_id", T.bond_code("edge_type").alias("code")))
 query("O-TK11", BFS + "SELECT graph_id, string_agg(coalesce((SELECT sym FROM (VALUES " + ", ".join(f"({2 * z + 1}, '{x}')" for z, x in T.SYMBOLS.items()) + ") v(t, sym) WHERE v.t = tok), '?'), '' ORDER BY key) AS text FROM walk GROUP BY 1")(lambda s, d: walks.serialize(_packed(s, d), "bfs", elements=False).select("graph_id", T.readable("tokens").alias("text")))
-query("O-TK12", "SELECT 'node' AS kind, CAST(range AS INT) AS value, CAST(2 * range + 1 AS INT) AS token FROM range(1, 119) UNION ALL SELECT 'edge', CAST(range AS INT), CAST(2 * range AS INT) FROM range(5)")(lambda s, d: T.token_map(s))
+query("O-TK12", GRAPH + "SELECT DISTINCT 'node' AS kind, node_type AS value, CAST(2 * node_type + 1 AS INT) AS token FROM nodes UNION ALL SELECT DISTINCT 'edge', CAST(edge_type AS INT), CAST(2 * edge_type AS INT) FROM edges")(lambda s, d: T.token_map(views.nodes(s, d), views.edges(s, d)))
 query("O-GS1", GRAPH + "SELECT * FROM tri")(lambda s, d: G.triplets(views.edges(s, d)))
 query("O-GS2", GRAPH + "SELECT (SELECT max(node_type) + 1 FROM nodes) AS node_types, (SELECT max(edge_type) + 1 FROM edges) AS edge_types")(lambda s, d: G.type_space(views.edges(s, d), views.nodes(s, d)))
 query("O-GS3", GRAPH + "SELECT CAST(a.range AS INT) AS src_type, CAST(b.range AS INT) AS edge_type, CAST(c.range AS INT) AS dst_type, coalesce(cnt, 0) AS cnt FROM range(16) a, range(4) b, range(16) c LEFT JOIN tri ON src_type = a.range AND edge_type = b.range AND dst_type = c.range")(
@@ -142,10 +140,6 @@ query("O-SE15", COMPONENTS + ", n AS (SELECT graph_id, COUNT(*) AS n FROM nodes
 query("O-SE17", COMPONENTS + "SELECT c.graph_id, c.node_id AS id, any_value(degree) + CASE WHEN any_value(root) = c.node_id THEN 1 ELSE 0 END AS n FROM comp c JOIN deg ON deg.graph_id = c.graph_id AND deg.node_id = c.node_id GROUP BY c.graph_id, c.node_id")(_uses("eulerian", "node"))
 query("O-SE18", GRAPH + "SELECT edge_type, COUNT(*) AS cnt FROM edges GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")(
     lambda s, d: views.edges(s, d).groupBy("edge_type").agg(F.count("*").alias("cnt")).orderBy(F.col("cnt").desc(), "edge_type").limit(1))
-_IMG = {"O-SE9": ("row_major", "r, c"), "O-SE10": ("serpentine", "r, CASE WHEN r % 2 = 0 THEN c ELSE -c END"), "O-SE11": ("diag_zigzag", "r + c, CASE WHEN (r + c) % 2 = 0 THEN -r ELSE r END"), "O-SE12": ("diag", "r + c, CASE WHEN (r + c) % 2 = 0 THEN r ELSE -r END"), "O-SE12_row": ("row", "r, c"), "O-SE12_col": ("col", "c, r"), "O-SE12_snake": ("snake", "r, CASE WHEN r % 2 = 0 THEN c ELSE -c END")}
-for _id, (_how, _key) in _IMG.items():
-    query(_id, f"SELECT CAST(row_number() OVER (ORDER BY {_key}) - 1 AS INT) AS pos, i FROM (SELECT CAST(range AS INT) AS i, CAST(range // 28 AS INT) AS r, CAST(range % 28 AS INT) AS c FROM range(784))")(
-        lambda s, d, how=_how: s.range(1).select(F.posexplode(T.image_order(28, 28, how)).alias("pos", "i")))
 query("O-AG1", GRAPH + ", g AS (SELECT graph_id, COUNT(*) AS n FROM nodes GROUP BY 1) SELECT CASE WHEN graph_id % 10 < 8 THEN 'train' WHEN graph_id % 10 = 8 THEN 'val' ELSE 'test' END AS split, COUNT(n) AS n, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS std, min(n) AS lo, max(n) AS hi, CAST(sum(n) AS BIGINT) AS total FROM g GROUP BY 1")(
     lambda s, d: stats.moments(views.nodes(s, d).groupBy("graph_id").agg(F.count("*").alias("n")).withColumn("split", F.when(F.col("graph_id") % 10 < 8, "train").when(F.col("graph_id") % 10 == 8, "val").otherwise("test")), "n", "split").withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)}))
 

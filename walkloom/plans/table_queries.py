@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from walkloom import streaming
@@ -70,8 +71,9 @@ def _written(s, name, write, read):
 
 
 query("O-SC4", _PLACED)(lambda s, d: _written(s, "splits", lambda p: io.write_splits(p, splits.placed(table(s, d, "documents").select(F.col("doc_id").alias("graph_id")), "graph_id")), lambda p: io.read_splits(s, p)))
-query("O-SC5", "SELECT d.doc_id AS graph_id, coalesce(p.url, '') AS url FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id")(
-    lambda s, d: _written(s, "lines", lambda p: table(s, d, "pages").select(F.concat_ws("\t", F.col("page_id").cast("string"), "url").alias("value")).write.text(p), lambda p: io.read_aligned_lines(s, p, table(s, d, "documents").select(F.col("doc_id").alias("graph_id")), "url")))
+# The k-th line is that of the k-th document; there are fewer lines than documents.
+query("O-SC5", "SELECT doc_id AS graph_id, coalesce(url, '') AS url FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents) LEFT JOIN (SELECT trim(url) AS url, row_number() OVER (ORDER BY page_id) AS k FROM pages) USING (k)")(
+    lambda s, d: _written(s, "lines", lambda p: table(s, d, "pages").orderBy("page_id").select(F.concat(F.lit(" "), "url", F.lit(" ")).alias("value")).write.text(p), lambda p: io.read_aligned_lines(s, p, table(s, d, "documents").select(F.col("doc_id").alias("graph_id")), "url")))
 query("O-SC6", "SELECT n_nationkey AS value, n_name AS name, CAST(n_regionkey AS DOUBLE) / 4 AS share FROM nation")(
     lambda s, d: _written(s, "csv", lambda p: table(s, d, "nation").select(F.col("n_nationkey").alias("value"), F.col("n_name").alias("name"), (F.col("n_regionkey") / 4).alias("share")).write.csv(p, header=True), lambda p: io.read_csv(s, p, "value int, name string, share double")))
 
@@ -106,20 +108,44 @@ def _triangles(s, d):
 
 
 query("O-SC9", "SELECT c_custkey AS graph_id, CAST(j AS INT) AS edge_id, CAST(j AS INT) AS src, CAST((j + 1) % 3 AS INT) AS dst, CAST((c_custkey + 1) % 4 AS INT) AS edge_type, c_nationkey AS label, CAST((c_nationkey + j) % 7 AS INT) AS src_type FROM customer, range(3) AS r(j)")(_triangles)
+
+
+def _counted(s, d):
+    """The orders of each customer as a graph in counted files: its orders are nodes, by key; an edge goes from each to the next; written by Spark and read back."""
+    path = io.scratch(s, "counted")
+    o = table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", (F.col("o_custkey") % 6).alias("kind"))
+    graphs = o.groupBy("o_custkey").agg(F.count("*").alias("n"))
+    place = (F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("at")
+    each = o.select("*", place)
+    edge = each.filter("at > 0").orderBy("o_custkey", "at")
+    files = {"num-node-list": graphs.orderBy("o_custkey").select(F.col("n").cast("string").alias("value")), "num-edge-list": graphs.orderBy("o_custkey").select((F.col("n") - 1).cast("string").alias("value")), "graph-label": graphs.orderBy("o_custkey").select((F.col("o_custkey") % 2).cast("string").alias("value")),
+        "node-feat": each.orderBy("o_custkey", "at").select(F.concat_ws(",", (F.col("o_orderkey") % 7).cast("string"), F.lit("9")).alias("value")), "edge": edge.select(F.concat_ws(",", (F.col("at") - 1).cast("string"), F.col("at").cast("string")).alias("value")), "edge-feat": edge.select(F.concat_ws(", ", F.col("kind").cast("string"), F.lit("0")).alias("value"))}
+    for name, rows in files.items():
+        rows.write.text(f"{path}/{name}.csv")
+    found, nodes, edges = importers.read_counted(s, path, both_ways=True)
+    ends = nodes.select("graph_id", F.col("node_id").alias("src"), F.col("node_type").alias("src_type"))
+    return edges.join(ends, ["graph_id", "src"]).join(found, "graph_id")
+
+
+query("O-SC9_counted", "WITH g AS (SELECT o_custkey, row_number() OVER (ORDER BY o_custkey) - 1 AS graph_id FROM (SELECT DISTINCT o_custkey FROM orders)), n AS (SELECT graph_id, o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pl FROM orders JOIN g USING (o_custkey)), e AS (SELECT graph_id, o_custkey, pl, unnest([0, 1]) AS back FROM n WHERE pl > 0) SELECT e.graph_id, CAST(2 * (e.pl - 1) + back AS INT) AS edge_id, CAST(e.pl - 1 + back AS INT) AS src, CAST(e.pl - back AS INT) AS dst, CAST(CASE WHEN e.o_custkey % 6 < 4 THEN e.o_custkey % 6 + 1 ELSE 0 END AS INT) AS edge_type, CAST(x.o_orderkey % 7 + 1 AS INT) AS src_type, CAST(e.o_custkey % 2 AS DOUBLE) AS label FROM e JOIN n x ON x.graph_id = e.graph_id AND x.pl = e.pl - 1 + back")(_counted)
 query("O-SK1", EVENTS + "SELECT graph_id, string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY pos) AS tokens FROM ev GROUP BY 1")(
     lambda s, d: _written(s, "sequences", lambda p: [io.write_sequences(p, views.sequences(views.user_events(s, d)), m, k) for m, k in (("bfs", None), ("feuler", 4), ("feuler", 4))], lambda p: io.read_sequences(s, p, "feuler", 4)).withColumn("tokens", F.array_join("tokens", " ")).select("graph_id", "tokens"))
 query("O-SK5", _RUNS + "SELECT dataset, method, printf('%.4f', sum(CAST(round(value * 100) AS BIGINT)) / 100.0) AS total FROM ru GROUP BY 1, 2")(
     lambda s, d: io.four_places(_runs(s, d).groupBy("dataset", "method").agg((F.sum(F.round(F.col("value") * 100).cast("long")) / 100).alias("total")), ["total"]))
-query("O-PF1", "SELECT c_custkey, c_acctbal AS acctbal, CAST(round(c_acctbal) AS BIGINT) AS whole, c_name AS name, c_nationkey % 2 = 0 AS even FROM customer")(
-    lambda s, d: io.typed_properties(table(s, d, "customer").select("c_custkey", F.create_map(F.lit("acctbal"), F.col("c_acctbal").cast("string"), F.lit("whole"), F.round("c_acctbal").cast("long").cast("string"), F.lit("name"), F.col("c_name"), F.lit("even"), (F.col("c_nationkey") % 2 == 0).cast("string"), F.lit("dropped"), F.lit("x")).alias("properties")), {"acctbal": "double", "whole": "long", "name": "string", "even": "boolean"}))
-query("O-PF2", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_retailprice WHEN p_size % 3 = 1 THEN CAST(p_size AS DOUBLE) ELSE 7.0 END AS target FROM part")(
-    lambda s, d: table(s, d, "part").select("p_partkey", io.target(F.when(F.col("p_size") % 3 == 0, F.create_map(F.lit("price"), F.col("p_retailprice"), F.lit("z"), F.lit(1.0))).when(F.col("p_size") % 3 == 1, F.create_map(F.lit("label"), F.col("p_size").cast("double"), F.lit("a"), F.lit(2.0))).otherwise(F.create_map(F.lit("only"), F.lit(7.0))), "price").alias("target")))
+# Items of events, with members that describe a graph, a long text, a truth value, a list and nested properties, of which one is overridden.
+_ITEM = """'{"idx": ' || CAST(event_id AS STRING) || ', "smiles": "CC", "num_nodes": 3, "kind": "' || event_type || '", "value": ' || CAST(value AS STRING) || ', "whole": ' || CAST(user_id AS STRING) || ', "even": ' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END
+|| ', "list": [1, 2], "none": null, "long": "' || repeat('x', CAST(40 + event_id % 20 AS INT)) || '", "properties": {"value": -1, "idx": 7, "inner": ' || CAST(event_id % 9 / 4 AS STRING) || ', "tag": "t' || CAST(event_id % 3 AS STRING) || '"}}'"""
+_PROPS = {"kind": ("NULL", "event_type"), "value": ("value", "NULL"), "whole": ("user_id", "NULL"), "even": ("CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END", "NULL"), "idx": ("7", "NULL"), "inner": ("event_id % 9 / 4", "NULL"), "tag": ("NULL", "'t' || event_id % 3"), "long": ("NULL", "repeat('x', CAST(40 + event_id % 20 AS INT))")}
+query("O-PF1", " UNION ALL ".join(f"SELECT event_id, '{k}' AS name, coalesce(CAST({n} AS DOUBLE), -1) AS number, coalesce({t}, '') AS text FROM events{' WHERE event_id % 20 < 10' if k == 'long' else ''}" for k, (n, t) in _PROPS.items()))(
+    lambda s, d: io.properties(table(s, d, "events").select("event_id", F.expr(_ITEM).alias("item")), "event_id").select("event_id", "name", F.coalesce("number", F.lit(-1.0)).alias("number"), F.coalesce("text", F.lit("")).alias("text")))
+_maps = lambda s, d: table(s, d, "part").select("p_partkey", F.create_map(F.lit("label"), F.col("p_size").cast("double"), F.lit("price"), F.col("p_retailprice")).alias("m"))
+# A property named, one of several by default, and the only one.
+query("O-PF2", "SELECT p_partkey, p_retailprice AS named, CAST(p_size AS DOUBLE) AS by_default, p_retailprice AS single FROM part")(
+    lambda s, d: (lambda x, found: x.select("p_partkey", io.target(F.col("m"), io.resolved_target(found, "price", "label")).alias("named"), io.target(F.col("m"), io.resolved_target(found, None, "label")).alias("by_default"), io.target(F.map_filter("m", lambda k, _: k == "price"), io.resolved_target(["price"])).alias("single")))(_maps(s, d), io.names(_maps(s, d), "m")))
 query("O-PF5", "SELECT doc_id FROM documents WHERE length(text) > 0")(lambda s, d: table(s, d, "documents").filter(F.size(T.code_points("text")) > 0).select("doc_id"))
 query("O-PF6", _RUNS + "SELECT run_id FROM ru WHERE dataset IN ('BUILDING', 'MACHINERY') AND method IN ('1-URGENT', '2-HIGH')")(lambda s, d: _runs(s, d).filter(F.col("dataset").isin("BUILDING", "MACHINERY") & F.col("method").isin("1-URGENT", "2-HIGH")).select("run_id"))
 query("O-TK4", "SELECT p_partkey, (p_size & 1) + (p_size & 2) + (p_size & 4) AS mask FROM part")(lambda s, d: table(s, d, "part").select("p_partkey", T.bitmask(F.array(*[F.shiftright("p_size", k).bitwiseAND(F.lit(1)) for k in range(3)])).alias("mask")))
 query("O-TK5", "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) AS INT) AS c FROM embeddings")(lambda s, d: table(s, d, "embeddings").select("vec_id", T.argmax_class(F.col("embedding")).alias("c")))
-query("O-TK9", "SELECT doc_id, n_chars % 256 AS a, doc_id % 28 + 256 AS b, doc_id % 27 + 512 AS c FROM documents")(
-    lambda s, d: table(s, d, "documents").select("doc_id", (F.col("n_chars") % 256).alias("p"), (F.col("doc_id") % 28).alias("x"), (F.col("doc_id") % 27).alias("y")).withColumn("t", T.image_tokens("p", "x", "y")).select("doc_id", *[F.col("t")[k].alias(c) for k, c in enumerate("abc")]))
 query("O-TK10", CHARS + "SELECT graph_id, COUNT(*) AS n, md5(string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY pos)) AS points FROM dc GROUP BY 1")(
     lambda s, d: table(s, d, "documents").select(F.col("doc_id").alias("graph_id"), T.code_points("text").alias("t")).filter(F.size("t") > 0).select("graph_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ").cast("binary")).alias("points")))
 _joined = lambda c: F.md5(F.array_join(c, " ").cast("binary"))
@@ -129,8 +155,6 @@ for _k, _c in enumerate(("p_name", "p_brand", "p_type"), 1):
     query(f"O-SE8_{_k}", f"SELECT p_partkey AS graph_id, {_c} AS text, len({_c}) AS n FROM part")(
         lambda s, d, c=_c: T.texts_to_points(table(s, d, "part").select(F.col("p_partkey").alias("graph_id"), F.col(c).alias("text"))).select("graph_id", F.concat_ws("", F.transform("tokens", lambda t: F.char(t))).alias("text"), F.size("tokens").cast("long").alias("n")))
 query("O-TK13", "WITH x AS (SELECT generate_subscripts(embedding, 1) - 1 AS col, unnest(embedding) AS v FROM embeddings) SELECT CAST(col AS INT) AS col, CAST(min(v) AS FLOAT) AS lo, CAST(max(v) AS FLOAT) AS hi, bool_and(v = floor(v)) AS whole, bool_and(v IN (0, 1)) AS binary FROM x GROUP BY 1")(lambda s, d: T.discrete_columns(table(s, d, "embeddings"), "embedding"))
-query("O-TK14", "WITH g AS (SELECT CAST(range // 16 AS INT) AS r, CAST(range % 16 AS INT) AS c, CAST((range // 16) // 4 * 4 + (range % 16) // 4 AS INT) AS label FROM range(256)) SELECT DISTINCT 0 AS image_id, least(a.label, b.label) AS a, greatest(a.label, b.label) AS b FROM g a JOIN g b ON (b.r = a.r AND b.c = a.c + 1 OR b.c = a.c AND b.r = a.r + 1) WHERE a.label <> b.label")(
-    lambda s, d: T.region_adjacency(s.range(256).select(F.lit(0).alias("image_id"), F.floor(F.col("id") / 16).cast("int").alias("r"), (F.col("id") % 16).cast("int").alias("c")).withColumn("label", (F.floor(F.col("r") / 4) * 4 + F.floor(F.col("c") / 4)).cast("int"))))
 
 # BPE
 _seqs = lambda s, d: views.sequences(views.user_events(s, d))
@@ -173,7 +197,7 @@ query("O-BP14", EVENTS + "SELECT CAST(sum(cnt) AS BIGINT) AS total, COUNT(*) AS
     lambda s, d: bpe.pair_counts(_seqs(s, d)).agg(F.sum("cnt").alias("total"), F.count("*").alias("distinct_pairs")).crossJoin(_seqs(s, d).agg(F.count("*").alias("n"))).select("total", "distinct_pairs", F.round(F.col("total") / F.col("n"), 6).alias("per_sequence")))
 query("O-BP15")(lambda s, d: bpe.codebook_sizes(bpe.train(_seqs(s, d), merges=50)))
 query("O-BP15_patterns")(lambda s, d: bpe.codebook_patterns(bpe.train(T.texts_to_points(table(s, d, "part").select(F.col("p_partkey").alias("graph_id"), F.col("p_name").alias("text"))), merges=60), targets=("ing", "er")))
-query("O-BP16")(lambda s, d: bpe.train(views.doc_sequences(s, d), merges=40, min_frequency=20))
+query("O-BP16_texts")(lambda s, d: bpe.train(views.doc_sequences(s, d), merges=40, min_frequency=20))
 query("O-BP17", _RULES)(lambda s, d: bpe.train(_seqs(s, d), 6, strategy="distributed"))
 query("O-SK2", _RULES)(lambda s, d: _written(s, "codebook", lambda p: io.write_codebook(f"{p}.json", bpe.train(_seqs(s, d), merges=6)), lambda p: io.read_codebook(s, f"{p}.json")))
 

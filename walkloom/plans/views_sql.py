@@ -51,9 +51,9 @@ vo AS (SELECT tok AS token, CAST(row_number() OVER (ORDER BY cnt DESC, first) +
 SEQS = EVENTS.rstrip() + ", s0 AS (SELECT graph_id, list(CAST(tok AS INT) ORDER BY pos) AS t FROM ev GROUP BY 1)"
 
 
-def merges(n: int) -> str:
-    """SQL of n merges by training: s<k> (graph_id, t) after k of them, r<k> (l, r, new_id, cnt) the k-th rule."""
-    out = SEQS.replace("WITH", "WITH RECURSIVE", 1) + ", top AS (SELECT max(list_max(t)) + 2 AS id FROM s0)"
+def merges(n: int, seqs: str = "") -> str:
+    """SQL of n merges by training, of sequences s0 (by default of events): s<k> (graph_id, t) after k of them, r<k> (l, r, new_id, cnt) the k-th rule."""
+    out = (seqs or SEQS.replace("WITH", "WITH RECURSIVE", 1)) + ", top AS (SELECT max(list_max(t)) + 2 AS id FROM s0)"
     for k in range(n):
         out += f", p{k} AS (SELECT t[i] AS l, t[i + 1] AS r, COUNT(*) AS cnt FROM (SELECT t, unnest(range(1, len(t))) AS i FROM s{k}) GROUP BY 1, 2)"
         out += f", r{k} AS (SELECT l, r, CAST(id + {k} AS INT) AS new_id, cnt FROM p{k}, top WHERE cnt >= 2 ORDER BY cnt DESC, l, r LIMIT 1)"

@@ -50,3 +50,41 @@ def read_tu(spark: SparkSession, folder: str, name: str, node_labels: bool = Tru
     edges = edges.join(first, "graph_id").withColumn("dst", (F.col("v") - F.col("first")).cast("int"))
     number = (F.row_number().over(W.partitionBy("graph_id").orderBy("at")) - 1).cast("int")
     return graphs, nodes.drop("line"), edges.select("graph_id", number.alias("edge_id"), "src", "dst", "edge_type")
+
+
+#: Lines that are dealt at once to one graph.
+RUN = 4096
+
+
+def _owners(counts: DataFrame) -> DataFrame:
+    """line, graph_id, at: each line's graph and its place there, of the numbers of lines of graphs (graph_id, n) one after another."""
+    from walkloom.operators.large_graph import ranked
+
+    begins = ranked(counts.withColumn("_all", F.lit(0)), ["_all"], ["graph_id"], "n").filter("n > 0")
+    runs = begins.select("graph_id", "n", "before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))).alias("run"))
+    at = F.explode(F.sequence(F.col("run"), F.least(F.col("run") + RUN, F.col("n")) - 1)).alias("at")
+    return runs.select("graph_id", "before", at).select((F.col("before") + F.col("at")).alias("line"), "graph_id", F.col("at").cast("int").alias("at"))
+
+
+def read_counted(spark: SparkSession, folder: str, both_ways: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """graphs (graph_id, label), nodes (graph_id, node_id, node_type), edges (graph_id, edge_id, src, dst, edge_type) of a data set in counted files.
+
+    Its files have a line a graph: num-node-list.csv, num-edge-list.csv and graph-label.csv; a line a node, graph after graph: node-feat.csv,
+    whose first column counts from 0 where types do from 1; a line an edge: edge.csv ("src,dst" within the graph) and edge-feat.csv, whose first
+    column 0 to 3 is type 1 to 4 and any other 0. No line has an id: counts and the lines' numbers give the graphs. both_ways: an edge back after each.
+    """
+    lines = lambda name: numbered(spark, f"{folder}/{name}.csv")
+    field = lambda k, t: F.trim(F.split_part("value", F.lit(","), F.lit(k))).cast(t)
+    count = lambda name: lines(name).select(F.col("line").alias("graph_id"), field(1, "long").alias("n"))
+    graphs = lines("graph-label").select(F.col("line").alias("graph_id"), field(1, "double").alias("label"))
+    nodes = _owners(count("num-node-list")).join(lines("node-feat").select("line", (field(1, "int") + 1).alias("node_type")), "line").select("graph_id", F.col("at").alias("node_id"), "node_type")
+    kind = field(1, "int")
+    ends = lines("edge").select("line", field(1, "int").alias("src"), field(2, "int").alias("dst"))
+    types = lines("edge-feat").select("line", F.when(kind.between(0, 3), kind + 1).otherwise(0).alias("edge_type"))
+    edges = _owners(count("num-edge-list")).join(ends, "line").join(types, "line", "left").withColumn("edge_type", F.coalesce("edge_type", F.lit(0)))
+    if both_ways:
+        way = lambda k, a, b: F.struct((2 * F.col("at") + k).alias("edge_id"), F.col(a).alias("src"), F.col(b).alias("dst"))
+        edges = edges.select("graph_id", F.explode(F.array(way(0, "src", "dst"), way(1, "dst", "src"))).alias("e"), "edge_type").select("graph_id", "e.*", "edge_type")
+    else:
+        edges = edges.select("graph_id", F.col("at").alias("edge_id"), "src", "dst", "edge_type")
+    return graphs, nodes, edges

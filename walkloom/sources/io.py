@@ -171,27 +171,110 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
+def write_images(path: str, images: DataFrame) -> None:
+    """Records of one width, a line each: label and pixels (image_id, label, pixels) as two hexadecimal digits a byte, in order of image_id."""
+    byte = lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")
+    images.orderBy("image_id").select(F.concat(byte(F.col("label")), F.array_join(F.transform("pixels", byte), "")).alias("value")).write.text(path)
+
+
+def read_images(spark: SparkSession, path: str, pixels: int, hexadecimal: bool = True, split_bytes: int | None = None) -> DataFrame:
+    """file, record, label, pixels of files of records of one width: a byte of label, then one a pixel.
+
+    Files are split by byte range, at records, and read in any store that Hadoop reads; record is a record's place in its file, and its number in all
+    files if they are one. hexadecimal: lines as write_images writes them, else bytes. A record that is cut off is an error.
+    """
+    width = 2 * (pixels + 1) + 1 if hexadecimal else pixels + 1
+    conf = {"fixedlengthinputformat.record.length": str(width), "mapreduce.input.fileinputformat.input.dir.recursive": "true"}
+    if split_bytes:
+        conf["mapreduce.input.fileinputformat.split.maxsize"] = str(split_bytes)
+
+    def decoded(pair):
+        at, raw = pair
+        data = bytes.fromhex(bytes(raw[:-1]).decode()) if hexadecimal else bytes(raw)
+        return at // width, data[0], list(data[1:])
+
+    out = None
+    for k, file in enumerate(_files(spark, path)):
+        rows = spark.sparkContext.newAPIHadoopFile(file, "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf).map(decoded)
+        part = spark.createDataFrame(rows, "record long, label int, pixels array<int>", verifySchema=False).select(F.lit(k).alias("file"), "record", "label", "pixels")
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], "file int, record long, label int, pixels array<int>") if out is None else out
+
+
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The files at path that hold something, in order of their names."""
+    at, fs = _filesystem(spark, path)
+    found = [(x.getPath().toString(), x.getLen()) for x in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*" if fs.getFileStatus(at).isDirectory() else path))]
+    return sorted(name for name, size in found if size and not name.rpartition("/")[2].startswith(("_", ".")))
+
+
 def read_aligned_lines(spark: SparkSession, path: str, ids: DataFrame, column: str) -> DataFrame:
-    """ids with column: line number = graph_id of a file of "<number>\\t<text>" lines; missing lines are empty."""
-    lines = spark.read.text(path).select(F.split_part("value", F.lit("\t"), F.lit(1)).cast("long").alias("graph_id"), F.expr("substring(value, instr(value, '\t') + 1)").alias(column))
-    return ids.join(lines, "graph_id", "left").withColumn(column, F.coalesce(column, F.lit("")))
+    """ids (graph_id) with column: the k-th line, from 0 and without blanks around it, of the text files at path is that of the k-th id; missing lines are empty."""
+    from walkloom.operators.large_graph import ranked
+    from walkloom.sources.importers import numbered
+
+    places = ranked(ids.withColumn("_all", F.lit(0)), ["_all"], ["graph_id"]).drop("_all")
+    lines = numbered(spark, path).select(F.col("line").alias("place"), F.trim("value").alias(column))
+    return places.join(lines, "place", "left").drop("place").withColumn(column, F.coalesce(column, F.lit("")))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True)
 
 
-def typed_properties(rows: DataFrame, types: dict[str, str], column: str = "properties") -> DataFrame:
-    """rows with a column each of the properties that types names, cast; other properties go, and one that is absent or can't be cast is null."""
-    keep = [c for c in rows.columns if c != column]
-    return rows.select(*keep, *[F.try_element_at(F.col(column), F.lit(k)).try_cast(t).alias(k) for k, t in types.items()])
+#: Keys of an item that describe the graph, and aren't its properties.
+STRUCTURE = (
+    "dgl_graph graph edge_index edge_attr node_features edge_features num_nodes num_edges adjacency adjacency_matrix node_attr smiles mol molecule rdkit_mol "
+    "id index idx dataset_name data_type node_ids edge_ids global_node_ids smiles_1 smiles_2 smiles_3 smiles_4"
+).split()
+
+
+def _members(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """key, name, value (variant), kind of the members of an object in a column of variants."""
+    rows.createOrReplaceTempView("_items")
+    return rows.sparkSession.sql(f"select {key}, x.key as name, x.value as value, schema_of_variant(x.value) as kind from _items, lateral variant_explode({column}) as x")
+
+
+def properties(items: DataFrame, key: str, column: str = "item") -> DataFrame:
+    """key, name, number, text: the properties of items (JSON objects), whatever their keys.
+
+    Of an item's own members, those that describe the graph go; numbers and truth values count as doubles, texts under 50 characters stay, the
+    rest goes. Members of an object "properties" are properties as they are, unless the item has a property of that name itself; those that
+    are neither number nor text are JSON text.
+    """
+    parsed = items.select(key, F.expr(f"try_parse_json({column})").alias("item"))
+    own = _members(parsed.filter("item is not null"), key, "item")
+    is_number = F.col("kind").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|BOOLEAN)")
+    text = F.expr("try_variant_get(value, '$', 'string')")
+    number = F.when(F.col("kind") == "BOOLEAN", F.expr("cast(try_variant_get(value, '$', 'boolean') as double)")).otherwise(F.expr("try_variant_get(value, '$', 'double')"))
+    typed = lambda df: df.select(key, "name", F.when(is_number, number).alias("number"), F.when(F.col("kind") == "STRING", text).alias("text"), "kind", "value")
+    top = typed(own).filter(~F.col("name").isin(*STRUCTURE)).filter(F.col("number").isNotNull() | (F.length("text") < 50)).select(key, "name", "number", "text")
+    nested = own.filter((F.col("name") == "properties") & F.col("kind").startswith("OBJECT")).select(key, F.col("value").alias("item"))
+    inner = typed(_members(nested, key, "item")).select(key, "name", "number", F.when(F.col("number").isNull(), F.coalesce("text", F.expr("to_json(value)"))).alias("text"))
+    return top.unionByName(inner.join(top.select(key, "name"), [key, "name"], "left_anti"))
+
+
+def resolved_target(available: list[str], name: str | None = None, default: str | None = None) -> str | None:
+    """The property of a data set to predict: the one named, which must be there; else the only one; else the default, if it is there. None if there is none at all."""
+    if name:
+        if name not in available:
+            raise ValueError(f"no property {name} in {available}")
+        return name
+    if len(available) < 2:
+        return available[0] if available else None
+    if default in available:
+        return default
+    raise ValueError(f"several properties and no default: {available}")
+
+
+def target(props: Column, name: str) -> Column:
+    """The property to predict, of each row's map; a row without it is an error."""
+    return F.when(F.map_contains_key(props, F.lit(name)), F.try_element_at(props, F.lit(name))).otherwise(F.raise_error(F.concat(F.lit(f"no property {name} in "), F.array_join(F.map_keys(props), ", "))).cast("double"))
 
 
-def target(properties: Column, name: str | None = None) -> Column:
-    """The property to predict: the one named, else "label", else the only one; an error if that doesn't settle it."""
-    found = [F.try_element_at(properties, F.lit(k)) for k in ([name] if name else []) + ["label"]]
-    only = F.when(F.size(properties) == 1, F.map_values(properties)[0])
-    return F.coalesce(*found, only, F.raise_error(F.lit("no property to predict")).cast("double"))
+def names(rows: DataFrame, column: str) -> list[str]:
+    """The keys of a column of maps, in order: a row a key is collected."""
+    return sorted(r[0] for r in rows.select(F.explode(F.map_keys(column)).alias("k")).distinct().collect())
 
 
 def read_metrics(spark: SparkSession, path: str, required: tuple[str, ...] = ("dataset", "method"), pattern: str = "*.json", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
