@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walkloom.operators.bpe import encode_list
+from walkloom.operators.bpe import Codebook
 from walkloom.operators.walks import walk
 
 
 def register(spark: SparkSession, rules: DataFrame | None = None) -> None:
     """bpe_encode(tokens) if a codebook is given, and the table function graph_walk(types, src, dst, edge_types, method)."""
     if rules is not None:
-        rank = {(r["left"], r["right"]): (r["rank"], r["new_id"]) for r in rules.collect()}
+        book = Codebook([(r["left"], r["right"], r["new_id"]) for r in rules.orderBy("rank").collect()])
 
         @F.pandas_udf("array<int>")
         def bpe_encode(tokens: pd.Series) -> pd.Series:
-            return tokens.map(lambda t: None if t is None else encode_list([int(x) for x in t], rank)[0])
+            some = tokens.dropna()
+            flat = np.concatenate([np.asarray(t, np.int64) for t in some] or [np.zeros(0, np.int64)])
+            out, ends, _, _ = book.encode(flat, np.cumsum([len(t) for t in some], dtype=np.int64))
+            parts = pd.Series(np.split(out.astype(np.int32), ends[:-1]) if len(some) else [], index=some.index, dtype=object)
+            return parts.reindex(tokens.index).where(tokens.notna(), None)
 
         spark.udf.register("bpe_encode", bpe_encode)
 

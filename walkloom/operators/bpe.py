@@ -492,11 +492,13 @@ def rank_limit(mode: str, rules: int, k: int | None = None, lo: int = 0, hi: int
     return F.greatest(F.lit(lo if mode in ("random", "triangular", "gaussian") else 0), F.least(F.lit(rules), value)).cast("int")
 
 
-def eval_limit(mode: str, rules: int, k: int | None = None, lo: int = 0, hi: int | None = None) -> int:
-    """The fixed rank limit that stands for a drawn one in evaluation."""
-    hi = rules if hi is None else hi
-    fixed = {"none": 0, "all": rules, "topk": k, "random": round((lo + hi) / 2), "triangular": round((lo + hi) / 2), "gaussian": hi if k is None else k}[mode]
-    return max(0, min(rules, rules if fixed is None else fixed))
+def eval_limit(mode: Column, rules: Column | int, k: Column | int | None = None, lo: Column | int = 0, hi: Column | int | None = None) -> Column:
+    """The fixed rank limit that stands for a drawn one in evaluation, by mode: none, all, topk (k), random and triangular (the middle of lo and hi, halves to even), gaussian (k, or else hi)."""
+    col = lambda x: F.lit(x) if isinstance(x, int) else F.lit(None).cast("int") if x is None else x
+    rules, k, lo = col(rules), col(k), col(lo)
+    hi = F.coalesce(col(hi), rules)
+    fixed = F.when(mode == "none", 0).when(mode == "all", rules).when(mode == "topk", k).when(mode.isin("random", "triangular"), F.bround((lo + hi) / 2)).when(mode == "gaussian", F.coalesce(k, hi))
+    return F.greatest(F.lit(0), F.least(rules, F.coalesce(fixed, rules))).cast("int")
 
 
 def expansions(rules: DataFrame) -> DataFrame:

@@ -33,6 +33,14 @@ def mean_probs(pred: DataFrame) -> DataFrame:
     return x.groupBy("graph_id").agg(F.first("y_true").alias("y_true"), F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda s: s["p"]).alias("probs"))
 
 
+def labels_by_graph(pred: DataFrame, how: str = "avg") -> DataFrame:
+    """graph_id, y_true (array of 0 and 1), probs of several labels: element-wise means, or the variant nearest to the truth by mean absolute difference (the first on ties)."""
+    if how == "avg":
+        return mean_probs(pred)
+    far = F.aggregate(F.zip_with("probs", "y_true", lambda p, y: F.abs(p - y)), F.lit(0.0), lambda a, x: a + x) / F.size("probs")
+    return pred.groupBy("graph_id").agg(F.first("y_true").alias("y_true"), F.min_by("probs", F.struct(far.alias("d"), "variant_id")).alias("probs"))
+
+
 def argmax(a) -> Column:
     """The place, from 0, of the first largest member."""
     return (F.array_position(a, F.array_max(a)) - 1).cast("int")
@@ -107,6 +115,15 @@ def one_vs_rest(pred: DataFrame) -> DataFrame:
     return pred.select(F.posexplode("probs").alias("k", "score"), "y_true").select("k", "score", (F.col("y_true") == F.col("k")).cast("int").alias("y"))
 
 
+def class_ranking(pred: DataFrame) -> DataFrame:
+    """roc_auc and ap of y_true and probs: of two classes, by the second's probability; of more, means over each class against the rest. A class that doesn't occur has no area, so the mean has none, and an ap of 0."""
+    width = F.size("probs")
+    two = ranking(pred.filter(width == 2).select((F.col("y_true") == 1).cast("int").alias("y"), F.col("probs")[1].alias("score")))
+    per = ranking(one_vs_rest(pred.filter(width > 2)), "k")
+    more = per.agg(F.when(F.count("roc_auc") == F.count("*"), F.avg("roc_auc")).alias("roc_auc"), F.avg(F.coalesce("ap", F.lit(0.0))).alias("ap"))
+    return two.filter("ap is not null").union(more.filter("ap is not null"))
+
+
 def multi_label(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     """ap (macro, 0 where undefined), precision, recall, f1 (macro), hamming accuracy of rows (k, y, score)."""
     ap = ranking(rows, "k").agg(F.avg(F.coalesce("ap", F.lit(0.0))).alias("ap"))
@@ -161,6 +178,20 @@ def losses(df: DataFrame, weights: tuple[float, float] = (1.0, 1.0)) -> DataFram
     return df.withColumns({"ce": -F.log(pt), "weighted_ce": -w * F.log(pt), "focal": -F.pow(1 - pt, F.lit(2.0)) * F.log(pt), "l2": F.pow(F.col("y") - F.col("p"), F.lit(2.0)), "l1": F.abs(F.col("y") - F.col("p"))})
 
 
+def bce_with_logits(x, y) -> Column:
+    """Binary cross entropy of a logit, in the form that doesn't overflow."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    return F.greatest(x, F.lit(0.0)) - x * y + F.log1p(F.exp(-F.abs(x)))
+
+
+def noisy(x, sigma: float, *keys, seed: int = 42) -> Column:
+    """x with Gaussian noise, drawn by a digest of the keys: the same for the same keys."""
+    from walkloom.operators.bpe import draw
+
+    normal = F.sqrt(-2 * F.log(F.greatest(draw(f"{seed}:a", *keys), F.lit(1e-12)))) * F.cos(2 * F.pi() * draw(f"{seed}:b", *keys))
+    return (F.col(x) if isinstance(x, str) else x) + normal * sigma
+
+
 def two_way_kl(a, b) -> Column:
     """The mean of both Kullback-Leibler divergences of two arrays of probabilities."""
     x = F.zip_with(a, b, lambda p, q: (p - q) * (F.log(p) - F.log(q)))
@@ -172,7 +203,8 @@ def mixup(a, b, share) -> Column:
     return F.zip_with(a, b, lambda x, y: x * share + y * (1 - share))
 
 
-def schedule(spark, steps: int, warm: int, floor: float = 0.01) -> DataFrame:
-    """step, factor: a linear rise, then a cosine down to floor."""
-    t = (F.col("id") - warm) / max(1, steps - warm)
-    return spark.range(steps).select(F.col("id").alias("step"), F.when(F.col("id") < warm, (F.col("id") + 1) / warm).otherwise(floor + (1 - floor) * 0.5 * (1 + F.cos(F.pi() * t))).alias("factor"))
+def schedule(step, steps, warm, floor: float = 0.01) -> Column:
+    """The factor of a learning rate at a step: a linear rise over warm steps, then a cosine down to floor; 1 if there are no steps."""
+    step, steps, warm = (F.col(c) if isinstance(c, str) else F.lit(c) if isinstance(c, int) else c for c in (step, steps, warm))
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0), step - warm) / F.greatest(F.lit(1), steps - warm))
+    return F.when(steps <= 0, 1.0).when((warm > 0) & (step < warm), (step + 1) / warm).otherwise(floor + (1 - floor) * 0.5 * (1 + F.cos(F.pi() * t)))

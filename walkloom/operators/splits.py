@@ -25,17 +25,18 @@ def buckets(rows: DataFrame, key: Column) -> Column:
 def placed(rows: DataFrame, *order, by: str | None = None, ratios=RATIOS) -> DataFrame:
     """rows with split by place in an order (its first column numeric), within each value of by if given.
 
-    Places are taken within ranges of the order, so no task sees all rows: each row's place is its place in its range and the count of rows before the range.
+    Places are taken within ranges of the order, so no task sees all rows, nor all of a value: a row's place is its place among its value's rows in its range, and their count in the ranges before.
     """
-    if by:
-        w = W.partitionBy(by)
-        return rows.withColumn("split", _named(F.row_number().over(w.orderBy(*order)) - 1, F.count("*").over(w), ratios))
     first = F.col(order[0]) if isinstance(order[0], str) else order[0]
+    own = [by] if by else []
     spread = rows.withColumn("_p", buckets(rows, first))
-    counts = spread.groupBy("_p").agg(F.count("*").alias("c"))  # a row a range
-    before = counts.select("_p", F.coalesce(F.sum("c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"), F.sum("c").over(W.partitionBy()).alias("_n"))
-    place = F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1
-    return spread.withColumn("_i", place).join(F.broadcast(before), "_p").withColumn("split", _named(F.col("_b") + F.col("_i"), F.col("_n"), ratios)).drop("_p", "_i", "_b", "_n")
+    counts = spread.groupBy(*own, "_p").agg(F.count("*").alias("c"))  # a row a value and range
+    earlier = W.partitionBy(*own).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select(*[F.col(c).alias("_by") for c in own], F.col("_p").alias("_q"), F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("_b"), F.sum("c").over(W.partitionBy(*own)).alias("_n"))
+    place = F.row_number().over(W.partitionBy(*own, "_p").orderBy(*order)) - 1
+    on = F.col("_p") == F.col("_q")
+    out = spread.withColumn("_i", place).join(before, on & F.col(by).eqNullSafe(F.col("_by")) if by else on)
+    return out.withColumn("split", _named(F.col("_b") + F.col("_i"), F.col("_n"), ratios)).drop("_p", "_q", "_i", "_b", "_n", "_by")
 
 
 def given(rows: DataFrame, parts: dict[str, DataFrame], key: str = "graph_id") -> DataFrame:

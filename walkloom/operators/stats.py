@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from walkloom.sources.io import discard, saved
+
 
 def moments(df: DataFrame, column: str, *by: str, sample: bool = False) -> DataFrame:
     """n, mean, std, lo, hi, total of a column. std: population, or of a sample (0 for one row)."""
@@ -27,9 +31,61 @@ def length_bounds(df: DataFrame, column: str = "n") -> DataFrame:
     return x.withColumn("recommended", F.when((F.col("u3") >= F.col("hi")) | (1 - F.col("c3") <= 0.001), F.col("u3")).otherwise(F.col("hi")))
 
 
-def quantiles(df: DataFrame, column: str, *by: str) -> DataFrame:
-    q = F.expr(f"percentile({column}, array(0.5, 0.9, 0.95, 0.99))")
-    return df.groupBy(*by).agg(q.alias("q")).select(*by, *[F.col("q")[k].alias(n) for k, n in enumerate(("p50", "p90", "p95", "p99"))])
+#: Bins of a histogram, and the rows of a bin that are then looked at one by one.
+BINS, FEW = 1024, 10_000
+
+
+def order_statistics(df: DataFrame, column: str, ranks: DataFrame, *by: str, bins: int = BINS, few: int = FEW, rounds: list | None = None) -> DataFrame:
+    """ranks (by, k: places from 0, of rows whose column isn't null) with value, the k-th least of its group.
+
+    By repeated histograms: each round counts the rows of the ranges that still hold a wanted rank by bins, and goes on with the bins that hold it, cut to
+    their least and largest value, until these are equal or a bin has few rows. So no task holds a group's values.
+    rounds, where given, gets the number of ranks still open after each round.
+    """
+    group = [f"_g{k}" for k in range(len(by))]
+    rows = df.filter(F.col(column).isNotNull()).select(*[F.col(c).alias(g) for c, g in zip(by, group)], F.col(column).cast("double").alias("v"))
+    same = lambda a, b, names: F.lit(True) if not names else reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names])
+    ends = rows.groupBy(*group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("size"))
+    wanted = ranks.select(*[F.col(c).alias(g) for c, g in zip(by, group)], F.col("k").cast("long").alias("k")).distinct()
+    open_ = saved(wanted.alias("w").join(ends.alias("e"), same("w", "e", group)).filter("k >= 0 and k < size").select(*[f"w.{g}" for g in group], "k", "lo", "hi", F.lit(0).cast("long").alias("below"), "size"), "ranks")
+    done, old = [], []
+    key = [*group, "lo", "hi"]
+    inside = lambda iv: rows.alias("r").join(iv.alias("i"), same("r", "i", group) & F.col("v").between(F.col("lo"), F.col("hi"))).select(*[f"r.{g}" for g in group], "lo", "hi", "v")
+    while True:
+        done.append(open_.filter("lo = hi").select(*group, "k", F.col("lo").alias("value")))
+        left = open_.filter("lo < hi and size > %d" % few)
+        n = left.count()
+        if rounds is not None:
+            rounds.append(n)
+        small = open_.filter("lo < hi and size <= %d" % few)
+        each = inside(small.select(*key).distinct()).groupBy(*key, "v").agg(F.count("*").alias("c"))
+        upto = F.sum("c").over(W.partitionBy(*key).orderBy("v"))
+        each = each.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("c"))
+        at = (F.col("k") - F.col("below") >= F.col("_from")) & (F.col("k") - F.col("below") < F.col("_to"))
+        done.append(small.alias("s").join(each.alias("x"), same("s", "x", key) & at).select(*[f"s.{g}" for g in group], "k", F.col("v").alias("value")))
+        if not n:
+            break
+        width = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)).cast("int")
+        h = inside(left.select(*key).distinct()).groupBy(*key, width.alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("_lo"), F.max("v").alias("_hi"))
+        h = h.withColumn("_to", F.sum("c").over(W.partitionBy(*key).orderBy("bin"))).withColumn("_from", F.col("_to") - F.col("c"))
+        old.append(open_)
+        open_ = saved(left.alias("s").join(h.alias("x"), same("s", "x", key) & at).select(*[f"s.{g}" for g in group], "k", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), (F.col("below") + F.col("_from")).alias("below"), F.col("c").alias("size")), "ranks")
+    out = saved(reduce(DataFrame.unionByName, done), "values")
+    discard(open_, *old)
+    return out.select(*[F.col(g).alias(c) for c, g in zip(by, group)], "k", "value")
+
+
+def quantiles(df: DataFrame, column: str, *by: str, at: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99), names: tuple[str, ...] = ("p50", "p90", "p95", "p99"), **how) -> DataFrame:
+    """by, and quantiles of a column with linear interpolation, exact; null for a group without values."""
+    n = df.groupBy(*by).agg(F.count(column).alias("n"))
+    places = F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(q) * (F.col("n") - 1)).alias("p")) for q, name in zip(at, names)])
+    p = saved(n.select(*by, "n", F.explode(places).alias("x")).select(*by, "n", "x.*"), "places")
+    ranks = p.select(*by, F.explode(F.array(F.floor("p"), F.ceil("p"))).alias("k"))
+    found = order_statistics(df, column, ranks, *by, **how)
+    on = lambda a, b, k: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by], F.col(f"{b}.k") == k)
+    both = p.alias("p").join(found.alias("a"), on("p", "a", F.floor("p.p")), "left").join(found.alias("b"), on("p", "b", F.ceil("p.p")), "left")
+    value = F.col("a.value") + (F.col("p.p") - F.floor("p.p")) * (F.col("b.value") - F.col("a.value"))
+    return both.groupBy(*[F.col(f"p.{c}").alias(c) for c in by]).agg(*[F.max(F.when(F.col("p.name") == name, value)).alias(name) for name in names])
 
 
 def class_counts(df: DataFrame, label: str, classes: int, *by: str) -> DataFrame:
@@ -99,11 +155,45 @@ def objective(df: DataFrame, metrics: str = "metrics", fallback: str = "best_val
 
 
 def label_kind(df: DataFrame, column: str) -> DataFrame:
-    """label, kind, classes: what a label column holds: a vector, text, real numbers, or whole numbers of two or more classes."""
+    """label, kind, targets: what a label column is to predict, by its type: properties, several labels, several targets, a class, or a number; targets are members of the first row, or classes."""
     kind = df.schema[column].dataType.simpleString()
-    x = df.agg(F.countDistinct(column).alias("classes")).select(F.lit(column).alias("label"), "classes")
-    fixed = "vector" if kind.startswith("array") else "text" if kind == "string" else "real" if kind in ("float", "double") or kind.startswith("decimal") else None
-    return x.select("label", (F.lit(fixed) if fixed else F.when(F.col("classes") <= 2, "binary").otherwise("multiclass")).alias("kind"), "classes")
+    whole = ("tinyint", "smallint", "int", "bigint")
+    members = F.size(F.first(column, ignorenulls=True))
+    name, count = (
+        ("multi_property_regression", members) if kind.startswith("map") else ("multi_property_regression", F.lit(len(df.schema[column].dataType.names))) if kind.startswith("struct")
+        else ("multi_label_classification", members) if kind in [f"array<{w}>" for w in whole] else ("multi_target_regression", members) if kind.startswith("array")
+        else ("classification", F.countDistinct(column)) if kind in whole else ("regression", F.lit(1)) if kind in ("float", "double") or kind.startswith("decimal") else ("unknown", F.lit(None))
+    )
+    return df.agg(count.cast("long").alias("targets")).select(F.lit(column).alias("label"), F.lit(name).alias("kind"), "targets")
+
+
+def file_size(df: DataFrame) -> DataFrame:
+    """files, mib of the files that a scan reads."""
+    each = df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("n")).distinct()
+    return each.agg(F.count("*").alias("files"), (F.sum("n") / (1 << 20)).alias("mib"))
+
+
+#: What is gathered of runs.
+VAL = ("val_loss", "accuracy", "precision", "recall", "f1", "roc_auc", "ap", "mae", "rmse", "r2")
+TEST = {True: ("val_loss", "accuracy", "precision", "recall", "f1", "roc_auc", "ap", "pk"), False: ("val_loss", "mae", "rmse", "r2", "pk")}
+MODES, TIME, TRAIN = ("avg", "best", "learned"), ("total_train_time_sec", "avg_epoch_time_sec"), ("last_loss", "learning_rate_last")
+
+
+def rolled_up(runs: DataFrame, *by: str) -> DataFrame:
+    """by, section, mode, metric, and run_statistics of runs: val (a map), test (maps by mode), time, train (maps), task.
+
+    Of the test metrics those of the task are taken, and pk; a metric that no run has gives no row. Modes are "" but for test.
+    """
+    pick = lambda section, mode, m, names: F.transform(F.array(*map(F.lit, names)), lambda k: F.struct(F.lit(section).alias("section"), F.lit(mode).alias("mode"), k.alias("metric"), F.try_element_at(m, k).alias("value")))
+    of_task = lambda mode: F.when(F.col("task").contains("classification"), pick("test", mode, F.try_element_at("test", F.lit(mode)), TEST[True])).otherwise(pick("test", mode, F.try_element_at("test", F.lit(mode)), TEST[False]))
+    cells = F.concat(pick("val", "", F.col("val"), VAL), *[of_task(m) for m in MODES], pick("time", "", F.col("time"), TIME), pick("train", "", F.col("train"), TRAIN))
+    rows = runs.select(*by, F.explode(cells).alias("x")).select(*by, "x.*").filter("value is not null")
+    return run_statistics(rows, "value", *by, "section", "mode", "metric")
+
+
+def pk_summary(rolled: DataFrame, *by: str) -> DataFrame:
+    """by, mode, mean, std of the test's pk, of what rolled_up gives."""
+    return rolled.filter("section = 'test' and metric = 'pk'").select(*by, "mode", "mean", "std")
 
 
 def pivoted(rows: DataFrame, row: str, column: str, value: str, columns: list) -> DataFrame:
@@ -116,11 +206,14 @@ def with_overall(df: DataFrame, by: str, *aggregates) -> DataFrame:
     return df.rollup(by).agg(F.grouping(by).alias("_all"), *aggregates).withColumn(by, F.when(F.col("_all") == 1, "overall").otherwise(F.col(by))).drop("_all")
 
 
-def tasks(spark, **choices) -> DataFrame:
-    """A row each combination of choices, with task_id in their order. As many rows as the product of a few short lists."""
-    out = spark.range(1).select(F.lit(0).cast("long").alias("task_id"))
+def tasks(**choices: DataFrame) -> DataFrame:
+    """A row each combination of the distinct values of short lists, each a table of one column, with task_id in their order."""
+    out = None
     for name, values in choices.items():
-        out = out.select("*", F.posexplode(F.array(*map(F.lit, values))).alias("_i", name)).withColumn("task_id", F.col("task_id") * len(values) + F.col("_i")).drop("_i")
+        x = values.select(F.col(values.columns[0]).alias(name)).distinct()
+        x = x.agg(F.sort_array(F.collect_list(name)).alias("_l"))  # one row
+        out = x.select(F.posexplode("_l").alias("_i", name)).select(F.col("_i").cast("long").alias("task_id"), name) if out is None else (
+            out.crossJoin(F.broadcast(x)).select("*", F.posexplode("_l").alias("_i", name)).withColumn("task_id", F.col("task_id") * F.size("_l") + F.col("_i")).drop("_i", "_l"))
     return out
 
 
@@ -129,5 +222,7 @@ def unpivoted(df: DataFrame, ids: list[str], values: list[str]) -> DataFrame:
 
 
 def efficiency(df: DataFrame, *by: str) -> DataFrame:
-    """graphs, before, after, compression, graphs_per_s of rows (n_before, n_after, seconds)."""
-    return df.groupBy(*by).agg(F.count("*").alias("graphs"), F.sum("n_before").alias("before"), F.sum("n_after").alias("after"), F.sum("seconds").alias("seconds")).withColumns({"compression": F.col("after") / F.col("before"), "graphs_per_s": F.when(F.col("seconds") > 0, F.col("graphs") / F.col("seconds"))})
+    """graphs, sequences, before, after, compression, graphs_per_s, tokens_per_s of rows (graph_id, n_before, n_after, seconds: of serializing the row)."""
+    x = df.groupBy(*by).agg(F.countDistinct("graph_id").alias("graphs"), F.count("*").alias("sequences"), F.sum("n_before").alias("before"), F.sum("n_after").alias("after"), F.sum("seconds").alias("seconds"))
+    rate = lambda c: F.when(F.col("seconds") > 0, F.col(c) / F.col("seconds"))
+    return x.withColumns({"compression": F.col("after") / F.col("before"), "graphs_per_s": rate("graphs"), "tokens_per_s": rate("before")})

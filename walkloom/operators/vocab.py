@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from walkloom.operators.stats import quantiles
+
 #: Ids of special tokens.
 SPECIALS = {"PAD": 0, "UNK": 1, "MASK": 2, "CLS": 3, "SEP": 4, "NODE_START": 5, "NODE_END": 6, "COMP_SEP": 7}
 
@@ -132,10 +134,13 @@ def compatibility(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     return x.withColumn("ratio", ratio).withColumn("verdict", F.when(ratio <= 0.05, "ok").when(ratio <= 0.1, "warn").otherwise("fail"))
 
 
-def length_policy(lengths: DataFrame, policy: str = "max", k: float = 3.0, cap: int = 8096) -> DataFrame:
-    """max_len of rows (n): the largest, or the mean and k population deviations, and two; at most cap."""
+def length_policy(lengths: DataFrame, policy: str = "max", k: float = 3.0, cap: int = 8096, positions: int | None = None) -> DataFrame:
+    """max_len of rows (n): the largest, or the mean and k population deviations, and two; at most cap. An error if that is more than positions."""
     n = F.max("n") if policy == "max" else F.ceil(F.avg("n") + k * F.stddev_pop("n"))
-    return lengths.agg(F.least(n.cast("long") + 2, F.lit(cap)).cast("long").alias("max_len"))
+    x = lengths.agg(F.least(F.coalesce(n.cast("long"), F.lit(0)) + 2, F.lit(cap)).cast("long").alias("max_len"))
+    if positions is None:
+        return x
+    return x.select(F.when(F.col("max_len") > positions, F.raise_error(F.format_string(f"a length of %s is more than the {positions} positions", "max_len")).cast("long")).otherwise(F.col("max_len")).alias("max_len"))
 
 
 def framed(sequences: DataFrame, max_len: int) -> DataFrame:
@@ -171,8 +176,8 @@ def uniform_sql(salt: str, key: str, place: str = "0") -> str:
     return f"(list_transform([{h}], lambda h: (h * h + h * 12345 + 1) % {PRIME})[1] / {float(PRIME)})"
 
 
-def masked(sequences: DataFrame, p: float = 0.15, vocab_size: int = 100, seed: int = 42) -> DataFrame:
-    """graph_id, input_ids, labels of sequences of ids: of the tokens drawn, 80 % are MASK, 10 % another, 10 % stay; labels are -100 elsewhere."""
+def masked(sequences: DataFrame, vocab_size: int, p: float = 0.15, seed: int = 42) -> DataFrame:
+    """graph_id, input_ids, labels of sequences of ids: of the tokens drawn, 80 % are MASK, 10 % another, 10 % stay; labels are -100 elsewhere. vocab_size: ids in all, special ones included."""
     u = lambda s, i: uniform(f"{s}:{seed}", "graph_id", i)
     drawn = lambda x, i: (x >= len(SPECIALS)) & (u("draw", i) < p)
     other = lambda i: (len(SPECIALS) + F.floor(u("token", i) * (vocab_size - len(SPECIALS)))).cast("int")
@@ -250,8 +255,7 @@ def scaler(labels: DataFrame, how: str = "standard") -> DataFrame:
     elif how == "minmax":
         x = labels.agg(F.min("y").alias("shift"), (F.max("y") - F.min("y")).alias("scale"))
     else:
-        q = F.expr("percentile(y, array(0.25, 0.5, 0.75))")
-        x = labels.agg(q.alias("q")).select(F.col("q")[1].alias("shift"), (F.col("q")[2] - F.col("q")[0]).alias("scale"))
+        x = quantiles(labels, "y", at=(0.25, 0.5, 0.75), names=("a", "b", "c")).select(F.col("b").alias("shift"), (F.col("c") - F.col("a")).alias("scale"))
     return x.withColumn("scale", F.when(F.abs("scale") < 1e-12, 1.0).otherwise(F.col("scale")))
 
 

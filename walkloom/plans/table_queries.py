@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -188,7 +190,9 @@ def _draw(salt):
 _GAUSS = "coalesce(" + ", ".join(f"(SELECT x FROM (SELECT CAST(trunc(50 + sqrt(-2 * ln(greatest({_draw(f'a{t}')}, 1e-12))) * cos(2 * pi() * {_draw(f'b{t}')}) * 50 / 3.0) AS BIGINT) AS x) WHERE x BETWEEN 0 AND 50)" for t in range(8)) + ", 50)"
 query("O-BP9", EVENTS + f"SELECT DISTINCT graph_id, 0 AS none, 50 AS all_, 20 AS topk, CAST(floor({_draw('r')} * 51) AS INT) AS random, CAST(floor(50 * sqrt({_draw('t')})) AS INT) AS triangular, CAST({_GAUSS} AS INT) AS gaussian FROM (SELECT DISTINCT graph_id FROM ev)")(
     lambda s, d: _seqs(s, d).select("graph_id", *[bpe.rank_limit(m, 50, 20).alias({"all": "all_"}.get(m, m)) for m in ("none", "all", "topk", "random", "triangular", "gaussian")]))
-query("O-BP10", "SELECT 0 AS none, 50 AS all_, 20 AS topk, 25 AS random, 20 AS gaussian")(lambda s, d: s.range(1).select(*[F.lit(bpe.eval_limit(m, 50, 20)).alias({"all": "all_"}.get(m, m)) for m in ("none", "all", "topk", "random", "gaussian")]))
+_MODE = "CASE o_orderkey % 6 WHEN 0 THEN 'none' WHEN 1 THEN 'all' WHEN 2 THEN 'topk' WHEN 3 THEN 'random' WHEN 4 THEN 'triangular' ELSE 'gaussian' END"
+query("O-BP10", f"SELECT o_orderkey, mode, CAST(greatest(0, least(50, CASE mode WHEN 'none' THEN 0 WHEN 'all' THEN 50 WHEN 'topk' THEN k WHEN 'gaussian' THEN coalesce(k, hi) ELSE round_even((lo + hi) / 2, 0) END)) AS INT) AS rank_limit FROM (SELECT o_orderkey, {_MODE} AS mode, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 6 = 5 THEN NULL ELSE o_orderkey % 70 END AS k, o_custkey % 20 AS lo, o_custkey % 20 + o_orderkey % 45 AS hi FROM orders)")(
+    lambda s, d: table(s, d, "orders").select("o_orderkey", F.expr(_MODE).alias("mode"), F.expr("CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 6 = 5 THEN NULL ELSE o_orderkey % 70 END").alias("k"), (F.col("o_custkey") % 20).alias("lo"), (F.col("o_custkey") % 20 + F.col("o_orderkey") % 45).alias("hi")).select("o_orderkey", "mode", bpe.eval_limit(F.col("mode"), 50, F.col("k"), F.col("lo"), F.col("hi")).alias("rank_limit")))
 query("O-BP11", merges(6) + f", lim AS (SELECT graph_id, CAST(floor({_draw('r')} * 7) AS INT) AS k FROM s0) SELECT graph_id, k, CASE k " + " ".join(f"WHEN {k} THEN (SELECT array_to_string(t, ' ') FROM s{k} x WHERE x.graph_id = lim.graph_id)" for k in range(7)) + " END AS encoded FROM lim")(
     lambda s, d: bpe.encode(_seqs(s, d).withColumn("k", bpe.rank_limit("random", 6)), bpe.train(_seqs(s, d), merges=6), limit_column="k").select("graph_id", "k", F.array_join("encoded", " ").alias("encoded")))
 query("O-BP12", EVENTS + "SELECT graph_id, string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY pos) AS decoded FROM ev GROUP BY 1")(lambda s, d: _encoded(s, d).select("graph_id", F.array_join("decoded", " ").alias("decoded")))
@@ -210,13 +214,14 @@ query("O-VO3", EVENTS + "SELECT CAST(tok AS INT) AS tok, COUNT(*) AS cnt FROM ev
 query("O-VO4", VOCAB + "SELECT graph_id, COUNT(*) AS n, md5(string_agg(CAST(coalesce(CASE WHEN freq >= 50 THEN vocab_id END, 1) AS VARCHAR), ' ' ORDER BY pos)) AS ids FROM dc LEFT JOIN vo ON token = tok GROUP BY 1")(
     lambda s, d: vocab.ids_of(views.doc_sequences(s, d), _vocab(s, d, 50)).filter(F.size("tokens") > 0).select("graph_id", F.size("tokens").cast("long").alias("n"), _joined("tokens").alias("ids")))
 query("O-VO5", VOCAB + ", i AS (SELECT graph_id, pos, vocab_id FROM dc JOIN vo ON token = tok WHERE pos < 46), e AS (SELECT graph_id, '3,' || string_agg(CAST(vocab_id AS VARCHAR), ',' ORDER BY pos) || ',4' || repeat(',0', CAST(46 - COUNT(*) AS INT)) AS input_ids, COUNT(*) + 2 AS used FROM i GROUP BY 1) SELECT * FROM e")(
-    lambda s, d: vocab.framed(vocab.ids_of(views.doc_sequences(s, d), _vocab(s, d)).filter(F.size("tokens") > 0), 48).select("graph_id", F.array_join("input_ids", ",").alias("input_ids"), F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("used")))
+    lambda s, d: vocab.framed(vocab.ids_of(views.doc_sequences(s, d).select("graph_id", F.slice("tokens", 1, 46).alias("tokens")), _vocab(s, d)).filter(F.size("tokens") > 0), 48).select("graph_id", F.array_join("input_ids", ",").alias("input_ids"), F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("used")))
 query("O-VO6", VOCAB + ", t AS (SELECT COUNT(*) AS types, COUNT(*) FILTER (freq < 50) AS unknown FROM vo) SELECT types, unknown, round(unknown / types, 6) AS ratio, CASE WHEN unknown / types <= 0.05 THEN 'ok' WHEN unknown / types <= 0.1 THEN 'warn' ELSE 'fail' END AS verdict FROM t")(
     lambda s, d: six(vocab.compatibility(vocab.frequencies_of(views.doc_sequences(s, d)), _vocab(s, d, 50)), "ratio"))
-query("O-VO7", "SELECT least(CAST(ceil(avg(n_chars) + 3 * stddev_pop(n_chars)) AS BIGINT) + 2, 8096) AS max_len FROM documents")(lambda s, d: vocab.length_policy(table(s, d, "documents").select(F.col("n_chars").alias("n")), "sigma"))
+query("O-VO7", "SELECT 'sigma' AS policy, least(CAST(ceil(avg(n_chars) + 3 * stddev_pop(n_chars)) AS BIGINT) + 2, 8096) AS max_len FROM documents UNION ALL SELECT 'max', least(max(n_chars) + 2, 8096) FROM documents UNION ALL SELECT 'short', least(max(n_chars) + 2, 768) FROM documents")(
+    lambda s, d: (lambda n: vocab.length_policy(n, "sigma", positions=9000).select(F.lit("sigma").alias("policy"), "max_len").union(vocab.length_policy(n).select(F.lit("max"), "max_len")).union(vocab.length_policy(n, cap=768, positions=768).select(F.lit("short"), "max_len")))(table(s, d, "documents").select(F.col("n_chars").alias("n"))))
 _U = lambda what: vocab.uniform_sql(f"{what}:42", "graph_id", "pos")
-query("O-VO8", VOCAB + f", m AS (SELECT graph_id, pos, vocab_id AS x, vocab_id >= 8 AND {_U('draw')} < 0.15 AS drawn, {_U('how')} AS how, CAST(8 + floor({_U('token')} * 92) AS INT) AS other FROM dc JOIN vo ON token = tok) SELECT graph_id, COUNT(*) FILTER (drawn) AS masked, md5(string_agg(CAST(CASE WHEN NOT drawn THEN x WHEN how < 0.8 THEN 2 WHEN how < 0.9 THEN other ELSE x END AS VARCHAR), ' ' ORDER BY pos)) AS input_ids, md5(string_agg(CAST(CASE WHEN drawn THEN x ELSE -100 END AS VARCHAR), ' ' ORDER BY pos)) AS labels FROM m GROUP BY 1")(
-    lambda s, d: vocab.masked(vocab.ids_of(views.doc_sequences(s, d), _vocab(s, d)).filter(F.size("tokens") > 0)).select("graph_id", F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("masked"), _joined("input_ids").alias("input_ids"), _joined("labels").alias("labels")))
+query("O-VO8", VOCAB + f", m AS (SELECT graph_id, pos, vocab_id AS x, vocab_id >= 8 AND {_U('draw')} < 0.15 AS drawn, {_U('how')} AS how, CAST(8 + floor({_U('token')} * (SELECT COUNT(*) FROM vo)) AS INT) AS other FROM dc JOIN vo ON token = tok) SELECT graph_id, COUNT(*) FILTER (drawn) AS masked, md5(string_agg(CAST(CASE WHEN NOT drawn THEN x WHEN how < 0.8 THEN 2 WHEN how < 0.9 THEN other ELSE x END AS VARCHAR), ' ' ORDER BY pos)) AS input_ids, md5(string_agg(CAST(CASE WHEN drawn THEN x ELSE -100 END AS VARCHAR), ' ' ORDER BY pos)) AS labels FROM m GROUP BY 1")(
+    lambda s, d: (lambda v: vocab.masked(vocab.ids_of(views.doc_sequences(s, d), v).filter(F.size("tokens") > 0), v.count() + len(vocab.SPECIALS)))(_vocab(s, d)).select("graph_id", F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("masked"), _joined("input_ids").alias("input_ids"), _joined("labels").alias("labels")))
 # Augmentations: a gate of 0.7 by sequence, a ratio of 0.1, what is put in from 0 to 4. Swaps follow one another, which SQL can't express.
 _AUG = EVENTS.rstrip() + ", n AS (SELECT *, COUNT(*) OVER (PARTITION BY graph_id) AS n FROM ev), g AS (SELECT *, CAST(floor(n * 0.1 + 1e-9) AS INT) AS k, {gate} <= 0.7 AS go, row_number() OVER (PARTITION BY graph_id ORDER BY {place}, pos) AS place, {token} AS token, {start} AS u1, {end} AS u2 FROM n), c AS (SELECT *, greatest(1, k) AS least, CAST(floor(u1 * (n - greatest(1, k) + 1)) AS INT) AS b FROM g) SELECT graph_id, string_agg(CAST({new} AS VARCHAR), ' ' ORDER BY pos) AS tokens FROM c WHERE {keep} GROUP BY 1"
 _NEW = {
@@ -232,6 +237,11 @@ _price = lambda s, d: table(s, d, "part").select("p_partkey", F.col("p_retailpri
 query("O-VO11", "SELECT 'standard' AS how, round(avg(p_retailprice), 6) AS shift, round(stddev_pop(p_retailprice), 6) AS scale FROM part UNION ALL SELECT 'minmax', min(p_retailprice), round(max(p_retailprice) - min(p_retailprice), 6) FROM part UNION ALL SELECT 'robust', round(quantile_cont(p_retailprice, 0.5), 6), round(quantile_cont(p_retailprice, 0.75) - quantile_cont(p_retailprice, 0.25), 6) FROM part")(
     lambda s, d: (lambda x: x[0].union(x[1]).union(x[2]))([six(vocab.scaler(_price(s, d), h), "shift", "scale").select(F.lit(h).alias("how"), "shift", "scale") for h in ("standard", "minmax", "robust")]))
 
+_MS = {"standard": ("avg(p_retailprice)", "stddev_pop(p_retailprice)"), "minmax": ("min(p_retailprice)", "max(p_retailprice) - min(p_retailprice)"), "robust": ("quantile_cont(p_retailprice, 0.5)", "quantile_cont(p_retailprice, 0.75) - quantile_cont(p_retailprice, 0.25)")}
+# Fitted on one part, used on all, and back.
+query("O-VO11_scaled", " UNION ALL ".join(f"SELECT '{h}' AS how, p_partkey, round((p_retailprice - a) / b, 6) AS z, round(p_retailprice, 6) AS y FROM part, (SELECT {a} AS a, {b} AS b FROM part WHERE p_partkey % 10 < 8)" for h, (a, b) in _MS.items()))(
+    lambda s, d: (lambda x: x[0].union(x[1]).union(x[2]))([(lambda sc: six(vocab.scaled(vocab.scaled(_price(s, d), sc).drop("y"), sc, inverse=True), "z", "y").select(F.lit(h).alias("how"), "p_partkey", "z", "y"))(vocab.scaler(_price(s, d).filter("p_partkey % 10 < 8"), h)) for h in _MS]))
+
 # Statistics
 query("O-AG2", "WITH m AS (SELECT avg(n_chars) AS mean, stddev_samp(n_chars) AS std FROM documents) SELECT round(mean, 6) AS mean, round(std, 6) AS std, round(mean - 3 * std, 6) AS low, round(mean + 3 * std, 6) AS high, round(avg(CASE WHEN n_chars BETWEEN mean - 3 * std AND mean + 3 * std THEN 1.0 ELSE 0.0 END), 6) AS covered FROM documents, m GROUP BY mean, std")(
     lambda s, d: six(stats.three_sigma(table(s, d, "documents"), "n_chars"), "mean", "std", "low", "high", "covered"))
@@ -248,21 +258,38 @@ query("O-AG8", _C2 + " SELECT split, round(CASE WHEN min(cnt) = 0 THEN CAST('inf
 query("O-AG9", _C2 + " SELECT split, round(stddev_pop(cnt) / avg(cnt), 6) AS cv, round(sum(CASE WHEN share > 0 THEN share * ln(share) END) + ln(COUNT(*)), 6) AS kl FROM sh GROUP BY 1")(lambda s, d: six(_bal(s, d).select("split", "cv", "kl"), "cv", "kl"))
 query("O-AG10", _CC + " SELECT split, CASE WHEN min(cnt) > 0 AND max(cnt) / min(cnt) >= 1.5 THEN true ELSE stddev_pop(cnt) / avg(cnt) >= 0.2 OR -sum(greatest(share, 1e-12) * ln(greatest(share, 1e-12))) / ln(COUNT(*)) <= 0.98 END AS flagged, round(CASE WHEN min(cnt) = 0 THEN CAST('infinity' AS DOUBLE) ELSE max(cnt) / min(cnt) END, 6) AS imbalance FROM sh GROUP BY 1")(
     lambda s, d: six(stats.balance(stats.class_counts(_labelled(s, d), "quality", 3, "split"), "split").select("split", "flagged", "imbalance"), "imbalance"))
-# One class is empty and the others are equal: the ratio isn't finite and doesn't count, the deviation does.
-query("O-AG10_empty", "SELECT 'a' AS split, true AS flagged UNION ALL SELECT 'b', false UNION ALL SELECT 'c', true")(
-    lambda s, d: stats.balance(s.createDataFrame([("a", 0, 5), ("a", 1, 0), ("b", 0, 100), ("b", 1, 99), ("c", 0, 8), ("c", 1, 5)], "split string, label int, cnt long").withColumn("share", F.expr("cnt / sum(cnt) over (partition by split)")), "split").select("split", "flagged"))
+# A class that is empty: the ratio isn't finite and doesn't count, the deviation does; nearly even classes; uneven ones.
+_CLASS = "CASE p_size % 3 WHEN 0 THEN 0 WHEN 1 THEN p_partkey % 2 ELSE CASE WHEN p_partkey % 8 < 5 THEN 0 ELSE 1 END END"
+query("O-AG10_empty", f"WITH c AS (SELECT p_size % 3 AS split, COUNT(*) FILTER ({_CLASS} = 0) AS a, COUNT(*) FILTER ({_CLASS} = 1) AS b FROM part GROUP BY 1), h AS (SELECT *, greatest(a / (a + b), 1e-12) AS p, greatest(b / (a + b), 1e-12) AS q, abs(a - b) / (a + b) AS cv FROM c) SELECT split, least(a, b) > 0 AND greatest(a, b) / nullif(least(a, b), 0) >= 1.5 OR cv >= 0.2 OR -(p * ln(p) + q * ln(q)) / ln(2) <= 0.98 AS flagged FROM h")(
+    lambda s, d: stats.balance(stats.class_counts(table(s, d, "part").select((F.col("p_size") % 3).alias("split"), F.expr(_CLASS).cast("int").alias("label")), "label", 2, "split"), "split").select("split", "flagged"))
 query("O-AG11", LABELLED + "SELECT split, 0 AS label, CAST(sum(quality) AS BIGINT) AS cnt, COUNT(*) AS n FROM lab GROUP BY 1 UNION ALL SELECT split, 1, CAST(sum(toxic) AS BIGINT), COUNT(*) FROM lab GROUP BY 1")(lambda s, d: stats.positives(_labelled(s, d).withColumn("v", F.array("quality", "toxic")), "v", "split"))
 query("O-AG12", LABELLED + "SELECT split, COUNT(n_chars) AS n, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 6) AS std, min(n_chars) AS lo, max(n_chars) AS hi, CAST(sum(n_chars) AS BIGINT) AS total FROM lab GROUP BY 1")(lambda s, d: six(stats.moments(_labelled(s, d), "n_chars", "split"), "mean", "std"))
 query("O-AG13", "WITH c AS (SELECT CAST(quality AS INT) AS quality, COUNT(*) AS cnt FROM labels GROUP BY 1) SELECT quality, round(sum(cnt) OVER () / (COUNT(*) OVER () * cnt), 6) AS weight FROM c")(lambda s, d: six(stats.class_weights(stats.class_counts(table(s, d, "labels"), "quality", 2)).select("quality", "weight"), "weight"))
 query("O-AG14", _RUNS + "SELECT dataset, method, round(avg(value), 4) AS mean, round(coalesce(stddev_samp(value), 0), 4) AS std, round(coalesce(var_samp(value), 0) / 1e6, 4) AS var, min(value) AS lo, max(value) AS hi, round(median(value), 4) AS median, COUNT(value) AS n FROM ru GROUP BY 1, 2")(
     lambda s, d: stats.run_statistics(_runs(s, d), "value", "dataset", "method").withColumns({c: F.round(c, 4) for c in ("mean", "std", "median")} | {"var": F.round(F.col("var") / 1e6, 4)}))
 query("O-AG15", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN greatest(p_retailprice, p_size * 30.0) ELSE least(p_retailprice, p_size * 30.0) END AS fair FROM part")(lambda s, d: stats.fair_best(table(s, d, "part").select("p_partkey", F.col("p_retailprice").alias("avg"), (F.col("p_size") * 30.0).alias("learned"), (F.col("p_size") % 2 == 0).alias("maximise"))).select("p_partkey", "fair"))
-query("O-AG16", "SELECT 'quantity' AS metric, round(avg(l_quantity), 6) AS mean, COUNT(*) AS n FROM lineitem UNION ALL SELECT 'discount', round(avg(l_discount), 6), COUNT(*) FROM lineitem UNION ALL SELECT 'tax', round(avg(l_tax), 6), COUNT(*) FROM lineitem")(
-    lambda s, d: stats.unpivoted(table(s, d, "lineitem").select("l_orderkey", *[F.col(f"l_{c}").cast("double").alias(c) for c in ("quantity", "discount", "tax")]), ["l_orderkey"], ["quantity", "discount", "tax"]).groupBy("metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n")))
+_MODES3 = ("avg", "best", "learned")
+_RUN_CELLS = {("val", "", "mae"): "o_totalprice / 7", ("val", "", "accuracy"): "CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice / 9 END", ("time", "", "total_train_time_sec"): "o_totalprice / 3", ("train", "", "last_loss"): "o_totalprice / 11"}
+_RUN_CELLS |= {("test", m, k): f"CASE WHEN o_orderkey % 3 {'=' if k == 'roc_auc' else '<>' if k == 'rmse' else '>='} 0 THEN o_totalprice / {5 + 2 * i + j} END" for i, m in enumerate(_MODES3) for j, k in enumerate(("roc_auc", "rmse", "pk"))}
+
+
+def _experiments(s, d):
+    """Runs from orders: a third are classification; results by mode, some missing."""
+    cell = lambda section, mode="": F.map_filter(F.create_map(*[x for (a, m, k), e in _RUN_CELLS.items() if (a, m) == (section, mode) for x in (F.lit(k), F.expr(e).cast("double"))]), lambda _, v: v.isNotNull())
+    test = F.create_map(*[x for m in _MODES3 for x in (F.lit(m), cell("test", m))])
+    return table(s, d, "orders").select(F.col("o_orderpriority").alias("method"), F.when(F.col("o_orderkey") % 3 == 0, "classification").otherwise("regression").alias("task"), cell("val").alias("val"), test.alias("test"), cell("time").alias("time"), cell("train").alias("train"))
+
+
+_FIGURES = "round(avg(v), 4) AS mean, round(coalesce(stddev_samp(v), 0), 4) AS std, round(min(v), 4) AS lo, round(max(v), 4) AS hi, round(median(v), 4) AS median, COUNT(v) AS n"
+query("O-AG16", "SELECT method, section, mode, metric, " + _FIGURES + " FROM (" + " UNION ALL ".join(f"SELECT o_orderpriority AS method, '{a}' AS section, '{m}' AS mode, '{k}' AS metric, {e} AS v FROM orders" for (a, m, k), e in _RUN_CELLS.items()) + ") WHERE v IS NOT NULL GROUP BY 1, 2, 3, 4")(
+    lambda s, d: stats.rolled_up(_experiments(s, d), "method").drop("var").withColumns({c: F.round(c, 4) for c in ("mean", "std", "lo", "hi", "median")}))
+query("O-AG16_pk", "SELECT method, mode, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std FROM (" + " UNION ALL ".join(f"SELECT o_orderpriority AS method, '{m}' AS mode, {_RUN_CELLS['test', m, 'pk']} AS v FROM orders" for m in _MODES3) + ") GROUP BY 1, 2")(
+    lambda s, d: stats.pk_summary(stats.rolled_up(_experiments(s, d), "method"), "method").withColumns({c: F.round(c, 4) for c in ("mean", "std")}))
 query("O-AG17", _RUNS + "SELECT run_id, dataset, method, round(value / 7, 4) AS value FROM ru")(lambda s, d: _runs(s, d).select(F.struct("run_id", "dataset").alias("config"), F.struct("method", (F.col("value") / 7).alias("value")).alias("test")).select("config.run_id", "config.dataset", "test.method", F.round("test.value", 4).alias("value")))
 query("O-AG18", _RUNS + "SELECT method, dataset, COUNT(*) AS n, round(avg(value), 4) AS mean FROM ru GROUP BY 1, 2")(lambda s, d: _runs(s, d).groupBy("method", "dataset").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean")))
-query("O-AG19", merges(6) + ", x AS (SELECT graph_id % 3 AS part, len(s0.t) AS a, len(s6.t) AS b FROM s0 JOIN s6 USING (graph_id)) SELECT part, COUNT(*) AS graphs, CAST(sum(a) AS BIGINT) AS before, CAST(sum(b) AS BIGINT) AS after, round(sum(b) / sum(a), 6) AS compression FROM x GROUP BY 1")(
-    lambda s, d: six(stats.efficiency(_encoded(s, d).select((F.col("graph_id") % 3).alias("part"), F.size("tokens").alias("n_before"), F.size("encoded").alias("n_after"), F.lit(0.5).alias("seconds")), "part").drop("seconds", "graphs_per_s"), "compression"))
+# Sequences of events before and after merges, by data set (a third of the users), method and variants; what a row took is given.
+query("O-AG19", merges(6) + ", x AS (SELECT graph_id, graph_id % 3 AS dataset, graph_id % 2 AS k, len(s0.t) AS a, len(s6.t) AS b, len(s0.t) * (1 + graph_id % 5) / 1000 AS seconds FROM s0 JOIN s6 USING (graph_id)) SELECT dataset, k, COUNT(DISTINCT graph_id) AS graphs, COUNT(*) AS sequences, CAST(sum(a) AS BIGINT) AS before, CAST(sum(b) AS BIGINT) AS after, round(sum(b) / sum(a), 6) AS compression, round(COUNT(*) / sum(seconds), 4) AS graphs_per_s, round(sum(a) / sum(seconds), 4) AS tokens_per_s FROM x GROUP BY 1, 2")(
+    lambda s, d: stats.efficiency(_encoded(s, d).select("graph_id", (F.col("graph_id") % 3).alias("dataset"), (F.col("graph_id") % 2).alias("k"), F.size("tokens").alias("n_before"), F.size("encoded").alias("n_after"), (F.size("tokens") * (1 + F.col("graph_id") % 5) / 1000).alias("seconds")), "dataset", "k").drop("seconds").withColumns({"compression": F.round("compression", 6), "graphs_per_s": F.round("graphs_per_s", 4), "tokens_per_s": F.round("tokens_per_s", 4)}))
 _M = lambda *kv: F.create_map(*[x for k, v in kv for x in (F.lit(k), v.cast("double"))])
 
 
@@ -276,15 +303,17 @@ def _results(s, d):
 
 query("O-AG20", "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'rmse' WHEN 1 THEN 'roc_auc' WHEN 2 THEN 'precision' WHEN 3 THEN 'alpha' ELSE 'best_val_loss' END AS metric_name, CASE p_size % 5 WHEN 0 THEN p_retailprice WHEN 1 THEN -p_retailprice WHEN 2 THEN CAST(-p_size AS DOUBLE) WHEN 3 THEN p_retailprice ELSE 0.5 END AS objective FROM part")(
     lambda s, d: stats.objective(_results(s, d)).select("p_partkey", "metric_name", "objective"))
-query("O-AG21", "SELECT 'quality' AS label, CASE WHEN COUNT(DISTINCT quality) <= 2 THEN 'binary' ELSE 'multiclass' END AS kind, COUNT(DISTINCT quality) AS classes FROM labels UNION ALL SELECT 'label', CASE WHEN COUNT(DISTINCT label) <= 2 THEN 'binary' ELSE 'multiclass' END, COUNT(DISTINCT label) FROM embeddings UNION ALL SELECT 'value', 'real', COUNT(DISTINCT value) FROM events UNION ALL SELECT 'lang', 'text', COUNT(DISTINCT lang) FROM documents")(
-    lambda s, d: stats.label_kind(table(s, d, "labels"), "quality").union(stats.label_kind(table(s, d, "embeddings"), "label")).union(stats.label_kind(table(s, d, "events"), "value")).union(stats.label_kind(table(s, d, "documents"), "lang")))
+_KINDS = {"labels": {"quality": "quality", "both": "array(quality, toxic)"}, "embeddings": {"label": "label", "vector": "transform(embedding, x -> cast(x as double))"}, "events": {"value": "value", "props": "from_json(props, 'map<string,double>')"}, "documents": {"lang": "lang"}}
+query("O-AG21", "SELECT 'quality' AS label, 'classification' AS kind, COUNT(DISTINCT quality) AS targets FROM labels UNION ALL SELECT 'label', 'classification', COUNT(DISTINCT label) FROM embeddings UNION ALL SELECT 'value', 'regression', 1 UNION ALL SELECT 'lang', 'unknown', -1 UNION ALL SELECT 'both', 'multi_label_classification', 2 UNION ALL SELECT 'vector', 'multi_target_regression', max(len(embedding)) FROM embeddings UNION ALL SELECT 'props', 'multi_property_regression', max(len(json_keys(props))) FROM events")(
+    lambda s, d: reduce(lambda a, b: a.union(b), [stats.label_kind(table(s, d, t).select(F.expr(e).alias(n)), n) for t, xs in _KINDS.items() for n, e in xs.items()]).withColumn("targets", F.coalesce("targets", F.lit(-1))))
+query("O-AG21_size")(lambda s, d: stats.file_size(table(s, d, "documents")))
 _METHODS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 query("pivot", _RUNS + "SELECT dataset, " + ", ".join(f"round(avg(value) FILTER (method = '{m}'), 4) AS m{k}" for k, m in enumerate(_METHODS)) + " FROM ru GROUP BY 1")(
     lambda s, d: stats.pivoted(_runs(s, d), "dataset", "method", "value", _METHODS).select("dataset", *[F.round(f"`{m}`", 4).alias(f"m{k}") for k, m in enumerate(_METHODS)]))
 query("rollup", LABELLED + "SELECT split, COUNT(*) AS n, CAST(sum(quality) AS BIGINT) AS good FROM lab GROUP BY 1 UNION ALL SELECT 'overall', COUNT(*), CAST(sum(quality) AS BIGINT) FROM lab")(
     lambda s, d: stats.with_overall(_labelled(s, d), "split", F.count("*").alias("n"), F.sum("quality").alias("good")))
-query("tasks", "SELECT CAST(row_number() OVER (ORDER BY i, j, k) - 1 AS BIGINT) AS task_id, dataset, method, seed FROM (VALUES (0, 'zinc'), (1, 'qm9')) a(i, dataset), (VALUES (0, 'bfs'), (1, 'cpp'), (2, 'feuler')) b(j, method), (VALUES (0, 1), (1, 2)) c(k, seed)")(
-    lambda s, d: stats.tasks(s, dataset=["zinc", "qm9"], method=["bfs", "cpp", "feuler"], seed=[1, 2]))
+query("tasks", "SELECT row_number() OVER (ORDER BY a.x, b.x, c.x) - 1 AS task_id, a.x AS dataset, b.x AS method, c.x AS seed FROM (SELECT DISTINCT c_mktsegment AS x FROM customer) a, (SELECT DISTINCT o_orderpriority AS x FROM orders) b, (SELECT DISTINCT n_regionkey AS x FROM nation) c")(
+    lambda s, d: stats.tasks(dataset=table(s, d, "customer").select("c_mktsegment"), method=table(s, d, "orders").select("o_orderpriority"), seed=table(s, d, "nation").select("n_regionkey")))
 query("O-AG22", _RUNS + "SELECT method, round(avg(value), 4) AS mean, CAST(rank() OVER (ORDER BY avg(value) DESC) AS INT) AS place FROM ru GROUP BY 1")(
     lambda s, d: _runs(s, d).groupBy("method").agg(F.avg("value").alias("m")).select("method", F.round("m", 4).alias("mean"), F.expr("cast(rank() over (order by m desc) as int)").alias("place")))
 
@@ -294,21 +323,31 @@ query("O-EV1", PRED + "SELECT graph_id, any_value(y_true) AS y_true, round(avg(y
 query("O-EV2", _PROBS + ", av AS (SELECT graph_id, y_true, k, avg(p) AS p FROM pv GROUP BY ALL) SELECT graph_id, y_true, k AS y_pred FROM av QUALIFY row_number() OVER (PARTITION BY graph_id ORDER BY p DESC, k) = 1")(lambda s, d: metrics.classes_by_graph(_probs(s, d)))
 query("O-EV2_best", _PROBS + ", c AS (SELECT graph_id, variant_id, y_true, k AS c FROM pv QUALIFY row_number() OVER (PARTITION BY graph_id, variant_id ORDER BY p DESC, k) = 1), v AS (SELECT graph_id, y_true, c, COUNT(*) AS n FROM c GROUP BY ALL) SELECT graph_id, y_true, coalesce(max(CASE WHEN c = y_true THEN c END), arg_max(c, n * 10 - c)) AS y_pred FROM v GROUP BY 1, 2")(lambda s, d: metrics.classes_by_graph(_probs(s, d), "best"))
 query("O-EV3", _PROBS + "SELECT graph_id, k, round(avg(p), 6) AS p FROM pv GROUP BY 1, 2")(lambda s, d: metrics.mean_probs(_probs(s, d)).select("graph_id", F.posexplode("probs").alias("k", "p")).withColumn("p", F.round("p", 6)))
+_TRUE = "CASE WHEN (graph_id + k) % 2 = 0 THEN 1.0 ELSE 0.0 END"
+_SCALED = _PROBS.rstrip() + f", lb AS (SELECT graph_id, variant_id, k, p / 12 AS p, {_TRUE} AS y FROM pv)"
+_multi = lambda s, d: _probs(s, d).select("graph_id", "variant_id", F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.when((F.col("graph_id") + k) % 2 == 0, 1.0).otherwise(0.0)).alias("y_true"), F.transform("probs", lambda p: p / 12).alias("probs"))
+query("O-EV3_best", _SCALED + ", e AS (SELECT graph_id, variant_id, sum(abs(p - y)) / 3 AS d FROM lb GROUP BY 1, 2), b AS (SELECT graph_id, variant_id FROM e QUALIFY row_number() OVER (PARTITION BY graph_id ORDER BY round(d, 9), variant_id) = 1) SELECT graph_id, k, round(p, 6) AS p, CAST(y AS INT) AS y FROM lb JOIN b USING (graph_id, variant_id)")(
+    lambda s, d: metrics.labels_by_graph(_multi(s, d), "best").select("graph_id", "y_true", F.posexplode("probs").alias("k", "p")).select("graph_id", "k", F.round("p", 6).alias("p"), F.get("y_true", F.col("k")).cast("int").alias("y")))
 query("O-EV4", PRED + ", e AS (SELECT *, exp(variant_id - max(variant_id) OVER (PARTITION BY graph_id)) AS w FROM pr) SELECT graph_id, any_value(y_true) AS y_true, round(sum(w * y_pred) / sum(w), 6) AS y_pred FROM e GROUP BY 1")(lambda s, d: six(metrics.weighted_mean(_pred(s, d), "variant_id"), "y_pred"))
-query("O-EV5", PRED + ", n AS (SELECT graph_id, COUNT(*) AS used FROM pr GROUP BY 1) SELECT graph_id, used, CAST((SELECT max(used) FROM n) AS INT) AS k, CAST((SELECT sum(y_pred) FROM pr WHERE pr.graph_id = n.graph_id) AS DOUBLE) AS total FROM n")(
-    lambda s, d: metrics.variant_sets(_pred(s, d)).select("graph_id", F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("used"), F.size("preds").alias("k"), F.aggregate("preds", F.lit(0.0), lambda a, x: a + x).alias("total")))
+query("O-EV5", PRED + ", n AS (SELECT graph_id, COUNT(*) AS used, list(y_pred ORDER BY variant_id) AS p FROM pr GROUP BY 1), m AS (SELECT CAST(max(used) AS INT) AS k FROM n) SELECT graph_id, k, array_to_string(list_transform(list_concat(p, list_transform(range(k - used), lambda i: 0.0)), lambda x: CAST(CAST(x AS INT) AS VARCHAR)), ' ') AS preds, repeat('1', CAST(used AS INT)) || repeat('0', CAST(k - used AS INT)) AS mask FROM n, m")(
+    lambda s, d: metrics.variant_sets(_pred(s, d)).select("graph_id", F.size("preds").alias("k"), F.array_join(F.transform("preds", lambda x: x.cast("int")), " ").alias("preds"), F.array_join("mask", "").alias("mask")))
 query("O-EV6", PRED + "SELECT COUNT(*) AS n, round(avg((y_true - y_pred) ** 2), 6) AS mse, round(avg(abs(y_true - y_pred)), 6) AS mae, round(corr(y_true, y_pred), 6) AS corr, round(sqrt(avg((y_true - y_pred) ** 2)), 6) AS rmse, round(1 - avg((y_true - y_pred) ** 2) / var_pop(y_true), 6) AS r2 FROM pr")(lambda s, d: six(metrics.regression(_pred(s, d)), "mse", "mae", "corr", "rmse", "r2"))
 query("O-EV7", CLS + ", k AS (SELECT CAST(range AS INT) AS c FROM range(3)), m AS (SELECT c, COUNT(*) FILTER (y_true = c) AS t, COUNT(*) FILTER (y_pred = c) AS p, COUNT(*) FILTER (y_true = c AND y_pred = c) AS tp FROM k CROSS JOIN pc GROUP BY 1) SELECT CAST(sum(t) AS BIGINT) AS n, round(sum(tp) / sum(t), 6) AS accuracy, round(avg(tp / p), 6) AS precision, round(avg(tp / t), 6) AS recall, round(avg(2 * (tp / p) * (tp / t) / (tp / p + tp / t)), 6) AS f1 FROM m")(
     lambda s, d: six(metrics.classification(_cls(s, d)), "accuracy", "precision", "recall", "f1"))
 _RANK = ", g AS (SELECT score, sum(y) AS pos, COUNT(*) AS n FROM pc GROUP BY 1), w AS (SELECT *, sum(n - pos) OVER (ORDER BY score) - (n - pos) AS below, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS seen FROM g) SELECT round(sum(pos * (below + (n - pos) / 2)) / (sum(pos) * sum(n - pos)), 6) AS roc_auc, round(sum(pos * tp / seen) / sum(pos), 6) AS ap FROM w"
 query("O-EV8", CLS + _RANK)(lambda s, d: six(metrics.ranking(_cls(s, d)), "roc_auc", "ap"))
+# Three classes, each against the rest.
+query("O-EV8_classes", _PROBS + ", pc AS (SELECT k, CAST(y_true = k AS INT) AS y, p AS score FROM pv), g AS (SELECT k, score, sum(y) AS pos, COUNT(*) AS n FROM pc GROUP BY 1, 2), w AS (SELECT *, sum(n - pos) OVER (PARTITION BY k ORDER BY score) - (n - pos) AS below, sum(pos) OVER (PARTITION BY k ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY k ORDER BY score DESC) AS seen FROM g), r AS (SELECT k, sum(pos * (below + (n - pos) / 2)) / (sum(pos) * sum(n - pos)) AS roc_auc, sum(pos * tp / seen) / sum(pos) AS ap FROM w GROUP BY 1) SELECT round(avg(roc_auc), 6) AS roc_auc, round(avg(ap), 6) AS ap FROM r")(
+    lambda s, d: six(metrics.class_ranking(_probs(s, d)), "roc_auc", "ap"))
 _LABELS = CLS.rstrip() + ", l AS (SELECT 0 AS k, y, score FROM pc UNION ALL SELECT 1, CAST(y_true = 1 AS INT), 1 - score FROM pc)"
 query("O-EV9", _LABELS + ", m AS (SELECT k, COUNT(*) FILTER (score > 0.5 AND y = 1) AS tp, COUNT(*) FILTER (score > 0.5) AS p, sum(y) AS t, avg(CAST((score > 0.5) = (y = 1) AS INT)) AS h FROM l GROUP BY 1), g AS (SELECT k, score, sum(y) AS pos, COUNT(*) AS n FROM l GROUP BY 1, 2), w AS (SELECT *, sum(pos) OVER (PARTITION BY k ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY k ORDER BY score DESC) AS seen FROM g), a AS (SELECT avg(ap) AS ap FROM (SELECT k, sum(pos * tp / seen) / sum(pos) AS ap FROM w GROUP BY 1)) SELECT round(avg(tp / p), 6) AS precision, round(avg(tp / t), 6) AS recall, round(avg(2 * tp / (p + t)), 6) AS f1, round(avg(h), 6) AS hamming, round(any_value(ap), 6) AS ap FROM m, a")(
     lambda s, d: six(metrics.multi_label(_cls(s, d).select(F.lit(0).alias("k"), "y", "score").union(_cls(s, d).select(F.lit(1), (F.col("y_true") == 1).cast("int"), 1 - F.col("score")))), "precision", "recall", "f1", "hamming", "ap"))
 query("O-EV10", PRED + ", t AS (SELECT variant_id % 2 AS k, avg(abs(y_true - y_pred)) AS mae, avg((y_true - y_pred) ** 2) AS mse, 1 - avg((y_true - y_pred) ** 2) / var_pop(y_true) AS r2, corr(y_true, y_pred) AS corr FROM pr GROUP BY 1) SELECT round(avg(mae), 6) AS mae, round(avg(mse), 6) AS mse, round(sqrt(avg(mse)), 6) AS rmse, round(avg(r2), 6) AS r2, round(avg(corr), 6) AS corr FROM t")(
     lambda s, d: six(metrics.multi_target(_pred(s, d).withColumn("k", F.col("variant_id") % 2)), "mae", "mse", "rmse", "r2", "corr"))
-query("O-EV11", "SELECT task, dataset, CASE WHEN task = 'classification' AND dataset = 'molhiv' THEN 'roc_auc' WHEN task IN ('regression', 'multi_target_regression') THEN 'mae' WHEN task = 'binary_classification' THEN 'roc_auc' WHEN task = 'classification' THEN 'accuracy' WHEN task = 'multi_label_classification' THEN 'ap' ELSE 'loss' END AS metric, task IN ('binary_classification', 'classification', 'multi_label_classification') AS maximise FROM (VALUES ('mlm'), ('regression'), ('multi_target_regression'), ('binary_classification'), ('classification'), ('multi_label_classification'), ('other')) a(task), (VALUES ('molhiv'), ('zinc')) b(dataset)")(
-    lambda s, d: stats.tasks(s, task=[*metrics.PRIMARY, "other"], dataset=["molhiv", "zinc"]).select("task", "dataset", *[c.alias(n) for c, n in zip(metrics.primary("task", "dataset"), ("metric", "maximise"))]))
+_TASKS = ("mlm", "regression", "multi_target_regression", "binary_classification", "classification", "multi_label_classification", "other")
+_TASK = "CASE o_orderkey % 7 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(_TASKS)) + " END"
+query("O-EV11", f"SELECT o_orderkey, CASE WHEN task = 'classification' AND dataset = 'molhiv' THEN 'roc_auc' WHEN task IN ('regression', 'multi_target_regression') THEN 'mae' WHEN task = 'binary_classification' THEN 'roc_auc' WHEN task = 'classification' THEN 'accuracy' WHEN task = 'multi_label_classification' THEN 'ap' ELSE 'loss' END AS metric, task IN ('binary_classification', 'classification', 'multi_label_classification') AS maximise FROM (SELECT o_orderkey, {_TASK} AS task, CASE WHEN o_custkey % 2 = 0 THEN 'molhiv' ELSE o_orderpriority END AS dataset FROM orders)")(
+    lambda s, d: table(s, d, "orders").select("o_orderkey", F.expr(_TASK).alias("task"), F.expr("CASE WHEN o_custkey % 2 = 0 THEN 'molhiv' ELSE o_orderpriority END").alias("dataset")).select("o_orderkey", *[c.alias(n) for c, n in zip(metrics.primary("task", "dataset"), ("metric", "maximise"))]))
 query("O-EV12", _PROBS + ", e AS (SELECT graph_id, variant_id, k, exp(p - max(p) OVER (PARTITION BY graph_id, variant_id)) AS e FROM pv) SELECT graph_id, variant_id, k, round(e / sum(e) OVER (PARTITION BY graph_id, variant_id), 6) AS p FROM e")(
     lambda s, d: _probs(s, d).select("graph_id", "variant_id", F.posexplode(metrics.softmax(F.col("probs"))).alias("k", "p")).withColumn("p", F.round("p", 6)))
 query("O-EV13", "SELECT round(exp(avg(CASE WHEN label <> -100 THEN nll END)), 6) AS perplexity FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN -100 ELSE 1 END AS label, (doc_id % 17) / 10 AS nll FROM documents)")(
@@ -324,7 +363,12 @@ query("O-EV16", _LOSS + "SELECT doc_id, round(-ln(pt), 6) AS ce, round(CASE WHEN
 # Two passes of one model that agree but for noise, and two rows mixed.
 query("O-EV16_pairs", _LOSS + "SELECT doc_id, round(((p - q) * (ln(p) - ln(q)) + (q - p) * (ln(1 - p) - ln(1 - q))) / 2, 6) AS kl, round(0.3 * p + 0.7 * q, 6) AS mixed FROM (SELECT *, (p + 0.5) / 2 AS q FROM t)")(
     lambda s, d: (lambda a, b: six(_losses(s, d).select("doc_id", metrics.two_way_kl(a, b).alias("kl"), metrics.mixup(a, b, F.lit(0.3))[0].alias("mixed")), "kl", "mixed"))(F.array("p", 1 - F.col("p")), F.array((F.col("p") + 0.5) / 2, 1 - (F.col("p") + 0.5) / 2)))
-query("O-EV17", "SELECT range AS step, round(CASE WHEN range < 10 THEN (range + 1) / 10 ELSE 0.01 + 0.99 * 0.5 * (1 + cos(pi() * (range - 10) / 90)) END, 6) AS factor FROM range(100)")(lambda s, d: six(metrics.schedule(s, 100, 10), "factor"))
+_gauss = lambda what: f"CAST('0x' || substr(md5(doc_id || ':42:{what}'), 1, 12) AS BIGINT) / {float(1 << 48)}"
+query("O-EV16_logits", _LOSS + f"SELECT doc_id, round(CASE WHEN y = 1 THEN ln(1 + exp(-x)) ELSE ln(1 + exp(x)) END, 6) AS bce, round(p + 0.1 * sqrt(-2 * ln(greatest({_gauss('a')}, 1e-12))) * cos(2 * pi() * {_gauss('b')}), 6) AS noisy FROM (SELECT *, ln(p / (1 - p)) AS x FROM t)")(
+    lambda s, d: six(_losses(s, d).withColumn("x", F.log(F.col("p") / (1 - F.col("p")))).select("doc_id", metrics.bce_with_logits("x", "y").alias("bce"), metrics.noisy("p", 0.1, "doc_id").alias("noisy")), "bce", "noisy"))
+# A run a user, a step an event; a tenth of the steps are warm-up.
+query("O-EV17", EVENTS + ", n AS (SELECT graph_id, pos, COUNT(*) OVER (PARTITION BY graph_id) AS steps FROM ev), w AS (SELECT *, steps // 10 AS warm FROM n) SELECT graph_id, pos, round(CASE WHEN pos < warm THEN (pos + 1) / warm ELSE 0.01 + 0.99 * 0.5 * (1 + cos(pi() * (pos - warm) / greatest(1, steps - warm))) END, 6) AS factor FROM w")(
+    lambda s, d: views.user_events(s, d).withColumn("steps", F.count("*").over(W.partitionBy("graph_id"))).select("graph_id", "pos", F.round(metrics.schedule("pos", "steps", F.floor(F.col("steps") / 10)), 6).alias("factor")))
 
 # Splits
 _ids = lambda s, d: table(s, d, "documents").select(F.col("doc_id").alias("graph_id"), "lang")
