@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from walkloom.llm.common import discard, materialize, pieces, words
+from walkloom.llm.common import discard, materialize, pieces
 
 #: A difference member that makes more pairs than this in one centre's group is a key of the next round, for so many rounds.
 HOT_PAIRS = 4096
@@ -459,14 +459,14 @@ def linked(docs: DataFrame, n: int = 5, p: int = 80) -> DataFrame:
 
 def _linked(docs: DataFrame, n: int, p: int) -> DataFrame:
     """As linked, with row_key (of docs, if it has one) and label: the component itself, as components may share their least doc_id."""
-    # Word counts stand for set sizes where keys are chosen: they weigh costs, and no result depends on them.
-    sizes = docs.groupBy(F.floor(F.log1p(F.size(words(F.col("text"))).cast("double")) * 8).alias("k")).count().collect()
+    base = materialize(_sets(docs, n), "sets")
+    # Set sizes, an eighth of e apart: they weigh the costs of keys, and no result depends on them.
+    sizes = base.filter("n_shingles > 0").groupBy(F.floor(F.log1p(F.col("n_shingles").cast("double")) * 8).alias("k")).count().collect()
     plans: dict = {}
     for r in sizes:
         for k in range(band_of(max(1, int(math.exp(r["k"] / 8)) - 1), p)[0], band_of(int(math.exp((r["k"] + 1) / 8)) + 1, p)[0] + 1):
             plans[k] = max(plans.get(k, 1), r["count"])
     plans = {k: allocate(k, p, c) for k, c in plans.items()}
-    base = materialize(_sets(docs, n), "sets")
     # Copies in other tasks meet here, under each of their keys. Keys with the same nodes become one, named by a sum over those;
     # should two such names clash, their nodes are compared together.
     rows = _keys(docs, n, p, plans).repartition("key").dropDuplicates(["key", "node"])
