@@ -149,10 +149,14 @@ def terms(word: str, lm: LanguageModel) -> list[str]:
     return out + [f"{w[:k]}~" for k in (5, 7, 9) if len(w) >= k]
 
 
-def spaced(run: str, lm: LanguageModel) -> list[str]:
-    """Of a run of single characters: the parts of what it restores to, as terms."""
+#: Letters of the parts of a spelled-out run that are learned from, beside the run as a whole.
+PARTS = range(3, 17)
+
+
+def spaced(run: str, lm: LanguageModel, sizes=PARTS) -> list[str]:
+    """Of a run of single characters: what it restores to, and the parts of that of the sizes given, as terms."""
     w = decode(run.replace(" ", "_"), lm)
-    return [w[a:b] for a in range(len(w)) for b in range(a + 4, min(a + 16, len(w)) + 1)]
+    return [w, *(w[a : a + n] for n in sizes for a in range(len(w) - n + 1))]
 
 
 class Reader:
@@ -160,6 +164,8 @@ class Reader:
 
     def __init__(self, lm: LanguageModel, wanted: dict | None = None):
         self.lm, self.wanted, self.known = lm, wanted, {}
+        # Where terms are wanted, parts of just their sizes are looked up, whatever these are.
+        self.sizes = PARTS if wanted is None else sorted({len(x) for x in wanted if len(x) >= PARTS[0] and not x.endswith("~")})
 
     def of(self, word: str):
         if (got := self.known.get(word)) is None:
@@ -176,7 +182,7 @@ class Reader:
         for w in set(text.split()):
             out.update(self.of(w))
         for m in _SPACED.finditer(text):
-            out.update(x for x in spaced(m[0], self.lm) if self.wanted is None or x in self.wanted)
+            out.update(x for x in spaced(m[0], self.lm, self.sizes) if self.wanted is None or x in self.wanted)
         return out
 
 
