@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from walkloom.llm import byte_bpe, jaccard_join, mixing, quality_classifier, quality_rules
-from walkloom.llm.common import discard, materialize
+from walkloom.llm.common import discard, materialize, scope
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,6 +44,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        before = docs
+        with scope() as keep:  # what a stage writes on its way goes when its result is written
+            docs = keep(materialize(stage(spark, docs, sf_dir), name))
         discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

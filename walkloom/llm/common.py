@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import threading
 import uuid
@@ -30,11 +32,13 @@ BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: The setting of the batches is the session's, so threads write one after another.
 _writing = threading.RLock()
-_path = {}
+#: id of a table -> a weak reference to it, and its path; and the paths written in each open scope.
+_path: dict[int, tuple] = {}
+_scopes: list[list[str]] = []
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, survives lost executors, and gives later plans its true size."""
+    """df as a table in the shared folder: cuts the lineage, survives lost executors, and gives later plans its true size. It is deleted by discard(), with its scope, or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/walkloom/{tag}-{uuid.uuid4().hex}"
     with _writing:
@@ -46,16 +50,61 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
             spark.conf.set(_BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     _path[id(out)] = (weakref.ref(out), path)
+    _written[path] = spark
+    for s in _scopes:
+        s.append(path)
     return out
 
 
+#: path -> session of the tables that are there.
+_written: dict[str, SparkSession] = {}
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path, None)
+    if spark is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more."""
     for t in tables:
         found, path = _path.pop(id(t), (None, None))
         if found is not None and found() is t:
-            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(path)
+
+
+@contextlib.contextmanager
+def scope():
+    """Tables written within are deleted at its end, but for those that keep() was given: scope() gives keep."""
+    own: list[str] = []
+    kept: set[str] = set()
+
+    def keep(t: DataFrame) -> DataFrame:
+        kept.add(_path[id(t)][1])
+        return t
+
+    _scopes.append(own)
+    try:
+        yield keep
+    finally:
+        _scopes[:] = [s for s in _scopes if s is not own]
+        for path in own:
+            if path not in kept:
+                _delete(path)
+
+
+@atexit.register
+def _at_exit() -> None:
+    """What is still there goes when the driver ends, if its session does that in order."""
+    for path, spark in list(_written.items()):
+        try:
+            if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+                continue
+            _delete(path)
+        except Exception:  # noqa: BLE001 the JVM is gone: nothing can be deleted through it
+            return
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
