@@ -126,7 +126,7 @@ def test_whole_texts(spark, tmp_path):
     r = get("O-VO6").first()
     assert (r["types"], r["unknown"]) == (len(count), len(count) - len(common))
     assert {r["graph_id"] for r in get("O-VO8").collect()} == set(points)
-    zz = [r for r in get("O-BP16").collect() if (r["left"], r["right"]) == (ord("z"), ord("z"))]
+    zz = [r for r in get("O-BP16_texts").collect() if (r["left"], r["right"]) == (ord("z"), ord("z"))]
     assert zz and zz[0]["cnt"] == 59
 
 

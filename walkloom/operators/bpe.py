@@ -376,6 +376,14 @@ def encode_list(tokens: list[int], rank: dict, limit: int | None = None) -> tupl
     return tokens, used
 
 
+def gathered(values: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists that which names, one after another, and where each ends."""
+    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    size = (ends - begins)[which]
+    stops = np.cumsum(size)
+    return values[np.arange(stops[-1] if len(stops) else 0) + np.repeat(begins[which] - (stops - size), size)], stops
+
+
 class Codebook:
     """Rules as arrays: pairs as sorted numbers, with their ranks."""
 
@@ -393,7 +401,21 @@ class Codebook:
         return np.where(self.code[at] == code, self.order[at], -1)
 
     def encode(self, tokens: np.ndarray, ends: np.ndarray, limits: np.ndarray | None = None):
-        """Tokens and ends after the rules, ranks applied, and their ends. limits: by sequence, rules of lower rank only.
+        """Tokens and ends after the rules, ranks applied, and their ends. limits: by sequence, rules of lower rank only. Equal sequences are encoded once."""
+        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        raw, first, which = tokens.astype(np.int32).tobytes(), {}, np.empty(len(ends), np.int64)
+        tags = np.zeros(len(ends), np.int64) if limits is None else limits
+        for k, (a, b, tag) in enumerate(zip((begins * 4).tolist(), (ends * 4).tolist(), tags.tolist())):
+            which[k] = first.setdefault((raw[a:b], tag), len(first))
+        if len(first) > 0.9 * len(ends):
+            return self._encode(tokens, ends, limits)
+        own = np.zeros(len(first), np.int64)
+        own[which[::-1]] = np.arange(len(ends) - 1, -1, -1)  # the first of each
+        tok, stops, rank, last = self._encode(*gathered(tokens, ends, own), None if limits is None else limits[own])
+        return *gathered(tok, stops, which), *gathered(rank, last, which)
+
+    def _encode(self, tokens: np.ndarray, ends: np.ndarray, limits: np.ndarray | None = None):
+        """As encode, of each sequence.
 
         A new token's rules come after the rule that made it, so one pass by rank does: what a merge brings together is put by for its rank.
         """
@@ -445,7 +467,7 @@ def encode(sequences: DataFrame, rules: DataFrame, limit: int | None = None, lim
         held, size = [], 0
 
         def flush():
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            (whole,) = pa.Table.from_batches(held).combine_chunks().to_batches()  # one batch, or an error: no row is left behind
             flat, ends = _flat(whole.column(whole.schema.get_field_index("tokens")))
             limits = None if limit is None else np.full(len(ends), limit)
             if limit_column:

@@ -390,3 +390,9 @@ query("O-ST1", "SELECT event_type, COUNT(*) AS n FROM events GROUP BY 1")(lambda
 query("O-ST1_windows", "SELECT CAST(time_bucket(INTERVAL '1 hour', ts) AS VARCHAR) AS start, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2")(lambda s, d: streaming.tumbling(table(s, d, "events")).select(F.col("start").cast("string").alias("start"), "event_type", "n"))
 query("O-ST1_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 + 1800 AS seconds, COUNT(*) AS n FROM s GROUP BY user_id, k")(
     lambda s, d: streaming.sessions(table(s, d, "events")).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("first"), F.timestamp_diff("SECOND", "start", "end").alias("seconds"), "n"))
+# Sessions as sequences, from the stream: those that the watermark has closed.
+_SESSION = "WITH g AS (SELECT DISTINCT ON (event_id) event_id, user_id, ts, event_type FROM events), f AS (SELECT *, CASE WHEN epoch_ms(ts) - epoch_ms(lag(ts) OVER w) < 1800000 THEN 0 ELSE 1 END AS fresh FROM g WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM f), x AS (SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, max(ts) AS last, string_agg(CASE event_type WHEN 'click' THEN '0' WHEN 'error' THEN '1' WHEN 'purchase' THEN '2' WHEN 'signup' THEN '3' ELSE '4' END, ' ' ORDER BY ts, event_id) AS tokens FROM s GROUP BY user_id, k) "
+_shown = lambda df: df.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("first"), F.array_join("tokens", " ").alias("tokens"))
+query("O-ST2", _SESSION + "SELECT user_id, first, tokens FROM x WHERE last + INTERVAL '30 minutes' <= (SELECT max(ts) FROM events) - INTERVAL '2 hours'")(
+    lambda s, d: _shown(streaming.written(streaming.session_sequences(streaming.read(s, d, streaming.EVENTS, "events.parquet")), io.scratch(s, "sessions"))))
+query("O-ST2_table", _SESSION + "SELECT user_id, first, tokens FROM x")(lambda s, d: _shown(streaming.session_sequences_of(table(s, d, "events"))))
