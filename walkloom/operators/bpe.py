@@ -25,6 +25,12 @@ CANDIDATES = 256
 CHUNK_TOKENS = 2_000_000
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The values of a short array, in order."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 class Corpus:
     """Sequences end to end as arrays, with links over what is merged away. A place's pair is its token and the next of its sequence."""
 
@@ -46,7 +52,7 @@ class Corpus:
     def hits(self, places: np.ndarray, left: int, right: int) -> np.ndarray:
         """Those of places where the pair stands, from the left, without overlaps."""
         places, code = self.pairs(places)
-        places = np.unique(places[code == ((left << 32) | right)])
+        places = distinct(places[code == ((left << 32) | right)])
         if left == right and len(places) > 1:
             # In a run of one token every other place is taken.
             first = np.concatenate([[True], self.after[places[:-1]] != places[1:]])
@@ -57,12 +63,12 @@ class Corpus:
     def lost(self, places: np.ndarray) -> np.ndarray:
         """Before a merge at places: where the pairs are that it takes away."""
         around = np.concatenate([places, self.before[places], self.after[places]])
-        return np.unique(around[around >= 0])
+        return distinct(around[around >= 0])
 
     def made(self, places: np.ndarray) -> np.ndarray:
         """After a merge at places: where the pairs are that it made."""
         around = np.concatenate([places, self.before[places]])
-        return np.unique(around[around >= 0])
+        return distinct(around[around >= 0])
 
     def merge(self, places: np.ndarray, new_id: int) -> None:
         gone = self.after[places]
@@ -439,7 +445,7 @@ class Codebook:
             if waiting[r]:
                 at = c.hits(np.concatenate(waiting[r]), left, right)
                 if len(at):
-                    used.append((np.unique(owner[at]), r))
+                    used.append((distinct(owner[at]), r))
                     c.merge(at, new_id)
                     put(c.made(at))
                 waiting[r] = None
