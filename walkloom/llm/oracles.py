@@ -79,3 +79,15 @@ SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0)
 sha256(coalesce(array_to_string(x.o, chr(10)), '')) AS repaired_sha256 FROM c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id"""
 
 SQL |= {"op11_filter_audit": FILTER_AUDIT, "op13_conversation_repair": CONVERSATION_REPAIR}
+
+
+def _ablations() -> str:
+    """Counts by policy and rule, from the bits of the rules' SQL."""
+    from walkloom.llm.quality_rules import POLICIES, mask
+
+    bits = SQL["op3_quality_rules"].rpartition("SELECT doc_id, n_words")[0]
+    cells = [f"SELECT '{p}' AS policy, '{r}' AS rule, COUNT(*) FILTER (bits & {mask(rules)} = 0) AS kept, COUNT(*) FILTER (bits & {mask(rules) & ~mask([r])} = 0) AS kept_without, CAST(bit_or(bits & {mask(rules)}) AS BIGINT) AS bits_seen, CAST(bit_and(bits & {mask(rules)}) AS BIGINT) AS bits_in_all FROM b" for p, rules in POLICIES.items() for r in rules]
+    return bits + " UNION ALL ".join(cells)
+
+
+SQL["quality_rule_ablations"] = _ablations()

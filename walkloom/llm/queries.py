@@ -29,6 +29,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(led).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
 
 
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy costs, from the stored ledger: rules are evaluated once for all."""
+    led = quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return quality_rules.ablations(materialize(led, "ledger"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -83,5 +89,6 @@ QUERIES = {
     "op1_toxicity": op1_toxicity, "op2_chat_format": op2_chat_format, "op3_quality_rules": op3_quality_rules, "op4_sharding": op4_sharding,
     "op5_byte_bpe": op5_byte_bpe, "op6_quality_classifier": op6_quality_classifier, "op7_ann_forest": op7_ann_forest, "op8_jaccard_join": op8_jaccard_join,
     "op9_warc": op9_warc, "op10_mixing": op10_mixing, "op11_filter_audit": op11_filter_audit, "op12_html_extract": op12_html_extract, "op13_conversation_repair": op13_conversation_repair,
+    "quality_rule_ablations": quality_rule_ablations,
 }
 ORACLE_SQL: dict[str, str] = dict(SQL)
