@@ -133,3 +133,33 @@ def test_walked_twice_is_least(seed):
     odd = [v for v in near if len(near[v]) % 2]
     if len(odd) <= 12:
         assert abs(sum(near[a][b] for a, b in again) - least_sum(len(odd), [[walks.shortest(lists, a)[0][b] for b in odd] for a in odd])) < 1e-6
+
+
+def test_screen_by_pairs(spark):
+    """The screen's degree sums against looking at every pair of nodes."""
+    import random
+    from itertools import combinations
+
+    from walkloom.operators import graph
+
+    rng, rows, want = random.Random(12), [], {}
+    for g in range(150):
+        n = rng.randint(3, 9)
+        pairs = {p for p in combinations(range(n), 2) if rng.random() < rng.choice([0.4, 0.7, 0.9])}
+        rows.append((g, [1] * n, [(s, d, 1, 0) for a, b in sorted(pairs) for s, d in ((a, b), (b, a))]))
+        near = {v: {x for p in pairs if v in p for x in p if x != v} for v in range(n)}
+        reach, todo = {0}, [0]
+        while todo:
+            new = near[todo.pop()] - reach
+            reach |= new
+            todo += new
+        if len(reach) < n:
+            want[g] = (False, "unconnected")
+        elif min(map(len, near.values())) >= n // 2:
+            want[g] = (True, "dirac")
+        else:
+            ok = all(len(near[a]) + len(near[b]) >= n for a, b in combinations(range(n), 2) if b not in near[a])
+            want[g] = (ok, "ore" if ok else "neither")
+    df = spark.createDataFrame(rows, "graph_id long, types array<int>, edges array<struct<src:int,dst:int,edge_type:int,cnt:long>>")
+    assert {r[0]: (r[1], r[2]) for r in graph.hamiltonian_screen(df).collect()} == want
+    assert {w for _, w in want.values()} == {"unconnected", "dirac", "ore", "neither"}

@@ -91,9 +91,11 @@ def hamiltonian_screen(packed: DataFrame) -> DataFrame:
     An unconnected graph has none; a least degree of half the nodes, rounded down (Dirac), or summed degrees of the
     nodes for all pairs that no edge joins (Ore), passes; else it fails.
     """
+    import bisect
+
     import pyarrow as pa
 
-    from walkloom.operators.walks import component_roots
+    from walkloom.operators.walks import component_roots, packed_rows
 
     def screen(n, edges):
         near = [set() for _ in range(n)]
@@ -105,16 +107,18 @@ def hamiltonian_screen(packed: DataFrame) -> DataFrame:
             return False, "unconnected"
         if min(deg, default=0) >= n // 2:
             return True, "dirac"
-        if all(deg[a] + deg[b] >= n for a in range(n) for b in range(a + 1, n) if b not in near[a]):
+        # Of the nodes too small to make up for a's degree, all have to be its neighbours.
+        ranked = sorted(deg)
+        if all(bisect.bisect_left(ranked, n - d) - (d < n - d) == sum(deg[b] < n - d for b in near[a]) for a, d in enumerate(deg)):
             return True, "ore"
         return False, "neither"
 
     def run(batches):
         for b in batches:
-            found = [screen(len(g["types"]), [(e["src"], e["dst"]) for e in g["edges"] or ()]) for g in b.select(["types", "edges"]).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("graph_id"), pa.array([x for x, _ in found], pa.bool_()), pa.array([y for _, y in found], pa.string())], ["graph_id", "verdict", "why"])
+            rows = [(g, *screen(len(types), [e[:2] for e in edges])) for g, types, edges in packed_rows(b)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.bool_(), pa.string()))], ["graph_id", "verdict", "why"])
 
-    return packed.mapInArrow(run, "graph_id long, verdict boolean, why string")
+    return packed.select("graph_id", "types", "edges").mapInArrow(run, "graph_id long, verdict boolean, why string")
 
 
 def _steps(paths: DataFrame) -> DataFrame:
@@ -195,22 +199,25 @@ def wl_hash(packed: DataFrame, rounds: int = 3) -> DataFrame:
     """graph_id, wl: a Weisfeiler-Lehman digest, of packed graphs. A graph is a row, so no round is shuffled."""
     import pyarrow as pa
 
+    from walkloom.operators.walks import packed_rows
+
     def run(batches):
         from hashlib import md5
 
         digest = lambda s: md5(s.encode()).hexdigest()
         for b in batches:
-            out = []
-            for g in b.select(["types", "edges"]).to_pylist():
-                labels, near = [digest(str(t)) for t in g["types"]], [[] for _ in g["types"]]
-                for e in g["edges"] or ():
-                    near[e["src"]].append((e["dst"], f"{e['edge_type']}:"))
+            ids, out = [], []
+            for g, types, edges in packed_rows(b):
+                labels, near = [digest(str(t)) for t in types], [[] for _ in types]
+                for src, dst, kind, _ in edges:
+                    near[src].append((dst, f"{kind}:"))
                 for _ in range(rounds):
-                    labels = [digest(x + "/" + "|".join(sorted(t + labels[u] for u, t in near[v]))) for v, x in enumerate(labels)]
+                    labels = [digest(x + "/" + "|".join(sorted([t + labels[u] for u, t in near[v]]))) for v, x in enumerate(labels)]
+                ids.append(g)
                 out.append(digest("|".join(sorted(labels))))
-            yield pa.RecordBatch.from_arrays([b.column("graph_id"), pa.array(out, pa.string())], ["graph_id", "wl"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["graph_id", "wl"])
 
-    return packed.mapInArrow(run, "graph_id long, wl string")
+    return packed.select("graph_id", "types", "edges").mapInArrow(run, "graph_id long, wl string")
 
 
 def signature(packed: DataFrame) -> DataFrame:
