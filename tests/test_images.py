@@ -145,3 +145,16 @@ def test_aligned_lines(spark, tmp_path):
     ids = spark.createDataFrame([(7,), (3,), (9,), (8,), (20,)], "graph_id long")
     got = {r[0]: r[1] for r in io.read_aligned_lines(spark, f"{tmp_path}/s.txt", ids, "smiles").collect()}
     assert got == {3: "CC", 7: "CO", 8: "", 9: "", 20: ""}
+
+
+def test_layouts(spark, tmp_path):
+    for name, lines in {"num-node-list": [1], "num-edge-list": [0], "graph-label": [3], "node-feat": [4], "edge": [], "edge-feat": []}.items():
+        (tmp_path / f"{name}.csv").write_text("".join(f"{x}\n" for x in lines))
+    g, v, e = importers.load(spark, "counted", str(tmp_path))
+    assert [tuple(r) for r in g.collect()] == [(0, 3.0)] and [tuple(r) for r in v.collect()] == [(0, 0, 5)] and e.count() == 0
+    importers.register("again", lambda s, folder, shift: tuple(x.withColumn("graph_id", F.col("graph_id") + shift) for x in importers.read_counted(s, folder)))
+    assert importers.load(spark, "again", str(tmp_path), shift=7)[0].first()["graph_id"] == 7
+    for bad in (lambda: importers.register("again", None), lambda: importers.load(spark, "nosuch", "x")):
+        with pytest.raises(ValueError):
+            bad()
+    del importers.LAYOUTS["again"]

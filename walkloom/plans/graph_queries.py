@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from walkloom.operators import graph as G
 from walkloom.operators import large_graph, stats, walks
 from walkloom.operators import tokenize as T
-from walkloom.plans.views_sql import BFS, COMPONENTS, GRAPH
+from walkloom.plans.views_sql import BFS, COMPONENTS, GRAPH, RECURSIVE
 from walkloom.sources import io, views
 
 Q, S = {}, {}
@@ -111,7 +111,9 @@ def _valid(s, d):
 
 
 query("O-GS13_validity", "WITH n AS (SELECT o_custkey AS graph_id, COUNT(*) AS n FROM orders GROUP BY 1 HAVING COUNT(*) >= 3) SELECT graph_id, how, graph_id % 3 <> 1 AND (how = 'open' OR how = 'turned' AND graph_id % 3 = 2) AS is_path, graph_id % 3 = 2 AS is_cycle FROM n, (VALUES ('open'), ('closed'), ('turned')) h(how)")(_valid)
-query("O-GS15")(lambda s, d: walks.odd_paths(_packed(s, d)).groupBy("graph_id").agg(F.count("*").alias("paths"), F.sum("hops").alias("hops"), F.max("hops").alias("longest")))
+_HOPS = RECURSIVE + """, hop(graph_id, s, v, d) USING KEY (graph_id, s, v) AS (SELECT graph_id, node_id, node_id, 0 FROM deg WHERE degree % 2 = 1 UNION SELECT x.graph_id, x.s, x.v, x.d FROM (SELECT h.graph_id, h.s, e.dst AS v, min(h.d) + 1 AS d FROM hop h JOIN edges e ON e.graph_id = h.graph_id AND e.src = h.v GROUP BY 1, 2, 3) x LEFT JOIN recurring.hop r ON r.graph_id = x.graph_id AND r.s = x.s AND r.v = x.v WHERE r.d IS NULL)"""
+query("O-GS15", _HOPS + " SELECT h.graph_id, COUNT(*) AS paths, CAST(sum(d) AS BIGINT) AS hops, CAST(max(d) AS BIGINT) AS longest FROM hop h JOIN deg ON deg.graph_id = h.graph_id AND deg.node_id = h.v AND deg.degree % 2 = 1 WHERE h.v > h.s GROUP BY 1")(
+    lambda s, d: walks.odd_paths(_packed(s, d)).groupBy("graph_id").agg(F.count("*").alias("paths"), F.sum("hops").alias("hops"), F.max("hops").alias("longest")))
 query("O-GS16")(lambda s, d: walks.postman_costs(_packed(s, d)))
 query("O-GS16_weighted")(lambda s, d: six(walks.postman_costs(_packed(s, d, True), True), "cost"))
 query("O-GS14", GRAPH + "SELECT graph_id, node_id FROM deg WHERE degree % 2 = 1")(lambda s, d: G.odd_nodes(views.edges(s, d)))
@@ -153,8 +155,11 @@ query("O-SE13_eulerian", GRAPH + "SELECT graph_id, edge_id AS id, 1 AS n FROM ed
 query("O-SE13_cpp", GRAPH + "SELECT graph_id, src, dst, true AS once_or_twice FROM edges WHERE src < dst")(
     lambda s, d: _uses("cpp", "edge")(s, d).join(views.edges(s, d).select("graph_id", F.col("edge_id").alias("id"), "src", "dst"), ["graph_id", "id"]).groupBy("graph_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("n").isin(1, 2).alias("once_or_twice")))
 query("O-SE14", COMPONENTS + "SELECT graph_id, max(rank) AS separators FROM comp GROUP BY 1")(lambda s, d: walks.serialize(_packed(s, d, True), "feuler").select("graph_id", F.size(F.filter("elements", lambda e: e == "component_sep")).alias("separators")))
-query("O-SE15", COMPONENTS + ", n AS (SELECT graph_id, COUNT(*) AS n FROM nodes GROUP BY 1), v AS (SELECT graph_id, n, unnest(range(0, least(4, n))) AS v FROM n), w AS (SELECT graph_id, CAST(v AS INT) AS variant_id, v * greatest(1, n // least(4, n)) % n AS node_id FROM v) SELECT w.graph_id, variant_id, 2 * nodes.node_type + 1 AS first, CAST((SELECT COUNT(*) FROM comp x WHERE x.graph_id = w.graph_id AND x.root = comp.root) AS INT) AS n FROM w JOIN comp ON comp.graph_id = w.graph_id AND comp.node_id = w.node_id JOIN nodes ON nodes.graph_id = w.graph_id AND nodes.node_id = w.node_id")(
-    lambda s, d: walks.serialize(_packed(s, d), "bfs", 4, elements=False).select("graph_id", "variant_id", F.get("tokens", F.lit(0)).alias("first"), F.size("tokens").alias("n")))
+_VARIANTS = COMPONENTS + ", n AS (SELECT graph_id, COUNT(*) AS n FROM nodes GROUP BY 1), v AS (SELECT graph_id, n, unnest(range(0, least(4, n))) AS v FROM n), w AS (SELECT graph_id, CAST(v AS INT) AS variant_id, v * greatest(1, n // least(4, n)) % n AS node_id FROM v) SELECT w.graph_id, variant_id, 2 * nodes.node_type + 1 AS first, CAST((SELECT COUNT(*) FROM comp x WHERE x.graph_id = w.graph_id AND x.root = comp.root) AS INT) AS n FROM w JOIN comp ON comp.graph_id = w.graph_id AND comp.node_id = w.node_id JOIN nodes ON nodes.graph_id = w.graph_id AND nodes.node_id = w.node_id"
+_variants = lambda s, d: walks.serialize(_packed(s, d), "bfs", 4, elements=False).select("graph_id", "variant_id", F.get("tokens", F.lit(0)).alias("first"), F.size("tokens").alias("n"))
+query("O-SE15", _VARIANTS)(_variants)
+# All variants of all graphs, in one order.
+query("O-SE16", f"SELECT *, row_number() OVER (ORDER BY graph_id, variant_id) - 1 AS place FROM ({_VARIANTS})")(lambda s, d: large_graph.ranked(_variants(s, d), [], ["graph_id", "variant_id"]))
 # A node is come by once for each edge from it, and once more where its component's walk begins.
 query("O-SE17", COMPONENTS + "SELECT c.graph_id, c.node_id AS id, any_value(degree) + CASE WHEN any_value(root) = c.node_id THEN 1 ELSE 0 END AS n FROM comp c JOIN deg ON deg.graph_id = c.graph_id AND deg.node_id = c.node_id GROUP BY c.graph_id, c.node_id")(_uses("eulerian", "node"))
 query("O-SE18", GRAPH + "SELECT edge_type, COUNT(*) AS cnt FROM edges GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")(

@@ -199,6 +199,9 @@ query("O-BP12", EVENTS + "SELECT graph_id, string_agg(CAST(tok AS VARCHAR), ' '
 query("O-BP13", merges(6) + " SELECT COUNT(*) AS sequences, CAST(sum(len(s0.t)) AS BIGINT) AS before, CAST(sum(len(s6.t)) AS BIGINT) AS after, 1.0 AS exact, CAST(sum(len(s0.t)) - sum(len(s6.t)) AS BIGINT) AS saved, round(sum(len(s6.t)) / sum(len(s0.t)), 6) AS ratio FROM s0 JOIN s6 USING (graph_id)")(lambda s, d: six(bpe.compression(_encoded(s, d)), "ratio", "exact"))
 query("O-BP14", EVENTS + "SELECT CAST(sum(cnt) AS BIGINT) AS total, COUNT(*) AS distinct_pairs, round(sum(cnt) / (SELECT COUNT(DISTINCT graph_id) FROM ev), 6) AS per_sequence FROM pc")(
     lambda s, d: bpe.pair_counts(_seqs(s, d)).agg(F.sum("cnt").alias("total"), F.count("*").alias("distinct_pairs")).crossJoin(_seqs(s, d).agg(F.count("*").alias("n"))).select("total", "distinct_pairs", F.round(F.col("total") / F.col("n"), 6).alias("per_sequence")))
+# A new token holds one base token for each of its parts that is one, and those of its parts that are new.
+_HELD = "".join(f", e{k} AS (SELECT new_id, coalesce((SELECT sum(n) FROM (SELECT n FROM (" + (" UNION ALL ".join(f"SELECT new_id, n FROM e{j}" for j in range(k)) or "SELECT NULL AS new_id, NULL AS n") + f") o WHERE o.new_id = r{k}.l)), 1) + coalesce((SELECT sum(n) FROM (SELECT n FROM (" + (" UNION ALL ".join(f"SELECT new_id, n FROM e{j}" for j in range(k)) or "SELECT NULL AS new_id, NULL AS n") + f") o WHERE o.new_id = r{k}.r)), 1) AS n FROM r{k})" for k in range(6))
+query("O-BP15_few", merges(6) + _HELD + " SELECT CASE WHEN n <= 1 THEN '1' WHEN n <= 3 THEN '2-3' WHEN n <= 10 THEN '4-10' ELSE '>10' END AS size, COUNT(*) AS tokens FROM (" + " UNION ALL ".join(f"SELECT n FROM e{k}" for k in range(6)) + ") GROUP BY 1")(lambda s, d: bpe.codebook_sizes(bpe.train(_seqs(s, d), merges=6)))
 query("O-BP15")(lambda s, d: bpe.codebook_sizes(bpe.train(_seqs(s, d), merges=50)))
 query("O-BP15_patterns")(lambda s, d: bpe.codebook_patterns(bpe.train(T.texts_to_points(table(s, d, "part").select(F.col("p_partkey").alias("graph_id"), F.col("p_name").alias("text"))), merges=60), targets=("ing", "er")))
 query("O-BP16_texts")(lambda s, d: bpe.train(views.doc_sequences(s, d), merges=40, min_frequency=20))

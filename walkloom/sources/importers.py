@@ -88,3 +88,22 @@ def read_counted(spark: SparkSession, folder: str, both_ways: bool = False) -> t
     else:
         edges = edges.select("graph_id", F.col("at").alias("edge_id"), "src", "dst", "edge_type")
     return graphs, nodes, edges
+
+
+#: Layouts by name: functions of (spark, folder, ...) that give graphs, nodes and edges.
+LAYOUTS = {"tu": read_tu, "counted": read_counted}
+
+
+def register(layout: str, loader) -> None:
+    """Adds a layout; a name that is taken is an error."""
+    if layout in LAYOUTS:
+        raise ValueError(f"there is a layout {layout} already")
+    LAYOUTS[layout] = loader
+
+
+def load(spark: SparkSession, layout: str, folder: str, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """graphs, nodes and edges of a data set in a layout of that name, with the columns that every layout gives."""
+    if layout not in LAYOUTS:
+        raise ValueError(f"no layout {layout}: there are {', '.join(sorted(LAYOUTS))}")
+    graphs, nodes, edges = LAYOUTS[layout](spark, folder, **options)
+    return graphs.select("graph_id", "label"), nodes.select("graph_id", "node_id", "node_type"), edges.select("graph_id", "edge_id", "src", "dst", "edge_type")
