@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from walkloom.llm.common import materialize
+from walkloom.llm.common import discard, materialize
 
 TREES = 288
-DEPTH = 5
+DEPTH = 4
 WIDE = 16
 #: Bits of a symbol.
 BITS = 5
@@ -41,10 +41,10 @@ QUERIES = 4096
 #: Entries of the trees' ranges in all, as a share of the block's rows, at which the trees stop ascending. Recall for this and other figures is in the README.
 SHARE = 0.15
 #: Entries at least, as a multiple of the rows asked for.
-LEAST = 20
+LEAST = 28
 SEED = 11
-#: Queries whose candidates are held at a time.
-AT_ONCE = 256
+#: Queries whose candidates are held at a time, and rows that are rotated at a time.
+AT_ONCE, ROWS = 256, 512
 
 
 def valid(rows: DataFrame) -> DataFrame:
@@ -61,18 +61,26 @@ def matrix(vectors, dim: int) -> np.ndarray:
     return out
 
 
+def _rotations(dim: int, wide: int, symbols: int) -> np.ndarray:
+    """Random rotations side by side, drawn alike in every task: dim x (a multiple of wide), enough for so many symbols. One gives as many as it has room for."""
+    rng, each = np.random.default_rng(SEED), dim // wide
+    return np.hstack([np.linalg.qr(rng.normal(size=(dim, dim)))[0][:, : each * wide].astype(np.float32) for _ in range(-(-symbols // each))])[:, : symbols * wide]
+
+
 def strings(m: np.ndarray, extra: np.ndarray, trees: int = TREES, depth: int = DEPTH, wide: int = WIDE) -> np.ndarray:
-    """The strings of rows: trees x rows, the first symbol highest. Rotations are drawn alike in every task; one gives as many symbols as it has room for, each to another tree."""
+    """The strings of rows: trees x rows, the first symbol highest. Each symbol of the rotations goes to another tree."""
     x = np.hstack([m, extra[:, None]]).astype(np.float32)
-    dim, rng, out, k = x.shape[1], np.random.default_rng(SEED), np.zeros((trees, len(x)), np.uint32), 0
-    wide, at = min(wide, dim), np.arange(len(x))
-    while k < trees * depth:
-        y = x @ np.linalg.qr(rng.normal(size=(dim, dim)))[0].astype(np.float32)
-        for g in range(min(dim // wide, trees * depth - k)):
-            own = y[:, g * wide : (g + 1) * wide]
-            place = np.abs(own).argmax(1)
-            out[k % trees] = (out[k % trees] << np.uint32(BITS)) | (2 * place + (own[at, place] > 0)).astype(np.uint32)
-            k += 1
+    wide = min(wide, x.shape[1])
+    # Columns by symbol, then component, then tree, so that a component of all trees lies together.
+    turned = _rotations(x.shape[1], wide, trees * depth).reshape(-1, depth, trees, wide).swapaxes(2, 3).reshape(-1, depth * wide * trees)
+    out, code = np.zeros((trees, len(x)), np.uint32), np.arange(0, 2 * wide, 2, dtype=np.uint32)[None, :, None]
+    for at in range(0, len(x), ROWS):
+        part = out[:, at : at + ROWS]
+        for k in range(depth):  # a tree's k-th symbol
+            y = (x[at : at + ROWS] @ turned[:, k * trees * wide : (k + 1) * trees * wide]).view(np.uint32).reshape(-1, wide, trees)
+            # A positive float's bits rise with it: place and sign take the lowest five, so the largest brings them along.
+            best = ((y & np.uint32(0x7FFFFFE0)) | ((y >> np.uint32(31)) ^ np.uint32(1)) | code).max(axis=1)
+            part[:] = (part << np.uint32(BITS)) | (best & np.uint32(31)).T
     return out
 
 
@@ -107,10 +115,10 @@ class Forest:
                 break
         return lo, hi, length
 
-    def candidates(self, q: np.ndarray, enough: float):
-        """Yields for each query the places of the rows that are measured."""
-        n, codes = len(self.m), strings(q, np.zeros(len(q)), depth=self.depth)
-        for at in range(0, len(q), AT_ONCE):
+    def candidates(self, codes: np.ndarray, enough: float):
+        """Yields for each query, given by its strings (trees x queries), the places of the rows that are measured."""
+        n = len(self.m)
+        for at in range(0, codes.shape[1], AT_ONCE):
             lo, hi, length = self.ranges(codes[:, at : at + AT_ONCE], enough)
             held = np.zeros((lo.shape[1], n), bool)
             held[length == 0] = True
@@ -136,6 +144,10 @@ def search(rows: DataFrame, queries: DataFrame, top: int = 20, share: float = SH
     n, dim, longest = rows.agg(F.count("*"), F.max(F.size("v")), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
     n_queries, wide_q = queries.agg(F.count("*"), F.max(F.size("v"))).first()
     dim = max(dim or 0, wide_q or 0)
+    # A query's strings are made once, for all blocks.
+    coded = lambda frames: (q.assign(codes=[c.tobytes() for c in np.ascontiguousarray(strings(matrix(q["v"], dim), np.zeros(len(q))).T)]) for q in frames)
+    plain, queries = queries, materialize(queries.mapInPandas(coded, "vec_id long, v array<double>, codes binary"), "coded")
+    discard(plain)
     blocks, parts = max(1, math.ceil(n / BLOCK)), max(1, math.ceil(n_queries / QUERIES))
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     left = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
@@ -146,7 +158,8 @@ def search(rows: DataFrame, queries: DataFrame, top: int = 20, share: float = SH
         if len(a) and len(q):
             ids = a["vec_id"].to_numpy()
             m, x = matrix(a["v"], dim), matrix(q["v"], dim)
-            for query, v, at in zip(q["vec_id"].to_numpy(), x, Forest(m, longest).candidates(x, max(share * len(a), least * top))):
+            codes = np.frombuffer(b"".join(q["codes"]), np.uint32).reshape(len(q), -1).T
+            for query, v, at in zip(q["vec_id"].to_numpy(), x, Forest(m, longest).candidates(codes, max(share * len(a), least * top))):
                 measured, at = len(at), at[ids[at] != query]
                 score = m[at] @ v
                 if len(at) > top:  # the best, and all that tie with the last of them
