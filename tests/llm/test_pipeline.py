@@ -121,7 +121,7 @@ def test_queries(spark, folder):
 def test_against_sql(spark, folder):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "labels"):
         con.execute(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         got = queries.QUERIES[name](spark, folder)
