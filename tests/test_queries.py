@@ -10,7 +10,7 @@ from walkloom.plans import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ["O-GS1", "O-GS6", "O-GS12", "O-GS13_validity", "O-GS18", "O-SE7_whole", "O-SE11", "O-SE13", "O-SC3", "O-SC9", "O-SC9_counted", "O-TK9_edges", "O-TK14", "O-PF1", "O-PF2", "O-BP1", "O-BP3", "O-BP10", "O-BP12", "O-BP16", "O-VO5", "O-VO8", "O-AG3", "O-AG4", "O-AG5", "O-AG16", "O-EV1", "O-EV3_best", "O-EV7", "O-EV8_classes", "O-EV17", "O-SP1", "O-SP2", "O-ST2"]
+SAMPLE = ["O-GS1", "O-GS6", "O-GS12", "O-GS13_validity", "O-GS18", "O-SE11", "O-SE13", "O-SC3", "O-SC9", "O-TK9_edges", "O-TK14", "O-PF1", "O-PF2", "O-BP1", "O-BP3", "O-BP10", "O-BP12", "O-BP16", "O-VO5", "O-AG3", "O-AG4", "O-AG5", "O-AG16", "O-EV1", "O-EV3_best", "O-EV7", "O-EV8_classes", "O-EV17", "O-SP1", "O-SP2"]
 
 
 def rows(df):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from walkloom.operators import bpe, metrics, splits, stats, vocab
 
 
-@pytest.mark.parametrize("bins, few", [(4, 3), (7, 0), (1024, 10_000)])
+@pytest.mark.parametrize("bins, few", [(4, 3), (1024, 10_000)])
 def test_quantiles(spark, bins, few):
     """Groups of every shape: ties, one value, a hot group, values far apart, nulls only."""
     rng = random.Random(bins)
