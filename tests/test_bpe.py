@@ -142,3 +142,21 @@ def test_merge_batch():
         assert {k: p.tolist() for k, p in zip(kept.tolist(), parts)} == {k: b for k, (a, b) in enumerate(zip(seqs, now)) if a != b}
         held = {((c >> 32, c & 0xFFFFFFFF), i) for c, i in zip(pair.tolist(), own.tolist())}
         assert held >= {(p, ids[k]) for k, s in enumerate(now) for p in zip(s, s[1:]) if 7 in p or 8 in p}
+
+
+def test_pieces(spark, monkeypatch):
+    """Of more tokens than one machine takes, pieces are trained on, not passes over all sequences; with the same rules, also where the first guess is too high."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(3, 8))) for _ in range(60)]
+    texts = [([ord(c) for c in " ".join(rng.choice(words) for _ in range(rng.randrange(60)))],) for _ in range(300)] + [([97] * k,) for k in range(9)] + [(None,), ([],), ([900],)]
+    df = spark.createDataFrame(texts, "tokens array<int>").repartition(3)
+    before = _left(spark)
+    for merges, least, local, tables in ((30, 20, 20_000, False), (150, 2, 20_000, False), (900, 300, 49_000, False), (3, 2, 10, True)):
+        want = [tuple(r) for r in bpe.train(df, merges, least, "local").orderBy("rank").collect()]
+        assert want[0][3] == 902 and (merges == 900) == (len(want) < merges)
+        with monkeypatch.context() as m:
+            m.setattr(bpe, "LOCAL_TOKENS", local)
+            if not tables:
+                m.setattr(bpe, "PairTables", None)
+            assert [tuple(r) for r in bpe.train(df, merges, least).orderBy("rank").collect()] == want
+    assert _left(spark) == before

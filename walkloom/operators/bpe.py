@@ -319,9 +319,10 @@ class PairTables:
             x.discard()
 
 
-def train_tables(distinct: DataFrame, merges: int, min_frequency: int = 2) -> tuple[list[tuple[int, int, int, int]], tuple[int, int, int]]:
-    """(left, right, new_id, cnt) by rank, of sequences (tokens, n) of any size, and the rows written of sequences, counts and index."""
+def train_tables(distinct: DataFrame, merges: int, min_frequency: int = 2, top: int | None = None) -> tuple[list[tuple[int, int, int, int]], tuple[int, int, int]]:
+    """(left, right, new_id, cnt) by rank, of sequences (tokens, n) of any size, and the rows written of sequences, counts and index. top: the largest token, if sequences leave some out."""
     state, rules = PairTables(distinct), []
+    state.top = state.top if top is None else top
     try:
         while state.top is not None and len(rules) < merges:
             made = [(left, right, state.top + 2 + len(rules) + k, n) for k, (left, right, n) in enumerate(independent(state.best(), min_frequency)[: merges - len(rules)])]
@@ -341,25 +342,143 @@ def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(lists.flatten(), dtype=np.int64), np.cumsum(sizes)
 
 
+#: Rows of a batch that are counted or cut at once; distinct pieces that a task holds while it counts them; pairs that a task holds to cut by.
+SLICE_ROWS, HELD_PIECES, HELD_PAIRS = 256, 300_000, 1_000_000
+
+
+def _totals(sequences: DataFrame) -> DataFrame:
+    """kind, left, right, cnt: the counts of adjacent pairs (COUNT), and of tokens by a batch's largest one, which is in left (SEQUENCE). Batches are counted where they are."""
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, SLICE_ROWS):
+                flat, ends = _flat(b.column(0).slice(k, SLICE_ROWS))
+                if not len(flat):
+                    continue
+                inner = np.ones(len(flat), bool)
+                inner[ends[ends > 0] - 1] = False
+                at = np.flatnonzero(inner)
+                if flat.min() >= 0 and flat.max() < 1 << 21:
+                    types = np.flatnonzero(np.bincount(flat))
+                    place = np.zeros(types[-1] + 1, np.int64)
+                    place[types] = np.arange(len(types))
+                else:
+                    types = None
+                if types is not None and len(types) <= 2048:
+                    n = np.bincount(place[flat[at]] * len(types) + place[flat[at + 1]])
+                    code = np.flatnonzero(n)
+                    left, right, n = types[code // len(types)], types[code % len(types)], n[code]
+                else:
+                    code, n = np.unique((flat[at] << 32) | flat[at + 1], return_counts=True)
+                    left, right = code >> 32, code & 0xFFFFFFFF
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(np.full(len(n), COUNT), SEQUENCE).astype(np.int32)), *(pa.array(np.append(x, y).astype(np.int32)) for x, y in ((left, flat.max()), (right, 0))), pa.array(np.append(n, len(flat)).astype(np.int64))], ["kind", "left", "right", "cnt"])
+
+    return sequences.select("tokens").mapInArrow(run, "kind int, left int, right int, cnt long").groupBy("kind", "left", "right").agg(F.sum("cnt").alias("cnt"))
+
+
+def pieces(sequences: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """tokens, n: the distinct pieces of sequences (tokens) that are cut between any two tokens that aren't one of pairs, and how often each is there; single tokens go."""
+    wanted = np.sort(np.array([(a << 32) | b for a, b in pairs], np.int64))
+
+    def run(batches):
+        held: dict[bytes, int] = {}
+
+        def flush():
+            raw = b"".join(held)
+            out = pa.RecordBatch.from_arrays([_lists(np.frombuffer(raw, np.int32), np.cumsum([len(x) // 4 for x in held])), pa.array(list(held.values()), pa.int64())], ["tokens", "n"])
+            held.clear()
+            return out
+
+        for b in batches:
+            for k in range(0, b.num_rows, SLICE_ROWS):
+                flat, ends = _flat(b.column(0).slice(k, SLICE_ROWS))
+                if len(flat) < 2 or not len(wanted):
+                    continue
+                code = (flat[:-1] << 32) | flat[1:]
+                whole = wanted[np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)] == code
+                whole[ends[(ends > 0) & (ends < len(flat))] - 1] = False
+                stops = np.append(np.flatnonzero(~whole) + 1, len(flat))
+                begins = np.concatenate([[0], stops[:-1]])
+                long = stops - begins > 1
+                raw = flat.astype(np.int32).tobytes()
+                for x, y in zip((begins[long] * 4).tolist(), (stops[long] * 4).tolist()):
+                    piece = raw[x:y]
+                    held[piece] = held.get(piece, 0) + 1
+                if len(held) > HELD_PIECES:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return sequences.select("tokens").mapInArrow(run, "tokens array<int>, n long").groupBy("tokens").agg(F.sum("n").alias("n"))
+
+
+def _merged_by(sequences: DataFrame, rules: list[tuple[int, int, int]]) -> DataFrame:
+    """sequences (tokens) after rules (left, right, new_id), by rank."""
+    book = Codebook(rules)
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, SLICE_ROWS):
+                tok, ends, _, _ = book._encode(*_flat(b.column(0).slice(k, SLICE_ROWS)))
+                yield pa.RecordBatch.from_arrays([_lists(tok, ends)], ["tokens"])
+
+    return sequences.select("tokens").mapInArrow(run, "tokens array<int>")
+
+
+def train_pieces(sequences: DataFrame, totals: DataFrame, merges: int, min_frequency: int, top: int) -> list[tuple[int, int, int, int]]:
+    """(left, right, new_id, cnt) by rank, of sequences of any size, of which totals are the counts and top the largest token.
+
+    A merge joins what stands next to each other at least as often as it counts. So as long as merges count some number or more, nothing is joined where
+    two tokens stand next to each other less often, and sequences may be cut there: such pieces are short and repeat. A phase learns the merges that count
+    at least a third of the commonest pair; then the sequences are merged by them and counted again, until merges count too little.
+    """
+    rules, lowest, now = [], max(min_frequency, 1), sequences
+    while len(rules) < merges:
+        counts = totals.filter(F.col("kind") == COUNT)
+        best = counts.agg(F.max("cnt")).first()[0]
+        if best is None or best < lowest:
+            break
+        least = max(lowest, best // 3)
+        pairs = [tuple(r) for r in counts.filter(F.col("cnt") >= least).select("left", "right").limit(HELD_PAIRS + 1).collect()]
+        cut = saved(now.groupBy("tokens").agg(F.count("*").alias("n")) if len(pairs) > HELD_PAIRS else pieces(now, pairs), "pieces")
+        size = cut.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
+        first = top + 2 + len(rules)
+        found = _train_local(cut, merges - len(rules), least, first) if size <= LOCAL_TOKENS else train_tables(cut, merges - len(rules), least, first - 2)[0]
+        discard(cut)
+        rules += found
+        if len(rules) >= merges or least == lowest:
+            break
+        new = saved(_merged_by(now, [r[:3] for r in found]), "merged")
+        discard(now, totals)
+        now, totals = new, saved(_totals(new), "totals")
+    discard(now, totals)  # not the sequences given, which aren't saved here
+    return rules
+
+
+def _train_local(distinct: DataFrame, merges: int, min_frequency: int, first_id: int | None = None) -> list[tuple[int, int, int, int]]:
+    rows = distinct.toArrow()
+    flat, ends = _flat(rows.column("tokens").combine_chunks()) if rows.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return train_arrays(flat, ends, np.asarray(rows.column("n"), dtype=np.int64), merges, min_frequency, first_id)
+
+
 def train(sequences: DataFrame, merges: int = 2000, min_frequency: int = 2, strategy: str = "auto") -> DataFrame:
     """The codebook (rank, left, right, new_id, cnt). strategy: auto, local or distributed.
 
-    Equal sequences are one, with a multiplicity. What is distinct is trained on one machine if its tokens are within LOCAL_TOKENS; else by passes
-    over tables (PairTables), each of which takes all merges that are sure to be next. Both give the same rules.
+    Sequences of up to LOCAL_TOKENS are trained on one machine, where equal ones are one, with a multiplicity. Of more, the distinct pieces between
+    which nothing is merged are (train_pieces), or, if those are more too, passes over tables (PairTables) take all merges that are
+    sure to be next. distributed: passes over tables, of whole sequences. All give the same rules.
     """
     spark = sequences.sparkSession
     distinct = sequences.groupBy("tokens").agg(F.count("*").alias("n"))
     if strategy == "auto":
-        distinct = distinct.persist()
-        size = distinct.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("t")).first()["t"]
-        strategy = "local" if size <= LOCAL_TOKENS else "distributed"
-    if strategy == "local":
-        rows = distinct.toArrow()
-        flat, ends = _flat(rows.column("tokens").combine_chunks()) if rows.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        rules = train_arrays(flat, ends, np.asarray(rows.column("n"), dtype=np.int64), merges, min_frequency)
+        totals = saved(_totals(sequences), "totals")
+        size, top = totals.filter(F.col("kind") == SEQUENCE).agg(F.coalesce(F.sum("cnt"), F.lit(0)), F.max("left")).first()
+        rules = _train_local(distinct, merges, min_frequency) if size <= LOCAL_TOKENS else train_pieces(sequences.select("tokens"), totals, merges, min_frequency, top)
+        discard(totals)
+    elif strategy == "local":
+        rules = _train_local(distinct, merges, min_frequency)
     else:
         rules, _ = train_tables(distinct, merges, min_frequency)
-    distinct.unpersist()
     return spark.createDataFrame([(k, *r) for k, r in enumerate(rules)], RULES)
 
 
