@@ -160,3 +160,12 @@ def test_read_tu(spark, tmp_path):
     assert sorted(map(tuple, graphs.collect())) == [(0, 1), (1, -1)]
     assert sorted(map(tuple, nodes.collect())) == [(0, 0, 7), (0, 1, 8), (1, 0, 9), (1, 1, 7), (1, 2, 8)]
     assert sorted(map(tuple, edges.collect())) == [(0, 0, 0, 1, 0), (0, 1, 1, 0, 0), (1, 0, 1, 2, 0), (1, 1, 2, 0, 0)]
+
+
+def test_weights_of_equal_paths(spark):
+    """Each row of paths has its own weight, also where paths are equal, and no step carries its path."""
+    from walkloom.operators import graph
+
+    edges = spark.createDataFrame([(1, 0, 1, 1.5), (1, 1, 2, 1.0)], "graph_id long, src int, dst int, weight double")
+    got = graph.path_weight(spark.createDataFrame([(1, [0, 1, 2]), (1, [0, 1, 2]), (1, []), (1, [2, 1])], "graph_id long, path array<int>"), edges)
+    assert sorted((tuple(r[1]), r[2]) for r in got.collect()) == [((), 0.0), ((0, 1, 2), 2.5), ((0, 1, 2), 2.5), ((2, 1), float("inf"))]
