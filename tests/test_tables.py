@@ -169,3 +169,11 @@ def test_weights_of_equal_paths(spark):
     edges = spark.createDataFrame([(1, 0, 1, 1.5), (1, 1, 2, 1.0)], "graph_id long, src int, dst int, weight double")
     got = graph.path_weight(spark.createDataFrame([(1, [0, 1, 2]), (1, [0, 1, 2]), (1, []), (1, [2, 1])], "graph_id long, path array<int>"), edges)
     assert sorted((tuple(r[1]), r[2]) for r in got.collect()) == [((), 0.0), ((0, 1, 2), 2.5), ((0, 1, 2), 2.5), ((2, 1), float("inf"))]
+
+
+def test_owners_of_lines_are_not_broadcast(spark):
+    """The lines of a data set in counted files are joined to their graphs by sorting: they are many more than Spark estimates."""
+    from walkloom.plans import QUERIES
+
+    plan = QUERIES["O-SC9_counted"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin [line") == 3

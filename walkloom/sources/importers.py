@@ -19,7 +19,7 @@ def numbered(spark: SparkSession, path: str) -> DataFrame:
     blocks = raw.groupBy("file", "block").agg(F.min("m").alias("first"), F.count("*").alias("n"))
     before = F.sum("n").over(W.orderBy("file", "block")) - F.col("n")  # a row a split
     blocks = blocks.select("file", "block", (before - F.col("first")).alias("shift"))
-    return raw.join(blocks, ["file", "block"]).select((F.col("m") + F.col("shift")).alias("line"), "value")
+    return raw.join(F.broadcast(blocks), ["file", "block"]).select((F.col("m") + F.col("shift")).alias("line"), "value")
 
 
 def read_tu(spark: SparkSession, folder: str, name: str, node_labels: bool = True, edge_labels: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -57,7 +57,10 @@ RUN = 4096
 
 
 def _owners(counts: DataFrame) -> DataFrame:
-    """line, graph_id, at: each line's graph and its place there, of the numbers of lines of graphs (graph_id, n) one after another."""
+    """line, graph_id, at: each line's graph and its place there, of the numbers of lines of graphs (graph_id, n) one after another.
+
+    These are as many rows as lines, though Spark takes them for as few bytes as the counts have, and would broadcast them: joins to them name their kind.
+    """
     from walkloom.operators.large_graph import ranked
 
     begins = ranked(counts.withColumn("_all", F.lit(0)), ["_all"], ["graph_id"], "n").filter("n > 0")
@@ -77,11 +80,11 @@ def read_counted(spark: SparkSession, folder: str, both_ways: bool = False) -> t
     field = lambda k, t: F.trim(F.split_part("value", F.lit(","), F.lit(k))).cast(t)
     count = lambda name: lines(name).select(F.col("line").alias("graph_id"), field(1, "long").alias("n"))
     graphs = lines("graph-label").select(F.col("line").alias("graph_id"), field(1, "double").alias("label"))
-    nodes = _owners(count("num-node-list")).join(lines("node-feat").select("line", (field(1, "int") + 1).alias("node_type")), "line").select("graph_id", F.col("at").alias("node_id"), "node_type")
+    nodes = _owners(count("num-node-list")).hint("merge").join(lines("node-feat").select("line", (field(1, "int") + 1).alias("node_type")), "line").select("graph_id", F.col("at").alias("node_id"), "node_type")
     kind = field(1, "int")
     ends = lines("edge").select("line", field(1, "int").alias("src"), field(2, "int").alias("dst"))
     types = lines("edge-feat").select("line", F.when(kind.between(0, 3), kind + 1).otherwise(0).alias("edge_type"))
-    edges = _owners(count("num-edge-list")).join(ends, "line").join(types, "line", "left").withColumn("edge_type", F.coalesce("edge_type", F.lit(0)))
+    edges = _owners(count("num-edge-list")).hint("merge").join(ends, "line").join(types.hint("merge"), "line", "left").withColumn("edge_type", F.coalesce("edge_type", F.lit(0)))
     if both_ways:
         way = lambda k, a, b: F.struct((2 * F.col("at") + k).alias("edge_id"), F.col(a).alias("src"), F.col(b).alias("dst"))
         edges = edges.select("graph_id", F.explode(F.array(way(0, "src", "dst"), way(1, "dst", "src"))).alias("e"), "edge_type").select("graph_id", "e.*", "edge_type")
