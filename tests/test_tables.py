@@ -177,3 +177,12 @@ def test_owners_of_lines_are_not_broadcast(spark):
 
     plan = QUERIES["O-SC9_counted"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin [line") == 3
+
+
+def test_rows_of_a_task(spark, monkeypatch):
+    """What is done by graph is dealt to as many tasks as the rows need, whatever Spark's number of partitions."""
+    from walkloom.sources import views
+
+    monkeypatch.setattr(views, "TASK_ROWS", 500)
+    rows = views.table(spark, "/root/testdata/sf0.001", "lineitem").count()
+    assert views.edges(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == -(-rows // 500) > 4
