@@ -186,3 +186,14 @@ def test_rows_of_a_task(spark, monkeypatch):
     monkeypatch.setattr(views, "TASK_ROWS", 500)
     rows = views.table(spark, "/root/testdata/sf0.001", "lineitem").count()
     assert views.edges(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == -(-rows // 500) > 4
+
+
+def test_own_target(spark):
+    """Rows that differ in their properties each give their own: the one named, the default, the only one, or an error."""
+    import pytest
+
+    df = spark.createDataFrame([(1, {"price": 5.0, "label": 6.0}), (2, {"label": 7.0, "a": 1.0}), (3, {"a": 2.0})], "k long, m map<string, double>")
+    got = df.select("k", io.own_target(F.col("m"), "price").alias("named"), io.own_target(F.col("m")).alias("free")).orderBy("k").collect()
+    assert [tuple(r) for r in got] == [(1, 5.0, 6.0), (2, 7.0, 7.0), (3, 2.0, 2.0)]
+    with pytest.raises(Exception, match="no property to predict in a, b"):
+        spark.createDataFrame([({"a": 1.0, "b": 2.0},)], "m map<string, double>").select(io.own_target(F.col("m"), "price")).collect()

@@ -140,10 +140,12 @@ _ITEM = """'{"idx": ' || CAST(event_id AS STRING) || ', "smiles": "CC", "num_nod
 _PROPS = {"kind": ("NULL", "event_type"), "value": ("value", "NULL"), "whole": ("user_id", "NULL"), "even": ("CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END", "NULL"), "idx": ("7", "NULL"), "inner": ("event_id % 9 / 4", "NULL"), "tag": ("NULL", "'t' || event_id % 3"), "long": ("NULL", "repeat('x', CAST(40 + event_id % 20 AS INT))")}
 query("O-PF1", " UNION ALL ".join(f"SELECT event_id, '{k}' AS name, coalesce(CAST({n} AS DOUBLE), -1) AS number, coalesce({t}, '') AS text FROM events{' WHERE event_id % 20 < 10' if k == 'long' else ''}" for k, (n, t) in _PROPS.items()))(
     lambda s, d: io.properties(table(s, d, "events").select("event_id", F.expr(_ITEM).alias("item")), "event_id").select("event_id", "name", F.coalesce("number", F.lit(-1.0)).alias("number"), F.coalesce("text", F.lit("")).alias("text")))
-_maps = lambda s, d: table(s, d, "part").select("p_partkey", F.create_map(F.lit("label"), F.col("p_size").cast("double"), F.lit("price"), F.col("p_retailprice")).alias("m"))
-# A property named, one of several by default, and the only one.
-query("O-PF2", "SELECT p_partkey, p_retailprice AS named, CAST(p_size AS DOUBLE) AS by_default, p_retailprice AS single FROM part")(
-    lambda s, d: (lambda x, found: x.select("p_partkey", io.target(F.col("m"), io.resolved_target(found, "price", "label")).alias("named"), io.target(F.col("m"), io.resolved_target(found, None, "label")).alias("by_default"), io.target(F.map_filter("m", lambda k, _: k == "price"), io.resolved_target(["price"])).alias("single")))(_maps(s, d), io.names(_maps(s, d), "m")))
+_maps = lambda s, d: table(s, d, "part").select("p_partkey", "p_size", "p_retailprice", F.create_map(F.lit("label"), F.col("p_size").cast("double"), F.lit("price"), F.col("p_retailprice")).alias("m"))
+# Rows whose maps differ: with the one named and another, the default and another, or only one.
+_own = lambda: F.when(F.col("p_size") % 3 == 0, F.create_map(F.lit("price"), F.col("p_retailprice"), F.lit("z"), F.lit(1.0))).when(F.col("p_size") % 3 == 1, F.create_map(F.lit("label"), F.col("p_size").cast("double"), F.lit("a"), F.lit(2.0))).otherwise(F.create_map(F.lit("only"), F.lit(7.0)))
+# A property named, one of several by default, and the only one; and what each row's own map gives.
+query("O-PF2", "SELECT p_partkey, p_retailprice AS named, CAST(p_size AS DOUBLE) AS by_default, p_retailprice AS single, CASE WHEN p_size % 3 = 0 THEN p_retailprice WHEN p_size % 3 = 1 THEN CAST(p_size AS DOUBLE) ELSE 7.0 END AS target FROM part")(
+    lambda s, d: (lambda x, found: x.select("p_partkey", io.target(F.col("m"), io.resolved_target(found, "price", "label")).alias("named"), io.target(F.col("m"), io.resolved_target(found, None, "label")).alias("by_default"), io.target(F.map_filter("m", lambda k, _: k == "price"), io.resolved_target(["price"])).alias("single"), io.own_target(F.col("own"), "price").alias("target")))(_maps(s, d).withColumn("own", _own()), io.names(_maps(s, d), "m")))
 query("O-PF5", "SELECT doc_id FROM documents WHERE length(text) > 0")(lambda s, d: table(s, d, "documents").filter(F.size(T.code_points("text")) > 0).select("doc_id"))
 query("O-PF6", _RUNS + "SELECT run_id FROM ru WHERE dataset IN ('BUILDING', 'MACHINERY') AND method IN ('1-URGENT', '2-HIGH')")(lambda s, d: _runs(s, d).filter(F.col("dataset").isin("BUILDING", "MACHINERY") & F.col("method").isin("1-URGENT", "2-HIGH")).select("run_id"))
 query("O-TK4", "SELECT p_partkey, (p_size & 1) + (p_size & 2) + (p_size & 4) AS mask FROM part")(lambda s, d: table(s, d, "part").select("p_partkey", T.bitmask(F.array(*[F.shiftright("p_size", k).bitwiseAND(F.lit(1)) for k in range(3)])).alias("mask")))

@@ -272,6 +272,14 @@ def target(props: Column, name: str) -> Column:
     return F.when(F.map_contains_key(props, F.lit(name)), F.try_element_at(props, F.lit(name))).otherwise(F.raise_error(F.concat(F.lit(f"no property {name} in "), F.array_join(F.map_keys(props), ", "))).cast("double"))
 
 
+def own_target(props: Column, name: str | None = None, default: str = "label") -> Column:
+    """The property to predict, where rows differ in what they have: of each row's map the one named, else the default, else the only one; a row where that doesn't settle it is an error."""
+    has = lambda k: F.map_contains_key(props, F.lit(k))
+    found = F.when(has(name), F.try_element_at(props, F.lit(name))) if name else F.when(F.lit(False), F.lit(None).cast("double"))
+    found = found.when(has(default), F.try_element_at(props, F.lit(default))).when(F.size(props) == 1, F.get(F.map_values(props), F.lit(0)))
+    return found.otherwise(F.raise_error(F.concat(F.lit("no property to predict in "), F.array_join(F.map_keys(props), ", "))).cast("double"))
+
+
 def names(rows: DataFrame, column: str) -> list[str]:
     """The keys of a column of maps, in order: a row a key is collected."""
     return sorted(r[0] for r in rows.select(F.explode(F.map_keys(column)).alias("k")).distinct().collect())
