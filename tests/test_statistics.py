@@ -110,3 +110,19 @@ def test_file_size(spark, tmp_path):
     want = sum(os.path.getsize(tmp_path / "t" / f) for f in os.listdir(tmp_path / "t") if f.endswith(".parquet"))
     got = stats.file_size(spark.read.parquet(f"{tmp_path}/t")).first()
     assert got["files"] == 3 and got["mib"] * (1 << 20) == pytest.approx(want)
+
+
+def test_masked_by_the_numbers_of_uniform(spark, monkeypatch):
+    """Lists in one batch or several, keys of any size, and what is null, as by uniform() on each token."""
+    monkeypatch.setattr(vocab, "DRAWN_AT_ONCE", 700)
+    rows = [(g, [(7 * g + i) % 40 for i in range(n)]) for g, n in ((3, 900), (-5, 400), (0, 0), (9, 1), (123_456_789, 1500))]
+    s = spark.createDataFrame([*rows, (None, [9, 3]), (4, None), (2**62, [20] * 60)], "graph_id long, tokens array<int>").coalesce(1)
+    got = {r["graph_id"]: (r["input_ids"], r["labels"]) for r in vocab.masked(s, 48, p=0.4).collect()}
+    assert got[None] == ([9, 3], [-100, -100]) and got[4] == (None, None) and 5 < sum(x == 20 for x in got[2**62][1]) < 55
+    u = lambda what: vocab.uniform(f"{what}:42", "graph_id", F.col("i"))
+    each = spark.createDataFrame(rows, "graph_id long, tokens array<int>").select("graph_id", F.posexplode("tokens").alias("i", "x")).select("graph_id", "i", "x", u("draw").alias("draw"), u("how").alias("how"), u("token").alias("token"))
+    assert "transform" not in vocab.masked(s, 48)._jdf.queryExecution().executedPlan().toString()
+    for r in each.collect():
+        drawn = r["x"] >= 8 and r["draw"] < 0.4
+        new = (2 if r["how"] < 0.8 else 8 + int(r["token"] * 40) if r["how"] < 0.9 else r["x"]) if drawn else r["x"]
+        assert (got[r["graph_id"]][0][r["i"]], got[r["graph_id"]][1][r["i"]]) == (new, r["x"] if drawn else -100)

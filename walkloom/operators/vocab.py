@@ -176,13 +176,57 @@ def uniform_sql(salt: str, key: str, place: str = "0") -> str:
     return f"(list_transform([{h}], lambda h: (h * h + h * 12345 + 1) % {PRIME})[1] / {float(PRIME)})"
 
 
+def _uniform_at(salt: str, key, place):
+    """The same numbers in numpy, of arrays of whole keys and places; keys of any size."""
+    s = salt_number(salt)
+    h = (key % PRIME * 7919 + place * 104729 + s) % PRIME
+    h = (h * h + h * 40503 + s) % PRIME
+    h = (h * h + h * 12345 + 1) % PRIME
+    return h / float(PRIME)
+
+
+#: Tokens that are drawn at once, about.
+DRAWN_AT_ONCE = 1 << 20
+
+
 def masked(sequences: DataFrame, vocab_size: int, p: float = 0.15, seed: int = 42) -> DataFrame:
-    """graph_id, input_ids, labels of sequences of ids: of the tokens drawn, 80 % are MASK, 10 % another, 10 % stay; labels are -100 elsewhere. vocab_size: ids in all, special ones included."""
-    u = lambda s, i: uniform(f"{s}:{seed}", "graph_id", i)
-    drawn = lambda x, i: (x >= len(SPECIALS)) & (u("draw", i) < p)
-    other = lambda i: (len(SPECIALS) + F.floor(u("token", i) * (vocab_size - len(SPECIALS)))).cast("int")
-    new = lambda x, i: F.when(drawn(x, i), F.when(u("how", i) < 0.8, F.lit(SPECIALS["MASK"])).when(u("how", i) < 0.9, other(i)).otherwise(x)).otherwise(x)
-    return sequences.select("graph_id", F.transform("tokens", new).alias("input_ids"), F.transform("tokens", lambda x, i: F.when(drawn(x, i), x).otherwise(F.lit(-100))).alias("labels"))
+    """graph_id, input_ids, labels of sequences of ids: of the tokens drawn, 80 % are MASK, 10 % another, 10 % stay; labels are -100 elsewhere. vocab_size: ids in all, special ones included.
+
+    Drawn by the numbers of uniform(), for many tokens at once.
+    """
+    import numpy as np
+
+    def changed(ids, lists):
+        import pyarrow as pa
+
+        flat, n = lists.flatten(), np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
+        ends = np.cumsum(n)
+        x, key = np.asarray(flat.fill_null(0)), np.repeat(np.asarray(ids.fill_null(0), dtype=np.int64), n)
+        place = np.arange(len(x)) - np.repeat(ends - n, n)
+        known = np.repeat(np.asarray(ids.is_valid()), n)
+        at = np.flatnonzero((x >= len(SPECIALS)) & known & (_uniform_at(f"draw:{seed}", key, place) < p))
+        key, place, old = key[at], place[at], x[at]
+        how, other = _uniform_at(f"how:{seed}", key, place), len(SPECIALS) + np.floor(_uniform_at(f"token:{seed}", key, place) * (vocab_size - len(SPECIALS)))
+        new, labels = x.copy(), np.full(len(x), -100, x.dtype)
+        new[at] = np.where(how < 0.8, SPECIALS["MASK"], np.where(how < 0.9, other.astype(np.int64), old))
+        labels[at] = old
+        offsets, no_list = pa.array(np.concatenate([[0], ends]).astype(np.int32)), lists.is_null()
+        return [pa.ListArray.from_arrays(offsets, v, mask=no_list) for v in (pa.array(new, mask=np.asarray(flat.is_null())), pa.array(labels))]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            ends, at = np.cumsum(np.asarray(b.column(1).value_lengths().fill_null(0), dtype=np.int64)), 0
+            while at < b.num_rows:
+                to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + DRAWN_AT_ONCE, side="right")), at + 1)
+                part = b.slice(at, to - at)
+                yield pa.RecordBatch.from_arrays([part.column(0), *changed(part.column(2), part.column(1))], ["graph_id", "input_ids", "labels"])
+                at = to
+
+    rows = sequences.select("graph_id", "tokens", F.col("graph_id").cast("long").alias("key"))
+    key, lists, _ = (f.dataType.simpleString() for f in rows.schema)
+    return rows.mapInArrow(run, f"graph_id {key}, input_ids {lists}, labels {lists}")
 
 
 def augmented(sequences: DataFrame, how: str, ratio: float = 0.1, p: float = 1.0, window: int = 3, epoch: int = 0, mask_id: int = SPECIALS["MASK"], valid: tuple[int, ...] = ()) -> DataFrame:

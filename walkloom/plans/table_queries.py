@@ -226,7 +226,7 @@ query("O-VO7", "SELECT 'sigma' AS policy, least(CAST(ceil(avg(n_chars) + 3 * std
     lambda s, d: (lambda n: vocab.length_policy(n, "sigma", positions=9000).select(F.lit("sigma").alias("policy"), "max_len").union(vocab.length_policy(n).select(F.lit("max"), "max_len")).union(vocab.length_policy(n, cap=768, positions=768).select(F.lit("short"), "max_len")))(table(s, d, "documents").select(F.col("n_chars").alias("n"))))
 _U = lambda what: vocab.uniform_sql(f"{what}:42", "graph_id", "pos")
 query("O-VO8", VOCAB + f", m AS (SELECT graph_id, pos, vocab_id AS x, vocab_id >= 8 AND {_U('draw')} < 0.15 AS drawn, {_U('how')} AS how, CAST(8 + floor({_U('token')} * (SELECT COUNT(*) FROM vo)) AS INT) AS other FROM dc JOIN vo ON token = tok) SELECT graph_id, COUNT(*) FILTER (drawn) AS masked, md5(string_agg(CAST(CASE WHEN NOT drawn THEN x WHEN how < 0.8 THEN 2 WHEN how < 0.9 THEN other ELSE x END AS VARCHAR), ' ' ORDER BY pos)) AS input_ids, md5(string_agg(CAST(CASE WHEN drawn THEN x ELSE -100 END AS VARCHAR), ' ' ORDER BY pos)) AS labels FROM m GROUP BY 1")(
-    lambda s, d: (lambda v: vocab.masked(vocab.ids_of(views.doc_sequences(s, d), v).filter(F.size("tokens") > 0), v.count() + len(vocab.SPECIALS)))(_vocab(s, d)).select("graph_id", F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("masked"), _joined("input_ids").alias("input_ids"), _joined("labels").alias("labels")))
+    lambda s, d: (lambda v: vocab.masked(vocab.ids_of(views.doc_sequences(s, d), v).filter(F.size("tokens") > 0), v.count() + len(vocab.SPECIALS)))(io.saved(_vocab(s, d), "vocab")).select("graph_id", F.size(F.array_remove("labels", -100)).cast("long").alias("masked"), _joined("input_ids").alias("input_ids"), _joined("labels").alias("labels")))
 # Augmentations: a gate of 0.7 by sequence, a ratio of 0.1, what is put in from 0 to 4. Swaps follow one another, which SQL can't express.
 _AUG = EVENTS.rstrip() + ", n AS (SELECT *, COUNT(*) OVER (PARTITION BY graph_id) AS n FROM ev), g AS (SELECT *, CAST(floor(n * 0.1 + 1e-9) AS INT) AS k, {gate} <= 0.7 AS go, row_number() OVER (PARTITION BY graph_id ORDER BY {place}, pos) AS place, {token} AS token, {start} AS u1, {end} AS u2 FROM n), c AS (SELECT *, greatest(1, k) AS least, CAST(floor(u1 * (n - greatest(1, k) + 1)) AS INT) AS b FROM g) SELECT graph_id, string_agg(CAST({new} AS VARCHAR), ' ' ORDER BY pos) AS tokens FROM c WHERE {keep} GROUP BY 1"
 _NEW = {
