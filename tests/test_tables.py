@@ -197,3 +197,29 @@ def test_own_target(spark):
     assert [tuple(r) for r in got] == [(1, 5.0, 6.0), (2, 7.0, 7.0), (3, 2.0, 2.0)]
     with pytest.raises(Exception, match="no property to predict in a, b"):
         spark.createDataFrame([({"a": 1.0, "b": 2.0},)], "m map<string, double>").select(io.own_target(F.col("m"), "price")).collect()
+
+
+def test_packed_by_batches(spark, monkeypatch, tmp_path):
+    """Graphs packed batch by batch, and longer than a batch, are those of the edges' view; repeated pairs, keys that are null and a line item without an order too."""
+    from pyspark.sql import functions as F
+
+    from walkloom.sources import views
+
+    for t in ("orders", "part", "supplier"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    one = li.limit(1)
+    odd = li.union(one).union(one.withColumn("l_returnflag", F.lit("N"))).union(one.withColumn("l_orderkey", F.lit(-7).cast("long")))
+    odd = odd.union(one.withColumn("l_partkey", F.lit(None).cast("long"))).union(one.withColumn("l_suppkey", F.lit(-3).cast("long")))
+    odd.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(views, "TASK_ROWS", 2500)
+    for by in ("customer", "order"):
+        want = sorted(map(repr, views.packed_edges(views.edges(spark, str(tmp_path), by)).collect()))
+        for size in ("7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            try:
+                got = views.packed(spark, str(tmp_path), by)
+                assert got.schema.simpleString() == views.packed_edges(views.edges(spark, str(tmp_path), by)).schema.simpleString()
+                assert sorted(map(repr, got.collect())) == want
+            finally:
+                spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -22,9 +22,11 @@ def ranked(rows: DataFrame, by: list[str], order: list[str], value: str | None =
     """rows with place (from 0) and, if a value is named, before (its sum over the rows before) in the order within each group.
 
     Rows are dealt by range of (group, order), so a group of any size is split; a part's place is the count of its group's rows in the parts before it.
-    Rows of one order are placed in any one of their orders. The result is a saved table.
+    Rows of one order are placed in any one of their orders. The result is a saved table. Rows are written before they are dealt, as ranges are found by a pass of its own.
     """
-    spread = saved(rows.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()), "ranked")
+    made = saved(rows, "rows")
+    spread = saved(made.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()), "ranked")
+    discard(made)
     amount = [F.sum(value).alias("_v")] if value else []
     totals = spread.groupBy(*by, "_p").agg(F.count("*").alias("_n"), *amount)  # a row a group and part
     earlier = W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
