@@ -72,6 +72,17 @@ def test_euler(spark, edges, graphs):
         lg.euler(spark.createDataFrame([(0, 0, 1, 2)], "graph_id long, edge_id long, src long, dst long")).count()
 
 
+def test_euler_places_items_once(spark, edges, monkeypatch):
+    """Rounds are of nodes, not of edges; nodes whose items several tasks share are walked as others."""
+    rounds = []
+    rows = lambda df: sorted(map(tuple, df.select("graph_id", "root", "pos", "edge_id").collect()))
+    got = rows(lg.euler(edges, rounds=rounds))
+    nodes = edges.select("graph_id", "src").distinct().count()
+    assert sum(n for what, n in rounds if what == "euler up") == sum(n for what, n in rounds if what == "euler down") == nodes - len({r[:2] for r in got})
+    monkeypatch.setattr(lg, "NODE_ITEMS", 1)
+    assert rows(lg.euler(edges)) == got
+
+
 @pytest.mark.parametrize("delta", [3])
 def test_shortest_paths(edges, graphs, delta):
     rounds = []

@@ -31,9 +31,11 @@ def ranked(rows: DataFrame, by: list[str], order: list[str], value: str | None =
     totals = spread.groupBy(*by, "_p").agg(F.count("*").alias("_n"), *amount)  # a row a group and part
     earlier = W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     sums = {"_n": "_a", "_v": "_b"} if value else {"_n": "_a"}
-    starts = totals.select(*by, "_p", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(x) for c, x in sums.items()])
+    starts = totals.select(F.struct(*by, "_p").alias("_g"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(x) for c, x in sums.items()])
     here = W.partitionBy(*by, "_p").orderBy(*order)
-    out = spread.join(starts, [*by, "_p"]).withColumn("place", F.col("_a") + F.row_number().over(here) - 1)
+    # Only a part's first group can have begun before it: these starts are no more than the parts.
+    out = spread.join(F.broadcast(starts.filter("_a > 0")), F.struct(*by, "_p").eqNullSafe(F.col("_g")), "left").drop("_g").fillna(0, list(sums.values()))
+    out = out.withColumn("place", F.col("_a") + F.row_number().over(here) - 1)
     if value:
         within = F.coalesce(F.sum(value).over(here.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         out = out.withColumn("before", F.col("_b") + within)
@@ -107,60 +109,142 @@ def topo(nodes: DataFrame, edges: DataFrame, rounds: list | None = None) -> Data
     return out
 
 
+def _pairs(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """graph_id, a, b, copy, there, back: an edge from a to b and one back (a loop has none), a <= b; and the saved tables that it reads.
+
+    Copies of an edge go by edge_id; only pairs that have some are sorted. Fails where an edge has none the other way.
+    """
+    src, dst, key = F.col("src").cast("long"), F.col("dst").cast("long"), ["graph_id", "a", "b"]
+    way = src <= dst
+    ends = edges.select("graph_id", F.when(way, src).otherwise(dst).alias("a"), F.when(way, dst).otherwise(src).alias("b"), way.alias("way"), "edge_id")
+    both = [F.max(F.when(F.col("way"), F.col("edge_id"))).alias("there"), F.max(F.when(~F.col("way"), F.col("edge_id"))).alias("back")]
+    alone = F.col("there").isNull() | (F.col("back").isNull() & (F.col("a") != F.col("b")))
+    checked = lambda copy: F.when(alone, F.raise_error(F.lit("an edge has none the other way")).cast("int")).otherwise(copy).alias("copy")
+    sums = saved(ends.groupBy(*key).agg(*both, F.greatest(F.count_if("way"), F.count_if(~F.col("way"))).alias("n")).select(*key, checked(F.lit(1)), "there", "back", "n"), "pairs")
+    single, many = sums.filter("n = 1").drop("n"), sums.filter("n > 1").select(*key)
+    if not many.limit(1).count():
+        return single, [sums]
+    copy = F.row_number().over(W.partitionBy(*key, "way").orderBy("edge_id"))
+    copies = saved(ends.join(many, key, "left_semi").withColumn("copy", copy).groupBy(*key, "copy").agg(*both).select(*key, checked(F.col("copy")), "there", "back"), "pairs")
+    return single.unionByName(copies), [sums, copies]
+
+
+def _neighbours(pairs: DataFrame) -> DataFrame:
+    """graph_id, node_id, others: a node's neighbours in lists, of a batch of rows at most, so that a round joins lists and not edges."""
+    way = F.explode(F.array(F.struct(F.col("a").alias("node_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("node_id"), F.col("a").alias("other"))))
+    arcs = pairs.filter("copy = 1 and a <> b").select("graph_id", way.alias("x")).select("graph_id", "x.*")
+    arcs = arcs.repartitionByRange("node_id", "other").sortWithinPartitions("node_id", "graph_id")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            if b.num_rows:
+                graph, node = (pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False) for c in b.columns[:2])
+                first = np.flatnonzero(np.concatenate([[True], graph | node]))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, b.num_rows).astype(np.int32)), b.column(2))
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(first)) for c in b.columns[:2]), lists], ["graph_id", "node_id", "others"])
+
+    return arcs.mapInArrow(run, f"graph_id {arcs.schema['graph_id'].dataType.simpleString()}, node_id long, others array<long>")
+
+
+def _forest(near: DataFrame, start: DataFrame, rounds: list | None, every: bool = False) -> DataFrame:
+    """graph_id, node_id, root, level, parent: a breadth-first forest from the start (graph_id, node_id).
+
+    Each start's id spreads, and the least of them stays: the round that brings a node its last one is its level. With every, all nodes of near start
+    as well, and the roots are the least nodes of the parts; their first round needs no join. A parent is the least neighbour of the level before. near: as of _neighbours.
+    """
+    first, level = start.select("graph_id", F.col("node_id").cast("long").alias("node_id"), F.lit(None).cast("long").alias("_r")), 0
+    if every:
+        first, level = first.unionByName(near.select("graph_id", "node_id", F.array_min("others").alias("_r"))), 1
+    first = first.groupBy("node_id", "graph_id").agg(F.min("_r").alias("_r"))
+    labels = saved(first.select("graph_id", "node_id", F.least("node_id", "_r").alias("root"), F.when(F.col("_r") < F.col("node_id"), 1).otherwise(0).alias("level")), "labels")
+    while True:
+        level += 1
+        front = labels.filter(F.col("level") == level - 1).select("graph_id", "node_id", "root")
+        sent = near.join(front, ["node_id", "graph_id"]).select("graph_id", F.explode("others").alias("node_id"), "root").groupBy("node_id", "graph_id").agg(F.min("root").alias("_r"))
+        moved = F.col("_r").isNotNull() & (F.col("root").isNull() | (F.col("_r") < F.col("root")))
+        new = saved(labels.join(sent, ["node_id", "graph_id"], "full").select("graph_id", "node_id", F.least("root", "_r").alias("root"), F.when(moved, level).otherwise(F.col("level")).alias("level")), "labels")
+        discard(labels)
+        labels = new
+        reached = labels.filter(F.col("level") == level)
+        if rounds is not None:
+            rounds.append(("forest", reached.count()))
+        if not reached.limit(1).count():
+            break
+    # Neighbours are of three levels at most; that of the level before is the least.
+    ends = near.join(labels.select("graph_id", "node_id", "level"), ["node_id", "graph_id"]).select("graph_id", F.explode("others").alias("other"), "level", "node_id")
+    above = ends.groupBy("graph_id", "other", "level").agg(F.min("node_id").alias("up")).groupBy("graph_id", F.col("other").alias("node_id")).agg(F.min_by("up", "level").alias("up"))
+    tree = saved(labels.join(above, ["graph_id", "node_id"], "left").select("graph_id", "node_id", "root", "level", F.when(F.col("level") > 0, F.col("up")).alias("parent")), "forest")
+    discard(labels)
+    return tree
+
+
+#: Items of a node that one task sorts at most, about; those of larger nodes are dealt by range.
+NODE_ITEMS = 100_000
+
+
+def _placed(items: DataFrame, large: DataFrame) -> DataFrame:
+    """items with before: the summed steps of a node's items before, by the other end and copy. large: the few nodes (graph_id, node_id) whose items several tasks share."""
+    node, order = ["node_id", "graph_id"], ["other", "copy"]
+    within = F.coalesce(F.sum("steps").over(W.partitionBy(*node).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    if not large.limit(1).count():
+        return saved(items.withColumn("before", within), "placed")
+    shared = ranked(items.join(F.broadcast(large), node, "left_semi"), node, order, "steps")
+    out = saved(items.join(F.broadcast(large), node, "left_anti").withColumn("before", within).unionByName(shared.drop("place")), "placed")
+    discard(shared)
+    return out
+
+
 def euler(edges: DataFrame, roots: DataFrame | None = None, rounds: list | None = None) -> DataFrame:
     """graph_id, root, pos, edge_id: a closed walk over each directed edge (graph_id, edge_id, src, dst) once, for each part of a graph that edges join.
 
     Each edge needs one the other way. A breadth-first forest is walked round: into each child and back out after all of its own walk. An
     edge that isn't in the forest is walked out and back from its smaller end, as a circuit that shares this node; so all circuits
     are one. Items of a node go by the other end's id. How long a child's walk is follows from the levels below, where it begins
-    from the levels above: a round a level each. roots: a node (graph_id, node_id) of each part; by default they are found.
+    from the levels above: a round a level each, of nodes; items are placed once. roots: a node (graph_id, node_id) of each part; by default the least.
     """
-    copy = F.row_number().over(W.partitionBy("graph_id", "src", "dst").orderBy("edge_id"))
-    arcs = saved(edges.select("graph_id", "edge_id", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), copy.alias("copy")), "arcs")
-    found = None
-    if roots is None:
-        from walkloom.operators.graph import spread_components
-
-        ends = arcs.select("graph_id", F.explode(F.array("src", "dst")).alias("node_id")).distinct()
-        found = spread_components(ends, arcs, saved)
-        roots = found.filter("node_id = root").select("graph_id", "node_id")
-    tree = bfs(arcs, roots, rounds)
+    pairs, made = _pairs(edges)
+    near = saved(_neighbours(pairs), "near")
+    start = pairs.filter("a = b").select("graph_id", F.col("a").alias("node_id")) if roots is None else roots
+    tree = _forest(near, start, rounds, roots is None)
     # Items: a pair of edges to and fro (a loop is one edge), at the parent, or at the smaller end.
-    out = arcs.alias("o").join(arcs.alias("i"), (F.col("o.graph_id") == F.col("i.graph_id")) & (F.col("o.src") == F.col("i.dst")) & (F.col("o.dst") == F.col("i.src")) & (F.col("o.copy") == F.col("i.copy")), "left")
-    out = out.select("o.graph_id", F.col("o.src").alias("node_id"), F.col("o.dst").alias("other"), "o.copy", F.col("o.edge_id").alias("there"), F.when(F.col("i.edge_id").isNull(), F.raise_error(F.lit("an edge has none the other way")).cast("long")).otherwise(F.col("i.edge_id")).alias("back"))
-    child = tree.select("graph_id", F.col("node_id").alias("other"), "parent")
-    own = tree.select("graph_id", "node_id", F.col("parent").alias("up"), "root", "level")
-    out = out.join(child, ["graph_id", "other"]).join(own, ["graph_id", "node_id"])
-    is_child = (F.col("copy") == 1) & F.col("parent").eqNullSafe(F.col("node_id"))
-    to_parent = (F.col("copy") == 1) & F.col("up").eqNullSafe(F.col("other"))
-    items = saved(out.filter(is_child | (~to_parent & (F.col("node_id") <= F.col("other")))).select("graph_id", "node_id", "root", "level", "other", "copy", "there", "back", is_child.alias("child"), F.when(F.col("node_id") == F.col("other"), 1).otherwise(2).cast("long").alias("steps")), "items")
+    into = tree.filter("parent is not null").select("graph_id", F.least("node_id", "parent").alias("a"), F.greatest("node_id", "parent").alias("b"), F.col("node_id").alias("down"), F.lit(1).alias("copy"))
+    known = pairs.join(into, ["a", "b", "graph_id", "copy"], "left")
+    turned, child = F.col("down").eqNullSafe(F.col("a")), F.col("down").isNotNull()
+    ends = {to: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(to) for to, x, y in (("node_id", "a", "b"), ("other", "b", "a"), ("there", "there", "back"), ("back", "back", "there"))}
+    items = saved(known.select("graph_id", *ends.values(), "copy", child.alias("child"), F.when(F.col("a") == F.col("b"), 1).otherwise(2).cast("long").alias("steps")), "items")
+    nodes = saved(tree.join(items.groupBy("node_id", "graph_id").agg(F.sum("steps").alias("own")), ["graph_id", "node_id"], "left").fillna(0, ["own"]), "nodes")
     # From the deepest level up: the steps of each node's walk.
-    depth = tree.agg(F.max("level")).first()[0]
-    sizes, by_level = [], {}
-    for level in range(depth if depth is not None else -1, -1, -1):
-        at = items.filter(F.col("level") == level)
+    depth = nodes.agg(F.max("level")).first()[0] or 0
+    none = nodes.limit(0).select("graph_id", "node_id", "parent", "level", F.col("own").alias("size"))
+    sizes = []
+    for level in range(depth, 0, -1):
+        at = nodes.filter(F.col("level") == level)
         if sizes:
-            below = sizes[-1].select("graph_id", F.col("node_id").alias("other"), "size")
-            at = at.join(below, ["graph_id", "other"], "left").withColumn("steps", F.col("steps") + F.when(F.col("child"), F.coalesce("size", F.lit(0))).otherwise(0)).drop("size")
-        by_level[level] = ranked(at, ["graph_id", "node_id"], ["other", "copy"], "steps")
-        sizes.append(saved(by_level[level].groupBy("graph_id", "node_id").agg(F.sum("steps").alias("size")), "sizes"))
+            below = sizes[-1].groupBy("graph_id", F.col("parent").alias("node_id")).agg(F.sum("size").alias("below"))
+            at = at.join(below, ["graph_id", "node_id"], "left").fillna(0, ["below"]).withColumn("own", F.col("own") + F.col("below"))
+        sizes.append(saved(at.select("graph_id", "node_id", "parent", "level", F.col("own").alias("size")), "sizes"))
         if rounds is not None:
-            rounds.append(("euler up", by_level[level].count()))
-    placed, begins = [], None
-    for level in range(0, (depth if depth is not None else -1) + 1):
-        if begins is None:
-            begins = tree.filter("level = 0").select("graph_id", "node_id", F.lit(0).cast("long").alias("begin"))
-        at = saved(by_level[level].join(begins, ["graph_id", "node_id"]).withColumn("first", F.col("begin") + F.col("before")), "placed")
-        placed.append(at)
-        begins = at.filter("child").select("graph_id", F.col("other").alias("node_id"), (F.col("first") + 1).alias("begin"))
+            rounds.append(("euler up", sizes[-1].count()))
+    size = reduce(DataFrame.unionByName, sizes, none).select("graph_id", F.col("node_id").alias("other"), "level", "size")
+    into = saved(items.filter("child").join(size, ["other", "graph_id"]).withColumn("steps", F.col("steps") + F.col("size")).drop("size"), "into")
+    placed = _placed(items.filter("not child").withColumn("level", F.lit(None).cast("int")).unionByName(into), nodes.filter(F.col("own") > 2 * NODE_ITEMS).select("graph_id", "node_id"))
+    # From the roots down: where each node's walk begins.
+    inner = saved(placed.filter("child").select("graph_id", "node_id", "other", "level", "before"), "inner")
+    begins = [saved(nodes.filter("level = 0").select("graph_id", "node_id", "root", F.lit(0).cast("long").alias("begin")), "begins")]
+    for level in range(1, depth + 1):
+        at = inner.filter(F.col("level") == level).join(begins[-1], ["graph_id", "node_id"])
+        begins.append(saved(at.select("graph_id", F.col("other").alias("node_id"), "root", (F.col("begin") + F.col("before") + 1).alias("begin")), "begins"))
         if rounds is not None:
-            rounds.append(("euler down", at.count()))
-    last = F.col("first") + F.col("steps") - 1
-    step = F.array(F.struct(F.col("first").alias("pos"), F.col("there").alias("edge_id")), F.when(F.col("node_id") != F.col("other"), F.struct(last.alias("pos"), F.col("back").alias("edge_id"))))
-    none = arcs.limit(0).select("graph_id", F.lit(0).cast("long").alias("root"), F.lit(0).cast("long").alias("pos"), "edge_id")
-    walk = reduce(DataFrame.unionByName, [p.select("graph_id", "root", F.explode(F.array_compact(step)).alias("x")).select("graph_id", "root", "x.pos", "x.edge_id") for p in placed], none)
+            rounds.append(("euler down", begins[-1].count()))
+    first = F.col("begin") + F.col("before")
+    step = F.array(F.struct(first.alias("pos"), F.col("there").alias("edge_id")), F.when(F.col("node_id") != F.col("other"), F.struct((first + F.col("steps") - 1).alias("pos"), F.col("back").alias("edge_id"))))
+    walk = placed.join(reduce(DataFrame.unionByName, begins), ["node_id", "graph_id"]).select("graph_id", "root", F.explode(F.array_compact(step)).alias("x")).select("graph_id", "root", "x.pos", "x.edge_id")
     walk = saved(walk, "euler")
-    discard(arcs, tree, items, *sizes, *placed, *by_level.values(), *([found] if found is not None else ()))
+    discard(*made, near, tree, items, nodes, into, placed, inner, *sizes, *begins)
     return walk
 
 
