@@ -1,6 +1,6 @@
 """Walks of graphs that are spread over rows: breadth-first, topological and Euler walks, and shortest paths.
 
-Edges are rows (graph_id, src, dst, ...); no task and no row holds a graph, and no task all edges of a node or all rows
+Edges are rows (graph_id, src, dst, ...); no task and no row holds a graph, and no task all edges of a large node or all rows
 of a graph. Work goes in rounds; each writes the rows that it reached, and reads of the others what it needs. Results
 equal those of the walks over packed graphs (operators.walks), which are for many small graphs.
 
