@@ -223,3 +223,23 @@ def test_packed_by_batches(spark, monkeypatch, tmp_path):
                 assert sorted(map(repr, got.collect())) == want
             finally:
                 spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_nodes_by_one_sort(spark, monkeypatch, tmp_path):
+    """Nodes are numbered by one sort of a graph's parts and suppliers, and their numbers are those of the edges' ends; keys that are null and not in their tables too."""
+    from pyspark.sql import functions as F
+
+    from walkloom.sources import views
+
+    for t in ("orders", "part", "supplier"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    one = li.limit(1)
+    li.union(one).union(one.withColumn("l_partkey", F.lit(None).cast("long"))).union(one.withColumn("l_suppkey", F.lit(-3).cast("long"))).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(views, "TASK_ROWS", 2500)
+    for by in ("customer", "order"):
+        got, half = views.nodes(spark, str(tmp_path), by), views.pairs(spark, str(tmp_path), by)
+        ends = half.select("graph_id", F.lit(0), "part", "src", "src_type").union(half.select("graph_id", F.lit(1), "supplier", "dst", "dst_type")).distinct()
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("- Sort [graph_id") == 1 and plan.count("Window [") == 1
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, ends.collect()), key=repr)
