@@ -243,3 +243,21 @@ def test_nodes_by_one_sort(spark, monkeypatch, tmp_path):
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert plan.count("- Sort [graph_id") == 1 and plan.count("Window [") == 1
         assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, ends.collect()), key=repr)
+
+
+def test_summary_without_a_join(spark):
+    """Nodes without edges, loops, edges stored once or in both directions, ends that aren't nodes; graphs that are dealt once stay in their tasks."""
+    from pyspark.sql import functions as F
+
+    from walkloom.operators import graph
+    from walkloom.sources import views
+
+    nodes = spark.createDataFrame([(1, k) for k in range(5)] + [(2, 0), (None, 0)], "graph_id long, node_id int")
+    edges = spark.createDataFrame([(1, 0, 1), (1, 1, 0), (1, 2, 1), (1, 3, 3), (1, 0, 9), (3, 0, 1), (None, 0, 0)], "graph_id long, src int, dst int")
+    assert sorted(map(tuple, graph.degrees(edges).dropna().collect())) == [(1, 0, 2), (1, 1, 2), (1, 2, 1), (1, 3, 1), (1, 9, 1), (3, 0, 1), (3, 1, 1)]
+    got = {r["graph_id"]: (r["n"], r["e"], r["max_degree"], r["min_degree"], r["degree_sequence"]) for r in graph.summary(nodes, edges).collect()}
+    assert got == {1: (5, 3, 2, 0, [2, 2, 1, 1, 0]), 2: (1, 0, 0, 0, [0]), None: (1, 0, 0, 0, [0])}
+    d = "/root/testdata/sf0.001"
+    plan = graph.summary(views.nodes(spark, d), views.edges(spark, d))._jdf.queryExecution().executedPlan().toString()
+    assert "[graph_id" not in "".join(x for x in plan.split("\n") if "SortMergeJoin" in x)
+    assert all("REPARTITION_BY_NUM" in x for x in plan.split("\n") if "Exchange hashpartitioning(graph_id" in x)
