@@ -261,3 +261,17 @@ def test_summary_without_a_join(spark):
     plan = graph.summary(views.nodes(spark, d), views.edges(spark, d))._jdf.queryExecution().executedPlan().toString()
     assert "[graph_id" not in "".join(x for x in plan.split("\n") if "SortMergeJoin" in x)
     assert all("REPARTITION_BY_NUM" in x for x in plan.split("\n") if "Exchange hashpartitioning(graph_id" in x)
+
+
+def test_edge_tokens_are_repaired(spark):
+    """O-TK3 repairs nodes and edges, each graph by itself: nodes with any even token to 2t + 1, edges with any odd one to 2t."""
+    from walkloom.operators.tokenize import repaired_features
+
+    rows = [(1, 0, 0, 1, 2, 3, 1), (1, 1, 0, 2, 2, 5, 2), (1, 2, 1, 0, 3, 2, 1), (1, 3, 2, 0, 5, 2, 2), (2, 0, 0, 1, 1, 3, 2), (2, 1, 1, 0, 3, 1, 2)]
+    got = repaired_features(spark.createDataFrame(rows, "graph_id long, edge_id int, src int, dst int, src_type int, dst_type int, edge_type int"))
+    tokens = lambda g, kind: [r["token"] for r in got.filter(f"graph_id = {g} and kind = '{kind}'").orderBy("id").collect()]
+    assert tokens(1, "node") == [5, 7, 11] and tokens(1, "edge") == [2, 4, 2, 4]
+    assert tokens(2, "node") == [1, 3] and tokens(2, "edge") == [2, 2]
+    from walkloom.plans import QUERIES
+
+    assert {r["kind"] for r in QUERIES["O-TK3"](spark, "/root/testdata/sf0.001").select("kind").distinct().collect()} == {"node", "edge"}
