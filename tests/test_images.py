@@ -158,3 +158,11 @@ def test_layouts(spark, tmp_path):
         with pytest.raises(ValueError):
             bad()
     del importers.LAYOUTS["again"]
+
+
+def test_pixels_are_made_once_an_image(spark):
+    """Within a scan's lambda, neither the levels of gray nor the scanning order are made again for each pixel."""
+    from walkloom.sources import views
+
+    plan = I.scanned(views.images(spark, "/root/testdata/sf0.001"), 8, 8, "diag")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_min") == 1 and "array_sort" not in plan
