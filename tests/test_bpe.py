@@ -160,3 +160,16 @@ def test_pieces(spark, monkeypatch):
                 m.setattr(bpe, "PairTables", None)
             assert [tuple(r) for r in bpe.train(df, merges, least).orderBy("rank").collect()] == want
     assert _left(spark) == before
+
+
+def test_few_merges_are_counted_in_passes(spark, monkeypatch):
+    """Few merges of many sequences need no pieces and no tables, and give the rules of one machine; also for runs of one token."""
+    rng = random.Random(3)
+    for top in (2, 3, 16):
+        df = spark.createDataFrame([([rng.randrange(top) for _ in range(rng.randrange(12))],) for _ in range(400)], "tokens array<int>").repartition(3)
+        want = [[tuple(r) for r in bpe.train(df, n, 2, "local").orderBy("rank").collect()] for n in (4, 8)]
+        with monkeypatch.context() as m:
+            m.setattr(bpe, "LOCAL_TOKENS", 100)
+            m.setattr(bpe, "train_pieces", None)
+            m.setattr(bpe, "train_tables", None)
+            assert [[tuple(r) for r in bpe.train(df, n, 2).orderBy("rank").collect()] for n in (4, 8)] == want

@@ -21,6 +21,8 @@ RULES = "rank int, left int, right int, new_id int, cnt long"
 LOCAL_TOKENS = 8_000_000
 #: The commonest pairs that a pass looks at for merges that don't touch each other.
 CANDIDATES = 256
+#: Merges of more tokens than LOCAL_TOKENS that are each counted in a pass over all sequences, at most; more are trained on pieces.
+FEW_MERGES = 8
 #: Tokens that are encoded at once.
 CHUNK_TOKENS = 2_000_000
 
@@ -342,17 +344,36 @@ def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(lists.flatten(), dtype=np.int64), np.cumsum(sizes)
 
 
-#: Rows of a batch that are counted or cut at once; distinct pieces that a task holds while it counts them; pairs that a task holds to cut by.
-SLICE_ROWS, HELD_PIECES, HELD_PAIRS = 256, 300_000, 1_000_000
+#: Rows of a batch that are counted or cut at once, and tokens of a batch that is counted whole; distinct pieces that a task holds while it counts them; pairs that a task holds to cut by.
+SLICE_ROWS, SLICE_TOKENS, HELD_PIECES, HELD_PAIRS = 256, 1_000_000, 300_000, 1_000_000
 
 
-def _totals(sequences: DataFrame) -> DataFrame:
-    """kind, left, right, cnt: the counts of adjacent pairs (COUNT), and of tokens by a batch's largest one, which is in left (SEQUENCE). Batches are counted where they are."""
+def merge_all(flat: np.ndarray, ends: np.ndarray, rules: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and ends after a few rules (left, right, new_id), each in one pass over all tokens."""
+    for left, right, new_id in rules:
+        hit = (flat[:-1] == left) & (flat[1:] == right)
+        hit[ends[(ends > 0) & (ends < len(flat))] - 1] = False
+        at = np.flatnonzero(hit)
+        if left == right and len(at) > 1:
+            # In a run of one token every other place is taken.
+            first = np.concatenate([[True], at[1:] != at[:-1] + 1])
+            at = at[(np.arange(len(at)) - np.flatnonzero(first)[np.cumsum(first) - 1]) % 2 == 0]
+        kept = np.ones(len(flat), bool)
+        kept[at + 1] = False
+        flat = flat.copy()
+        flat[at] = new_id
+        flat, ends = flat[kept], ends - np.searchsorted(at + 1, ends)
+    return flat, ends
+
+
+def _totals(sequences: DataFrame, rules: list[tuple[int, int, int]] = ()) -> DataFrame:
+    """kind, left, right, cnt: the counts of adjacent pairs (COUNT), and of tokens by a batch's largest one, which is in left (SEQUENCE), after rules (left, right, new_id). Batches are counted where they are."""
 
     def run(batches):
         for b in batches:
-            for k in range(0, b.num_rows, SLICE_ROWS):
-                flat, ends = _flat(b.column(0).slice(k, SLICE_ROWS))
+            size = b.num_rows if len(b.column(0).flatten()) <= SLICE_TOKENS else SLICE_ROWS
+            for k in range(0, b.num_rows, max(size, 1)):
+                flat, ends = merge_all(*_flat(b.column(0).slice(k, size)), rules)
                 if not len(flat):
                     continue
                 inner = np.ones(len(flat), bool)
@@ -455,6 +476,19 @@ def train_pieces(sequences: DataFrame, totals: DataFrame, merges: int, min_frequ
     return rules
 
 
+def train_rounds(sequences: DataFrame, totals: DataFrame, merges: int, min_frequency: int, top: int) -> list[tuple[int, int, int, int]]:
+    """As train_pieces, for few merges: a round counts the pairs of all sequences, merged in passing by the rules so far, and takes the merges that are sure to be next. Nothing but counts is shuffled or written."""
+    rules: list[tuple[int, int, int, int]] = []
+    while len(rules) < merges:
+        best = totals.filter(F.col("kind") == COUNT).orderBy(F.col("cnt").desc(), "left", "right").limit(CANDIDATES).select("left", "right", "cnt").collect()
+        found = independent([tuple(r) for r in best], max(min_frequency, 1))[: merges - len(rules)]
+        if not found:
+            break
+        rules += [(left, right, top + 2 + len(rules) + k, n) for k, (left, right, n) in enumerate(found)]
+        totals = _totals(sequences, [r[:3] for r in rules])
+    return rules
+
+
 def _train_local(distinct: DataFrame, merges: int, min_frequency: int, first_id: int | None = None) -> list[tuple[int, int, int, int]]:
     rows = distinct.toArrow()
     flat, ends = _flat(rows.column("tokens").combine_chunks()) if rows.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -464,8 +498,8 @@ def _train_local(distinct: DataFrame, merges: int, min_frequency: int, first_id:
 def train(sequences: DataFrame, merges: int = 2000, min_frequency: int = 2, strategy: str = "auto") -> DataFrame:
     """The codebook (rank, left, right, new_id, cnt). strategy: auto, local or distributed.
 
-    Sequences of up to LOCAL_TOKENS are trained on one machine, where equal ones are one, with a multiplicity. Of more, the distinct pieces between
-    which nothing is merged are (train_pieces), or, if those are more too, passes over tables (PairTables) take all merges that are
+    Sequences of up to LOCAL_TOKENS are trained on one machine, where equal ones are one, with a multiplicity. Of more, up to FEW_MERGES are
+    counted in a pass over all each (train_rounds); for more merges the distinct pieces between which nothing is merged are (train_pieces), or, if those are more too, passes over tables (PairTables) take all merges that are
     sure to be next. distributed: passes over tables, of whole sequences. All give the same rules.
     """
     spark = sequences.sparkSession
@@ -473,7 +507,8 @@ def train(sequences: DataFrame, merges: int = 2000, min_frequency: int = 2, stra
     if strategy == "auto":
         totals = saved(_totals(sequences), "totals")
         size, top = totals.filter(F.col("kind") == SEQUENCE).agg(F.coalesce(F.sum("cnt"), F.lit(0)), F.max("left")).first()
-        rules = _train_local(distinct, merges, min_frequency) if size <= LOCAL_TOKENS else train_pieces(sequences.select("tokens"), totals, merges, min_frequency, top)
+        large = train_rounds if merges <= FEW_MERGES else train_pieces
+        rules = _train_local(distinct, merges, min_frequency) if size <= LOCAL_TOKENS else large(sequences.select("tokens"), totals, merges, min_frequency, top)
         discard(totals)
     elif strategy == "local":
         rules = _train_local(distinct, merges, min_frequency)
