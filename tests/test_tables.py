@@ -275,3 +275,20 @@ def test_edge_tokens_are_repaired(spark):
     from walkloom.plans import QUERIES
 
     assert {r["kind"] for r in QUERIES["O-TK3"](spark, "/root/testdata/sf0.001").select("kind").distinct().collect()} == {"node", "edge"}
+
+
+def test_weights_of_walks_shuffle_no_steps(spark):
+    """A packed graph's walk weighs what path_weight gives, infinite over several parts, and takes one pass without a shuffle."""
+    from walkloom.operators import graph
+    from walkloom.sources import views
+
+    half = [(1, 0, 2, 5, 8, 1), (1, 0, 3, 5, 9, 2), (1, 1, 3, 6, 9, 1), (2, 0, 2, 5, 8, 1), (2, 1, 3, 5, 8, 1)]
+    both = sorted([x for g, s, d, a, b, t in half for x in ((g, s, d, a, b, t), (g, d, s, b, a, t))])
+    edges = spark.createDataFrame([(g, k, *r) for k, (g, *r) in enumerate(both)], "graph_id long, edge_id int, src int, dst int, src_type int, dst_type int, edge_type int")
+    packed, counts = views.packed_edges(edges), graph.triplets(edges)
+    assert io.same(graph.packed_triplets(packed), counts)
+    got = graph.walk_weight(io.saved(packed), counts)
+    want = graph.path_weight(got.select("graph_id", "path"), graph.weighted(edges, counts))
+    rows = lambda df: sorted((r["graph_id"], r["path"], round(r["total"], 9)) for r in df.select("graph_id", "path", "total").collect())
+    assert rows(got) == rows(want) and [r[2] == float("inf") for r in rows(got)] == [False, True]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
